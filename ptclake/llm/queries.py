@@ -25,5 +25,27 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_ids(spark, path))
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files}
-ORACLES: dict[str, str] = {}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the group that five-word shingles at a similarity of 0.8 or more put them in."""
+    from ptclake.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
+_SHINGLES = r"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w)"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE {_SHINGLES},
+g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS gram FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM s UNION SELECT reach.d, links.y FROM reach JOIN links ON reach.r = links.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) m ON s.doc_id = m.d
+"""
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL}

@@ -37,7 +37,7 @@ class WordCachedEncoder:
     ``limit`` bounds the pieces remembered in a worker; when it is reached, new pieces are encoded each time.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 18):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,7 +46,7 @@ class WordCachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.limit, self.known = self.tokenizer.model, limit, {}
-        self.letters: dict[str, list[int]] = {}
+        self.letters: dict[str, bytes] = {}
         self.bytes = _byte_letters()
         form = json.loads(self.tokenizer.to_str())
         kinds = [form["normalizer"] and [x["type"] for x in form["normalizer"].get("normalizers", [form["normalizer"]])], form["pre_tokenizer"]["type"]]
@@ -54,10 +54,11 @@ class WordCachedEncoder:
         #: other layouts of the file than the two known ones always take the library's pipeline for whole texts
         self.by_words = self.lower or kinds == [None, "ByteLevel"] and not form["pre_tokenizer"]["add_prefix_space"]
 
-    def _run(self, run: str) -> list[int]:
+    def _run(self, run: str) -> bytes:
         found = self.letters.get(run)
         if found is None:
-            found = [t.id for t in self.model.tokenize(run.replace(" ", self.bytes[32]) if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode())))]
+            tokens = self.model.tokenize(run.replace(" ", self.bytes[32]) if run.isascii() else "".join(map(self.bytes.__getitem__, run.encode())))
+            found = array("I", [t.id for t in tokens]).tobytes()  # the machine is little-endian, as Arrow's buffers are
             if len(self.letters) < self.limit:
                 self.letters[run] = found
         return found
@@ -70,10 +71,11 @@ class WordCachedEncoder:
         found = self.known.get(text)
         if found is not None:
             return found
-        if m := _PLAIN.match(text):  # the machine is little-endian, as Arrow's buffers are
+        if m := _PLAIN.match(text):
             space, letters, marks = m.groups()
-            ids = self._run(letters.lower() if self.lower else space + letters)
-            found = array("I", ids + self._run(marks) if marks else ids).tobytes()
+            found = self._run(letters.lower() if self.lower else space + letters)
+            if marks:
+                found += self._run(marks)
         elif len(parts := _CUT.split(text)) > 1:
             return b"".join(map(self.piece, parts))
         else:

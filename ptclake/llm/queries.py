@@ -47,5 +47,39 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
 FROM s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) m ON s.doc_id = m.d
 """
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the rule table."""
+    from ptclake.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    from ptclake.llm.quality_rules import RULES, STOP_WORDS
+
+    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+    parts = []
+    for r in RULES:
+        bounds = [f"{r.over} * 1000 >= {r.low} * {r.under}"] * (r.low is not None) + [f"{r.over} * 1000 <= {r.high} * {r.under}"] * (r.high is not None)
+        parts.append(f"(n_words < {r.min_words} OR ({' AND '.join(bounds)}))")
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+v AS (SELECT doc_id, ws, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) AS win FROM w),
+e AS (SELECT doc_id, unnest(win) AS g, unnest(range(1, len(win) + 1)) AS i FROM v),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM e) WHERE c > 1),
+r AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM d) GROUP BY doc_id),
+f AS (SELECT w.doc_id, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+      CAST(len(t) - len(translate(t, '!?', '')) AS BIGINT) AS n_marks, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ls) AS BIGINT) AS n_lines,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(list_filter(ws, lambda x: rtrim(x, '.,') IN ({stop}))) AS BIGINT) AS n_stop_words,
+      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND {' AND '.join(parts)} AS kept FROM b
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL}

@@ -81,5 +81,12 @@ SELECT *, NOT base_failed AND {' AND '.join(parts)} AS kept FROM b
 OP6_SQL = _op6_sql()
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a classifier that learns from the labels outside of the held-out fold."""
+    from ptclake.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier}
 ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL}

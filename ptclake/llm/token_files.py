@@ -4,7 +4,7 @@
 parallel, and a look-up by id skips files, stripes and row groups by their statistics and Bloom filters.
 
 Edge cases: a null or empty text is the end id alone; a null ``doc_id`` sorts first and is kept; repeated rows each get
-their own row, ordered by id and then text; an empty table gives an empty folder; further columns are left out.
+their own row, ordered by id and then by a hash of the text; an empty table gives an empty folder; further columns are left out.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, str
                 )
                 start += len(ids)
 
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
         ordered.mapInArrow(encode, SCHEMA)

@@ -79,8 +79,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column as 64-bit strings, null as the empty text."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    """The text column as 64-bit strings in buffers of their own, null as the empty text.
+
+    Some Arrow string kernels mistake the offsets of a sliced array, so a slice is copied first.
+    """
+    own = batch.column(batch.schema.get_field_index(column)).take(pa.array(np.arange(len(batch))))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -107,27 +107,36 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, train_rows: int =
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id and score (0 to 1)."""
+def score(docs: DataFrame, weights: np.ndarray, keep: float | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id and score (0 to 1); with ``keep``, the rows of ``docs`` that score at least so."""
     bits, sent = (len(weights) - 1).bit_length() - 1, docs.sparkSession.sparkContext.broadcast(weights)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: pa.Array) -> np.ndarray:
+        w = sent.value
+        offsets, index = features(texts, bits)
+        # a dot product with counts is a sum over occurrences; the norm needs the counts
+        dots = np.add.reduceat(np.append(w[index], 0.0), offsets[:-1]) * (np.diff(offsets) > 0)
+        norms = np.ones(len(texts))
+        for k, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if j > i:
+                x = np.sort(index[i:j])
+                edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+                norms[k] = np.sqrt((np.diff(edges).astype(float) ** 2).sum())
+        return (1 / (1 + np.exp(-np.clip(dots / norms + w[-1], -35, 35)))).astype(np.float64)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                w = sent.value
-                offsets, index = features(texts_of(b), bits)
-                # a dot product with counts is a sum over occurrences; the norm needs the counts
-                dots = np.add.reduceat(np.append(w[index], 0.0), offsets[:-1]) * (np.diff(offsets) > 0) if len(b) else np.zeros(0)
-                norms = np.ones(len(b))
-                for k, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    if j > i:
-                        x = np.sort(index[i:j])
-                        edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
-                        norms[k] = np.sqrt((np.diff(edges).astype(float) ** 2).sum())
-                p = 1 / (1 + np.exp(-np.clip(dots / norms + w[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.float64))], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, score double")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(texts_of(b)))], names=["doc_id", "score"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                yield b.filter(pa.array(scores(texts_of(b)) >= keep))
+
+    if keep is not None:
+        return docs.mapInArrow(choose, docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(give, "doc_id long, score double")
 
 
 def held_out() -> Column:

@@ -59,21 +59,25 @@ def _repeat_words(words: Column, n: Column, width: int) -> Column:
     return F.when(n >= width, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
-def text_statistics(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs(doc_id, text)`` to one row per document with the counts that the rules compare."""
+def text_statistics(docs: DataFrame, width: int = 5, carry: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` to one row per document with the counts that the rules compare, and the column ``carry`` if named."""
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.translate(text, _SPACE, "")
-    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    a = a.select("doc_id", words_of(F.col("text")).alias("ws"), F.char_length(bare).cast("long").alias("word_chars"), *[(F.char_length("text") - F.char_length(F.translate("text", c, ""))).cast("long").alias(k) for k, c in (("n_symbols", SYMBOLS), ("n_marks", "!?"))], F.filter(F.split("text", "\n", -1), lambda s: F.translate(s, _SPACE, "") != "").alias("lines"))
+    ids = ["doc_id", *([carry] if carry else [])]
+    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ids[1:], text.alias("text"))
+    a = a.select(*ids, words_of(F.col("text")).alias("ws"), F.char_length(bare).cast("long").alias("word_chars"), *[(F.char_length("text") - F.char_length(F.translate("text", c, ""))).cast("long").alias(k) for k, c in (("n_symbols", SYMBOLS), ("n_marks", "!?"))], F.filter(F.split("text", "\n", -1), lambda s: F.translate(s, _SPACE, "") != "").alias("lines"))
     n = F.size("ws")
-    b = a.select("doc_id", "word_chars", "n_symbols", "n_marks", n.cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size(F.filter("ws", lambda w: F.rtrim(w, F.lit(".,")).isin(stop))).cast("long").alias("n_stop_words"), _repeat_words(F.col("ws"), n, width).alias("windows"))
+    b = a.select(*ids, "word_chars", "n_symbols", "n_marks", n.cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size(F.filter("ws", lambda w: F.rtrim(w, F.lit(".,")).isin(stop))).cast("long").alias("n_stop_words"), _repeat_words(F.col("ws"), n, width).alias("windows"))
     # places of windows that have an equal neighbour, in order
     at = F.col("windows")
     twice = F.filter(at, lambda x, k: (F.get(at, k - 1)["h"] == x["h"]) | (F.get(at, k + 1)["h"] == x["h"]))
     c = b.select(*[x for x in b.columns if x != "windows"], F.sort_array(F.transform(twice, lambda x: x["i"])).alias("starts"))
     covered = F.aggregate("starts", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-width).alias("last")), lambda s, i: F.struct((s["sum"] + F.least(F.lit(width), i - s["last"])).alias("sum"), i.alias("last")), lambda s: s["sum"])
-    return c.select(*[x for x in c.columns if x != "starts"], covered.alias("n_repeat_words"))
+    counts = [x for x in c.columns if x not in ("starts", *ids)]
+    out = c.select(*ids, F.struct(*counts, covered.alias("n_repeat_words")).alias("s"))
+    # a filter on the counts would be pushed down and work them out again for each use; it doesn't pass a generator
+    return out.select(*ids, F.explode(F.array("s")).alias("s")).select(*ids, "s.*")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

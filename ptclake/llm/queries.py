@@ -106,5 +106,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL}
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds the template's own control strings, formatted and read back."""
+    from ptclake.llm.chat import canonical_turns, chat_digests, format_chat
+    from ptclake.llm.common import materialize
+
+    trap = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = canonical_turns(table(spark, sf_dir, "conversations")).unionByName(trap)
+    return chat_digests(materialize(format_chat(turns), "chat-segments"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+e AS (SELECT *, len(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]')) + len(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]')) + 22 AS chars FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL}

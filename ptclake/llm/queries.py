@@ -127,5 +127,26 @@ FROM e GROUP BY conv_id
 """
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL}
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' records against a replica with rot by rule: some ids have a changed character, some are lost."""
+    from pyspark.sql import functions as F
+    from ptclake.llm.warc import audit, records
+
+    pages = table(spark, sf_dir, "pages")
+    turn = F.pmod(F.col("page_id"), F.lit(97))
+    rotten = pages.filter(F.coalesce(turn != 6, F.lit(True))).withColumn("html", F.when(turn == 5, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    return audit(records(pages), records(rotten))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+             || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS e FROM pages),
+r AS (SELECT page_id, head || strlen(h) || e || h || e AS own, head || strlen('?' || substr(h, 2)) || e || '?' || substr(h, 2) || e AS rot FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS pos, coalesce(sum(strlen(own)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
+SELECT page_id, CAST(0 AS BIGINT) AS copy, CASE page_id % 97 WHEN 5 THEN 'changed' ELSE 'lost' END AS status, CAST(pos // 4096 AS BIGINT) AS archive, CAST(start AS BIGINT) AS start,
+       CAST(strlen(own) AS BIGINT) AS length, sha256(own) AS digest, CASE page_id % 97 WHEN 5 THEN sha256(rot) END AS other_digest
+FROM o WHERE page_id % 97 IN (5, 6)
+"""
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL}

@@ -156,5 +156,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity, "op1_sentencepiece": op1_sentencepiece}
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by masked pseudo-likelihood."""
+    from ptclake.llm.lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity, "op1_sentencepiece": op1_sentencepiece, "op5_lm_scoring": op5_lm_scoring}
 ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL}

@@ -2,8 +2,8 @@
 
 1. N-grams get one global order: by a bounded table of how often their hash buckets occur over all documents, then by hash.
 2. Equal sets become one class. A class's prefix is its rarest n-grams, so many that two sets at the threshold must share one.
-3. Sets that share a prefix n-gram meet in the group of the smallest document with that n-gram; groups of many
-   sets are cut into blocks, and each pair of blocks is a piece of work of its own, so no group lands in one task.
+3. Sets that share a prefix n-gram, and between whose sizes there is no step too wide for a pair, meet in the group of the
+   first such document; groups of many sets are cut into blocks, and each pair of blocks is a piece of work of its own, so no group lands in one task.
 4. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
    once for all sets of the other block: partial overlaps are shared along a path, and a set leaves a subtree as soon as the
    overlap so far with what remains on both sides can't reach the threshold. Each piece of work returns a spanning
@@ -210,7 +210,7 @@ def _forest(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if ids[find(i)] != ids[i]]
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 64, largest_block: int = 512) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     ``bits`` and ``filter_bits`` size two tables of bytes sent to all tasks (order of n-grams; documents that have a
@@ -256,24 +256,25 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
 def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int) -> DataFrame:
     """Links (u, v) between the first documents of classes: a spanning forest of all links of each piece of work."""
     firsts = classes.select(F.col("first").alias("doc_id")).filter("doc_id IS NOT NULL")
-    grams = full.select("doc_id", "prefix").join(firsts, "doc_id", "left_semi").select(F.explode("prefix").alias("gram"), "doc_id")
+    grams = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").join(firsts, "doc_id", "left_semi").select(F.explode("prefix").alias("gram"), "size", "doc_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, pivot = None, None  # of the run that the last batch ended in
+        gram, size, pivot = None, 0, None  # of the run that the last batch ended in
         for b in batches:
-            g, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            g, n, d = (b.column(k).to_numpy() for k in range(3))
             if not len(g):
                 continue
-            new = np.concatenate([[gram is None or g[0] != gram], g[1:] != g[:-1]])
+            # sets of one n-gram in order of size: a step that is too wide for any pair across it starts another run
+            new = np.concatenate([[gram is None or g[0] != gram or 100 * size < percent * int(n[0])], (g[1:] != g[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))])
             run = np.cumsum(new)
             heads = np.concatenate([[d[0] if pivot is None else pivot], d[new]])
             pivots = heads[run]
-            gram, pivot = g[-1], pivots[-1]
+            gram, size, pivot = g[-1], int(n[-1]), pivots[-1]
             pairs = np.unique(np.stack([d, pivots], axis=1)[d != pivots], axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "pivot"])
 
-    met = grams.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(meet, "doc_id long, pivot long")
+    met = grams.repartition("gram").sortWithinPartitions("gram", "size", "doc_id").mapInArrow(meet, "doc_id long, pivot long")
     met = materialize(met.distinct(), "ngram-met")
     members = met.union(met.select(F.col("pivot").alias("doc_id"), "pivot").distinct())
     large = met.groupBy("pivot").count().filter(F.col("count") >= block).select("pivot", F.least(F.lit(24), F.ceil(F.col("count") / block)).cast("int").alias("few"), F.ceil(F.col("count") / largest_block).cast("int").alias("many"))

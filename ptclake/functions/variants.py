@@ -35,7 +35,7 @@ def parse_variant_id(name: Column) -> Column:
 
 def split_txnames(txnames: Column) -> Column:
     """Transcript names between ``; , |`` or spaces, without versions; empty names are dropped."""
-    return F.transform(F.filter(F.split(txnames, r"[;,|\s]+"), lambda x: x != ""), strip_version)
+    return F.transform(F.filter(F.split(txnames, r"[;,|\s]+"), lambda x: x != ""), lambda x: strip_version(x))
 
 
 def parse_annotations(v3: Column) -> Column:

@@ -58,7 +58,7 @@ def canonical_by_gene(variants: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def strict_tx_match(variants: DataFrame, contexts: DataFrame) -> DataFrame:
     """Per variant (id, txnames, v3) the first transcript in txnames order that v3 lists too and that has a context (id, tx, context)."""
-    listed = variants.select("id", F.posexplode(split_txnames(F.col("txnames"))).alias("i", "tx"), F.transform(parse_annotations(F.col("v3")), lambda a: a["tx"]).alias("in_v3"))
+    listed = variants.withColumn("_v", parse_annotations(F.col("v3"))).select("id", F.posexplode(split_txnames(F.col("txnames"))).alias("i", "tx"), F.col("_v.tx").alias("in_v3"))
     ok = listed.filter(F.array_contains("in_v3", F.col("tx"))).join(contexts.filter("context IS NOT NULL"), ["id", "tx"])
     return ok.groupBy("id").agg(F.min(F.struct("i", "tx", "context")).alias("m")).select("id", "m.tx", "m.context")
 

@@ -60,4 +60,4 @@ def motif_presence(hits: DataFrame, genes: DataFrame) -> DataFrame:
 def motif_matrix(presence: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 per id and the given columns; ids without a hit are all zero."""
     wide = presence.groupBy("id").pivot("column", columns).agg(F.lit(1))
-    return ids.select("id").distinct().join(wide, "id", "left").fillna(0, columns)
+    return ids.select("id").distinct().join(wide, "id", "left").select("id", *[F.coalesce(f"`{c}`", F.lit(0)).alias(c) for c in columns])

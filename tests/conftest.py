@@ -4,10 +4,9 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 
+from helpers import SF  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
@@ -29,21 +28,3 @@ def duck():
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
-
-
-def same_rows(spark_df, duck_df) -> None:
-    """Rows equal in any order, columns by name, null equal to null."""
-    left = spark_df.toPandas()
-    cols = sorted(duck_df.columns)
-    assert sorted(left.columns) == cols
-
-    def norm(frame):
-        out = []
-        for row in frame[cols].itertuples(index=False):
-            out.append(tuple("null" if v is None or v != v or str(v) in ("<NA>", "NaT") else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row))
-        return sorted(out)
-
-    a, b = norm(left), norm(duck_df)
-    assert len(a) == len(b)
-    for x, y in zip(a, b, strict=True):
-        assert x == y

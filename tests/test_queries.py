@@ -1,7 +1,7 @@
 """Every registered cohort query with SQL against DuckDB on the smallest tables."""
 
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from ptclake.plans.queries import ORACLES, QUERIES
 

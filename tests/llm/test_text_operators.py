@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from ptclake.llm import lm, packing, pieces, quality_classifier, quality_rules, token_files, tokens
 from ptclake.llm.components import components
@@ -277,7 +277,7 @@ def test_lm_sums_and_training(spark, odd_docs, no_docs):
     words = lm.vocabulary(docs, shape)
     assert words == ["alpha", "beta", "delta", "gamma"]
     before = lm.score(docs, words, shape.start(), shape).filter("doc_id = 0").first()
-    after = {r["doc_id"]: r for r in lm.pseudo_likelihood(docs, shape, batch=256).collect()}
+    after = {r["doc_id"]: r for r in lm.pseudo_likelihood(docs, shape, train_every=1, batch=64).collect()}
     assert after[0]["n_tokens"] == 240 and after[0]["log_likelihood"] > 0.6 * before["log_likelihood"]
     assert (after[99]["n_tokens"], after[99]["log_likelihood"], after[99]["mean_log_likelihood"]) == (0, 0.0, None)
     assert lm.pseudo_likelihood(odd_docs, shape).count() == odd_docs.count() and lm.pseudo_likelihood(no_docs, shape).count() == 0

@@ -1,5 +1,7 @@
 """What tests share."""
 
+import pandas as pd
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -12,7 +14,7 @@ def same_rows(spark_df, duck_df) -> None:
     def norm(frame):
         out = []
         for row in frame[cols].itertuples(index=False):
-            out.append(tuple("null" if v is None or v != v or str(v) in ("<NA>", "NaT") else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row))
+            out.append(tuple("null" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row))
         return sorted(out)
 
     a, b = norm(left), norm(duck_df)

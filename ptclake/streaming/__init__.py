@@ -1,0 +1 @@
+"""The cohort jobs are batch jobs; the column functions of ptclake.functions work on streaming frames as they are."""

@@ -3,7 +3,7 @@
 import pytest
 from helpers import SF, same_rows
 
-from ptclake.plans.queries import ORACLES, QUERIES
+from ptclake.plans.feature_queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -1,7 +1,8 @@
 """Exact Jaccard self-join on word n-grams by prefix trees, down to the groups that its links make.
 
 1. N-grams get one global order: by a bounded table of how often their hash buckets occur over all documents, then by hash.
-2. Equal sets become one class. A class's prefix is its rarest n-grams, so many that two sets at the threshold must share one.
+2. Equal sets become one class. A class's prefix is its rarest n-grams, so many that two sets at the threshold must have a few
+   (``shared``) in common there; sets with fewer in common with any others are done.
 3. Sets that share a prefix n-gram, and between whose sizes there is no step too wide for a pair, meet in the group of the
    first such document; groups of many sets are cut into blocks, and each pair of blocks is a piece of work of its own, so no group lands in one task.
 4. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
@@ -19,6 +20,7 @@ takes its class's group and else none); an empty table gives no row; further col
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -210,7 +212,7 @@ def _forest(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if ids[find(i)] != ids[i]]
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024, shared: int = 3) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     ``bits`` and ``filter_bits`` size two tables of bytes sent to all tasks (order of n-grams; documents that have a
@@ -231,7 +233,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
                 signs, prefixes, lengths = [], [], []
                 for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     size = j - i
-                    long = size + percent * size // -100 + 1 if size else 0  # n-grams beyond those that a partner must share, and one
+                    # n-grams beyond those that a partner must have, and `shared`: a partner has so many of them, in its prefix too
+                    long = size + percent * size // -100 + shared if size else 0
                     first = np.argpartition(order[i:j], long - 1)[:long] if 0 < long < size else np.arange(size)
                     prefixes.append(grams[i:j][first])
                     lengths.append(len(first))
@@ -245,7 +248,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
     sets = materialize(docs.mapInArrow(keys, "doc_id long, size long, sign_a long, sign_b long, prefix array<long>"), "ngram-sets")
     full = sets.filter("size > 0")
     classes = materialize(full.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("first")), "ngram-classes")
-    links = materialize(_links(docs, full, classes, levels, n, percent, filter_bits, block, largest_block), "ngram-links")
+    links = materialize(_links(docs, full, classes, levels, n, percent, filter_bits, block, largest_block, shared), "ngram-links")
     roots = components(links)
     # documents of an empty set stand for themselves, others for their class
     named = full.select("doc_id", "size", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).select("doc_id", "size", "first")
@@ -253,36 +256,60 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
     return every.join(roots, every["first"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
-def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int) -> DataFrame:
+def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int, shared: int) -> DataFrame:
     """Links (u, v) between the first documents of classes: a spanning forest of all links of each piece of work."""
-    firsts = classes.select(F.col("first").alias("doc_id")).filter("doc_id IS NOT NULL")
-    grams = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").join(firsts, "doc_id", "left_semi").select(F.explode("prefix").alias("gram"), "size", "doc_id")
+    spark = docs.sparkSession
+    prefixes = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
+    # Only first documents of classes count. Most documents share no bucket with a copy and are firsts without a look-up; the others are joined.
+    copies = full.select("doc_id", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).filter("doc_id <> first").select("doc_id")
+    copied = spark.sparkContext.broadcast(bucket_levels(copies, lambda b: [id_hash(b.column(0))], filter_bits))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, size, pivot = None, 0, None  # of the run that the last batch ended in
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, n, d = (b.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copied.value[(id_hash(b.column(0)) >> np.uint64(64 - filter_bits)).astype(np.int64)] > 0)], names=["doc_id", "size", "prefix", "maybe"])
+
+    split = prefixes.mapInArrow(marked, "doc_id long, size int, prefix array<long>, maybe boolean")
+    looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    grams = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("gram"), "size", "doc_id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row of a batch: whether its run goes on is only seen in the next one
+        pivot, several = 0, False  # of the run that the held row belongs to; whether rows before it do too
+        for b in itertools.chain(batches, [None]):
+            cols = [np.zeros(0, np.int64)] * 3 if b is None else [b.column(k).to_numpy().astype(np.int64) for k in range(3)]
+            if held is not None:
+                cols = [np.concatenate([[h], c]) for h, c in zip(held, cols, strict=True)]
+            g, n, d = cols
             if not len(g):
                 continue
             # sets of one n-gram in order of size: a step that is too wide for any pair across it starts another run
-            new = np.concatenate([[gram is None or g[0] != gram or 100 * size < percent * int(n[0])], (g[1:] != g[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))])
+            new = np.concatenate([[held is None or not several], (g[1:] != g[:-1]) | (100 * n[:-1] < percent * n[1:])])
+            heads = np.concatenate([[pivot], d[new]])
             run = np.cumsum(new)
-            heads = np.concatenate([[d[0] if pivot is None else pivot], d[new]])
             pivots = heads[run]
-            gram, size, pivot = g[-1], int(n[-1]), pivots[-1]
-            pairs = np.unique(np.stack([d, pivots], axis=1)[d != pivots], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "pivot"])
-
-    met = grams.repartition("gram").sortWithinPartitions("gram", "size", "doc_id").mapInArrow(meet, "doc_id long, pivot long")
-    met = materialize(met.distinct(), "ngram-met")
-    members = met.union(met.select(F.col("pivot").alias("doc_id"), "pivot").distinct())
+            before = ~new
+            after = np.concatenate([~new[1:], [False]])
+            use = before | after
+            if b is not None:
+                use[-1] = False
+                held, pivot, several = (g[-1], n[-1], d[-1]), pivots[-1], bool(before[-1])
+            rows = np.stack([d, pivots, np.minimum(shared, -(-percent * n // 100))], axis=1)[use]
+            rows, times = np.unique(rows, axis=0, return_counts=True)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(times)], names=["doc_id", "pivot", "need", "times"])
+
+    met = grams.repartition("gram").sortWithinPartitions("gram", "size", "doc_id").mapInArrow(meet, "doc_id long, pivot long, need long, times long")
+    met = materialize(met.groupBy("doc_id", "pivot").agg(F.max("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
+    # a document with a link has at least `need` prefix n-grams in common with others
+    enough = met.groupBy("doc_id").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")
+    met = met.join(enough, "doc_id", "left_semi").select("doc_id", "pivot")
+    met = materialize(met.join(met.groupBy("pivot").count().filter("count > 1").select("pivot"), "pivot", "left_semi"), "ngram-members")
     large = met.groupBy("pivot").count().filter(F.col("count") >= block).select("pivot", F.least(F.lit(24), F.ceil(F.col("count") / block)).cast("int").alias("few"), F.ceil(F.col("count") / largest_block).cast("int").alias("many"))
-    cut = members.join(large.select("pivot", F.greatest("few", "many").alias("blocks")), "pivot", "left")
+    cut = met.join(large.select("pivot", F.greatest("few", "many").alias("blocks")), "pivot", "left")
     cut = cut.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     work = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
 
-    partnered = docs.sparkSession.sparkContext.broadcast(bucket_levels(members.select("doc_id"), lambda b: [id_hash(b.column(0))], filter_bits))
+    partnered = spark.sparkContext.broadcast(bucket_levels(met.select("doc_id"), lambda b: [id_hash(b.column(0))], filter_bits))
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,7 +2,7 @@
 
 1. N-grams get one global order: by a bounded table of how often their hash buckets occur over all documents, then by hash.
 2. Equal sets become one class. A class's prefix is its rarest n-grams, so many that two sets at the threshold must have a few
-   (``shared``) in common there; sets with fewer in common with any others are done.
+   (``shared``, and one for each ``spread`` of them) in common there; sets with fewer in common with any others are done.
 3. Sets that share a prefix n-gram, and between whose sizes there is no step too wide for a pair, meet in the group of the
    first such document; groups of many sets are cut into blocks, and each pair of blocks is a piece of work of its own, so no group lands in one task.
 4. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
@@ -212,7 +212,7 @@ def _forest(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if ids[find(i)] != ids[i]]
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024, shared: int = 3) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024, shared: int = 3, spread: int = 50) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     ``bits`` and ``filter_bits`` size two tables of bytes sent to all tasks (order of n-grams; documents that have a
@@ -233,8 +233,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
                 signs, prefixes, lengths = [], [], []
                 for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     size = j - i
-                    # n-grams beyond those that a partner must have, and `shared`: a partner has so many of them, in its prefix too
-                    long = size + percent * size // -100 + shared if size else 0
+                    # n-grams beyond those that a partner must have, and some more: a partner has as many of them, in its prefix too
+                    long = size + percent * size // -100 + shared + size // spread if size else 0
                     first = np.argpartition(order[i:j], long - 1)[:long] if 0 < long < size else np.arange(size)
                     prefixes.append(grams[i:j][first])
                     lengths.append(len(first))
@@ -248,7 +248,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
     sets = materialize(docs.mapInArrow(keys, "doc_id long, size long, sign_a long, sign_b long, prefix array<long>"), "ngram-sets")
     full = sets.filter("size > 0")
     classes = materialize(full.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("first")), "ngram-classes")
-    links = materialize(_links(docs, full, classes, levels, n, percent, filter_bits, block, largest_block, shared), "ngram-links")
+    links = materialize(_links(docs, full, classes, levels, n, percent, filter_bits, block, largest_block, shared, spread), "ngram-links")
     roots = components(links)
     # documents of an empty set stand for themselves, others for their class
     named = full.select("doc_id", "size", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).select("doc_id", "size", "first")
@@ -256,7 +256,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
     return every.join(roots, every["first"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
-def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int, shared: int) -> DataFrame:
+def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int, shared: int, spread: int) -> DataFrame:
     """Links (u, v) between the first documents of classes: a spanning forest of all links of each piece of work."""
     spark = docs.sparkSession
     prefixes = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
@@ -293,7 +293,8 @@ def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int,
             if b is not None:
                 use[-1] = False
                 held, pivot, several = (g[-1], n[-1], d[-1]), pivots[-1], bool(before[-1])
-            rows = np.stack([d, pivots, np.minimum(shared, -(-percent * n // 100))], axis=1)[use]
+            least = -(-percent * n // 100)  # a partner's least size, and the least overlap with it
+            rows = np.stack([d, pivots, np.minimum(least, shared + least // spread)], axis=1)[use]
             rows, times = np.unique(rows, axis=0, return_counts=True)
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(times)], names=["doc_id", "pivot", "need", "times"])

@@ -2,7 +2,8 @@
 
 Documents are cut into pieces of at most ``limit`` ids. Only the histogram of piece lengths (at most ``limit`` bins)
 goes to the driver. There, lengths are placed longest first: a length goes to the packing pattern that is fullest
-least (the shortest pack) if it fits, else it opens new packs, and only the patterns' counts change. Pieces
+least (the shortest pack) if it fits, else it opens new packs that it fills with its own copies, and only the patterns' counts
+change. Pieces
 then find their place by their rank among the pieces of the same length, which is a join with a table of patterns
 whose size follows ``limit``, not the input.
 
@@ -52,8 +53,12 @@ def pack_histogram(histogram: dict[int, int], limit: int) -> list[tuple[list[int
                     packs = left
                 put([*lengths, length], total + length, packs)
                 left -= packs
-            else:  # nothing shorter fits the shortest pack: new packs, each as full of this length as those at hand allow
-                put([length], length, left)
+            else:  # it doesn't fit the shortest pack: new packs, each as full of this length as those at hand allow
+                per = limit // length
+                if left >= per:
+                    put([length] * per, length * per, left // per)
+                if left % per:
+                    put([length] * (left % per), length * (left % per), 1)
                 left = 0
     return done + [(lengths, packs) for _, _, lengths, packs in sorted(heap)]
 

@@ -147,6 +147,23 @@ def test_histogram_packing_steps_follow_lengths():
     assert back == h and len(patterns) < 20_000
 
 
+@pytest.mark.parametrize("h", [{50: 1_000_000}, {50: 1_000_000, 51: 3, 700: 1000, 4096: 10}, {1: 5000}, {3000: 10, 40: 999_999, 39: 1}])
+def test_a_dominant_short_length_fills_its_packs(h):
+    patterns, back = packing.pack_histogram(h, 4096), {}
+    for lengths, packs in patterns:
+        assert sum(lengths) <= 4096
+        for x in lengths:
+            back[x] = back.get(x, 0) + packs
+    assert back == h
+    assert sum(packs for _, packs in patterns) <= 1.02 * sum(k * n for k, n in h.items()) / 4096 + 4
+
+
+def test_copies_of_a_short_text_share_packs(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "IF(id % 3 = 0, concat('text number ', id), 'the same short text') AS text")
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), 2, 256).collect()
+    assert len(rows) == 900 and check_packs(rows, 256) <= 1.05 * sum(r["length"] for r in rows) / 256 + 2
+
+
 def test_quality_rules(spark, odd_docs, no_docs):
     got = {}
     for r in quality_rules.quality_rules(odd_docs).collect():

@@ -3,8 +3,9 @@
 The vocabulary comes from word counts over all documents; words beyond it fall into hash buckets. The network adds up
 embeddings of the ``window`` tokens on each side, by place, and a tanh; the output is a binary tree over token ids, so a
 token's probability is a product of ``depth`` logistic terms and sums to one over the vocabulary. It is
-trained in numpy on all documents: each task makes one pass over its documents, targets being every ``train_every``-th
-token, and the tasks' weights are averaged by their numbers of targets; a second round goes on from that average.
+trained in numpy on all tokens of all documents: each task makes a pass over its documents, targets being every
+``train_every``-th token, and the tasks' weights are averaged by their numbers of targets; the next round goes on from that
+average with the tokens beside them, so that the rounds together meet every token.
 A document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
 
 Edge cases: null and empty texts have no tokens and a sum of 0; places beyond a text's ends are a token of their own; repeated
@@ -96,52 +97,67 @@ def contexts(offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, shape: Shape)
     return np.stack(out)
 
 
+def tree(shape: Shape, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tree nodes (depth, n) on the way to each target, and the turn taken at each."""
+    level = np.arange(shape.depth)[:, None]
+    return (1 << level) + (target >> (shape.depth - level)), ((target >> (shape.depth - level - 1)) & 1).astype(np.float32)
+
+
 def log_probabilities(w: np.ndarray, shape: Shape, near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(target | neighbours) of each token."""
     places, bias, nodes = shape.parts(w)
-    h = np.tanh(sum(places[k][near[k]] for k in range(len(near))) + bias)
-    out = np.zeros(len(target), np.float32)
-    for level in range(shape.depth):
-        node = (1 << level) + (target >> (shape.depth - level))
-        sign = ((target >> (shape.depth - level - 1)) & 1) * np.float32(2) - np.float32(1)
-        z = np.einsum("nd,nd->n", h, nodes[node]) * sign
-        out -= np.logaddexp(np.float32(0), -z)
+    out, some = np.zeros(len(target), np.float32), 1 << 10
+    for a in range(0, len(target), some):
+        x, t = near[:, a : a + some], target[a : a + some]
+        h = bias + places[0].take(x[0], axis=0)
+        for k in range(1, len(x)):
+            h += places[k].take(x[k], axis=0)
+        node, bit = tree(shape, t)
+        z = np.einsum("nd,lnd->ln", np.tanh(h), nodes.take(node, axis=0)) * (1 - 2 * bit)
+        out[a : a + some] = -np.log(1 + np.exp(np.minimum(z, 80))).sum(axis=0)
     return out
 
 
 def train_steps(w: np.ndarray, shape: Shape, near: np.ndarray, target: np.ndarray, rate: float, batch: int) -> None:
-    """Gradient steps in place, over ``target`` in batches; a step on a row is the mean over its occurrences in the batch."""
+    """Gradient steps in place, over ``target`` in batches; a step on a row is the mean over its occurrences in the batch.
+
+    A batch is sorted by target, which puts the nodes of all levels in order too, so one sort serves the whole tree.
+    """
     places, bias, nodes = shape.parts(w)
+    flat = places.reshape(-1, shape.width)
+    shift = np.arange(len(near))[:, None] * (shape.ids + 1)
+    small = np.uint16 if len(flat) <= 1 << 16 else np.int64  # short integers have a radix sort
 
-    def step(rows: np.ndarray, index: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(index, kind="stable")
-        keys = index[order]
+    def step(rows: np.ndarray, keys: np.ndarray, gradient: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(first, len(keys)))[:, None]
-        rows[keys[first]] += rate * np.add.reduceat(gradient[order], first, axis=0) / np.sqrt(n)
+        rows[keys[first]] += rate * np.add.reduceat(gradient, first, axis=0) / np.sqrt(n)
 
     for a in range(0, len(target), batch):
-        x, t = near[:, a : a + batch], target[a : a + batch]
-        h = np.tanh(sum(places[k][x[k]] for k in range(len(x))) + bias)
-        back = np.zeros_like(h)
-        moves = []
-        for level in range(shape.depth):
-            node = (1 << level) + (t >> (shape.depth - level))
-            bit = ((t >> (shape.depth - level - 1)) & 1).astype(np.float32)
-            v = nodes[node]
-            g = bit - 1 / (1 + np.exp(-np.clip(np.einsum("nd,nd->n", h, v), -30, 30)))
-            back += g[:, None] * v
-            moves.append((node, g[:, None] * h))
-        for node, move in moves:
-            step(nodes, node, move)
+        order = np.argsort(target[a : a + batch].astype(small), kind="stable")
+        x, t = near[:, a : a + batch][:, order] + shift, target[a : a + batch][order]
+        h = np.tanh(flat.take(x, axis=0).sum(axis=0) + bias)
+        node, bit = tree(shape, t)
+        v = nodes.take(node, axis=0)
+        g = bit - 1 / (1 + np.exp(-np.clip(np.einsum("nd,lnd->ln", h, v), -30, 30)))
+        back = np.einsum("ln,lnd->nd", g, v)
+        step(nodes, node.ravel(), (g[:, :, None] * h).reshape(-1, shape.width))
         back *= 1 - h * h
-        for k in range(len(x)):
-            step(places[k], x[k], back)
+        keys = x.ravel()
+        order = np.argsort(keys.astype(small), kind="stable")
+        step(flat, keys[order], back.take(order % len(t), axis=0))
         bias += rate * back.mean(axis=0)
 
 
-def train(docs: DataFrame, words: list[str], shape: Shape, rounds: int = 2, train_every: int = 4, rate: float = 0.1, batch: int = 2048) -> np.ndarray:
-    """Weights after rounds of training on all documents and averaging."""
+def targets(n: int, k: int, train_every: int) -> np.ndarray:
+    """Places that round ``k`` trains on; ``train_every`` rounds meet each of the ``n`` places once."""
+    return np.flatnonzero((np.arange(n) + k) % train_every == 0)
+
+
+def train(docs: DataFrame, words: list[str], shape: Shape, rounds: int = 2, train_every: int = 2, rate: float = 0.1, batch: int = 2048) -> np.ndarray:
+    """Weights after rounds of training on all documents and averaging; each token is a target in at least one round."""
+    if train_every > rounds:
+        raise ValueError(f"{rounds} rounds of every {train_every}th token leave tokens out")
     spark, w = docs.sparkSession, shape.start()
     texts = docs.select(F.col("text").cast("string"))
     piece = 1 << 14  # weights are averaged in pieces, so that no task holds the weights of all others
@@ -153,8 +169,7 @@ def train(docs: DataFrame, words: list[str], shape: Shape, rounds: int = 2, trai
             for b in batches:
                 for s in slices(b):
                     offsets, ids = tokens.of(texts_of(s))
-                    # from another place in each text, so that all places of texts are met
-                    at = np.flatnonzero((np.arange(len(ids)) + k) % train_every == 0)
+                    at = targets(len(ids), k, train_every)
                     if len(at):
                         train_steps(own, shape, contexts(offsets, ids, at, shape), ids[at], rate, batch)
                         n += len(at)

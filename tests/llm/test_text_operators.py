@@ -300,6 +300,17 @@ def test_lm_sums_and_training(spark, odd_docs, no_docs):
     assert lm.pseudo_likelihood(odd_docs, shape).count() == odd_docs.count() and lm.pseudo_likelihood(no_docs, shape).count() == 0
 
 
+def test_lm_trains_on_every_token(spark):
+    """The last node on the way to a word moves only when one of its two words is a target."""
+    shape = lm.Shape(depth=7, width=4, window=2)
+    words = [f"w{k:02}" for k in range(shape.words)]
+    docs = spark.createDataFrame([(1, " ".join(words[-1:] + words[:-1]))], "doc_id long, text string").coalesce(1)
+    moved = np.abs(shape.parts(lm.train(docs, words, shape))[2]).sum(axis=1) > 0
+    assert moved[shape.ids // 2 : shape.ids // 2 + shape.words // 2].all()
+    with pytest.raises(ValueError, match="leave tokens out"):
+        lm.train(docs, words, shape, rounds=2, train_every=4)
+
+
 def test_pipeline(spark, odd_docs):
     import corpus_pipeline
 

@@ -1,8 +1,10 @@
 """LM scoring by masked pseudo-likelihood: a window network predicts every token from both sides.
 
-The vocabulary comes from word counts over all documents; words beyond it fall into hash buckets. The network adds up
+The vocabulary comes from word counts over all documents; words beyond it fall into hash buckets, where a word's probability
+is its bucket's times its share of the bucket's occurrences in all documents (smoothed, with a rest for words that occur
+nowhere). The network adds up
 embeddings of the ``window`` tokens on each side, by place, and a tanh; the output is a binary tree over token ids, so a
-token's probability is a product of ``depth`` logistic terms and sums to one over the vocabulary. It is
+token's probability is a product of ``depth`` logistic terms and sums to one over vocabulary and buckets. It is
 trained in numpy on all tokens of all documents: each task makes a pass over its documents, targets being every
 ``train_every``-th token, and the tasks' weights are averaged by their numbers of targets; the next round goes on from that
 average with the tokens beside them, so that the rounds together meet every token.
@@ -19,10 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import slices, split_words, texts_of, word_hashes
+from ptclake.llm.common import materialize, slices, split_words, texts_of, word_hashes
+
+
+#: What is added to each word's count within its bucket; a word that occurs nowhere has this alone.
+SEEN = 0.5
+
+#: Words whose counts are sent to the tasks; the counts of all others stay on Spark and are joined.
+FREQUENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -58,8 +68,8 @@ class Shape:
         return w[:n].reshape(2 * self.window, self.ids + 1, self.width), w[n : n + self.width], w[n + self.width :].reshape(self.ids, self.width)
 
 
-def vocabulary(docs: DataFrame, shape: Shape) -> list[str]:
-    """The most frequent lower-cased words over all documents, ties by the word; at most ``shape.words``."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each lower-cased word occurs in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,8 +78,36 @@ def vocabulary(docs: DataFrame, shape: Shape) -> list[str]:
                 n = np.bincount(codes, minlength=len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], names=["word", "n"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(shape.words).collect()]
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
+    """The most frequent words with their counts, ties by the word; at most ``size``."""
+    return [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def vocabulary(docs: DataFrame, shape: Shape) -> list[str]:
+    """The most frequent lower-cased words over all documents, ties by the word; at most ``shape.words``."""
+    return [w for w, _ in most_frequent(word_counts(docs), shape.words)]
+
+
+def bucket_totals(counts: DataFrame, words: list[str], shape: Shape) -> np.ndarray:
+    """Per hash bucket, ``SEEN`` times its distinct words and one, and all its occurrences: what counts are divided by.
+
+    The one stands for the words that occur nowhere; so the shares of a bucket's words and of these sum to one.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sums = TokenIds(words, shape), np.zeros(shape.ids)
+        for b in batches:
+            np.add.at(sums, tokens.of_words(b.column(0)), b.column(1).to_numpy() + SEEN)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.words, shape.ids)), pa.array(sums[shape.words :])], names=["id", "n"])
+
+    totals = np.full(shape.ids - shape.words, SEEN)
+    for i, n in counts.mapInArrow(deal, "id long, n double").groupBy("id").agg(F.sum("n")).collect():  # a row per bucket
+        totals[i - shape.words] += n
+    return totals
 
 
 class TokenIds:
@@ -80,10 +118,13 @@ class TokenIds:
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, codes, words = split_words(texts, lower=True)
+        return offsets, self.of_words(words)[codes]
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
         buckets = (word_hashes(words) % np.uint64(self.shape.ids - self.shape.words)).astype(np.int64) + self.shape.words
         listed = words.to_numpy(zero_copy_only=False)
         table = np.fromiter((self.known.get(w, -1) for w in listed), np.int64, len(listed))
-        return offsets, np.where(table < 0, buckets, table)[codes]
+        return np.where(table < 0, buckets, table)
 
 
 def contexts(offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
@@ -196,28 +237,49 @@ def train(docs: DataFrame, words: list[str], shape: Shape, rounds: int = 2, trai
     return w
 
 
-def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape) -> DataFrame:
-    """Per row: doc_id, n_tokens, log_likelihood (the sum over its tokens) and mean_log_likelihood (null without tokens)."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, w))
+def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape, counts: DataFrame | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, log_likelihood (the sum over its tokens) and mean_log_likelihood (null without tokens).
+
+    A word outside of the vocabulary has the probability of its bucket times its share in it, (n + SEEN) / the bucket's
+    total, with n from ``counts`` (by default of ``docs``; 0 for words not in it). The frequent words' counts are sent to
+    the tasks; all others are joined.
+    """
+    counts = materialize(word_counts(docs), "lm-words") if counts is None else counts
+    totals, frequent = bucket_totals(counts, words, shape), dict(most_frequent(counts, FREQUENT))
+    sent = docs.sparkSession.sparkContext.broadcast((words, w, totals, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(sent.value[0], shape)
+        words, w, totals, frequent = sent.value
+        tokens, row = TokenIds(words, shape), TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in slices(batch):
-                offsets, ids = tokens.of(texts_of(b))
+                offsets, codes, distinct = split_words(texts_of(b), lower=True)
+                table = tokens.of_words(distinct)
+                ids = table[codes]
+                n_of = np.fromiter((frequent.get(x, 0) for x in distinct.to_numpy(zero_copy_only=False)), np.float64, len(distinct))
+                bucket = np.maximum(table - shape.words, 0)
+                share = np.where(table < shape.words, 0.0, np.log((n_of + SEEN) / totals[bucket]))
+                rare = (table >= shape.words) & (n_of == 0)  # the join adds log((n + SEEN) / SEEN)
                 each = np.zeros(len(ids) + 1)
                 for a in range(0, len(ids), 1 << 15):
                     at = np.arange(a, min(len(ids), a + (1 << 15)))
-                    each[at] = log_probabilities(sent.value[1], shape, contexts(offsets, ids, at, shape), ids[at])
+                    each[at] = log_probabilities(w, shape, contexts(offsets, ids, at, shape), ids[at]) + share[codes[at]]
                 n = np.diff(offsets)
                 sums = np.where(n > 0, np.add.reduceat(each, offsets[:-1]), 0.0)
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                asked = np.concatenate([[0], np.cumsum(rare[codes])])[offsets]
+                lists = pa.LargeListArray.from_arrays(pa.array(asked), distinct.take(pa.array(codes[rare[codes]]))).cast(pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), b.column(0), pa.array(n), pa.array(sums), lists], names=["row", "doc_id", "n_tokens", "sum", "rare"])
+                row += len(n)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n_tokens long, sum double, rare array<string>")
+    local = materialize(dealt, "lm-sums")
+    asked = local.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log((F.col("n") + SEEN) / SEEN)).alias("more"))
+    total = F.col("sum") + F.coalesce("more", F.lit(0.0))
+    return local.join(asked, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), **options) -> DataFrame:  # noqa: B008
     """Counts, trains and scores over all of ``docs(doc_id, text)``."""
-    words = vocabulary(docs, shape)
-    return score(docs, words, train(docs, words, shape, **options), shape)
+    counts = materialize(word_counts(docs), "lm-words")
+    words = [w for w, _ in most_frequent(counts, shape.words)]
+    return score(docs, words, train(docs, words, shape, **options), shape, counts)

@@ -311,6 +311,31 @@ def test_lm_trains_on_every_token(spark):
         lm.train(docs, words, shape, rounds=2, train_every=4)
 
 
+@pytest.mark.parametrize("frequent", [1 << 16, 0])
+def test_lm_scores_words_not_buckets(spark, monkeypatch, frequent):
+    """Words of one bucket are told apart by their counts in all documents; with those that occur nowhere they sum to one."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    shape = lm.Shape(depth=3, width=2, window=1)  # 6 words, 2 buckets
+    docs = spark.createDataFrame([(1, "a a a b b b c c c d d d e e e f f f " + "g g " * 40 + "h h h1 h2 h3 h4 h5 h6")], "doc_id long, text string")
+    counts, words = lm.word_counts(docs), list("abcdef")
+    n = {r["word"]: r["n"] for r in counts.collect() if r["word"] not in words}
+    probes = [*n, *words, "nowhere", "nowhere2", "nowhere3"]
+    rows = lm.score(spark.createDataFrame(list(enumerate(probes)) + [(None, "nowhere h h"), (None, "nowhere h h"), (99, None)], "doc_id long, text string"), words, shape.start(), shape, counts).collect()
+    assert len(rows) == len(probes) + 3
+    got = {probes[r["doc_id"]]: r["log_likelihood"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 99}
+    bucket = dict(zip(probes, lm.TokenIds(words, shape).of_words(pa.array(probes)).tolist(), strict=True))
+    p = 1 / shape.ids  # of any id, before training
+    for x in words:
+        assert got[x] == pytest.approx(np.log(p), abs=1e-5)
+    for i in (6, 7):
+        inside = {x: k for x, k in n.items() if bucket[x] == i}
+        total = sum(inside.values()) + 0.5 * (len(inside) + 1)
+        for x in [y for y in probes if bucket[y] == i]:
+            assert got[x] == pytest.approx(np.log(p * (n.get(x, 0) + 0.5) / total), abs=1e-5)
+    twice = [r["log_likelihood"] for r in rows if r["doc_id"] is None]
+    assert twice == pytest.approx([got["nowhere"] + 2 * got["h"]] * 2, abs=1e-5)
+
+
 def test_pipeline(spark, odd_docs):
     import corpus_pipeline
 

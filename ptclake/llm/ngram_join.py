@@ -300,9 +300,9 @@ def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int,
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(times)], names=["doc_id", "pivot", "need", "times"])
 
     met = grams.repartition("gram").sortWithinPartitions("gram", "size", "doc_id").mapInArrow(meet, "doc_id long, pivot long, need long, times long")
-    met = materialize(met.groupBy("doc_id", "pivot").agg(F.max("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
-    # a document with a link has at least `need` prefix n-grams in common with others
-    enough = met.groupBy("doc_id").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")
+    met = materialize(met.groupBy("doc_id", "pivot").agg(F.min("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
+    # a document with a link has at least `need` prefix n-grams in common with others; of texts that share an id, the one that needs least counts
+    enough = met.groupBy("doc_id").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")
     met = met.join(enough, "doc_id", "left_semi").select("doc_id", "pivot")
     met = materialize(met.join(met.groupBy("pivot").count().filter("count > 1").select("pivot"), "pivot", "left_semi"), "ngram-members")
     large = met.groupBy("pivot").count().filter(F.col("count") >= block).select("pivot", F.least(F.lit(24), F.ceil(F.col("count") / block)).cast("int").alias("few"), F.ceil(F.col("count") / largest_block).cast("int").alias("many"))

@@ -66,6 +66,9 @@ def search(tree: BallTree, ids: np.ndarray, members: np.ndarray, exact: np.ndarr
     top_i = np.full((len(q), k), np.iinfo(np.int64).max)
     low = bound.astype(np.int64).copy()
     small = float(np.abs(q).max(initial=0)) * float(np.abs(tree.points).max(initial=0)) * q.shape[1] < 2.0**53
+    # how often a point's most repeated id occurs among its ids: a query's own id takes up at most so many places
+    heads = np.union1d(np.flatnonzero(np.diff(ids)) + 1, members[:-1]).astype(np.int64)
+    most = np.maximum.reduceat(np.diff(np.append(heads, len(ids))), np.searchsorted(heads, members[:-1]))
     work = [(0, np.arange(len(q)), np.full(len(q), np.inf))]
     while work:
         node, who, upper = work.pop()
@@ -77,8 +80,8 @@ def search(tree: BallTree, ids: np.ndarray, members: np.ndarray, exact: np.ndarr
             rows = tree.order[a:b]
             scores = np.rint(q[who] @ tree.points[rows].T).astype(np.int64) if small else queries[who] @ exact[rows].T
             per = members[rows + 1] - members[rows]
-            # of points with more ids than can count, the first k and one more (the query's own) do
-            use = np.minimum(per, k + 1)
+            # of points with more ids than can count, the first k beside the query's own do
+            use = np.minimum(per, k + most[rows])
             at = np.repeat(np.arange(len(rows)), use)
             each = ids[np.repeat(members[rows], use) + np.arange(len(at)) - np.repeat(np.cumsum(use) - use, use)]
             s = scores[:, at]

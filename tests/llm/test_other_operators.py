@@ -87,3 +87,11 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
     large = spark.createDataFrame([(i, [1e6 * (i + 1), -1e6]) for i in range(4)], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(large).collect()} == brute([(i, [1e6 * (i + 1), -1e6]) for i in range(4)], 50, 5)
+
+
+def test_topk_of_a_repeated_query_among_equal_vectors(spark):
+    from ptclake.llm.topk import top_k
+
+    rows = [(0, [1.0, 0.0])] * 4 + [(k, [1.0, 0.0]) for k in range(1, 8)] + [(k, [0.5, 0.0]) for k in range(10, 30)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k, k) for k in range(1, 6)]

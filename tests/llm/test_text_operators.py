@@ -247,6 +247,15 @@ def test_ngram_join_on_a_group_of_near_copies(spark, duck):
     assert got == brute_components(ids, texts)
 
 
+def test_ngram_join_of_a_short_and_a_long_text_with_one_id(spark):
+    """The long text has a few n-grams in common with a text of its size, fewer than it needs; the short one's link stays."""
+    rng = random.Random(3)
+    short, head, one, two = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(k)) for k in (8, 30, 1970, 1970))
+    rows = [(1, short), (1, f"{head} {one}"), (2, f"{short} more"), (3, f"{head} {two}"), (10, f"{one} {two}"), (11, f"{one} {two} end")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2, 5] == 1 and got[3, 1996] == 3 and got[11, 3937] == 10
+
+
 def test_trie_links_equal_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)

@@ -1,9 +1,12 @@
 """SentencePiece encoding by a streaming Viterbi search over the model's piece scores, and decoding.
 
 The search keeps scores for the last positions within the longest piece's length. Whenever the best paths to all
-of these positions run through one boundary, the ids up to it are committed and their text is let go, so memory doesn't follow
-the text. No piece of the model holds a space behind another character, so every space that follows a non-space is
-such a boundary; distinct words are therefore searched once per worker and their ids reused.
+positions that a later piece may follow run through one boundary, the ids up to it are committed and their text is let go, so
+memory doesn't follow the text. No piece of the model holds a space behind another character, so all surviving paths meet at
+every space that follows a non-space: that commit needs no tracing, and what is committed there depends only on the segment before
+it. Distinct segments of a slice of texts are therefore searched once, many side by side (``lockstep``): all advance by one
+position at a time, in numpy, over the pieces as a double-array trie, and commit by the same rule. Segments too long
+for its window are streamed one by one (``StreamingViterbi``). Both give the best path, by the same order of additions.
 
 Ids are the best path under the scores in the model file. The given file is of the BPE type, for which the library merges
 instead of searching, so its ids differ from these, while both decode to the text; the tests hold the ids against
@@ -15,19 +18,73 @@ a text is a space, as in the library; repeated rows are encoded each; an empty t
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ptclake.llm.common import crc_of_runs, ragged, slices, texts_of
-from ptclake.llm.tokens import PieceCache
 
-_CUT = re.compile(r"(?<=[^ ])(?= )")
+#: Segments of more characters than so many times the longest piece are streamed one by one.
+WINDOW = 4
+#: Segments that advance side by side.
+LANES = 1 << 13
+
+
+class Trie:
+    """Pieces as a double array: the child of node s by character code c is ``base[s] + c`` where ``check`` of that is s."""
+
+    def __init__(self, pieces: list[str]):
+        often: dict[str, int] = {}
+        for p in pieces:
+            for c in p:
+                often[c] = often.get(c, 0) + 1
+        #: codes of characters, the most frequent ones first; 0 for all others
+        self.codes = np.zeros(0x110000, np.int32)
+        for k, c in enumerate(sorted(often, key=lambda c: (-often[c], c))):
+            self.codes[ord(c)] = k + 1
+        children: dict[str, set[str]] = {"": set()}
+        for p in pieces:
+            for k in range(len(p)):
+                children.setdefault(p[:k], set()).add(p[k])
+        size = 2 * sum(map(len, children.values())) + 2 * len(often) + 2
+        free, base, check = np.ones(4 * size, bool), np.zeros(4 * size, np.int64), np.full(4 * size, -1, np.int64)
+        free[0] = False  # the root
+        codes = {p: np.sort(self.codes[[ord(c) for c in cs]]).astype(np.int64) for p, cs in children.items()}
+        placed, single, low = {}, [], 1
+        for p in sorted(children, key=lambda p: (-len(children[p]), p)):
+            own = codes[p]
+            if len(own) == 1:
+                single.append(p)
+                continue
+            while not free[low]:
+                low += 1
+            start = max(low, int(own[0]))
+            while p not in placed:
+                slots = np.flatnonzero(free[start : start + 1024]) + start - own[0]
+                fits = free[slots[:, None] + own].all(axis=1)
+                if fits.any():
+                    placed[p] = int(slots[int(fits.argmax())])
+                start += 1024
+            low = max(low, start - 4096)  # what lies further behind is nearly full
+            free[placed[p] + own] = False
+        # nodes with one child take any free slot
+        slots = np.flatnonzero(free)
+        for p, slot in zip(single, slots[slots > len(often)].tolist(), strict=False):
+            placed[p] = slot - int(codes[p][0])
+            free[slot] = False
+        self.place = {"": 0}  # nodes are named by their place, which the parent's base gives: parents come before children
+        for p in sorted(children, key=len):
+            at, s = placed[p], self.place[p]
+            base[s] = at
+            check[at + codes[p]] = s
+            for c in children[p]:
+                self.place[p + c] = at + int(self.codes[ord(c)])
+        end = int(np.flatnonzero(~free)[-1]) + len(often) + 2
+        self.base, self.check = base[:end], check[:end]
 
 
 class Vocabulary:
@@ -56,6 +113,13 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, parts), np.int64, n)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.trie = Trie(list(scores))
+        #: by node of the trie: the score of the piece that ends there (minus infinity for none), its id and length
+        self.node_score = np.full(len(self.trie.base), -np.inf)
+        self.node_id, self.node_length = np.zeros(len(self.trie.base), np.int64), np.ones(len(self.trie.base), np.int64)
+        for p, i in self.ids.items():
+            s = self.trie.place[p]
+            self.node_score[s], self.node_id[s], self.node_length[s] = scores[p], i, len(p)
 
     def of(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
@@ -70,30 +134,31 @@ class StreamingViterbi:
         self.text, self.at = "", 0  # text from the last committed boundary; positions before `at` have been extended
         self.best: list[float | None] = [0.0]
         self.back: list[int] = [0]
-        self.widest = 0  # the longest uncommitted text so far
+        self.widest = self.commits = 0  # the longest uncommitted text, and the commits, so far
 
     def feed(self, text: str, last: bool = False) -> list[int]:
-        self.text += text
-        grow = len(self.text) + 1 - len(self.best)
-        self.best += [None] * grow
-        self.back += [0] * grow
         out: list[int] = []
-        end = len(self.text) if last else len(self.text) - self.v.longest
-        while self.at < end:
-            self._extend(self.at)
-            self.at += 1
-            if self.at >= 4 * self.v.longest:
-                done = self._commit()
-                out += done
-                end = (len(self.text) if last else len(self.text) - self.v.longest) if done else end
-                if not done and self.at % self.v.longest:
-                    continue
-        self.widest = max(self.widest, len(self.text))
+        step = 2 * self.v.longest  # text is taken in bounded parts, so that each commit moves a bounded rest
+        for k in range(0, len(text), step):
+            self.text += text[k : k + step]
+            grow = len(self.text) + 1 - len(self.best)
+            self.best += [None] * grow
+            self.back += [0] * grow
+            out += self._advance(len(self.text) - self.v.longest)
         if last:
+            out += self._advance(len(self.text))
             out += self._ids(len(self.text))
             self.text, self.at, self.best, self.back = "", 0, [0.0], [0]
         return out
 
+    def _advance(self, end: int) -> list[int]:
+        """Extends the positions before ``end``, then commits if there is enough text behind the last boundary."""
+        while self.at < end:
+            self._extend(self.at)
+            self.at += 1
+        self.widest = max(self.widest, len(self.text))
+        return self._commit() if self.at >= self.v.longest else []
+
     def _extend(self, i: int) -> None:
         text, best, back, table = self.text, self.best, self.back, self.v.table
         s, single = best[i], False
@@ -131,34 +196,165 @@ class StreamingViterbi:
         self.text, self.at = self.text[meet:], self.at - meet
         self.best = [None if x is None else x - base for x in self.best[meet:]]
         self.back = [max(0, x - meet) for x in self.back[meet:]]
+        self.commits += 1
         return ids
 
 
-class PieceEncoder(PieceCache):
-    """Encodes texts with a SentencePiece model file; ``limit`` bounds the words remembered in a worker."""
-
-    odd, lead = r"^ |  | $|▁", " "
+def lockstep(v: Vocabulary, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of pieces by segment: the node of the piece that ends behind each character (0 where none does, -1 for an unknown character).
+
+    Segments are ranges of the code points ``text``, the longest first. Scores are kept for the positions within the longest piece's reach,
+    nodes until they are committed. Returns nodes (position, segment), and the commits before its end per segment.
+    """
+    n, width, reach = len(starts), int(lengths[0]), v.longest
+    active = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")  # segments with more than t characters
+    codes = np.zeros((width, n), np.int32)
+    for t in range(width):
+        codes[t, : active[t]] = v.trie.codes[text[starts[: active[t]] + t]]
+    best = np.full((reach + 1, n), -np.inf)  # position p is in row p % (reach + 1)
+    best[0] = 0.0
+    node = np.zeros((width + 1, n), np.int32)  # the best last piece up to each position
+    out = np.zeros((width + 1, n), np.int32)
+    done, commits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    base, check, score = v.trie.base, v.trie.check, v.node_score
+
+    def write(rows: np.ndarray, ends: np.ndarray) -> None:
+        """Follows the paths from ``ends`` back to what is committed and writes their pieces."""
+        at = ends
+        while len(rows):
+            last = node[at, rows]
+            out[at, rows] = last
+            at = at - v.node_length[last]
+            on = at > done[rows]
+            rows, at = rows[on], at[on]
+
+    for t in range(width):
+        here = best[t % (reach + 1)]
+        rows, s, single = np.arange(active[t]), np.zeros(active[t], np.int32), np.zeros(active[t], bool)
+        for k in range(1, reach + 1):
+            if t + k > width:
+                break
+            inside = active[t + k - 1]
+            if len(rows) and rows[-1] >= inside:
+                some = np.searchsorted(rows, inside)
+                rows, s = rows[:some], s[:some]
+            child = base[s] + codes[t + k - 1, rows]
+            on = (check[child] == s) & (child > 0)
+            rows, s = rows[on], child[on]
+            if not len(rows):
+                break
+            ahead, given = best[(t + k) % (reach + 1)], score[s]
+            if k == 1:
+                single[rows] = given > -np.inf
+            total = here[rows] + given
+            better = total > ahead[rows]
+            w = rows[better]
+            ahead[w], node[t + k, w] = total[better], s[better]
+        odd = np.flatnonzero(~single)
+        if len(odd):
+            ahead, total = best[(t + 1) % (reach + 1)], here[odd] + v.unknown_score
+            better = total > ahead[odd]
+            w = odd[better]
+            ahead[w], node[t + 1, w] = total[better], -1
+        here[:] = -np.inf
+        if (t + 1) % reach == 0 and (rest := active[t + 1] if t + 1 < width else 0):
+            # segments that go on: commit where the paths to all positions with a path meet
+            ahead = np.arange(t + 1, min(width, t + reach) + 1)
+            live = np.where(best[ahead % (reach + 1), :rest] > -np.inf, ahead[:, None], t + 1)
+            while True:
+                top = live.max(axis=0)
+                apart = np.flatnonzero((live != top).any(axis=0))
+                if not len(apart):
+                    break
+                before = top[apart] - v.node_length[node[top[apart], apart]]
+                live[:, apart] = np.where(live[:, apart] == top[apart], before, live[:, apart])
+            meet = np.flatnonzero(top > done[:rest])
+            write(meet, top[meet])
+            done[meet] = top[meet]
+            commits[meet] += 1
+    rest = np.flatnonzero(lengths > done)
+    write(rest, lengths[rest])
+    return out, commits
 
-    def __init__(self, path: str, limit: int = 1 << 18):
-        self.vocabulary, self.limit, self.known = Vocabulary(path), limit, {}
 
-    def piece(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            parts = _CUT.split(text.replace("▁", " "))
-            if len(parts) > 1:
-                return b"".join(map(self.piece, parts))
-            found = array("I", StreamingViterbi(self.vocabulary).feed(parts[0], last=True)).tobytes()
-            if len(self.known) < self.limit and len(text) < 100:
-                self.known[text] = found
-        return found
+class PieceEncoder:
+    """Encodes texts with a SentencePiece model file; ``commits`` counts those made by tracing paths to where they meet."""
 
-    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The UTF-8 text of each run of ids, without the space that encoding puts first."""
+    def __init__(self, path: str):
+        self.vocabulary, self.commits = Vocabulary(path), 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets per text and the ids of all texts. No nulls in ``texts``."""
+        given = texts.to_pylist()
+        # the library puts a space before a text; runs of spaces stay
+        joined = "".join([" " + t for t in given if t]).replace("▁", " ")
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter((len(t) + 1 if t else 0 for t in given), np.int64, len(given))
+        ends = np.cumsum(sizes)
+        begins = np.zeros(len(points) + 1, bool)
+        if len(points):
+            space = points == 32
+            begins[1:-1] = space[1:] & ~space[:-1]
+            begins[np.unique(ends - sizes)] = True
+        begins[-1] = False
+        cuts = np.flatnonzero(begins)  # first characters of segments
+        utf8 = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        at = np.concatenate([[0], np.cumsum(utf8)])
+        coded = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(at[cuts], at[-1])), pa.py_buffer(joined.encode())).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary
+        each, flat = self._segments(words)
+        first = np.cumsum(each) - each
+        ids = flat[ragged(first[codes], each[codes])]
+        upto = np.concatenate([[0], np.cumsum(each[codes])])
+        return upto[np.searchsorted(cuts, np.concatenate([[0], ends]))], ids
+
+    def _segments(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids per distinct segment, and all their ids."""
+        v = self.vocabulary
+        data = "".join(words.to_pylist())
+        points = np.frombuffer(data.encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        counts, parts = np.zeros(len(words), np.int64), []
+        long = int(np.searchsorted(-sizes[order], -WINDOW * v.longest, side="left"))
+        for i in order[:long].tolist():
+            stream = StreamingViterbi(v)
+            found = np.array(stream.feed(data[starts[i] : starts[i] + sizes[i]], last=True), np.int64)
+            counts[i] = len(found)
+            self.commits += stream.commits
+            parts.append(found)
+        for a in range(long, len(order), LANES):
+            own = order[a : a + LANES]
+            nodes, commits = lockstep(v, points, starts[own], sizes[own])
+            self.commits += int(commits.sum())
+            row, pos = np.nonzero(nodes.T)
+            node = nodes.T[row, pos]
+            ids, per = v.node_id[node], np.ones(len(node), np.int64)
+            if (odd := np.flatnonzero(node < 0)).size:
+                other = [v.of(chr(c)) for c in points[starts[own][row[odd]] + pos[odd] - 1].tolist()]
+                per[odd] = [len(x) for x in other]
+                wide = np.repeat(ids, per)
+                wide[ragged((np.cumsum(per) - per)[odd], per[odd])] = np.concatenate(other)
+                ids = wide
+            counts[own] = np.bincount(row, weights=per, minlength=len(own)).astype(np.int64)
+            parts.append(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        # back from the order of length to that of the dictionary
+        sorted_counts = counts[order]
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.cumsum(sorted_counts) - sorted_counts
+        return counts, flat[ragged(place, counts)].astype("<u4")
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """The UTF-8 text of each run of ids, as offsets into all bytes; each text has the space that encoding puts first."""
         v = self.vocabulary
         n = v.lengths[ids]
-        flat = v.flat[ragged(v.starts[ids], n)].tobytes()
-        at = np.concatenate([[0], np.cumsum(n)])[offsets]
+        return np.concatenate([[0], np.cumsum(n)])[offsets], v.flat[ragged(v.starts[ids], n)].tobytes()
+
+    def decode_texts(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        at, flat = self.decode(offsets, ids)
         return [flat[a + 1 : b] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
@@ -191,12 +387,21 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
         for b in batches:
             lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            texts = encoder(model).decode(offsets - offsets[0], lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+            texts = encoder(model).decode_texts(offsets - offsets[0], lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def same_texts(at: np.ndarray, flat: bytes, texts: pa.Array) -> np.ndarray:
+    """Which of the decoded runs equal their text."""
+    _, own, raw = texts.buffers()
+    own, raw = np.frombuffer(own, np.int64, len(texts) + 1), memoryview(raw or b"").cast("B")
+    runs = zip(at[:-1].tolist(), at[1:].tolist(), own[:-1].tolist(), own[1:].tolist(), strict=True)
+    view = memoryview(flat)
+    return np.fromiter((view[a + (b > a) : b] == raw[c:d] for a, b, c, d in runs), bool, len(texts))
+
+
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """Per document: n_ids, the CRC-32 of its ids, and what decoding them gives back: n_bytes and whether it is the text."""
 
@@ -205,8 +410,8 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
             for b in slices(batch):
                 texts = texts_of(b)
                 offsets, ids = encoder(model).encode(texts)
-                back = encoder(model).decode(offsets, ids)
-                same = [x == t.encode() for x, t in zip(back, texts.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(crc_of_runs(ids, offsets)), pa.array([len(x) for x in back], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "n_bytes", "round_trip"])
+                at, flat = encoder(model).decode(offsets, ids)
+                n_bytes = np.maximum(0, np.diff(at) - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(crc_of_runs(ids, offsets)), pa.array(n_bytes), pa.array(same_texts(at, flat, texts))], names=["doc_id", "n_ids", "ids_crc32", "n_bytes", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_bytes long, round_trip boolean")

@@ -31,45 +31,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
 
 
-class PieceCache:
-    """Encodes texts by distinct pieces, a word with the space before it; ``piece`` is the subclass's.
-
-    ``odd`` finds texts that can't be cut at every space; such a text is one piece, which ``piece`` may cut in its own way.
-    ``lead`` stands before the first word.
-    """
-
-    odd, lead = _ODD, ""
-
-    def piece(self, text: str) -> bytes:
-        raise NotImplementedError
-
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets per text and the ids of all texts, each with ``end_id`` after it if given. No nulls in ``texts``."""
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        #: a text with runs of spaces, or one at its end, is one piece here and is cut by piece()
-        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
-        even = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        lists = pc.split_pattern(even, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # the first piece of a text has no space before it
-        given = texts.to_pylist()
-        firsts = [t if o else t.partition(" ")[0] for t, o in zip(given, odd.tolist(), strict=True)]
-        codes[offsets[:-1]] = len(coded.dictionary) + np.arange(len(texts))
-        pieces = [self.piece(" " + w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()] + [self.piece(self.lead + w) if t else b"" for w, t in zip(firsts, given, strict=True)] + [tail]
-        lengths = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
-        starts = np.cumsum(lengths) - lengths
-        if tail:
-            codes = np.insert(codes, offsets[1:], len(pieces) - 1)
-            offsets = offsets + np.arange(len(offsets))
-        each = lengths[codes]
-        ids = np.frombuffer(b"".join(pieces), "<u4")[ragged(starts[codes], each)]
-        return np.concatenate([[0], np.cumsum(each)])[offsets], ids
-
-
-class WordCachedEncoder(PieceCache):
+class WordCachedEncoder:
     """Encodes texts with a tokenizers file; special tokens' strings count as ordinary text.
 
     ``limit`` bounds the pieces remembered in a worker; when it is reached, new pieces are encoded each time.
@@ -128,7 +90,27 @@ class WordCachedEncoder(PieceCache):
         if not self.by_words:
             each = [self._whole(t) + tail for t in texts.to_pylist()]
             return np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64), np.frombuffer(b"".join(each), "<u4")
-        return super().encode(texts, end_id)
+        #: a text with runs of spaces, or one at its end, is one piece here and is cut by piece()
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        even = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        lists = pc.split_pattern(even, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # the first piece of a text has no space before it
+        given = texts.to_pylist()
+        firsts = [t if o else t.partition(" ")[0] for t, o in zip(given, odd.tolist(), strict=True)]
+        codes[offsets[:-1]] = len(coded.dictionary) + np.arange(len(texts))
+        pieces = [self.piece(" " + w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()] + [self.piece(w) if t else b"" for w, t in zip(firsts, given, strict=True)] + [tail]
+        lengths = np.fromiter((len(p) // 4 for p in pieces), np.int64, len(pieces))
+        starts = np.cumsum(lengths) - lengths
+        if tail:
+            codes = np.insert(codes, offsets[1:], len(pieces) - 1)
+            offsets = offsets + np.arange(len(offsets))
+        each = lengths[codes]
+        ids = np.frombuffer(b"".join(pieces), "<u4")[ragged(starts[codes], each)]
+        return np.concatenate([[0], np.cumsum(each)])[offsets], ids
 
 
 _ENCODERS: dict[str, WordCachedEncoder] = {}

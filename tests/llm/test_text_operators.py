@@ -68,8 +68,10 @@ def best_path(v, text):
 def test_pieces_against_plain_search(odd_docs, duck):
     e = pieces.PieceEncoder(P.path("piece_bpe_32k.model"))
     texts = [r["text"] or "" for r in odd_docs.collect() if len(r["text"] or "") < 5_000 and "▁" not in (r["text"] or "")] + [r[0] for r in duck.sql("select text from documents limit 15").fetchall()]
+    texts += ["Donaudampfschifffahrtsgesellschaftskapitaen " * 3, "a" * 40 + " " + "ab" * 300, "日本語の長い文章" * 40, "Zq" * 33 + "\u0e01" * 3]
     offsets, ids = e.encode(pa.array(texts, pa.large_string()))
-    back, rng = e.decode(offsets, ids), random.Random(5)
+    assert e.commits > 0
+    back, rng = e.decode_texts(offsets, ids), random.Random(5)
     for i, x in enumerate(texts):
         own = ids[offsets[i] : offsets[i + 1]].tolist()
         assert own == best_path(e.vocabulary, x) and back[i].decode() == x
@@ -79,7 +81,7 @@ def test_pieces_against_plain_search(odd_docs, duck):
             got += stream.feed(y[k : k + n])
             k += n
         assert got + (stream.feed("", last=True) if y else []) == own
-        assert stream.widest < 700
+        assert stream.widest < 700 or len(set(x)) < 4  # paths through few letters may never meet
 
 
 def test_pieces_frame(spark, odd_docs, no_docs):

@@ -2,13 +2,16 @@
 
 The vocabulary comes from word counts over all documents; words beyond it fall into hash buckets, where a word's probability
 is its bucket's times its share of the bucket's occurrences in all documents (smoothed, with a rest for words that occur
-nowhere). The network adds up
-embeddings of the ``window`` tokens on each side, by place, and a tanh; the output is a binary tree over token ids, so a
-token's probability is a product of ``depth`` logistic terms and sums to one over vocabulary and buckets. It is
-trained in numpy on all tokens of all documents: each task makes a pass over its documents, targets being every
-``train_every``-th token, and the tasks' weights are averaged by their numbers of targets; the next round goes on from that
-average with the tokens beside them, so that the rounds together meet every token.
-A document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
+nowhere). The network adds up embeddings of the ``window`` tokens on each side, by place, and a tanh; the output is a softmax
+over classes of token ids and one over the ids of a class, so probabilities sum to one over vocabulary and buckets. Their biases
+start as the logarithms of all documents' counts: an untrained network is the unigram table, and training adds what the
+neighbours tell.
+
+It is trained in numpy, with AdaGrad steps, on every token of every document once. Documents are dealt over blocks of about
+``BLOCK`` tokens by a hash of their id and text, and blocks over rounds. Each block of a round starts from the same weights
+and goes through its documents in a fixed order; the blocks' weights are averaged by their numbers of steps, as fixed-point integers,
+whose sums don't depend on their order. So neither partitions nor tasks have a part in the result, and more data means more
+blocks of the same size. A document's score is the sum of the log-probabilities of its tokens, each given its neighbours.
 
 Edge cases: null and empty texts have no tokens and a sum of 0; places beyond a text's ends are a token of their own; repeated
 rows are scored each; an empty table gives no row; further columns are left out.
@@ -27,45 +30,60 @@ from pyspark.sql import functions as F
 
 from ptclake.llm.common import materialize, slices, split_words, texts_of, word_hashes
 
-
 #: What is added to each word's count within its bucket; a word that occurs nowhere has this alone.
 SEEN = 0.5
-
-#: Words whose counts are sent to the tasks; the counts of all others stay on Spark and are joined.
+#: At most so many words' counts are sent to the tasks; the counts of all others stay on Spark and are joined.
 FREQUENT = 1 << 16
+#: Tokens of a training block, about; and tokens of a training step.
+BLOCK, STEP = 1 << 20, 1 << 13
+#: Weights are averaged as integers of this unit.
+UNIT = 2.0**-24
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network: 2**depth token ids, the last quarter of them hash buckets."""
+    """Sizes of the network: ``classes * members`` token ids, the last quarter of them hash buckets."""
 
-    depth: int = 11
+    classes: int = 64
+    members: int = 64
     width: int = 16
     window: int = 2
 
     @property
     def ids(self) -> int:
-        return 1 << self.depth
+        return self.classes * self.members
 
     @property
     def words(self) -> int:
         return self.ids - self.ids // 4
 
-    def start(self) -> np.ndarray:
-        """All weights in one array: embeddings by place (the last row stands for no token), bias, tree nodes."""
-        rng = np.random.default_rng(7)
-        w = np.zeros(self.size, np.float32)
-        n = 2 * self.window * (self.ids + 1) * self.width
-        w[:n] = rng.normal(0, 0.1, n)
-        return w
+    @property
+    def sizes(self) -> tuple[tuple[int, ...], ...]:
+        """Embeddings by place (the last row stands for no token), their bias, classes and their biases, members and theirs."""
+        return (2 * self.window, self.ids + 1, self.width), (self.width,), (self.width, self.classes), (self.classes,), (self.classes, self.members, self.width), (self.classes, self.members)
 
     @property
     def size(self) -> int:
-        return 2 * self.window * (self.ids + 1) * self.width + self.width + self.ids * self.width
-
-    def parts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = 2 * self.window * (self.ids + 1) * self.width
-        return w[:n].reshape(2 * self.window, self.ids + 1, self.width), w[n : n + self.width], w[n + self.width :].reshape(self.ids, self.width)
+        return sum(int(np.prod(s)) for s in self.sizes)
+
+    def parts(self, w: np.ndarray) -> list[np.ndarray]:
+        """Views of one array of weights."""
+        out, a = [], 0
+        for s in self.sizes:
+            n = int(np.prod(s))
+            out.append(w[a : a + n].reshape(s))
+            a += n
+        return out
+
+    def start(self, counts: np.ndarray | None = None) -> np.ndarray:
+        """All weights in one array, before training: those of the unigram table of ``counts`` by token id."""
+        w = np.zeros(self.size, np.float32)
+        embeddings, _, _, class_bias, _, member_bias = self.parts(w)
+        embeddings[:] = np.random.default_rng(7).normal(0, 0.1, embeddings.shape)
+        n = (np.ones(self.ids) if counts is None else counts + SEEN).reshape(self.classes, self.members)
+        of_class = n.sum(axis=1)
+        class_bias[:], member_bias[:] = np.log(of_class / of_class.sum()), np.log(n / of_class[:, None])
+        return w
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -83,31 +101,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
-    """The most frequent words with their counts, ties by the word; at most ``size``."""
-    return [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    """The most frequent words with their counts, ties by the word: all words above a count (by eighths of octaves), at most ``size``.
+
+    Only counts of counts and the words themselves go to the driver, at any number of partitions.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    left, least = size, None
+    for k, n in sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("k")).count().collect()), reverse=True):  # a row per eighth of an octave
+        left -= n
+        if left < 0:
+            break
+        least = k
+    if least is None:
+        return []
+    found = [(r[0], r[1]) for r in counts.filter(level >= least).collect()]  # at most `size` rows
+    return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
 def vocabulary(docs: DataFrame, shape: Shape) -> list[str]:
     """The most frequent lower-cased words over all documents, ties by the word; at most ``shape.words``."""
-    return [w for w, _ in most_frequent(word_counts(docs), shape.words)]
+    return [w for w, _ in most_frequent(word_counts(docs), FREQUENT)[: shape.words]]
 
 
-def bucket_totals(counts: DataFrame, words: list[str], shape: Shape) -> np.ndarray:
-    """Per hash bucket, ``SEEN`` times its distinct words and one, and all its occurrences: what counts are divided by.
-
-    The one stands for the words that occur nowhere; so the shares of a bucket's words and of these sum to one.
-    """
+def id_totals(counts: DataFrame, words: list[str], shape: Shape) -> np.ndarray:
+    """Per token id (row 0) its occurrences in all documents and (row 1) how many different words have it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sums = TokenIds(words, shape), np.zeros(shape.ids)
+        tokens, sums = TokenIds(words, shape), np.zeros((2, shape.ids), np.int64)
         for b in batches:
-            np.add.at(sums, tokens.of_words(b.column(0)), b.column(1).to_numpy() + SEEN)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.words, shape.ids)), pa.array(sums[shape.words :])], names=["id", "n"])
-
-    totals = np.full(shape.ids - shape.words, SEEN)
-    for i, n in counts.mapInArrow(deal, "id long, n double").groupBy("id").agg(F.sum("n")).collect():  # a row per bucket
-        totals[i - shape.words] += n
-    return totals
+            ids = tokens.of_words(b.column(0))
+            sums[0] += np.bincount(ids, weights=b.column(1).to_numpy(), minlength=shape.ids).astype(np.int64)
+            sums[1] += np.bincount(ids, minlength=shape.ids)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.ids)), pa.array(sums[0]), pa.array(sums[1])], names=["id", "n", "words"])
+
+    out = np.zeros((2, shape.ids))
+    for i, *n in counts.mapInArrow(deal, "id long, n long, words long").groupBy("id").agg(F.sum("n"), F.sum("words")).collect():  # a row per token id
+        out[:, i] = n
+    return out
 
 
 class TokenIds:
@@ -127,129 +157,191 @@ class TokenIds:
         return np.where(table < 0, buckets, table)
 
 
-def contexts(offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
-    """Neighbours (2 * window, len(at)) of the tokens at places ``at``; ``shape.ids`` beyond a text's ends."""
-    text = np.searchsorted(offsets, at, side="right") - 1
-    out = []
-    for d in (*range(-shape.window, 0), *range(1, shape.window + 1)):
-        k = at + d
-        inside = (k >= offsets[text]) & (k < offsets[text + 1])
-        out.append(np.where(inside, ids[np.clip(k, 0, len(ids) - 1)], shape.ids))
-    return np.stack(out)
+def padded(offsets: np.ndarray, ids: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts in a row with ``window`` places of ``shape.ids`` around each, and the places of the ids there."""
+    at = np.arange(len(ids)) + shape.window * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    row = np.full(len(ids) + shape.window * len(offsets), shape.ids, np.int64)
+    row[at] = ids
+    return row, at
+
+
+def contexts(row: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
+    """Neighbours (2 * window, len(at)) of the tokens at places ``at`` of a padded row."""
+    return np.stack([row[at + d] for d in (*range(-shape.window, 0), *range(1, shape.window + 1))])
+
 
+def _hidden(parts: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    h = parts[1] + parts[0][0].take(near[0], axis=0)
+    for k in range(1, len(near)):
+        h += parts[0][k].take(near[k], axis=0)
+    return np.tanh(h, out=h)
 
-def tree(shape: Shape, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tree nodes (depth, n) on the way to each target, and the turn taken at each."""
-    level = np.arange(shape.depth)[:, None]
-    return (1 << level) + (target >> (shape.depth - level)), ((target >> (shape.depth - level - 1)) & 1).astype(np.float32)
+
+def _by_class(shape: Shape, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by class, and where each class begins in it."""
+    of = target // shape.members
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    return order, np.searchsorted(of[order], np.arange(shape.classes + 1))
 
 
 def log_probabilities(w: np.ndarray, shape: Shape, near: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(target | neighbours) of each token."""
-    places, bias, nodes = shape.parts(w)
-    out, some = np.zeros(len(target), np.float32), 1 << 10
-    for a in range(0, len(target), some):
-        x, t = near[:, a : a + some], target[a : a + some]
-        h = bias + places[0].take(x[0], axis=0)
-        for k in range(1, len(x)):
-            h += places[k].take(x[k], axis=0)
-        node, bit = tree(shape, t)
-        z = np.einsum("nd,lnd->ln", np.tanh(h), nodes.take(node, axis=0)) * (1 - 2 * bit)
-        out[a : a + some] = -np.log(1 + np.exp(np.minimum(z, 80))).sum(axis=0)
+    parts, out = shape.parts(w), np.zeros(len(target), np.float32)
+    _, _, classes, class_bias, members, member_bias = parts
+    for a in range(0, len(target), STEP):
+        order, cuts = _by_class(shape, target[a : a + STEP])
+        t = target[a : a + STEP][order]
+        h = _hidden(parts, near[:, a : a + STEP][:, order])
+        z = np.clip(h @ classes + class_bias, -80, 80)
+        logs = z[np.arange(len(t)), t // shape.members]
+        np.exp(z, out=z)
+        logs -= np.log(z @ np.ones(shape.classes, np.float32))
+        for k in range(shape.classes):
+            i, j = cuts[k], cuts[k + 1]
+            if i < j:
+                y = np.clip(h[i:j] @ members[k].T + member_bias[k], -80, 80)
+                logs[i:j] += y[np.arange(j - i), t[i:j] % shape.members]
+                np.exp(y, out=y)
+                logs[i:j] -= np.log(y @ np.ones(shape.members, np.float32))
+        out[a + order] = logs
     return out
 
 
-def train_steps(w: np.ndarray, shape: Shape, near: np.ndarray, target: np.ndarray, rate: float, batch: int) -> None:
-    """Gradient steps in place, over ``target`` in batches; a step on a row is the mean over its occurrences in the batch.
-
-    A batch is sorted by target, which puts the nodes of all levels in order too, so one sort serves the whole tree.
+def train_step(w: np.ndarray, seen: np.ndarray, shape: Shape, near: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One AdaGrad step up the summed log-probabilities, in place; ``seen`` has the sums of squared gradients."""
+    parts, n = shape.parts(w), len(target)
+    squares, dim = shape.parts(seen), shape.width
+    _, _, classes, class_bias, members, member_bias = parts
+    order, cuts = _by_class(shape, target)
+    near, target = near[:, order], target[order]
+    h, one = _hidden(parts, near), np.ones(max(n, shape.classes, shape.members), np.float32)
+
+    def gradient(z: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Of scores z: the targets minus the softmax, in place."""
+        np.exp(np.clip(z, -80, 80, out=z), out=z)
+        z *= (-1 / (z @ one[: z.shape[1]]))[:, None]
+        z.ravel()[np.arange(len(z)) * z.shape[1] + hit] += 1
+        return z
+
+    def move(weights: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
+        squares += g * g
+        weights += rate * g / np.sqrt(squares)
+
+    g = gradient(h @ classes + class_bias, target // shape.members)
+    back = g @ classes.T
+    steps = [(classes, squares[2], h.T @ g), (class_bias, squares[3], one[:n] @ g)]
+    for k in range(shape.classes):
+        i, j = cuts[k], cuts[k + 1]
+        if i < j:
+            g = gradient(h[i:j] @ members[k].T + member_bias[k], target[i:j] % shape.members)
+            back[i:j] += g @ members[k]
+            steps += [(members[k], squares[4][k], g.T @ h[i:j]), (member_bias[k], squares[5][k], one[: j - i] @ g)]
+    back *= 1 - h * h
+    steps.append((parts[1], squares[1], one[:n] @ back))
+    flat, column = back.ravel(), np.arange(dim)
+    for k in range(len(near)):
+        g = np.bincount((near[k][:, None] * dim + column).ravel(), weights=flat, minlength=(shape.ids + 1) * dim)
+        steps.append((parts[0][k], squares[0][k], g.astype(np.float32).reshape(-1, dim)))
+    for s in steps:
+        move(*s)
+
+
+def train_block(w: np.ndarray, shape: Shape, texts: list[np.ndarray], rate: float) -> int:
+    """Steps over a block's texts in order, in place; returns their number."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    row, places = padded(offsets, np.concatenate(texts) if texts else np.zeros(0, np.int64), shape)
+    seen = np.full(shape.size, 0.1, np.float32)
+    for a in range(0, len(places), STEP):
+        at = places[a : a + STEP]
+        train_step(w, seen, shape, contexts(row, at, shape), row[at], rate)
+    return -(-len(places) // STEP)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weights in integers, by piece; the salt goes."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for i, n, x in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+            s = sums.setdefault(i, [0, 0])
+            s[0] += n
+            s[1] = s[1] + np.frombuffer(x, np.int64)
+    for i, (n, x) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0]), pa.array([n]), pa.array([x.tobytes()], pa.binary())], names=["i", "salt", "n", "w"])
+
+
+def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, rounds: int = 4, rate: float = 0.2) -> np.ndarray:
+    """Weights after ``rounds`` of blocks, each followed by averaging; every token of ``docs`` is a target once.
+
+    ``totals`` has the occurrences by token id, which give the first weights and the number of blocks.
     """
-    places, bias, nodes = shape.parts(w)
-    flat = places.reshape(-1, shape.width)
-    shift = np.arange(len(near))[:, None] * (shape.ids + 1)
-    small = np.uint16 if len(flat) <= 1 << 16 else np.int64  # short integers have a radix sort
-
-    def step(rows: np.ndarray, keys: np.ndarray, gradient: np.ndarray) -> None:
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(first, len(keys)))[:, None]
-        rows[keys[first]] += rate * np.add.reduceat(gradient, first, axis=0) / np.sqrt(n)
-
-    for a in range(0, len(target), batch):
-        order = np.argsort(target[a : a + batch].astype(small), kind="stable")
-        x, t = near[:, a : a + batch][:, order] + shift, target[a : a + batch][order]
-        h = np.tanh(flat.take(x, axis=0).sum(axis=0) + bias)
-        node, bit = tree(shape, t)
-        v = nodes.take(node, axis=0)
-        g = bit - 1 / (1 + np.exp(-np.clip(np.einsum("nd,lnd->ln", h, v), -30, 30)))
-        back = np.einsum("ln,lnd->nd", g, v)
-        step(nodes, node.ravel(), (g[:, :, None] * h).reshape(-1, shape.width))
-        back *= 1 - h * h
-        keys = x.ravel()
-        order = np.argsort(keys.astype(small), kind="stable")
-        step(flat, keys[order], back.take(order % len(t), axis=0))
-        bias += rate * back.mean(axis=0)
-
-
-def targets(n: int, k: int, train_every: int) -> np.ndarray:
-    """Places that round ``k`` trains on; ``train_every`` rounds meet each of the ``n`` places once."""
-    return np.flatnonzero((np.arange(n) + k) % train_every == 0)
-
-
-def train(docs: DataFrame, words: list[str], shape: Shape, rounds: int = 2, train_every: int = 2, rate: float = 0.1, batch: int = 2048) -> np.ndarray:
-    """Weights after rounds of training on all documents and averaging; each token is a target in at least one round."""
-    if train_every > rounds:
-        raise ValueError(f"{rounds} rounds of every {train_every}th token leave tokens out")
-    spark, w = docs.sparkSession, shape.start()
-    texts = docs.select(F.col("text").cast("string"))
-    piece = 1 << 14  # weights are averaged in pieces, so that no task holds the weights of all others
-    for k in range(rounds):
+    spark, w = docs.sparkSession, shape.start(totals)
+    blocks = max(1, -(-int(totals.sum()) // BLOCK))
+    turn = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    dealt = docs.filter("text IS NOT NULL").select(F.col("text").cast("string"), F.pmod(turn, F.lit(blocks)).alias("block"), F.pmod(F.xxhash64(turn), F.lit(2**62)).alias("turn"))
+    piece = 1 << 14
+    for k in range(min(rounds, blocks)):
         sent = spark.sparkContext.broadcast((words, w))
 
-        def local(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            own, n, tokens = sent.value[1].copy(), 0, TokenIds(sent.value[0], shape)
-            for b in batches:
-                for s in slices(b):
-                    offsets, ids = tokens.of(texts_of(s))
-                    at = targets(len(ids), k, train_every)
-                    if len(at):
-                        train_steps(own, shape, contexts(offsets, ids, at, shape), ids[at], rate, batch)
-                        n += len(at)
-            if n:
-                for i in range(0, len(own), piece):
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(n)]), pa.array([own[i : i + piece].tobytes()], pa.binary())], names=["i", "n", "w"])
+        def to_ids(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tokens, kind = TokenIds(sent.value[0], shape), "<u2" if shape.ids < 1 << 16 else "<u4"
+            for batch in batches:
+                for b in slices(batch):
+                    offsets, ids = tokens.of(texts_of(b))
+                    ids = ids.astype(kind)
+                    cut = [ids[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cut, pa.binary())], names=["block", "turn", "ids"])
+
+        def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            start, kind = sent.value[1], "<u2" if shape.ids < 1 << 16 else "<u4"
+            total, n, last, texts = np.zeros(shape.size, np.int64), 0, None, []
+
+            def done() -> int:
+                own = start.copy()
+                steps = train_block(own, shape, texts, rate)
+                if steps:
+                    total[:] += steps * np.rint(own.astype(np.float64) / UNIT).astype(np.int64)
+                return steps
 
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
             for b in batches:
-                for i, n, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                    s = sums.setdefault(i, [0.0, 0.0])
-                    s[0] += n
-                    s[1] = s[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
-            for i, (n, x) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([n]), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], names=["i", "n", "w"])
-
-        schema = "i long, n double, w binary"
+                for block, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if block != last:
+                        n += done() if texts else 0
+                        last, texts = block, []
+                    texts.append(np.frombuffer(ids, kind).astype(np.int64))
+            n += done() if texts else 0
+            if n:
+                salt = TaskContext.get().partitionId() % 64
+                for i in range(0, len(total), piece):
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([salt]), pa.array([n]), pa.array([total[i : i + piece].tobytes()], pa.binary())], names=["i", "salt", "n", "w"])
+
+        ids = dealt.filter(F.col("block") % rounds == k).mapInArrow(to_ids, "block long, turn long, ids binary")
+        ordered = ids.repartition("block").sortWithinPartitions("block", "turn", "ids")
+        schema = "i long, salt long, n long, w binary"
+        # tasks' sums are added up in two steps, so that no task holds those of all others
+        sums = ordered.mapInArrow(local, schema).repartition("i", "salt").mapInArrow(_added, schema).repartition("i").mapInArrow(_added, schema)
         new = w.copy()
-        for i, _, x in texts.mapInArrow(local, schema).repartition("i").mapInArrow(mean, schema).collect():  # the network's size
-            new[i : i + piece] = np.frombuffer(x, np.float32)
+        for i, _, n, x in sums.collect():  # the network's size
+            new[i : i + piece] = np.frombuffer(x, np.int64) / n * UNIT
         w = new
         sent.unpersist()
     return w
 
 
-def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape, counts: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape, counts: DataFrame | None = None, totals: np.ndarray | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, log_likelihood (the sum over its tokens) and mean_log_likelihood (null without tokens).
 
-    A word outside of the vocabulary has the probability of its bucket times its share in it, (n + SEEN) / the bucket's
-    total, with n from ``counts`` (by default of ``docs``; 0 for words not in it). The frequent words' counts are sent to
-    the tasks; all others are joined.
+    A word outside of the vocabulary has the probability of its bucket times its share in it, (n + SEEN) over the sum of this
+    for the bucket's words and SEEN for words that occur nowhere; n is from ``counts`` (by default of ``docs``; 0 for words
+    not in it). The frequent words' counts are sent to the tasks; all others are joined.
     """
     counts = materialize(word_counts(docs), "lm-words") if counts is None else counts
-    totals, frequent = bucket_totals(counts, words, shape), dict(most_frequent(counts, FREQUENT))
-    sent = docs.sparkSession.sparkContext.broadcast((words, w, totals, frequent))
+    totals = id_totals(counts, words, shape) if totals is None else totals
+    frequent = dict(most_frequent(counts, FREQUENT))
+    shares = (totals[0] + SEEN * (totals[1] + 1))[shape.words :]
+    sent = docs.sparkSession.sparkContext.broadcast((words, w, shares, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w, totals, frequent = sent.value
+        words, w, shares, frequent = sent.value
         tokens, row = TokenIds(words, shape), TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in slices(batch):
@@ -258,12 +350,13 @@ def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape, counts
                 ids = table[codes]
                 n_of = np.fromiter((frequent.get(x, 0) for x in distinct.to_numpy(zero_copy_only=False)), np.float64, len(distinct))
                 bucket = np.maximum(table - shape.words, 0)
-                share = np.where(table < shape.words, 0.0, np.log((n_of + SEEN) / totals[bucket]))
+                share = np.where(table < shape.words, 0.0, np.log((n_of + SEEN) / shares[bucket]))
                 rare = (table >= shape.words) & (n_of == 0)  # the join adds log((n + SEEN) / SEEN)
                 each = np.zeros(len(ids) + 1)
-                for a in range(0, len(ids), 1 << 15):
-                    at = np.arange(a, min(len(ids), a + (1 << 15)))
-                    each[at] = log_probabilities(w, shape, contexts(offsets, ids, at, shape), ids[at]) + share[codes[at]]
+                stream, places = padded(offsets, ids, shape)
+                for a in range(0, len(ids), 4 * STEP):
+                    at = places[a : a + 4 * STEP]
+                    each[a : a + len(at)] = log_probabilities(w, shape, contexts(stream, at, shape), stream[at]) + share[codes[a : a + len(at)]]
                 n = np.diff(offsets)
                 sums = np.where(n > 0, np.add.reduceat(each, offsets[:-1]), 0.0)
                 asked = np.concatenate([[0], np.cumsum(rare[codes])])[offsets]
@@ -281,5 +374,6 @@ def score(docs: DataFrame, words: list[str], w: np.ndarray, shape: Shape, counts
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), **options) -> DataFrame:  # noqa: B008
     """Counts, trains and scores over all of ``docs(doc_id, text)``."""
     counts = materialize(word_counts(docs), "lm-words")
-    words = [w for w, _ in most_frequent(counts, shape.words)]
-    return score(docs, words, train(docs, words, shape, **options), shape, counts)
+    words = [w for w, _ in most_frequent(counts, FREQUENT)[: shape.words]]
+    totals = id_totals(counts, words, shape)
+    return score(docs, words, train(docs, words, totals[0], shape, **options), shape, counts, totals)

@@ -291,42 +291,105 @@ def test_components(spark):
     assert got == {k: 0 for k in range(1, 61)} | {100: 90}
 
 
-def test_lm_sums_and_training(spark, odd_docs, no_docs):
-    shape = lm.Shape(depth=6, width=4, window=2)
+def softmax_log_likelihood(w, shape, ids, share):
+    """The sum of log-probabilities of one text's ids, place by place in plain 64-bit arithmetic."""
+    embeddings, bias, classes, class_bias, members, member_bias = (x.astype(float) for x in shape.parts(w))
+    total = 0.0
+    for i, t in enumerate(ids):
+        h = bias.copy()
+        for k, d in enumerate([*range(-shape.window, 0), *range(1, shape.window + 1)]):
+            h += embeddings[k][ids[i + d] if 0 <= i + d < len(ids) else shape.ids]
+        h = np.tanh(h)
+        for z, hit in ((h @ classes + class_bias, t // shape.members), (members[t // shape.members] @ h + member_bias[t // shape.members], t % shape.members)):
+            total += z[hit] - np.log(np.exp(z).sum())
+        total += share[t]
+    return total
+
+
+def test_lm_probabilities_sum_to_one_and_start_as_counts():
+    shape = lm.Shape(8, 8, 4)
     w = np.random.default_rng(0).normal(0, 1, shape.size).astype(np.float32)
-    ids = np.array([3, 60, 5, 5, 9])
-    offsets = np.array([0, 3, 5])
-    near = lm.contexts(offsets, ids, np.arange(5), shape)
+    ids, offsets = np.array([3, 60, 5, 5, 9]), np.array([0, 3, 3, 5])
+    row, at = lm.padded(offsets, ids, shape)
+    assert row[at].tolist() == ids.tolist()
+    near = lm.contexts(row, at, shape)
     assert near[:, 0].tolist() == [64, 64, 60, 5] and near[:, 3].tolist() == [64, 64, 9, 64]
     for k in range(5):  # probabilities of all tokens at a place sum to one
         assert np.exp(lm.log_probabilities(w, shape, np.repeat(near[:, k : k + 1], 64, axis=1), np.arange(64)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    text = "alpha beta gamma delta " * 60
-    docs = odd_docs.limit(0).select("doc_id", "text").unionByName(spark.createDataFrame([(k, text) for k in range(40)] + [(99, None)], "doc_id long, text string"))
-    words = lm.vocabulary(docs, shape)
-    assert words == ["alpha", "beta", "delta", "gamma"]
-    before = lm.score(docs, words, shape.start(), shape).filter("doc_id = 0").first()
-    after = {r["doc_id"]: r for r in lm.pseudo_likelihood(docs, shape, train_every=1, batch=64).collect()}
-    assert after[0]["n_tokens"] == 240 and after[0]["log_likelihood"] > 0.6 * before["log_likelihood"]
-    assert (after[99]["n_tokens"], after[99]["log_likelihood"], after[99]["mean_log_likelihood"]) == (0, 0.0, None)
+    n = np.arange(64)
+    assert np.exp(lm.log_probabilities(shape.start(n), shape, np.zeros((4, 64), int), n)) == pytest.approx((n + 0.5) / (n + 0.5).sum(), rel=1e-4)
+
+
+def test_lm_sums_equal_brute_force(spark, odd_docs, no_docs):
+    shape = lm.Shape(4, 8, 3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j * j + j) % 40}" for j in range(30 + k))) for k in range(20)] + [(99, None), (100, "")], "doc_id long, text string")
+    words = lm.vocabulary(docs, shape)[: shape.words]
+    counts = lm.word_counts(docs)
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    w = np.random.default_rng(3).normal(0, 0.7, shape.size).astype(np.float32)
+    got = {r["doc_id"]: r for r in lm.score(docs, words, w, shape, counts).collect()}
+    tokens = lm.TokenIds(words, shape)
+    for k, text in [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"]]:
+        own = text.split()
+        ids = tokens.of_words(pa.array(own)).tolist()
+        beyond = sum(np.log((n[x] + 0.5) / (sum(c + 0.5 for y, c in n.items() if tokens.of_words(pa.array([y]))[0] == i) + 0.5)) for x, i in zip(own, ids, strict=True) if i >= shape.words)
+        assert got[k]["log_likelihood"] == pytest.approx(softmax_log_likelihood(w, shape, ids, np.zeros(shape.ids)) + beyond, rel=1e-4)
+        assert got[k]["n_tokens"] == len(own)
+    assert (got[99]["n_tokens"], got[99]["log_likelihood"], got[99]["mean_log_likelihood"]) == (0, 0.0, None) and got[100]["n_tokens"] == 0
     assert lm.pseudo_likelihood(odd_docs, shape).count() == odd_docs.count() and lm.pseudo_likelihood(no_docs, shape).count() == 0
 
 
-def test_lm_trains_on_every_token(spark):
-    """The last node on the way to a word moves only when one of its two words is a target."""
-    shape = lm.Shape(depth=7, width=4, window=2)
-    words = [f"w{k:02}" for k in range(shape.words)]
-    docs = spark.createDataFrame([(1, " ".join(words[-1:] + words[:-1]))], "doc_id long, text string").coalesce(1)
-    moved = np.abs(shape.parts(lm.train(docs, words, shape))[2]).sum(axis=1) > 0
-    assert moved[shape.ids // 2 : shape.ids // 2 + shape.words // 2].all()
-    with pytest.raises(ValueError, match="leave tokens out"):
-        lm.train(docs, words, shape, rounds=2, train_every=4)
+def test_lm_trains_on_every_token_once_at_any_partitioning(spark, monkeypatch):
+    """Weights equal those of a plain loop over rounds, blocks and their texts, bit for bit."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "BLOCK", 400)
+    shape = lm.Shape(4, 8, 3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j * j + j) % 40}" for j in range(30 + k))) for k in range(60)] + [(7, None)], "doc_id long, text string")
+    words = lm.vocabulary(docs, shape)[: shape.words]
+    totals = lm.id_totals(lm.word_counts(docs), words, shape)[0]
+    assert totals.sum() == sum(30 + k for k in range(60))
+    a, b = (lm.train(docs.repartition(k), words, totals, shape) for k in (1, 7))
+    assert (a == b).all()
+    n = -(-int(totals.sum()) // 400)
+    turn = F.xxhash64("doc_id", "text")
+    dealt = docs.filter("text IS NOT NULL").select("text", F.pmod(turn, F.lit(n)).alias("block"), F.pmod(F.xxhash64(turn), F.lit(2**62)).alias("turn")).collect()
+    w, tokens, seen = shape.start(totals), lm.TokenIds(words, shape), 0
+    for k in range(4):
+        total, steps = np.zeros(shape.size, np.int64), 0
+        for block in range(k, n, 4):
+            texts = [tokens.of_words(pa.array(r["text"].split())) for r in sorted((r for r in dealt if r["block"] == block), key=lambda r: r["turn"])]
+            own = w.copy()
+            m = lm.train_block(own, shape, texts, 0.2)
+            total, steps, seen = total + m * np.rint(own.astype(float) / lm.UNIT).astype(np.int64), steps + m, seen + sum(map(len, texts))
+        w = (total / steps * lm.UNIT).astype(np.float32)
+    assert seen == totals.sum() and (a == w).all()
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_lm_beats_the_unigram_table_on_texts_it_has_not_seen(spark, partitions):
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").select("doc_id", "text").repartition(partitions)
+    known, new = docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0")
+    shape = lm.Shape()
+    counts = lm.materialize(lm.word_counts(known), "test-words")
+    words = [w for w, _ in lm.most_frequent(counts, lm.FREQUENT)[: shape.words]]
+    totals = lm.id_totals(counts, words, shape)
+    w = lm.train(known, words, totals[0], shape)
+    mean = lambda w: (lambda r: r[0] / r[1])(lm.score(new, words, w, shape, counts, totals).selectExpr("sum(log_likelihood)", "sum(n_tokens)").first())
+    assert mean(w) > mean(shape.start(totals[0])) + 0.25
+
+
+def test_most_frequent_takes_whole_levels(spark):
+    counts = spark.createDataFrame([("a", 1000), ("b", 500), ("c", 500), *[(f"x{k}", 1) for k in range(50)]], "word string, n long")
+    assert lm.most_frequent(counts, 10) == [("a", 1000), ("b", 500), ("c", 500)]
+    assert lm.most_frequent(counts, 2) == [("a", 1000)] and lm.most_frequent(counts, 0) == [] and len(lm.most_frequent(counts, 53)) == 53
 
 
 @pytest.mark.parametrize("frequent", [1 << 16, 0])
 def test_lm_scores_words_not_buckets(spark, monkeypatch, frequent):
     """Words of one bucket are told apart by their counts in all documents; with those that occur nowhere they sum to one."""
     monkeypatch.setattr(lm, "FREQUENT", frequent)
-    shape = lm.Shape(depth=3, width=2, window=1)  # 6 words, 2 buckets
+    shape = lm.Shape(2, 4, 2, 1)  # 6 words, 2 buckets
     docs = spark.createDataFrame([(1, "a a a b b b c c c d d d e e e f f f " + "g g " * 40 + "h h h1 h2 h3 h4 h5 h6")], "doc_id long, text string")
     counts, words = lm.word_counts(docs), list("abcdef")
     n = {r["word"]: r["n"] for r in counts.collect() if r["word"] not in words}

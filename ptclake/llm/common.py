@@ -24,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
+    """A new path in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, only a local master may take a temporary folder: on a cluster, executors would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -35,37 +40,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it again: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for frames that nothing reads any more: all that came from them has been written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_positions(df: DataFrame, keys: list, weight: str | None = None, name: str = "positions") -> DataFrame:
+def with_positions(df: DataFrame, keys: list, weight: str | None = None, name: str = "positions", pos: str = "pos", start: str = "start") -> DataFrame:
     """Adds ``pos`` (0-based rank in the order of ``keys``) and, with ``weight``, ``start`` (weights of all rows before).
 
     The order is made by range partitions, so neither a hot leading key nor the whole table meets in one task as long
     as the keys tell rows apart; only one row per partition is gathered to add up the partitions' totals. Rows
-    with equal keys are in any order.
+    with equal keys are in any order. Columns of the added names are replaced; all others are kept, whatever their names.
     """
-    spark, cols = df.sparkSession, df.columns
-    w = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
-    dealt = df.withColumn("_w", F.coalesce(w, F.lit(0).cast("long"))).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType(list(dealt.schema)).add("_part", "integer").add("_pos", "long").add("_start", "long")
+    own = [c for c in df.columns if c not in (pos, *([start] if weight else []))]
+    w = F.coalesce(F.col(weight).cast("long"), F.lit(0).cast("long")) if weight else F.lit(0).cast("long")
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), w.alias("w"))
+    schema = T.StructType(list(dealt.schema)).add("part", "integer").add("pos", "long").add("start", "long")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pos, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            ws = b.column(b.schema.get_field_index("_w")).to_numpy(zero_copy_only=False)
+            ws = b.column(1).to_numpy(zero_copy_only=False)
             ends = start + np.cumsum(ws)
             out = [*b.columns, pa.array(np.full(len(ws), part, np.int32)), pa.array(pos + np.arange(len(ws), dtype=np.int64)), pa.array(ends - ws)]
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, "_part", "_pos", "_start"])
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, "part", "pos", "start"])
             pos, start = pos + len(ws), int(ends[-1]) if len(ws) else start
 
     local = materialize(dealt.mapInArrow(number, schema), name)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_w").alias("_sum"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("w").alias("sum"))
     #: one row per partition of the table, so this side is small at any size of the table
-    offsets = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_s0"))
-    added = [(F.col("_pos") + F.col("_n0")).alias("pos"), (F.col("_start") + F.col("_s0")).alias("start")]
-    return local.join(F.broadcast(offsets), "_part").select(*cols, *added[: 2 if weight else 1])
+    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("s0"))
+    added = [(F.col("pos") + F.col("n0")).alias(pos), (F.col("start") + F.col("s0")).alias(start)]
+    return local.join(F.broadcast(offsets), "part").select("row.*", *added[: 2 if weight else 1])
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

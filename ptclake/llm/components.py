@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import materialize
+from ptclake.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(edges)
     while True:
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        before, edges = edges, materialize(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        discard(before)
         if (now := _mark(edges)) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now

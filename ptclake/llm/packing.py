@@ -84,24 +84,26 @@ def pattern_table(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int,
 
 
 def assign(pieces: DataFrame, limit: int, length: str = "length", order: list[str] | None = None) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a length from 1 to ``limit``; ``order`` tells equal lengths apart."""
-    spark, cols = pieces.sparkSession, pieces.columns
-    histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `limit` rows
-    below, base = 0, []
+    """Adds ``sequence_id`` and ``offset`` to rows with a length from 1 to ``limit``; ``order`` tells equal lengths apart.
+
+    Further columns are kept, whatever their names; columns of the two added names are replaced.
+    """
+    spark = pieces.sparkSession
+    histogram = {r[0]: r[1] for r in pieces.groupBy(F.col(length)).count().collect()}  # at most `limit` rows
+    below, base = 0, {}
     for k in sorted(histogram):
-        base.append((k, below))
+        base[k] = below
         below += histogram[k]
-    base = dict(base)
     places = [(*r, base[r[0]]) for r in pattern_table(pack_histogram(histogram, limit))]
-    schema = "p_length long, p_first long, p_last long, p_sequence long, p_copies long, p_offset long, p_base long"
-    patterns = spark.createDataFrame(places, schema)
-    ranked = with_positions(pieces, [length, *(order or [c for c in cols if c != length])], name="packing-ranks")
+    patterns = spark.createDataFrame(places, "length long, first long, last long, sequence long, copies long, offset long, base long")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(length).cast("long").alias("of"))
+    ranked = with_positions(row, ["of", *[f"row.{c}" for c in order or kept if c != length]], name="packing-ranks")
     #: patterns follow the number of lengths (at most `limit`), so they are small at any size of the input
-    p = F.broadcast(patterns)
-    rank = F.col("pos") - F.col("p_base")
-    found = ranked.join(p, (F.col(length) == F.col("p_length")) & rank.between(F.col("p_first"), F.col("p_last")))
-    at = rank - F.col("p_first")
-    return found.select(*cols, (F.col("p_sequence") + F.expr("(pos - p_base - p_first) div p_copies")).alias("sequence_id"), (F.col("p_offset") + (at % F.col("p_copies")) * F.col(length)).alias("offset"))
+    rank = F.col("pos") - F.col("base")
+    found = ranked.join(F.broadcast(patterns), (F.col("of") == F.col("length")) & rank.between(F.col("first"), F.col("last")))
+    at = rank - F.col("first")
+    return found.select("row.*", (F.col("sequence") + F.expr("(pos - base - first) div copies")).alias("sequence_id"), (F.col("offset") + (at % F.col("copies")) * F.col("of")).alias("offset"))
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:

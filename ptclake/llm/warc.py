@@ -1,46 +1,90 @@
 """WARC archives and their Merkle fixity audit.
 
-Pages become WARC records; an archive's records have an order and byte offsets. Records are hashed, and ordered ranges of
-``fanout`` children are hashed into the nodes of a tree, with a root for every ``fanout ** depth`` records. An audit compares
-two replicas' roots, descends only below nodes that differ, and returns the records where replicas differ.
+Pages become WARC records; an archive's records have an order and byte offsets. Each replica has a ledger of its own records and
+a tree of its own: leaves are ranges of page ids that all replicas share (so a lost record shifts no other range), each the
+hash of its records' ids, offset ranges within the leaf, and digests, in order; ``fanout`` ordered children are hashed into a node, up to
+one root. An audit compares the roots, descends only below nodes that differ, and joins records of the two replicas only
+in leaves that differ; lost, changed and extra records all come from that descent.
 
 Edge cases: null urls and payloads are empty; a null page id is an id of its own; rows that repeat an id are its first, second ...
-copy, by hash; an empty replica loses all records of the other; further columns are left out. A payload
-that holds the start of a record can't be read back and raises.
+copy, by digest; an empty replica loses all records of the other; further columns are left out. A leaf with very many records (one
+id, or ids that clump) is hashed in levels of its own, so no list is longer than ``fanout``. Payloads may hold anything: files are
+read by Content-Length; a url with a line break stands in a field of its own, coded.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import materialize, with_positions
+from ptclake.llm.common import discard, materialize, with_positions
 
 _END = "\r\n\r\n"
+_PLAIN_URL = "WARC-Target-URI: "
+#: Base64 of a url that holds a line break, which a header line can't.
+_CODED_URL = "X-Target-URI-Base64: "
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
     """A resource record with its closing blank lines."""
-    payload = F.coalesce(html, F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")))
+    payload, url = F.coalesce(html, F.lit("")), F.coalesce(url, F.lit(""))
+    target = F.when(url.rlike("[\r\n]"), F.concat(F.lit(_CODED_URL), F.translate(F.base64(url.cast("binary")), "\r\n", ""))).otherwise(F.concat(F.lit(_PLAIN_URL), url))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\n"), target)
     return F.concat(head, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(_END), payload, F.lit(_END))
 
 
-def write_warc(pages: DataFrame, path: str, compression: str = "none") -> None:
-    """Writes ``pages(page_id, url, html)`` as WARC files, in ascending page id order over the files."""
-    body = F.regexp_replace(record(F.col("page_id"), F.col("url"), F.col("html")), r"\r\n\r\n\z", "")
-    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").select(body.alias("value")).write.option("lineSep", _END).option("compression", compression).text(path)
+def write_warc(pages: DataFrame, path: str, records_per_file: int = 10_000) -> None:
+    """Writes ``pages(page_id, url, html)`` as WARC files of a bounded number of records, in ascending page id order over the files."""
+    made = record(F.col("page_id"), F.col("url"), F.col("html"))
+    body = F.substring(made, F.lit(1), F.char_length(made) - len(_END))  # the line separator closes each record
+    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").select(body.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[int | None, str, str]]:
+    """Page id, url and payload of a file's records, one after the other by their Content-Length; bytes that aren't UTF-8 become U+FFFD."""
+    import base64
+
+    at = 0
+    while at < len(content):
+        end = content.find(b"\r\n\r\n", at)
+        head = content[at:end].decode("utf-8", "replace") if end >= 0 else ""
+        size = re.search(r"(?i)\r\nContent-Length: *(\d+)", head)
+        if not head.startswith("WARC/") or not size or end + 4 + int(size[1]) > len(content):
+            raise ValueError(f"no WARC record at byte {at}")
+        page = re.search(r"<urn:page:(-?\d+)>", head)
+        plain, coded = (re.search(rf"(?i)\r\n{name}([^\r\n]*)", head) for name in (_PLAIN_URL, _CODED_URL))
+        url = base64.b64decode(coded[1]).decode() if coded else plain[1] if plain else ""
+        start = end + 4
+        at = start + int(size[1])
+        yield int(page[1]) if page else None, url, content[start:at].decode("utf-8", "replace")
+        if content[at : at + 4] not in (b"\r\n\r\n", b""):
+            raise ValueError(f"a WARC record's length doesn't match its payload at byte {at}")
+        at += 4
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, html`` of WARC files; they are split between records and read in parallel."""
-    parts = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).filter(F.col("value") != "")
-    head, body = F.substring_index("value", _END, 1), F.expr(r"substring(value, instr(value, '\r\n\r\n') + 4)")
-    read = parts.select(head.alias("head"), F.regexp_replace(body, r"\r\n\r\n\z", "").alias("html"))
-    field = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    rows = read.select(F.regexp_extract("head", r"<urn:page:(-?\d*)>", 1).try_cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), "html", field("Content-Length").try_cast("int").alias("n"))
-    whole = F.when(F.octet_length("html") == F.col("n"), F.col("html")).otherwise(F.raise_error(F.lit("a WARC record's length doesn't match its payload")))
-    return rows.select("page_id", "url", whole.alias("html"))
+    """``page_id, url, html`` of WARC files; a task reads a file at a time, since only lengths from its start on tell where records begin."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+        for b in batches:
+            for content in b.column(0):
+                rows, size = [], 0
+                for row in parse_warc(content.as_py()):
+                    rows.append(row)
+                    size += len(row[2])
+                    if size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
+    return files.select("content").mapInArrow(parse, "page_id long, url string, html string")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -49,46 +93,107 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.octet_length(made).cast("long").alias("length"), F.sha2(made, 256).alias("digest"))
 
 
-def manifest(replica: DataFrame) -> DataFrame:
-    """Records with their place: page_id, copy, pos, start, length, digest."""
-    placed = with_positions(replica, [F.col("page_id").asc_nulls_first(), "digest"], weight="length", name="warc-manifest")
-    first = placed.groupBy(F.col("page_id").alias("of")).agg(F.min("pos").alias("first"))
-    return placed.join(first, F.col("page_id").eqNullSafe(F.col("of"))).select("page_id", (F.col("pos") - F.col("first")).alias("copy"), "pos", "start", "length", "digest")
+def _div(a: int, b: int) -> int:
+    """Integer division as Spark's ``div``: towards zero."""
+    return abs(a) // b * (1 if a >= 0 else -1)
+
+
+class Ranges:
+    """Ranges of page ids that replicas share: ``width`` ids to a leaf, about ``fanout`` records of the replicas where ids are even."""
+
+    def __init__(self, replicas: list[DataFrame], fanout: int):
+        lows, highs, n = [], [], 1
+        for r in replicas:
+            low, high, count = r.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
+            lows, highs, n = [*lows, *([] if low is None else [low])], [*highs, *([] if high is None else [high])], max(n, count)
+        low, high = min(lows, default=0), max(highs, default=0)
+        self.fanout, self.width = fanout, max(1, -(-(high - low + 1) * fanout // n))
+        self.none = _div(low, self.width) - 1  # the leaf of null ids
+        self.levels, a, b = 0, self.none, _div(high, self.width)
+        while a != b:
+            self.levels, a, b = self.levels + 1, _div(a, fanout), _div(b, fanout)
+
+    def leaf(self) -> Column:
+        return F.coalesce(F.expr(f"page_id div {self.width}L"), F.lit(self.none)).cast("long")
+
 
+def ledger(replica: DataFrame, ranges: Ranges) -> DataFrame:
+    """A replica's records in order with their places: leaf, i (within the leaf), page_id, length, digest, pos and start (in the archive), offset (in the leaf)."""
+    placed = with_positions(replica.select("page_id", "length", "digest"), [F.col("page_id").asc_nulls_first(), "digest"], weight="length", name="warc-places")
+    placed = placed.withColumn("leaf", ranges.leaf())
+    first = placed.groupBy("leaf").agg(F.min("pos").alias("p0"), F.min("start").alias("s0"))
+    return materialize(placed.join(first, "leaf").select("leaf", (F.col("pos") - F.col("p0")).alias("i"), "page_id", "length", "digest", "pos", "start", (F.col("start") - F.col("s0")).alias("offset")), "warc-ledger")
 
-def tree(leaves: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
-    """Levels ``node, hash`` from the leaves (0) to the roots (``depth``); a node's children are in order."""
-    levels = [leaves.select(F.col("pos").alias("node"), F.coalesce("digest", F.lit("")).alias("hash"))]
-    for _ in range(depth):
-        parent = F.expr(f"node div {fanout}")
-        joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"]))  # at most `fanout` children
-        levels.append(levels[-1].groupBy(parent.alias("parent")).agg(F.sha2(joined, 256).alias("hash")).select(F.col("parent").alias("node"), "hash"))
-    return levels
+
+def _hashed(children: DataFrame, by: list[str], order: str, fanout: int) -> DataFrame:
+    """Nodes over ordered children (``order``, ``hash``), at most ``fanout`` each: by, order (the parent's) and hash."""
+    joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(order, "hash"))), lambda c: c["hash"]))
+    return children.groupBy(*by, F.expr(f"{order} div {fanout}").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).select(*by, F.col("parent").alias(order), "hash")
+
+
+def tree(book: DataFrame, ranges: Ranges) -> list[DataFrame]:
+    """Levels ``node, hash`` of a replica's tree from the leaves to the root, each written."""
+    line = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "offset", "length", F.coalesce("digest", F.lit("")))
+    level = _hashed(book.select("leaf", "i", line.alias("hash")), ["leaf"], "i", ranges.fanout)
+    most = book.agg(F.max("i")).first()[0] or 0
+    while most >= ranges.fanout:  # a leaf with more records has levels of its own
+        most //= ranges.fanout
+        level = _hashed(level, ["leaf"], "i", ranges.fanout)
+    out = [materialize(level.select(F.col("leaf").alias("node"), "hash"), "warc-leaves")]
+    for _ in range(ranges.levels):
+        out.append(materialize(_hashed(out[-1], [], "node", ranges.fanout), "warc-nodes"))
+    return out
+
+
+def differing_leaves(one: list[DataFrame], other: list[DataFrame], fanout: int) -> DataFrame:
+    """``node`` of the leaves that differ or that one tree lacks, by descent from the roots below nodes that differ."""
+    wrong = None
+    for x, y in zip(reversed(one), reversed(other), strict=True):
+        if wrong is not None:
+            x, y = (z.withColumn("parent", F.expr(f"node div {fanout}")).join(wrong.select(F.col("node").alias("parent")), "parent", "left_semi").drop("parent") for z in (x, y))
+        both = x.select("node", F.col("hash").alias("x")).join(y.select("node", F.col("hash").alias("y")), "node", "full")
+        below, above = materialize(both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("node"), "warc-wrong"), wrong
+        discard(*([above] if above is not None else []))
+        wrong = below
+    return wrong
+
+
+def _numbered(df: DataFrame, keys: list[str], value: Column, into: str) -> DataFrame:
+    """``value`` less its least in the group of ``keys`` (null equals null), as ``into``."""
+    at = df.withColumn("_v", value)
+    first = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_v").alias("_v0"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return at.join(first, on).withColumn(into, F.col("_v") - F.col("_v0")).select(*df.columns, into)
 
 
 def audit(one: DataFrame, other: DataFrame, fanout: int = 16, depth: int = 3) -> DataFrame:
     """Records of ``one`` that ``other`` has changed or lost, and those that only ``other`` has.
 
-    Both are ``page_id, length, digest``. Returns page_id, copy, status (changed, lost, extra), archive (the root's number), start, length,
+    Both are ``page_id, length, digest``. Records that aren't in both are paired by id, in order of their digests, as changed; the rest are
+    lost or extra. Returns page_id, copy, status (changed, lost, extra), archive (of ``fanout ** depth`` records), start, length,
     digest and other_digest; the place is that in ``one``, null for extra records.
     """
-    a = materialize(manifest(one), "warc-one")
-    b = materialize(manifest(other), "warc-other")
-    a, b = a.alias("a"), b.alias("b")
-    same = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.copy") == F.col("b.copy"))
-    # the other replica's record for each place of this one; a lost record has no digest
-    paired = materialize(a.join(b, same, "left").select("a.page_id", "a.copy", "a.pos", "a.start", "a.length", F.col("a.digest").alias("own"), F.col("b.digest").alias("other")), "warc-paired")
-    left = tree(paired.select("pos", F.col("own").alias("digest")), fanout, depth)
-    right = tree(paired.select("pos", F.col("other").alias("digest")), fanout, depth)
-    wrong = None
-    for level in range(depth, -1, -1):
-        x, y = left[level], right[level]
-        if wrong is not None:  # only children of nodes that differ
-            x, y = (z.withColumn("parent", F.expr(f"node div {fanout}")).join(wrong, "parent", "left_semi").drop("parent") for z in (x, y))
-        differ = x.alias("x").join(y.alias("y"), "node").filter(F.col("x.hash") != F.col("y.hash")).select(F.col("node").alias("parent"))
-        wrong = materialize(differ, "warc-wrong")
-    status = F.when(F.col("other").isNull(), "lost").otherwise("changed")
-    found = paired.join(wrong, F.col("pos") == F.col("parent"), "left_semi").select("page_id", "copy", status.alias("status"), F.expr(f"pos div {fanout**depth}").alias("archive"), "start", "length", F.col("own").alias("digest"), F.col("other").alias("other_digest"))
-    none = F.lit(None).cast("long")
-    extra = b.join(a, same, "left_anti").select("page_id", "copy", F.lit("extra").alias("status"), none.alias("archive"), none.alias("start"), "length", F.lit(None).cast("string").alias("digest"), F.col("digest").alias("other_digest"))
-    return found.unionByName(extra)
+    ranges = Ranges([one, other], fanout)
+    books = [ledger(r, ranges) for r in (one, other)]
+    trees = [tree(b, ranges) for b in books]
+    wrong = differing_leaves(*trees, fanout)
+    only = []
+    for book in books:
+        rows = book.join(wrong, book["leaf"] == wrong["node"], "left_semi")
+        only.append(_numbered(_numbered(rows, ["page_id"], F.col("i"), "copy"), ["page_id", "digest"], F.col("i"), "again"))
+    a, b = (materialize(x, "warc-suspects") for x in only)
+    discard(wrong, *books, *trees[0], *trees[1])
+    unpaired = []
+    for x, y in ((a, b), (b, a)):
+        y = y.select(*[F.col(c).alias(f"y_{c}") for c in ("page_id", "digest", "again")])
+        left = x.join(y, F.col("page_id").eqNullSafe(F.col("y_page_id")) & F.col("digest").eqNullSafe(F.col("y_digest")) & (F.col("again") == F.col("y_again")), "left_anti")
+        ranked = with_positions(left, [F.col("page_id").asc_nulls_first(), "digest", "again"], name="warc-unpaired", pos="rank")
+        unpaired.append(_numbered(ranked, ["page_id"], F.col("rank"), "turn"))
+    x, y = (d.alias(k) for d, k in zip(unpaired, "xy", strict=True))
+    both = x.join(y, F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.turn") == F.col("y.turn")), "full")
+    lacks_one, lacks_other = F.col("x.i").isNull(), F.col("y.i").isNull()
+    status = F.when(lacks_one, "extra").when(lacks_other, "lost").otherwise("changed")
+    pick = lambda c: F.when(lacks_one, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(c)
+    return both.select(pick("page_id"), pick("copy"), status.alias("status"), F.expr(f"x.pos div {fanout**depth}").alias("archive"), F.col("x.start").alias("start"), pick("length"), F.col("x.digest").alias("digest"), F.col("y.digest").alias("other_digest"))

@@ -51,19 +51,46 @@ def pages(spark, rows):
 
 def test_warc_round_trip(spark, tmp_path):
     rows = [(k, f"http://h/{k}", f"<p>{k}</p>\r\n\r\n" * (k % 4)) for k in range(50)] + [(60, None, None), (61, "u", "é" * 30_000)]
-    warc.write_warc(pages(spark, rows), f"file://{tmp_path}/w")
-    got = sorted((r["page_id"], r["url"], r["html"]) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect())
-    assert got == sorted((a, b or "", c or "") for a, b, c in rows)
+    rows += [(62, "u\r\nContent-Length: 3", "a WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nhi\r\n\r\nWARC/1.0\r\n"), (63, "é%0D\n", "\r\n"), (None, "x", "y")]
+    warc.write_warc(pages(spark, rows), f"file://{tmp_path}/w", records_per_file=7)
+    got = sorted(((r["page_id"], r["url"], r["html"]) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()), key=str)
+    assert got == sorted(((a, b or "", c or "") for a, b, c in rows), key=str)
+    with pytest.raises(ValueError, match="no WARC record at byte 0"):
+        list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nhi"))
+
+
+def audited(spark, rows, other, **options):
+    return sorted(((r["status"], r["page_id"]) for r in warc.audit(warc.records(pages(spark, rows)), warc.records(pages(spark, other)), **options).collect()), key=lambda r: (r[0], r[1] is None, r[1]))
 
 
 def test_warc_audit(spark):
     rows = [(k, "u", f"page {k} " * (k % 5)) for k in range(300)] + [(None, None, None), (7, "u", "second"), (8, "u", "page 8 " * 3)]
     other = [(k, u, h if k != 33 else h + "!") for k, u, h in rows if k not in (0, 250)] + [(999, "u", "new")]
-    a, b = warc.records(pages(spark, rows)), warc.records(pages(spark, other))
-    found = sorted((r["status"], r["page_id"]) for r in warc.audit(a, b, fanout=4, depth=2).collect())
-    assert found == [("changed", 33), ("extra", 999), ("lost", 0), ("lost", 250)]
+    assert audited(spark, rows, other, fanout=4, depth=2) == [("changed", 33), ("extra", 999), ("lost", 0), ("lost", 250)]
+    a = warc.records(pages(spark, rows))
     assert warc.audit(a, a, fanout=4, depth=2).count() == 0
     assert warc.audit(a, a.limit(0)).count() == len(rows) and warc.audit(a.limit(0), a).filter("status = 'extra'").count() == len(rows)
+    assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_warc_audit_of_clumped_sparse_and_repeated_ids(spark):
+    rows = [(5, "u", f"copy {k}") for k in range(90)] + [(5, "u", "same")] * 40 + [(k * 10**15 - 3 * 10**15, "u", str(k)) for k in range(9)] + [(None, "u", str(k)) for k in range(20)]
+    other = [r for r in rows if r[2] not in ("copy 7", "copy 8")][:-1] + [(5, "u", "copy x")]
+    other.remove((5, "u", "same"))
+    assert audited(spark, rows, other, fanout=4) == [("changed", 5), ("lost", 5), ("lost", 5), ("lost", None)]
+
+
+def test_warc_audit_joins_records_of_differing_leaves_only(spark):
+    rows = [(k, "u", f"page {k}") for k in range(1000)]
+    other = [(k, u, "rot" if k == 500 else h) for k, u, h in rows if k != 17]
+    one, two = (warc.records(pages(spark, x)) for x in (rows, other))
+    ranges = warc.Ranges([one, two], 4)
+    books = [warc.ledger(x, ranges) for x in (one, two)]
+    trees = [warc.tree(b, ranges) for b in books]
+    assert [t[-1].count() for t in trees] == [1, 1]
+    wrong = warc.differing_leaves(*trees, 4)
+    assert sorted(r["node"] for r in wrong.collect()) == [17 // ranges.width, 500 // ranges.width] and ranges.width <= 5
+    assert books[0].join(wrong, books[0]["leaf"] == wrong["node"], "left_semi").count() <= 2 * ranges.width
 
 
 def brute(vectors, every, k):

@@ -111,6 +111,8 @@ def test_top_k(spark):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, shard int, score int")
     got = {tuple(r) for r in topk.top_k(df, shard_rows=64, block_rows=8).collect()}
     assert got == brute(vectors, 50, 5)
+    few = {tuple(r) for r in topk.top_k(df, shard_rows=16, block_rows=4, most_centres=9, sample_rows=100).collect()}
+    assert few == got
     assert topk.top_k(df.limit(0)).count() == 0
     large = spark.createDataFrame([(i, [1e6 * (i + 1), -1e6]) for i in range(4)], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(large).collect()} == brute([(i, [1e6 * (i + 1), -1e6]) for i in range(4)], 50, 5)
@@ -122,3 +124,24 @@ def test_topk_of_a_repeated_query_among_equal_vectors(spark):
     rows = [(0, [1.0, 0.0])] * 4 + [(k, [1.0, 0.0]) for k in range(1, 8)] + [(k, [0.5, 0.0]) for k in range(10, 30)]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k, k) for k in range(1, 6)]
+
+
+def test_topk_scores_few_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    middle = rng.normal(0, 200, (40, 16))
+    x = np.rint(np.concatenate([m + rng.normal(0, 8, (200, 16)) for m in middle])).astype(np.int64)
+    ids, q = np.arange(len(x)), np.arange(0, len(x), 50)
+    lowest = np.full(len(q), -(2**63))
+    row, vec, score, scored = topk.search(topk.BallTree(x), ids, np.arange(len(x) + 1), x, x[q], q, lowest, 5)
+    want = x[q] @ x.T
+    want[np.arange(len(q)), q] = -(2**62)
+    assert (np.sort(score.reshape(-1, 5), axis=1) == np.sort(want, axis=1)[:, -5:]).all()
+    assert scored < 0.25 * len(q) * len(x)
+    bound = np.sort(want, axis=1)[:, -5]
+    assert topk.search(topk.BallTree(x), ids, np.arange(len(x) + 1), x, x[q], q, bound, 5)[3] <= scored
+
+
+def test_topk_keeps_few_ids_of_a_vector(spark):
+    rows = spark.range(3000).selectExpr("id AS vec_id", "array(IF(id % 3 = 0, id, 1L)) AS v")
+    got = {tuple(r["v"]): [tuple(x) for x in r["ids"]] for r in topk.distinct_points(rows.union(rows), 5).collect()}
+    assert got[1,] == [(k, 2) for k in (1, 2, 4, 5, 7, 8)] and got[30,] == [(30, 2)]

@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars on Spark.
 
 Each round is two aggregations to a minimum and joins; hubs are joined, not collected, and the rounds follow the
-logarithm of the longest path. Each round is written to the shared folder.
+logarithm of the longest path. Minima are written before they are joined, so that both sides of a join come straight from a shuffle
+and Spark can split a hub's rows over tasks. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from ptclake.llm.common import discard, materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
     return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "links-least")
     joined = edges.join(least, "u")
     return joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 

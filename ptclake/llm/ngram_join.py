@@ -4,12 +4,16 @@
 2. Equal sets become one class. A class's prefix is its rarest n-grams, so many that two sets at the threshold must have a few
    (``shared``, and one for each ``spread`` of them) in common there; sets with fewer in common with any others are done.
 3. Sets that share a prefix n-gram, and between whose sizes there is no step too wide for a pair, meet in the group of the
-   first such document; groups of many sets are cut into blocks, and each pair of blocks is a piece of work of its own, so no group lands in one task.
-4. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
+   first such document. N-grams that very many documents have are first counted by size, so none of them meets in one task.
+4. Groups are cut into blocks of at most ``block`` sets, each a piece of work of its own. One set for each block and component found so
+   far goes on to the next such round, while these get fewer. Of groups that then still have several components, the sets outside
+   of the largest one are held against each other and against all of it, block by block; pairs that are
+   known to be in one component need no look. So a group of n near copies takes about n sets in blocks, not n squared pairs.
+5. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
    once for all sets of the other block: partial overlaps are shared along a path, and a set leaves a subtree as soon as the
    overlap so far with what remains on both sides can't reach the threshold. Each piece of work returns a spanning
    forest of its links, never all pairs.
-5. Components of these links, over classes, give each document its group.
+6. Components of these links, over classes, give each document its group.
 
 N-grams are compared by 64-bit hashes, sets of equal documents by 128 bits.
 
@@ -20,20 +24,25 @@ takes its class's group and else none); an empty table gives no row; further col
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import materialize, mix, slices, split_words, texts_of, word_hashes
+from ptclake.llm.common import discard, materialize, mix, slices, split_words, texts_of, word_hashes
 from ptclake.llm.components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE_BITS = 16
+#: N-grams whose bucket occurs more often than so many times are counted by size first.
+HOT = 1 << 14
+#: Joins with counts of very frequent n-grams go to so many tasks for each n-gram and size.
+SALT = 16
 
 
 def ngram_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +157,6 @@ def trie_links(sets: list[np.ndarray], levels: np.ndarray, left: np.ndarray, rig
     ``sets`` are sorted distinct hashes, ``left`` and ``right`` indices of them; ``levels`` orders the n-grams.
     """
     sizes = np.fromiter((len(s) for s in sets), np.int64, len(sets))
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if (100 + percent) * both >= percent * int(sizes.sum()) else []
     every = np.concatenate(sets)
     grams, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(counts > 1)  # n-grams of one set alone only count in its size
@@ -212,16 +218,24 @@ def _forest(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if ids[find(i)] != ids[i]]
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 20, filter_bits: int = 23, block: int = 256, largest_block: int = 1024, shared: int = 3, spread: int = 50) -> DataFrame:
+def _bits(n: int, most: int) -> int:
+    """Bits of a table with some buckets for each of n things; it has ``2**most`` bytes at most, beyond which it saves less work."""
+    return min(most, max(20, (4 * n).bit_length()))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int | None = None, filter_bits: int | None = None, block: int = 512, shared: int = 3, spread: int = 50) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     ``bits`` and ``filter_bits`` size two tables of bytes sent to all tasks (order of n-grams; documents that have a
-    partner): they only save work. Groups of more than ``block`` sets are cut into at most 24 blocks, or into more
-    once those would hold over ``largest_block`` sets.
+    partner), by default by the number of documents, up to 2**24 and 2**26 bytes: they only save work. Pieces of work hold at
+    most two blocks of about ``block`` sets.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.count()
+    bits, filter_bits = bits or _bits(rows // 4, 24), filter_bits or _bits(rows, 26)
     levels = spark.sparkContext.broadcast(bucket_levels(docs.select("text"), lambda b: (ngram_sets(texts_of(x), n)[1] for x in slices(b)), bits))
+    hot = int(1 + np.floor(4 * np.log2(HOT)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -229,26 +243,30 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
         for batch in batches:
             for b in slices(batch):
                 offsets, grams = ngram_sets(texts_of(b), n)
-                order = (levels.value[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
-                signs, prefixes, lengths = [], [], []
+                level = levels.value[(grams >> np.uint64(64 - bits)).astype(np.int64)]
+                order = (level.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+                signs, chosen, lengths = [], [], []
                 for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     size = j - i
                     # n-grams beyond those that a partner must have, and some more: a partner has as many of them, in its prefix too
                     long = size + percent * size // -100 + shared + size // spread if size else 0
                     first = np.argpartition(order[i:j], long - 1)[:long] if 0 < long < size else np.arange(size)
-                    prefixes.append(grams[i:j][first])
+                    chosen.append(first + i)
                     lengths.append(len(first))
                     x = xxhash.xxh3_128_intdigest(memoryview(grams[i:j]).cast("B") if size else b"")
                     signs.append((x >> 64, x & (1 << 64) - 1))
                 sign = np.array(signs, np.uint64).view(np.int64).reshape(-1, 2)
-                own = pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), own)
+                at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+                # an n-gram that is very frequent even there is marked
+                pairs = pa.StructArray.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(level[at] > hot)], names=["gram", "hot"])
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pairs)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(sign[:, 0]), pa.array(sign[:, 1]), lists], names=["doc_id", "size", "sign_a", "sign_b", "prefix"])
 
-    sets = materialize(docs.mapInArrow(keys, "doc_id long, size long, sign_a long, sign_b long, prefix array<long>"), "ngram-sets")
+    sets = materialize(docs.mapInArrow(keys, f"doc_id long, size long, sign_a long, sign_b long, prefix {_PREFIX}"), "ngram-sets")
     full = sets.filter("size > 0")
     classes = materialize(full.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("first")), "ngram-classes")
-    links = materialize(_links(docs, full, classes, levels, n, percent, filter_bits, block, largest_block, shared, spread), "ngram-links")
+    members = _members(full, classes, percent, filter_bits, shared, spread)
+    links = _links(docs, members, levels, n, percent, filter_bits, block)
     roots = components(links)
     # documents of an empty set stand for themselves, others for their class
     named = full.select("doc_id", "size", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).select("doc_id", "size", "first")
@@ -256,21 +274,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int =
     return every.join(roots, every["first"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
-def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int, largest_block: int, shared: int, spread: int) -> DataFrame:
-    """Links (u, v) between the first documents of classes: a spanning forest of all links of each piece of work."""
-    spark = docs.sparkSession
-    prefixes = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
-    # Only first documents of classes count. Most documents share no bucket with a copy and are firsts without a look-up; the others are joined.
-    copies = full.select("doc_id", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).filter("doc_id <> first").select("doc_id")
-    copied = spark.sparkContext.broadcast(bucket_levels(copies, lambda b: [id_hash(b.column(0))], filter_bits))
+_PREFIX = "array<struct<gram: long, hot: boolean>>"
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copied.value[(id_hash(b.column(0)) >> np.uint64(64 - filter_bits)).astype(np.int64)] > 0)], names=["doc_id", "size", "prefix", "maybe"])
 
-    split = prefixes.mapInArrow(marked, "doc_id long, size int, prefix array<long>, maybe boolean")
-    looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    grams = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("gram"), "size", "doc_id")
+def _runs(rows: DataFrame, percent: int, shared: int, spread: int) -> DataFrame:
+    """``doc_id, pivot, need, times`` of n-grams (gram, size, doc_id) that several documents have; a task has all of an n-gram."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a batch: whether its run goes on is only seen in the next one
@@ -299,18 +307,60 @@ def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int,
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(times)], names=["doc_id", "pivot", "need", "times"])
 
-    met = grams.repartition("gram").sortWithinPartitions("gram", "size", "doc_id").mapInArrow(meet, "doc_id long, pivot long, need long, times long")
+    dealt = rows.repartition("gram").sortWithinPartitions("gram", "size", "doc_id")
+    return dealt.mapInArrow(meet, "doc_id long, pivot long, need long, times long")
+
+
+def _hot_runs(rows: DataFrame, percent: int, shared: int, spread: int) -> DataFrame:
+    """As ``_runs``, for n-grams that very many documents have: these meet as counts by size, which each document then looks up."""
+    sizes = rows.groupBy("gram", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    by_size = Window.partitionBy("gram").orderBy("size")
+    step = F.coalesce(100 * F.lag("size").over(by_size) < percent * F.col("size"), F.lit(True))
+    runs = sizes.withColumn("new", step.cast("int")).withColumn("run", F.sum("new").over(by_size))
+    whole = Window.partitionBy("gram", "run")
+    runs = runs.select("gram", "size", F.min_by("first", "size").over(whole).alias("pivot"), F.sum("n").over(whole).alias("all")).filter("all > 1")
+    runs = materialize(runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), "ngram-hot")
+    least = -F.floor(-F.lit(percent) * F.col("size") / 100)
+    found = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(runs, ["gram", "size", "salt"])
+    return found.groupBy("doc_id", "pivot", F.least(least, shared + F.floor(least / spread)).cast("long").alias("need")).agg(F.count("*").alias("times"))
+
+
+def _members(full: DataFrame, classes: DataFrame, percent: int, filter_bits: int, shared: int, spread: int) -> DataFrame:
+    """``doc_id, pivot, n``: first documents of classes in groups of n > 1 that may have links."""
+    spark = full.sparkSession
+    prefixes = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
+    # Only first documents of classes count. Most documents share no bucket with a copy and are firsts without a look-up; the others are joined.
+    copies = full.select("doc_id", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).filter("doc_id <> first").select("doc_id")
+    copied = spark.sparkContext.broadcast(bucket_levels(copies, lambda b: [id_hash(b.column(0))], filter_bits))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copied.value[(id_hash(b.column(0)) >> np.uint64(64 - filter_bits)).astype(np.int64)] > 0)], names=["doc_id", "size", "prefix", "maybe"])
+
+    split = prefixes.mapInArrow(marked, f"doc_id long, size int, prefix {_PREFIX}, maybe boolean")
+    looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    grams = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("p"), "size", "doc_id").select("p.gram", "size", "doc_id", "p.hot")
+    met = _runs(grams.filter("NOT hot").drop("hot"), percent, shared, spread).unionByName(_hot_runs(grams.filter("hot").drop("hot"), percent, shared, spread))
     met = materialize(met.groupBy("doc_id", "pivot").agg(F.min("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
     # a document with a link has at least `need` prefix n-grams in common with others; of texts that share an id, the one that needs least counts
     enough = met.groupBy("doc_id").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")
-    met = met.join(enough, "doc_id", "left_semi").select("doc_id", "pivot")
-    met = materialize(met.join(met.groupBy("pivot").count().filter("count > 1").select("pivot"), "pivot", "left_semi"), "ngram-members")
-    large = met.groupBy("pivot").count().filter(F.col("count") >= block).select("pivot", F.least(F.lit(24), F.ceil(F.col("count") / block)).cast("int").alias("few"), F.ceil(F.col("count") / largest_block).cast("int").alias("many"))
-    cut = met.join(large.select("pivot", F.greatest("few", "many").alias("blocks")), "pivot", "left")
-    cut = cut.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    work = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    some = materialize(met.join(enough, "doc_id", "left_semi").select("doc_id", "pivot"), "ngram-some")
+    discard(met)
+    return _sized(some, "ngram-members").filter("n > 1")
 
-    partnered = spark.sparkContext.broadcast(bucket_levels(met.select("doc_id"), lambda b: [id_hash(b.column(0))], filter_bits))
+
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """``doc_id, pivot`` and n, the rows of the pivot's group. Counts are written first, so that the join can split a large group."""
+    counts = materialize(rows.groupBy("pivot").agg(F.count("*").alias("n")), f"{name}-counts")
+    out = materialize(rows.join(counts, "pivot"), name)
+    discard(counts)
+    return out
+
+
+def _links(docs: DataFrame, members: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int) -> DataFrame:
+    """Links (u, v) that connect what all links between the first documents of classes connect."""
+    spark = docs.sparkSession
+    partnered = spark.sparkContext.broadcast(bucket_levels(members.select("doc_id"), lambda b: [id_hash(b.column(0))], filter_bits))
 
     def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,9 +369,51 @@ def _links(docs: DataFrame, full: DataFrame, classes: DataFrame, levels, n: int,
             keep[some] = partnered.value[(id_hash(b.column(0)) >> np.uint64(64 - filter_bits)).astype(np.int64)] > 0
             yield b.filter(pa.array(keep))
 
-    texts = docs.mapInArrow(with_partner, "doc_id long, text string").join(work, "doc_id")
+    texts = docs.mapInArrow(with_partner, "doc_id long, text string")
+    turn = lambda k, m: F.pmod(F.xxhash64("doc_id", F.lit(k)), m).cast("long")
+    found, level, k = [], members, 0
+    while True:
+        own = level.withColumn("own", turn(k, F.ceil(F.col("n") / block)))
+        found.append(materialize(_pieces(texts, own.select("doc_id", "pivot", F.col("own").alias("a"), F.col("own").alias("b"), "own"), levels, n, percent), "ngram-links"))
+        several = own.filter(F.col("n") > block)
+        rows = several.count()
+        if not rows:
+            break
+        # one set for each block and component of it goes on
+        labels = components(_all(found))
+        rest = _labelled(several, labels).groupBy("pivot", "own", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "pivot")
+        level, k = _sized(rest, f"ngram-level-{k}"), k + 1
+        if 2 * level.count() > rows:
+            break
+    large = members.filter(F.col("n") > block)
+    if k:
+        # sets outside of their group's largest component against each other and against it
+        named = materialize(_labelled(large, components(_all(found))).select("doc_id", "pivot", "label"), "ngram-labelled")
+        sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("m"))
+        most = materialize(sizes.groupBy("pivot").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("m")).filter("n > m"), "ngram-largest")
+        cut = named.join(most, "pivot").withColumn("inside", F.col("label") == F.col("most"))
+        mixed, pure = F.ceil((F.col("n") - F.col("m")) / block), F.ceil(F.col("m") / block)
+        cut = cut.select("doc_id", "pivot", "inside", mixed.alias("mixed"), pure.alias("pure")).withColumn("own", F.when(F.col("inside"), F.col("mixed") + turn(k, F.col("pure"))).otherwise(turn(k, F.col("mixed"))))
+        others = F.when(F.col("inside"), F.sequence(F.lit(0).cast("long"), F.col("mixed") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mixed") + F.col("pure") - 1))
+        work = cut.withColumn("other", F.explode(others)).select("doc_id", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+        found.append(materialize(_pieces(texts, work, levels, n, percent), "ngram-links"))
+        discard(named, most)
+    return _all(found)
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``label``, the smallest document that a row's document is known to be connected with."""
+    return rows.join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+
+
+def _pieces(texts: DataFrame, work: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """Links (u, v) by pieces of work (pivot, a, b): a spanning forest of the links between blocks a and b of each."""
     key = ["pivot", "a", "b"]
-    dealt = texts.select(*key, "own", "doc_id", "text").repartition(*key).sortWithinPartitions(*key)
+    dealt = texts.join(work, "doc_id").select(*key, "own", "doc_id", "text").repartition(*key).sortWithinPartitions(*key)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows, found = None, [], []

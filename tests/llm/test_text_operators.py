@@ -230,8 +230,12 @@ def brute_components(ids, texts, percent=80):
     return {ids[i]: (len(sets[i]), ids[find(i)]) for i in range(len(ids))}
 
 
-def test_ngram_join_on_a_group_of_near_copies(spark, duck):
-    """Near copies at all distances, many blocks: no link between different texts is lost."""
+@pytest.mark.parametrize("hot", [1 << 14, 1])
+def test_ngram_join_on_a_group_of_near_copies(spark, monkeypatch, hot):
+    """Near copies at all distances, many blocks: no link between different texts is lost, whether n-grams count as very frequent or not."""
+    from ptclake.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = random.Random(11)
     words = [f"w{k}" for k in range(500)]
     base = [rng.choice(words) for _ in range(80)]
@@ -245,7 +249,7 @@ def test_ngram_join_on_a_group_of_near_copies(spark, duck):
     texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + " " + " ".join(base[:12]) for _ in range(60)] + texts[:5]
     ids = rng.sample(range(10_000), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(docs, bits=10, filter_bits=10, block=16, largest_block=32).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(docs, bits=10, filter_bits=10, block=16).collect()}
     assert got == brute_components(ids, texts)
 
 

@@ -1,7 +1,8 @@
 """Chat formatting: schema fingerprints choose declarative mappings to canonical turns, which a reversible template writes out.
 
-A layout's fingerprint is the hash of its sorted nested field paths. ``MAPPINGS`` ties fingerprints to mappings, each a list of
-Spark SQL expressions; records of an unknown layout are an error for a table and null for JSON records, never guessed.
+A layout's fingerprint is the hash of its sorted nested field paths. ``MAPPINGS`` ties fingerprints to declarative mappings; records of
+an unknown layout are an error for a table and null for JSON records, never guessed. Fields beside those of a known layout are ignored:
+paths are tried whole, then without those that no layout names, then those of each layout that are all there, the longest first.
 
 Template of one turn: ``<s>ROLE[INST] text [/INST]</s>``. Inside roles and texts, each control string gets a backslash behind its
 first character and each backslash is doubled, so a text can't open or close anything, and reading undoes it exactly.
@@ -9,7 +10,9 @@ The loss mask is the escaped text of assistant turns, as spans of code points in
 
 Edge cases: null texts and roles are empty; turns go by number, then role and text (a null number first); repeated rows are
 turns each; rows with a null conversation id form one conversation; an empty table gives no row; further columns are
-left out. One conversation is read as a stream, so its length isn't bound by memory.
+left out. One conversation is read as a stream, so its length isn't bound by memory. In JSON records, texts and roles that are no
+strings stand as their JSON text, list elements that are no objects are turns without a role, numbers of conversations and turns
+that aren't 64-bit integers are null, and lone surrogates become U+FFFD.
 """
 
 from __future__ import annotations
@@ -40,16 +43,16 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def json_paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a JSON value."""
+    """Nested field paths of a JSON value; an empty list or object counts as one field."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in json_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for p in json_paths(v, f"{at}.{k}" if at else k)} or {at}
     if isinstance(value, list):
         return {p for v in value for p in json_paths(v, f"{at}[]")} or {f"{at}[]"}
     return {at}
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 #: Layouts by their field paths: how to get turns (role, text) from a record; ``rows`` are tables with a row for each turn.
@@ -74,50 +77,89 @@ def _canonical_role(role: Column) -> Column:
     return F.coalesce(role, F.lit(""))
 
 
-def canonical_turns(records: DataFrame, key: str = "conv_id", known: tuple[str, ...] = ("conv_id", "turn", "role", "text")) -> DataFrame:
-    """A table of any known layout to ``conv_id, turn, role, text``.
+_NAMED = {p for ps, _ in LAYOUTS.values() for p in ps}
 
-    Columns beside those of a known layout are ignored: the table's field paths are tried whole, then without fields that no
-    layout names, then those of each layout that it has all fields of, the longest first.
-    """
-    paths = field_paths(records.schema)
-    named = {p for ps, _ in LAYOUTS.values() for p in ps}
-    tries = [paths, [p for p in paths if p in named], *sorted((list(ps) for ps, _ in LAYOUTS.values() if set(ps) <= set(paths)), key=len, reverse=True)]
-    mapping = next((m for t in tries if (m := MAPPINGS.get(fingerprint(t)))), None)
-    if mapping is None:
-        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+
+def mapping_of(paths) -> tuple[str, dict] | None:
+    """The fingerprint and mapping for a record's field paths."""
+    paths = set(paths)
+    tries = [paths, paths & _NAMED, *sorted((ps for ps, _ in LAYOUTS.values() if set(ps) <= paths), key=len, reverse=True)]
+    return next(((mark, MAPPINGS[mark]) for t in tries if (mark := fingerprint(t)) in MAPPINGS), None)
+
+
+def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
+    """A table of any known layout to ``conv_id, turn, role, text``."""
+    found = mapping_of(field_paths(records.schema))
+    if found is None:
+        raise ValueError(f"no mapping for the layout {sorted(field_paths(records.schema))}")
+    mapping = found[1]
     if "conv" in mapping:
-        turns = records.select(F.col(mapping["conv"]).cast("long").alias("conv_id"), F.col(mapping["turn"]).cast("long").alias("turn"), F.col(mapping["role"]).alias("role"), F.col(mapping["text"]).alias("text"))
+        turns = records.select(F.col(mapping["conv"]).alias("conv_id"), F.col(mapping["turn"]).alias("turn"), F.col(mapping["role"]).alias("role"), F.col(mapping["text"]).alias("text"))
     elif "each" in mapping:
-        turns = records.select(F.col(key).alias("conv_id"), F.posexplode(mapping["each"]).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t")[mapping["role"]].alias("role"), F.col("t")[mapping["text"]].alias("text"))
+        turns = records.select(F.col(key).alias("conv_id"), F.posexplode(mapping["each"]).alias("turn", "t")).select("conv_id", "turn", F.col("t")[mapping["role"]].alias("role"), F.col("t")[mapping["text"]].alias("text"))
     else:
-        made = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.when(F.col(f) != "", F.col(f)) for f in fields]).alias("text")) for role, *fields in mapping["turns"]]
-        turns = records.select(F.col(key).alias("conv_id"), F.posexplode(F.array(*made)).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.*")
-    return turns.select("conv_id", "turn", _canonical_role(F.col("role").cast("string")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        text = lambda f: F.col(f).cast("string")
+        made = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.when(text(f) != "", text(f)) for f in fields]).alias("text")) for role, *fields in mapping["turns"]]
+        turns = records.select(F.col(key).alias("conv_id"), F.posexplode(F.array(*made)).alias("turn", "t")).select("conv_id", "turn", "t.*")
+    return turns.select(F.col("conv_id").try_cast("long").alias("conv_id"), F.col("turn").try_cast("long").alias("turn"), _canonical_role(F.col("role").cast("string")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _text(value) -> str:
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return _SURROGATE.sub("\ufffd", text)
+
+
+def _integer(value) -> int | None:
+    whole = isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+    return int(value) if whole and -(2**63) <= value < 2**63 else None
+
+
+def record_turns(key: int | None, record, mapping: dict) -> list[tuple[int | None, int | None, str, str]]:
+    """Conversation, turn, role and text of a record's turns by its mapping."""
+    if "conv" in mapping:
+        conv, turn, role, text = (record.get(mapping[k]) for k in ("conv", "turn", "role", "text"))
+        rows = [(_integer(conv), _integer(turn), _text(role), _text(text))]
+    elif "each" in mapping:
+        turns = [t if isinstance(t, dict) else {mapping["text"]: t} for t in record[mapping["each"]]]
+        rows = [(key, i, _text(t.get(mapping["role"])), _text(t.get(mapping["text"]))) for i, t in enumerate(turns)]
+    else:
+        rows = [(key, i, role, "\n".join(filter(None, (_text(record.get(f)) for f in fields)))) for i, (role, *fields) in enumerate(mapping["turns"])]
+    return [(k, i, ROLES.get(role, role), text) for k, i, role, text in rows]
 
 
 def json_turns(records: DataFrame, key: str, payload: str) -> DataFrame:
-    """JSON records of mixed layouts, a record in column ``payload``: ``conv_id, layout, turn, role, text`` (unknown layouts: null turn)."""
+    """JSON records of mixed layouts, a record in column ``payload``: ``conv_id, layout, turn, role, text``.
+
+    Each record's fingerprint chooses its mapping; what is no record of a known layout is one row with null turn, role and text.
+    """
 
     def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[frozenset, tuple[str, dict] | None] = {}
         for f in frames:
             out = []
-            for k, raw in zip(f[key], f[payload], strict=True):
+            for k, raw in zip(f["k"], f["payload"], strict=True):
+                k = None if pd.isna(k) else int(k)
                 try:
                     record = json.loads(raw)
-                except (TypeError, ValueError):
-                    record = None
-                mark = fingerprint(json_paths(record)) if isinstance(record, dict) else ""
-                m = MAPPINGS.get(mark)
-                if m is None or "conv" in m:
-                    out.append((k, mark, None, None, None))
-                elif "each" in m:
-                    out.extend((k, mark, i, ROLES.get(t.get(m["role"]), t.get(m["role"])) or "", t.get(m["text"]) or "") for i, t in enumerate(record[m["each"]]))
+                    paths = frozenset(json_paths(record)) if isinstance(record, dict) else frozenset()
+                except (TypeError, ValueError, RecursionError):
+                    record, paths = None, frozenset()
+                if paths not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[paths] = mapping_of(paths) if paths else None
+                if known[paths] is None:
+                    out.append((k, fingerprint(paths) if paths else "", None, None, None))
                 else:
-                    out.extend((k, mark, i, role, "\n".join(record[x] for x in fields if record.get(x))) for i, (role, *fields) in enumerate(m["turns"]))
-            yield pd.DataFrame(out, columns=["conv_id", "layout", "turn", "role", "text"]).astype({"turn": "Int64"})
+                    mark, mapping = known[paths]
+                    out.extend((c, mark, i, role, text) for c, i, role, text in record_turns(k, record, mapping))
+            yield pd.DataFrame(out, columns=["conv_id", "layout", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
-    return records.select(F.col(key).cast("long").alias(key), F.col(payload).cast("string").alias(payload)).mapInPandas(convert, "conv_id long, layout string, turn long, role string, text string")
+    made = records.select(F.col(key).try_cast("long").alias("k"), F.col(payload).cast("string").alias("payload"))
+    return made.mapInPandas(convert, "conv_id long, layout string, turn long, role string, text string")
 
 
 def escape(text: str) -> str:

@@ -52,6 +52,13 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of the frame has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def with_positions(df: DataFrame, keys: list, weight: str | None = None, name: str = "positions", pos: str = "pos", start: str = "start") -> DataFrame:
     """Adds ``pos`` (0-based rank in the order of ``keys``) and, with ``weight``, ``start`` (weights of all rows before).
 

@@ -129,13 +129,18 @@ def score(docs: DataFrame, weights: np.ndarray, keep: float | None = None) -> Da
             for b in slices(batch):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(texts_of(b)))], names=["doc_id", "score"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch):
-                yield b.filter(pa.array(scores(texts_of(b)) >= keep))
-
     if keep is not None:
-        return docs.mapInArrow(choose, docs.schema)
+        # rows stand in a column of their own, whatever their columns' names
+        carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        at = [c.lower() for c in docs.columns].index("text")
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row = batch.column(0)
+                for b in slices(pa.RecordBatch.from_arrays([row, row.field(at).cast(pa.string())], names=["row", "text"])):
+                    yield b.select([0]).filter(pa.array(scores(texts_of(b)) >= keep))
+
+        return carried.mapInArrow(choose, carried.schema).select("row.*")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(give, "doc_id long, score double")
 
 

@@ -31,6 +31,21 @@ def test_layouts(spark):
     for k in (1, 2, 3, 5):
         assert sorted(got[k]) == [(0, "user", "q"), (1, "assistant", "a")]
     assert sorted(got[4])[0] == (0, "user", "q\nx") and got[6] == got[7] == [(None, None, None)]
+    more = [
+        ({"prompt": 5, "response": "x"}, [(0, "user", "5"), (1, "assistant", "x")]), ({"messages": [{"role": 1, "content": 2.5}, "loose"], "id": 9}, [(0, "1", "2.5"), (1, "", '"loose"'.strip('"'))]),
+        ({"messages": [{"role": "user", "content": None}, {"role": "user", "content": [{"type": "text"}]}]}, [(0, "user", ""), (1, "user", '[{"type": "text"}]')]), ({"messages": []}, [(None, None, None)]), ({"messages": {}}, [(None, None, None)]),
+        ({"instruction": {"a": 1}, "output": "x"}, [(None, None, None)]), ([1], [(None, None, None)]), ({"conv_id": 77, "turn": 2, "role": "gpt", "text": "t", "extra": {"x": []}}, [(2, "assistant", "t")]),
+        ({"conv_id": "a", "turn": 1e30, "role": None, "text": True}, [(None, "", "true")]), ({"prompt": "\ud800", "response": None}, [(0, "user", "\ufffd"), (1, "assistant", "")]), ({}, [(None, None, None)]),
+    ]
+    raw = [(100 + k, json.dumps(v)) for k, (v, _) in enumerate(more)] + [(None, "{"), (300, "[" * 100_000), (301, "NaN")]
+    got = chat.json_turns(spark.createDataFrame([(k, v, "x") for k, v in raw], "k long, conv_id string, payload string"), "k", "conv_id").collect()
+    for k, (_, want) in enumerate(more):
+        own = {7: 77, 8: None}.get(k, 100 + k)
+        assert [(r["turn"], r["role"], r["text"]) for r in got if r["conv_id"] == own and (own is not None or r["layout"])] == want, more[k]
+    assert len(got) == sum(len(w) for _, w in more) + 3
+    assert chat.json_turns(df.limit(0), "conv_id", "payload").count() == 0
+    mixed = spark.createDataFrame([("a", 1, 2)], "conv_id string, prompt int, response long")
+    assert [tuple(r) for r in chat.canonical_turns(mixed).orderBy("turn").collect()] == [(None, 0, "user", "1"), (None, 1, "assistant", "2")]
     table = spark.read.json(spark.sparkContext.parallelize([json.dumps({"conv_id": 1, **rows[0][1], "extra": 3})]))
     assert [(r["turn"], r["role"], r["text"]) for r in chat.canonical_turns(table).orderBy("turn").collect()] == [(0, "user", "q"), (1, "assistant", "a")]
     with pytest.raises(ValueError, match="no mapping"):

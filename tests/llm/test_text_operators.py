@@ -110,6 +110,39 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     token_files.write_token_ids(no_docs, f"file://{tmp_path}/none", P.path("byte_bpe_50k.json"), 0)
 
 
+def library_ids(file, texts, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(file))
+    t.encode_special_tokens = True
+    return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_file_rows_are_the_librarys(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    want, at = {}, 0
+    for d, ids in zip(docs, library_ids("byte_bpe_50k.json", [d["text"] for d in docs], 0), strict=True):
+        want[d["doc_id"]] = (at, len(ids), crc(ids))
+        at += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op8_token_files"](spark, SF).collect()} == want
+
+
+def test_token_files_have_filters_indexes_and_run_lengths(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    token_files.write_token_ids(spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), path, P.path("byte_bpe_50k.json"), 0, row_index_stride=1000)
+    orc, jvm = spark._jvm.org.apache.orc, spark._jvm
+    (file, *_) = [str(f) for f in sorted((tmp_path / "ids").glob("part-*"))]
+    reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    footer = reader.rows().readStripeFooter(reader.getStripes()[0])
+    kinds = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+    assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(k.startswith("BLOOM") and c != 1 for c, k in kinds)
+    assert str(footer.getColumns(1).getKind()) == str(footer.getColumns(5).getKind()) == "DIRECT_V2" and reader.getRowIndexStride() == 1000
+
+
 def check_packs(rows, limit):
     packs = {}
     for r in rows:
@@ -137,6 +170,29 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, P.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_packed_pieces_are_the_librarys(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    ids = dict(zip(docs, library_ids("word_bpe_49k.json", docs.values(), 2), strict=True))
+    rows = QUERIES["op2_packing"](spark, SF).collect()
+    check_packs(rows, 4096)
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[r["start"] : r["start"] + r["length"]])
+    assert {d: sorted((r["start"], r["start"] + r["length"]) for r in rows if r["doc_id"] == d) for d in docs} == {d: [(k, min(k + 4096, len(x))) for k in range(0, len(x), 4096)] for d, x in ids.items()}
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, 10 + k % 7, "a", 5, 6) for k in range(100)], "pos long, length long, base string, sequence_id int, first int")
+    got = packing.assign(rows, 64).collect()
+    assert check_packs(got, 64) and sorted((r["pos"], r["length"], r["base"], r["first"]) for r in got) == sorted((k, 10 + k % 7, "a", 6) for k in range(100))
+
+
+@pytest.mark.parametrize("h", [{100: 1000}, {2048: 1, 100: 1000}, {1500: 10, 300: 5000}])
+def test_few_lengths_pack_within_a_twentieth(h):
+    packs = sum(n for _, n in packing.pack_histogram(h, 4096))
+    assert packs <= 1.05 * sum(k * n for k, n in h.items()) / 4096 + 1
+
+
 def test_histogram_packing_steps_follow_lengths():
     rng = random.Random(2)
     h = {k: rng.randint(1, 10**9) for k in range(1, 4097)}
@@ -212,6 +268,35 @@ def test_sparse_scores_equal_dense():
     assert w[:-1] @ x > w[:-1] @ np.bincount(index[offsets[2] : offsets[3]], minlength=1 << bits)
 
 
+def test_scores_equal_brute_force(spark, odd_docs):
+    """Whole features by their definition, dense dot products in plain loops."""
+    bits = 12
+    w = np.random.default_rng(1).normal(0, 1, (1 << bits) + 1).astype(np.float32)
+    m = (1 << 64) - 1
+
+    def mix(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by & m
+        return x ^ x >> 31
+
+    import xxhash
+
+    golden = 0x9E3779B97F4A7C15
+    docs = odd_docs.select("doc_id", "text").filter("doc_id <> 9").unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id > 20 AND doc_id < 40").select("doc_id", "text"))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, w).collect()}
+    for r in docs.filter("doc_id IS NOT NULL AND doc_id <> 11").collect():
+        words = WORD.findall(r["text"] or "")
+        h = [xxhash.xxh3_64_intdigest(x.encode()) for x in words]
+        s = [xxhash.xxh3_64_intdigest(quality_classifier._shape(x).encode()) * (3 if i and words[i - 1] == x else 1) & m for i, x in enumerate(words)]
+        grams = [(1, x) for x in h] + [(2, (a * golden + b) & m) for a, b in zip(h, h[1:])] + [(3, x) for x in s] + [(4, (a * golden + b) & m) for a, b in zip(s, s[1:])]
+        grams += [(5, ((a * golden + b) * golden + c) & m) for a, b, c in zip(s, s[1:], s[2:])]
+        x = np.zeros(1 << bits)
+        for salt, g in grams:
+            x[mix(g + salt * golden & m) >> 64 - bits] += 1
+        z = w[:-1].astype(float) @ x / (np.sqrt((x * x).sum()) or 1) + w[-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def brute_components(ids, texts, percent=80):
     sets, root = sets_of(texts), list(range(len(ids)))
 
@@ -435,3 +520,39 @@ def test_pipeline(spark, odd_docs):
     assert {r["doc_id"] for r in packed} == {c for _, c in groups.values()}
     odd = stages["near duplicates"](spark, odd_docs, SF)
     assert odd.columns == odd_docs.columns and sorted(r["doc_id"] for r in odd.filter("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 10, 11, 12, 13, 14]
+    assert [r["text"] for r in odd.filter("doc_id IS NULL").collect()] == ["no id at all"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    more = odd_docs.withColumns({"_n": F.lit(1), "number": F.lit("x"), "row2": F.create_map(F.lit("k"), F.col("doc_id")), "a.b": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SF)
+        if name != "packing":
+            assert out.dtypes == more.dtypes
+        assert out.count() > 0 if name != "quality rules" else out.count() >= 0
+        assert stage(spark, no_docs.limit(0), SF).count() == 0
+    assert stage is corpus_pipeline.packing_stage and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd_docs.collect()}
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(7, one), (7, two), (7, two), (8, one + " more"), (3, two + " end"), (None, one), (None, "alone")], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(7, one), (3, two + " end"), (None, "alone")], key=str)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from ptclake.llm.common import scratch
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    assert scratch(session("local[4]"), "x").startswith("file://")
+    with pytest.raises(ValueError, match="must name a folder"):
+        scratch(session("spark://host:7077"), "x")

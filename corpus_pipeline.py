@@ -1,15 +1,16 @@
 """A corpus pipeline over ``documents``: quality rules, quality classifier, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``, with the rows that they keep unchanged.
+stage's docs. All but the last return the columns of ``documents``, with the rows that they keep unchanged, further columns of any
+name and type included. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import materialize, table
+from ptclake.llm.common import discard, free_name, materialize, table, with_positions
 from ptclake.llm.ngram_join import ngram_components
 from ptclake.llm.packing import pack_documents
 from ptclake.llm.quality_classifier import held_out, score, train
@@ -17,16 +18,22 @@ from ptclake.llm.quality_rules import RULES, text_statistics, verdict
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the rule table; the projection stands beside the row, so nothing is joined."""
-    cols = docs.columns
-    carried = docs.select(F.struct(*cols).alias("row"), "doc_id", "text")
+    """Documents that pass the base rule and the rule table; the projection stands beside the row, so nothing is joined.
+
+    Null and empty texts have no words and go; rows without an id and repeated rows are judged each.
+    """
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     judged = text_statistics(carried, carry="row")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.filter(~base & verdict(RULES)).select("row.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good; it learns from the labelled rows of the whole table, held-out fold aside."""
+    """Documents that the classifier takes for good; it learns from the labelled rows of the whole table, held-out fold aside.
+
+    Null and empty texts score by the intercept; without any label every score is 0.5 and all stay; rows without an id and repeated rows
+    are scored each.
+    """
     weights = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out()))
     return score(docs, weights, keep=0.5)
 
@@ -34,16 +41,18 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id.
 
-    Rows that repeat an id leave one row, the one with the smallest hash; rows without an id stay.
+    A document is a row: rows are numbered in the order of their ids (none last) and texts, and the join runs on these numbers. So of
+    rows that share an id, only those whose texts are near copies leave one; different texts stay. Texts without words are no copies
+    of anything and all stay.
     """
-    firsts = ngram_components(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(materialize(firsts, "firsts"), "doc_id", "left_semi")
-    once = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).filter("_n = 1").drop("_n")
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    numbered = with_positions(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name="pipeline-numbers", pos=(number := free_name(docs, "number")))
+    groups = ngram_components(numbered.select(F.col(number).alias("doc_id"), "text"), n=5, percent=80)
+    firsts = materialize(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(number)), "pipeline-firsts")
+    return numbered.join(firsts, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 4096 tokens."""
+    """Pieces of all documents, packed into sequences of 4096 tokens; null and empty texts are one piece with the end id."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, limit=4096)
@@ -57,7 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(*([before] if before is not None else []))
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

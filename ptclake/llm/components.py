@@ -40,8 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(edges)
     while True:
-        before, edges = edges, materialize(_small_star(_large_star(edges).distinct()).distinct(), "links")
-        discard(before)
+        large = materialize(_large_star(edges).distinct(), "links-large")
+        before, edges = edges, materialize(_small_star(large).distinct(), "links")
+        discard(before, large)
         if (now := _mark(edges)) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now

@@ -5,8 +5,8 @@
    (``shared``, and one for each ``spread`` of them) in common there; sets with fewer in common with any others are done.
 3. Sets that share a prefix n-gram, and between whose sizes there is no step too wide for a pair, meet in the group of the
    first such document. N-grams that very many documents have are first counted by size, so none of them meets in one task.
-4. Groups are cut into blocks of at most ``block`` sets, each a piece of work of its own. One set for each block and component found so
-   far goes on to the next such round, while these get fewer. Of groups that then still have several components, the sets outside
+4. Groups are cut into blocks of at most ``block`` sets, each a piece of work of its own. One set for each component that a block's own
+   links make goes on to the next such round, while these get fewer. Of groups that then still have several components, the sets outside
    of the largest one are held against each other and against all of it, block by block; pairs that are
    known to be in one component need no look. So a group of n near copies takes about n sets in blocks, not n squared pairs.
 5. Within a piece of work, the sets of one block are stored from their frequent end in a path-compressed trie. It is walked
@@ -223,7 +223,7 @@ def _bits(n: int, most: int) -> int:
     return min(most, max(20, (4 * n).bit_length()))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int | None = None, filter_bits: int | None = None, block: int = 512, shared: int = 3, spread: int = 50) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int | None = None, filter_bits: int | None = None, block: int = 256, shared: int = 3, spread: int = 50) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     ``bits`` and ``filter_bits`` size two tables of bytes sent to all tasks (order of n-grams; documents that have a
@@ -266,8 +266,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int |
     full = sets.filter("size > 0")
     classes = materialize(full.groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("first")), "ngram-classes")
     members = _members(full, classes, percent, filter_bits, shared, spread)
-    links = _links(docs, members, levels, n, percent, filter_bits, block)
-    roots = components(links)
+    roots = _roots(docs, members, levels, n, percent, filter_bits, block)
     # documents of an empty set stand for themselves, others for their class
     named = full.select("doc_id", "size", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).select("doc_id", "size", "first")
     every = named.unionByName(sets.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("first")))
@@ -340,7 +339,9 @@ def _members(full: DataFrame, classes: DataFrame, percent: int, filter_bits: int
     split = prefixes.mapInArrow(marked, f"doc_id long, size int, prefix {_PREFIX}, maybe boolean")
     looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     grams = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("p"), "size", "doc_id").select("p.gram", "size", "doc_id", "p.hot")
-    met = _runs(grams.filter("NOT hot").drop("hot"), percent, shared, spread).unionByName(_hot_runs(grams.filter("hot").drop("hot"), percent, shared, spread))
+    met = _runs(grams.filter("NOT hot").drop("hot"), percent, shared, spread)
+    if not full.filter(F.exists("prefix", lambda p: p["hot"])).isEmpty():
+        met = met.unionByName(_hot_runs(grams.filter("hot").drop("hot"), percent, shared, spread))
     met = materialize(met.groupBy("doc_id", "pivot").agg(F.min("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
     # a document with a link has at least `need` prefix n-grams in common with others; of texts that share an id, the one that needs least counts
     enough = met.groupBy("doc_id").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")
@@ -357,8 +358,8 @@ def _sized(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _links(docs: DataFrame, members: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int) -> DataFrame:
-    """Links (u, v) that connect what all links between the first documents of classes connect."""
+def _roots(docs: DataFrame, members: DataFrame, levels, n: int, percent: int, filter_bits: int, block: int) -> DataFrame:
+    """``node, root`` of the first documents of classes that have links, whose root is another one."""
     spark = docs.sparkSession
     partnered = spark.sparkContext.broadcast(bucket_levels(members.select("doc_id"), lambda b: [id_hash(b.column(0))], filter_bits))
 
@@ -374,35 +375,34 @@ def _links(docs: DataFrame, members: DataFrame, levels, n: int, percent: int, fi
     found, level, k = [], members, 0
     while True:
         own = level.withColumn("own", turn(k, F.ceil(F.col("n") / block)))
-        found.append(materialize(_pieces(texts, own.select("doc_id", "pivot", F.col("own").alias("a"), F.col("own").alias("b"), "own"), levels, n, percent), "ngram-links"))
+        links = materialize(_pieces(texts, own.select("doc_id", "pivot", F.col("own").alias("a"), F.col("own").alias("b"), "own"), levels, n, percent), "ngram-links")
+        found.append(links.select("u", "v"))
         several = own.filter(F.col("n") > block)
         rows = several.count()
         if not rows:
             break
-        # one set for each block and component of it goes on
-        labels = components(_all(found))
-        rest = _labelled(several, labels).groupBy("pivot", "own", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "pivot")
+        # a block's forest leads to the smallest set of each of its components, which goes on
+        rest = several.join(links.select("pivot", F.col("u").alias("doc_id")), ["pivot", "doc_id"], "left_anti").select("doc_id", "pivot")
         level, k = _sized(rest, f"ngram-level-{k}"), k + 1
         if 2 * level.count() > rows:
             break
-    large = members.filter(F.col("n") > block)
-    if k:
-        # sets outside of their group's largest component against each other and against it
-        named = materialize(_labelled(large, components(_all(found))).select("doc_id", "pivot", "label"), "ngram-labelled")
-        sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("m"))
-        most = materialize(sizes.groupBy("pivot").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("m")).filter("n > m"), "ngram-largest")
-        cut = named.join(most, "pivot").withColumn("inside", F.col("label") == F.col("most"))
-        mixed, pure = F.ceil((F.col("n") - F.col("m")) / block), F.ceil(F.col("m") / block)
-        cut = cut.select("doc_id", "pivot", "inside", mixed.alias("mixed"), pure.alias("pure")).withColumn("own", F.when(F.col("inside"), F.col("mixed") + turn(k, F.col("pure"))).otherwise(turn(k, F.col("mixed"))))
-        others = F.when(F.col("inside"), F.sequence(F.lit(0).cast("long"), F.col("mixed") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mixed") + F.col("pure") - 1))
-        work = cut.withColumn("other", F.explode(others)).select("doc_id", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
-        found.append(materialize(_pieces(texts, work, levels, n, percent), "ngram-links"))
-        discard(named, most)
-    return _all(found)
-
-
-def _all(found: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, found)
+    roots = components(functools.reduce(DataFrame.unionByName, found))
+    if not k:
+        return roots
+    # sets outside of their group's largest component against each other and against it
+    named = materialize(_labelled(members.filter(F.col("n") > block), roots).select("doc_id", "pivot", "label"), "ngram-labelled")
+    sizes = named.groupBy("pivot", "label").agg(F.count("*").alias("m"))
+    most = materialize(sizes.groupBy("pivot").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("m")).filter("n > m"), "ngram-largest")
+    if most.isEmpty():
+        return roots
+    cut = named.join(most, "pivot").withColumn("inside", F.col("label") == F.col("most"))
+    mixed, pure = F.ceil((F.col("n") - F.col("m")) / block), F.ceil(F.col("m") / block)
+    cut = cut.select("doc_id", "pivot", "inside", mixed.alias("mixed"), pure.alias("pure")).withColumn("own", F.when(F.col("inside"), F.col("mixed") + turn(k, F.col("pure"))).otherwise(turn(k, F.col("mixed"))))
+    others = F.when(F.col("inside"), F.sequence(F.lit(0).cast("long"), F.col("mixed") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mixed") + F.col("pure") - 1))
+    work = cut.withColumn("other", F.explode(others)).select("doc_id", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    more = materialize(_pieces(texts, work, levels, n, percent).select("u", "v"), "ngram-links")
+    discard(named, most)
+    return components(roots.toDF("u", "v").unionByName(more))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -411,7 +411,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pieces(texts: DataFrame, work: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """Links (u, v) by pieces of work (pivot, a, b): a spanning forest of the links between blocks a and b of each."""
+    """``pivot, u, v`` by pieces of work (pivot, a, b): of the links between blocks a and b, a forest of each set u to the smallest one v that it reaches."""
     key = ["pivot", "a", "b"]
     dealt = texts.join(work, "doc_id").select(*key, "own", "doc_id", "text").repartition(*key).sortWithinPartitions(*key)
 
@@ -423,12 +423,13 @@ def _pieces(texts: DataFrame, work: DataFrame, levels, n: int, percent: int) ->
                 ids, owns, own_sets = [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows]
                 a, b = last[1:]
                 left = np.flatnonzero(owns == a)
-                found.extend(_forest(ids, trie_links(own_sets, levels.value, left, np.flatnonzero(owns == b), percent)) if len(left) and (owns == b).any() else [])
+                if len(left) and (owns == b).any():
+                    found.extend((last[0], u, v) for u, v in _forest(ids, trie_links(own_sets, levels.value, left, np.flatnonzero(owns == b), percent)))
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            pairs = np.array(found, np.int64).reshape(-1, 3)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], names=["pivot", "u", "v"])
 
         for batch in batches:
             for b in slices(batch):
@@ -443,4 +444,4 @@ def _pieces(texts: DataFrame, work: DataFrame, levels, n: int, percent: int) ->
         done()
         yield flush()
 
-    return dealt.mapInArrow(join, "u long, v long").distinct()
+    return dealt.mapInArrow(join, "pivot long, u long, v long")

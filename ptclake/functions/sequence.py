@@ -46,8 +46,7 @@ def positions_of(seq: Column, words: tuple[str, ...], start: Column | int = 1, s
 
 def has_uorf(seq: Column) -> Column:
     """Any ATG with a stop behind it in frame."""
-    stops = positions_of(seq, STOPS)
-    return F.exists(positions_of(seq, ("ATG",)), lambda i: F.exists(stops, lambda j: (j > i) & ((j - i) % 3 == 0)))
+    return seq.rlike(f"ATG(?:[\\s\\S]{{3}})*?(?:{'|'.join(STOPS)})")
 
 
 def inframe_atgs(cds: Column) -> Column:

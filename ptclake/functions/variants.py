@@ -82,15 +82,31 @@ def allele_ratios(ref: Column, alt: Column, total: Column) -> Column:
 
 def label_escape(ratio: Column) -> Column:
     """0.35 <= ratio <= 0.65 is escape (true), above 0.65 not (false), else null."""
-    return F.when((ratio >= 0.35) & (ratio <= 0.65), True).when(ratio > 0.65, False)
+    low, high = ESCAPE_RATIOS
+    return F.when((ratio >= low) & (ratio <= high), True).when(ratio > high, False)
+
+
+# Cut-offs and names that results must agree on.
+ESCAPE_RATIOS = (0.35, 0.65)
+TIERS = ((0.20, "High-confidence NMD"), (0.35, "Likely NMD"), (0.65, "Ambiguous"), (0.80, "Likely escape"))
+LAST_TIER = "High-confidence escape"
+POSITION_EDGES = [0, 100, 200, 300, 700]
+DOWNSTREAM_EJC_EDGES = [2, 5, 9, 14]
+LOEUF_EDGES, PLI_EDGES = (0.2, 0.6), (0.35, 0.65)
+PHASTCONS_EDGES, PHYLOP_EDGES = (0.1, 0.5), (0.5, 2.0)
+AUG_DISTANCES = ((50, "very_close"), (100, "close"), (200, "moderate"), (500, "far"))
+#: The rule tree: score and rule of each leaf in the order of the tests, its two limits, and the scores between classes.
+RULE_LEAVES = {"last_exon": 0.0, "start_proximal": 0.12, "long_exon": 0.41, "50nt_rule": 0.20, "trigger": 0.65}
+START_PROXIMAL, LONG_EXON = 150, 407
+TRIGGERING_ABOVE, EVADING_BELOW = 0.52, 0.25
 
 
 def assign_tier(probability: Column) -> Column:
-    """Tiers [low, high) at 0.20, 0.35, 0.65, 0.80; ``Unknown`` for null."""
+    """Tiers [low, high) at the edges of TIERS; ``Unknown`` for null."""
     out = F.when(probability.isNull(), "Unknown")
-    for edge, name in ((0.20, "High-confidence NMD"), (0.35, "Likely NMD"), (0.65, "Ambiguous"), (0.80, "Likely escape")):
+    for edge, name in TIERS:
         out = out.when(probability < edge, name)
-    return out.otherwise("High-confidence escape")
+    return out.otherwise(LAST_TIER)
 
 
 def cut(value: Column, edges: list[float], labels: list[str], right: bool = False, include_edge: bool = True) -> Column:
@@ -105,9 +121,6 @@ def cut(value: Column, edges: list[float], labels: list[str], right: bool = Fals
     return out
 
 
-POSITION_EDGES = [0, 100, 200, 300, 700]
-
-
 def position_bin(distance: Column) -> Column:
     """Bins 0-100, 100-200, 200-300, 300-700 and from 700, left-closed; the last is open-ended."""
     return cut(distance, [*POSITION_EDGES, float("inf")], ["0-100", "100-200", "200-300", "300-700", "700+"])
@@ -115,23 +128,27 @@ def position_bin(distance: Column) -> Column:
 
 def downstream_ejc_bin(count: Column) -> Column:
     """Right-closed bins at 2, 5, 9, 14."""
-    return cut(count, [float("-inf"), 2, 5, 9, 14, float("inf")], ["0-2", "3-5", "6-9", "10-14", "15+"], right=True)
+    return cut(count, [float("-inf"), *DOWNSTREAM_EJC_EDGES, float("inf")], ["0-2", "3-5", "6-9", "10-14", "15+"], right=True)
 
 
 def constraint_bins(loeuf: Column, pli: Column) -> Column:
     """LOEUF at 0.2 and 0.6, pLI at 0.35 and 0.65."""
-    return F.struct(F.when(loeuf < 0.2, "constrained").when(loeuf < 0.6, "intermediate").when(loeuf >= 0.6, "tolerant").alias("loeuf_cat"), F.when(pli < 0.35, "low").when(pli <= 0.65, "intermediate").when(pli > 0.65, "high").alias("pli_cat"))
+    (a, b), (c, d) = LOEUF_EDGES, PLI_EDGES
+    return F.struct(F.when(loeuf < a, "constrained").when(loeuf < b, "intermediate").when(loeuf >= b, "tolerant").alias("loeuf_cat"), F.when(pli < c, "low").when(pli <= d, "intermediate").when(pli > d, "high").alias("pli_cat"))
 
 
 def conservation_bins(phastcons: Column, phylop: Column) -> Column:
     """phastCons at 0.1 and 0.5, phyloP at 0.5 and 2."""
     three = lambda x, a, b: F.when(x < a, "low").when(x < b, "medium").when(x >= b, "high")
-    return F.struct(three(phastcons, 0.1, 0.5).alias("phastcons_cat"), three(phylop, 0.5, 2.0).alias("phylop_cat"))
+    return F.struct(three(phastcons, *PHASTCONS_EDGES).alias("phastcons_cat"), three(phylop, *PHYLOP_EDGES).alias("phylop_cat"))
 
 
 def aug_distance_bin(distance: Column) -> Column:
     """Null is no_inframe_AUG; edges 50, 100, 200, 500."""
-    return F.when(distance.isNull(), "no_inframe_AUG").when(distance < 50, "very_close").when(distance < 100, "close").when(distance < 200, "moderate").when(distance < 500, "far").otherwise("very_far")
+    out = F.when(distance.isNull(), "no_inframe_AUG")
+    for edge, name in AUG_DISTANCES:
+        out = out.when(distance < edge, name)
+    return out.otherwise("very_far")
 
 
 def aug_frame_status(plus1: Column, plus2: Column) -> Column:
@@ -141,12 +158,13 @@ def aug_frame_status(plus1: Column, plus2: Column) -> Column:
 
 def rule_tree(last_exon: Column, dist_to_start: Column, exon_length: Column, penult_last50: Column) -> Column:
     """struct(score, rule, class): the first branch that holds decides; a branch whose input is missing makes all null."""
-    score = F.when(last_exon.isNull(), None).when(last_exon, 0.0)
-    rule = F.when(last_exon.isNull(), None).when(last_exon, "last_exon")
-    for test, value, name in ((dist_to_start < 150, 0.12, "start_proximal"), (exon_length > 407, 0.41, "long_exon"), (penult_last50, 0.20, "50nt_rule")):
-        score, rule = score.when(test.isNull(), None).when(test, value), rule.when(test.isNull(), None).when(test, name)
-    score, rule = score.otherwise(0.65), rule.otherwise("trigger")
-    return F.struct(score.alias("score"), rule.alias("rule"), F.when(score > 0.52, "NMD_triggering").when(score < 0.25, "NMD_evading").when(score.isNotNull(), "intermediate").alias("class"))
+    tests = {"last_exon": last_exon, "start_proximal": dist_to_start < START_PROXIMAL, "long_exon": exon_length > LONG_EXON, "50nt_rule": penult_last50}
+    score, rule = F.when(F.lit(False), F.lit(None).cast("double")), F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, test in tests.items():
+        score, rule = score.when(test.isNull(), None).when(test, RULE_LEAVES[name]), rule.when(test.isNull(), None).when(test, name)
+    score, rule = score.otherwise(RULE_LEAVES["trigger"]), rule.otherwise("trigger")
+    kind = F.when(score > TRIGGERING_ABOVE, "NMD_triggering").when(score < EVADING_BELOW, "NMD_evading").when(score.isNotNull(), "intermediate")
+    return F.struct(score.alias("score"), rule.alias("rule"), kind.alias("class"))
 
 
 def ptc_distances(pos: Column, ends: Column) -> Column:

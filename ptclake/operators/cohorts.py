@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ptclake.functions.variants import label_escape, parse_annotations, split_txnames, strip_version
+from ptclake.functions.variants import coerce_bool, label_escape, parse_annotations, split_txnames, strip_version
+from ptclake.operators.ranks import numbered, range_number, value_cuts
 
 
 def filter_consequence(sites: DataFrame, column: str = "ann", stopgain_only: bool = False) -> DataFrame:
@@ -21,6 +22,11 @@ def filter_defined_alt(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("alt").contains("N"))
 
 
+def filter_ptc(df: DataFrame, column: str = "is_ptc") -> DataFrame:
+    """Rows marked as premature stops; a mark that isn't true in any spelling is none."""
+    return df.filter(F.coalesce(coerce_bool(F.col(column)), F.lit(False)))
+
+
 def filter_het(df: DataFrame) -> DataFrame:
     """Genotype 0/1."""
     return df.filter(F.col("gt") == "0/1")
@@ -108,12 +114,12 @@ def variant_frequency(df: DataFrame, key: str = "key") -> DataFrame:
 def ase_resample(counts: DataFrame, draws: int = 100) -> DataFrame:
     """Per key (key, read_id, refCount, totalCount): the median over draws of the ratio refCount/totalCount of one read row each.
 
-    Draw t takes the row at ``hash(key, t) mod n`` in the order of read_id. Draws are made per key and joined back by (key, index),
+    Draw t takes the row at ``hash(key, t) mod n`` in the order of read_id, a number. Rows of a key are sorted by ranges of read_id. Draws are made per key and joined back by (key, index),
     so nothing is multiplied before it is aggregated; one row's key uses its own ratio.
     """
-    numbered = counts.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("read_id")) - 1)
+    placed = numbered(counts, ["key"], ["read_id"], range_number(F.col("read_id"), value_cuts(counts, "read_id")), "i")
     n = counts.groupBy("key").agg(F.count("*").alias("n"))
     pick = F.conv(F.substring(F.md5(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("t").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
     drawn = n.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("key", pick.alias("i")).groupBy("key", "i").agg(F.count("*").alias("times"))
-    hit = drawn.join(numbered, ["key", "i"]).withColumn("ratio", F.when(F.col("totalCount") > 0, F.col("refCount") / F.col("totalCount")))
+    hit = drawn.join(placed, ["key", "i"]).withColumn("ratio", F.when(F.col("totalCount") > 0, F.col("refCount") / F.col("totalCount")))
     return hit.groupBy("key").agg(F.expr("percentile(ratio, 0.5, times)").alias("ratio"), F.max("i").isNotNull().alias("seen")).drop("seen").withColumn("escape", label_escape(F.col("ratio")))

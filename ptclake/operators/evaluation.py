@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ptclake.functions.variants import assign_tier
+from ptclake.operators.ranks import quantiles, value_ranks
 
 
 def score_table(df: DataFrame, score: str = "score", label: str = "label", weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -86,31 +87,34 @@ def threshold_at(table: DataFrame, specificity: float = 0.9, sensitivity: float
     return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"{k}.score").alias("threshold"), F.col(f"{k}.sens").alias("sensitivity"), F.col(f"{k}.spec").alias("specificity")) for k in names])).alias("x")).select("x.*")
 
 
-def poisson_weight(draw: Column) -> Column:
-    """A Poisson(1) count from a uniform number in [0, 1)."""
-    out, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
-        total += term
-        out = F.when(draw >= total, k).otherwise(out)
-        term /= k
-    return out
+def bootstrap_ci(df: DataFrame, replicates: int = 1000, score: str = "score", label: str = "label") -> DataFrame:
+    """2.5, 50 and 97.5 percentiles of the ROC-AUC over Poisson-weighted replicates.
 
+    The weights of n rows with one score and label add up to a Poisson number with mean n, so a number is drawn for each distinct
+    score and label and each replicate, by a generator seeded with these, never for each row.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-def bootstrap_ci(df: DataFrame, id_col: str, replicates: int = 1000, score: str = "score", label: str = "label") -> DataFrame:
-    """2.5, 50 and 97.5 percentiles of the ROC-AUC over Poisson-weighted replicates; the draw is a hash of id and replicate.
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
 
-    Rows are multiplied by the replicates but grouped by score before anything is ordered.
-    """
-    draw = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("replicate").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    x = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(draw)).filter("w > 0")
-    auc = roc_pr(score_table(x, score, label, weight=F.col("w"), by=["replicate"]), ["replicate"])
+    def draw(batches):
+        for b in batches:
+            n, seeds = b.column(2).to_pylist(), b.column(3).to_pylist()
+            w = np.stack([np.random.Generator(np.random.PCG64(s % 2**64)).poisson(k, replicates) for k, s in zip(n, seeds, strict=True)]) if n else np.zeros((0, replicates), np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, replicates, dtype=np.int32), w.ravel().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["score", "label", "w"])
+
+    drawn = counts.withColumn("seed", F.xxhash64("score", "label")).mapInArrow(draw, "score double, label int, w array<long>")
+    x = drawn.select("score", "label", F.posexplode("w").alias("replicate", "w")).filter("w > 0")
+    auc = roc_pr(score_table(x, weight=F.col("w"), by=["replicate"]), ["replicate"])
     return auc.agg(F.expr("percentile(roc_auc, 0.025)").alias("low"), F.expr("percentile(roc_auc, 0.5)").alias("median"), F.expr("percentile(roc_auc, 0.975)").alias("high"), F.count("roc_auc").alias("replicates"))
 
 
 def calibration(df: DataFrame, bins: int = 10, quantile: bool = True, score: str = "score", label: str = "label") -> DataFrame:
     """Per bin (left-closed by the inner edges, equal edges merged): n, mean score, observed rate and gap."""
-    qs = ", ".join(f"{k}/{bins}D" for k in range(1, bins))
-    edges = df.agg((F.expr(f"array_distinct(percentile({score}, array({qs})))") if quantile else F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("edges"))
+    inner = [k / bins for k in range(1, bins)]
+    edges = quantiles(df, score, inner).select(F.array_distinct("q").alias("edges")) if quantile else df.sparkSession.createDataFrame([(inner,)], "edges array<double>")
     x = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: F.col(score) >= e)))
     return x.groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("rate")).withColumn("gap", F.abs(F.col("mean_score") - F.col("rate")))
 
@@ -134,14 +138,38 @@ def tier_pivot(breakdown: DataFrame, tiers: list[str], cohort: str = "cohort") -
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of a 2x2 table, as the sum of probabilities no larger than the observed one."""
+    """Two-sided p of a 2x2 table, as the sum of probabilities no larger than the observed one.
+
+    Both tails are summed outwards until their terms no longer count, so the steps follow the spread of the table, not its size.
+    """
     lg = math.lgamma
     row, col, n = a + b, a + c, a + b + c + d
     base = lg(row + 1) + lg(n - row + 1) + lg(col + 1) + lg(n - col + 1) - lg(n + 1)
     logp = lambda x: base - lg(x + 1) - lg(row - x + 1) - lg(col - x + 1) - lg(n - row - col + x + 1)
-    seen = logp(a)
-    ps = [logp(x) for x in range(max(0, row + col - n), min(row, col) + 1)]
-    return min(1.0, math.fsum(math.exp(p) for p in ps if p <= seen + 1e-7))
+    least, most = max(0, row + col - n), min(row, col)
+    mode = min(most, max(least, (row + 1) * (col + 1) // (n + 2)))
+    seen = logp(a) + 1e-7
+    if logp(mode) <= seen:
+        return 1.0
+
+    def tail(end: int, step: int) -> float:
+        """The terms from the first one beyond the mode that is small enough to ``end``."""
+        near, far = mode, end  # terms fall from the mode on
+        if logp(far) > seen:
+            return 0.0
+        while abs(far - near) > 1:
+            mid = (near + far) // 2
+            near, far = (near, mid) if logp(mid) <= seen else (mid, far)
+        total, x = 0.0, far
+        while least <= x <= most:
+            term = math.exp(logp(x))
+            total += term
+            if term <= total * 1e-17:
+                break
+            x += step
+        return total
+
+    return min(1.0, tail(least, -1) + tail(most, 1))
 
 
 def tier_enrichment(df: DataFrame, tier: str, one: str, other: str, cohort: str = "cohort", score: str = "score") -> DataFrame:
@@ -165,9 +193,7 @@ def normal_p(z: Column) -> Column:
 
 def rank_with_ties(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Per ``by`` and value: its count and average rank, from counts by value."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    return value_ranks(df, value, by).select(*by, value, "ties", (F.col("lower") + (F.col("ties") + 1) / 2).alias("rank"))
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value", name: str = "q_value") -> DataFrame:
@@ -187,9 +213,9 @@ def motif_effect(long: DataFrame, least: int = 2) -> DataFrame:
     v = long.filter("value IS NOT NULL AND present IS NOT NULL")
     m = v.groupBy("motif").agg(*[f(F.when(F.col("present") == k, F.col("value"))).alias(f"{n}{k}") for k in (0, 1) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_samp, "var"))])
     m = m.filter((F.col("n0") >= least) & (F.col("n1") >= least))
-    g = v.groupBy("motif", "value").agg(F.count("*").alias("ties"), F.sum("present").alias("ones"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy("motif").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = g.withColumn("rank", before + (F.col("ties") + 1) / 2).groupBy("motif").agg(F.sum(F.col("ones") * F.col("rank")).alias("w1"), F.sum(F.col("ties").cast("double") * (F.col("ties") * F.col("ties") - 1)).alias("tie"))
+    ones = v.filter("present = 1").groupBy("motif", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("ones"))
+    r = rank_with_ties(v, "value", ["motif"]).join(ones, ["motif", "value"], "left")
+    w = r.groupBy("motif").agg(F.sum(F.col("ones") * F.col("rank")).alias("w1"), F.sum(F.col("ties").cast("double") * (F.col("ties") * F.col("ties") - 1)).alias("tie"))
     j = m.join(w, "motif")
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     u = F.col("w1") - n1 * (n1 + 1) / 2 - n0 * n1 / 2
@@ -209,5 +235,15 @@ def importance_rank(folds: DataFrame, contributions: DataFrame) -> DataFrame:
     return j.withColumn("importance_rank", rank("mean_importance")).withColumn("contribution_rank", rank("mean_abs_contribution"))
 
 
+def top_k(df: DataFrame, column: str, k: int, ties: list[str]) -> DataFrame:
+    """The k rows with the largest values (nulls last), ties by further columns."""
+    return df.orderBy(F.col(column).desc_nulls_last(), *ties).limit(k)
+
+
+def sort_results(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in the order of ``keys``, by range partitions."""
+    return df.orderBy(*keys)
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("counter", F.lit(column)).select("counter", "value", "n")

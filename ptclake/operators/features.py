@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ptclake.functions.variants import strip_version
+from ptclake.operators.ranks import quantiles
 
 
 def resolve_columns(df: DataFrame, candidates: dict[str, list[str]]) -> dict[str, str]:
@@ -86,13 +87,13 @@ def row_median(columns: list[str], log2: bool = False) -> Column:
 
 def zscore_tertiles(df: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """z by the reference's mean and sample deviation, and the third of the reference's quantiles (closed above, lowest included)."""
-    r = reference.agg(F.mean(column).alias("_m"), F.stddev_samp(column).alias("_s"), F.expr(f"percentile({column}, array(1/3D, 2/3D))").alias("_q"))
+    r = reference.agg(F.mean(column).alias("_m"), F.stddev_samp(column).alias("_s")).join(F.broadcast(quantiles(reference, column, [1 / 3, 2 / 3]).withColumnRenamed("q", "_q")), F.lit(True), "left")
     x = F.col(column)
     return df.crossJoin(F.broadcast(r)).withColumn("z", F.when(F.col("_s") > 0, (x - F.col("_m")) / F.col("_s"))).withColumn("tertile", F.when(x <= F.col("_q")[0], "low").when(x <= F.col("_q")[1], "medium").when(x.isNotNull(), "high")).drop("_m", "_s", "_q")
 
 
 def _unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
 
 
 def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -140,8 +141,9 @@ def correlation_prune(columns: list[str], corr: dict[tuple[str, str], float], pr
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in columns]).first()
-    return row.asDict()
+    """The exact median of each column; null where it has no value. A row per column goes to the driver."""
+    found = {r["feature"]: r["q"][0] for r in quantiles(_unpivot(df, columns), "value", [0.5], ["feature"]).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def impute(df: DataFrame, categorical: list[str], zero: list[str], numeric: list[str], training: dict[str, float] | None = None) -> DataFrame:
@@ -163,6 +165,11 @@ def audit_columns(df: DataFrame, model: list[str]) -> DataFrame:
     return nulls.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def align_columns(df: DataFrame, model: dict[str, str], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keep`` and the model's columns (name to type), in its order: missing ones are null, types that don't fit are null too, others are left out."""
+    return df.select(*keep, *[(F.col(f"`{c}`").try_cast(k) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in model.items()])
+
+
 def drop_columns(df: DataFrame, rules: dict[str, str], patterns: tuple[str, ...] = (), rename: dict[str, list[str]] | None = None) -> DataFrame:
     """Drops columns by name (with a reason) and by pattern, and renames the first present candidate of each new name."""
     gone = [c for c in df.columns if c in rules or any(p in c for p in patterns)]

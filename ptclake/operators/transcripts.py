@@ -102,7 +102,8 @@ def lookup_transcript(names: DataFrame, model_tx: DataFrame) -> DataFrame:
 def region_blocks(variants: DataFrame, model: DataFrame, flank: int = 100) -> DataFrame:
     """Regions of a variant as blocks (id, region, chrom, rank, start, end, strand): ptc_100bp, ptc_to_ejc, ejc_100bp, new3utr, old3utr, utr5, tx_whole.
 
-    ptc_to_ejc runs from the stop to its exon's 3' end and is missing at that base; new3utr leaves the stop's base out; the flanks are genomic.
+    ptc_to_ejc runs from the stop to its exon's 3' end and is missing at that base; new3utr leaves the stop's base out; the flanks are genomic;
+    a transcript without a coding sequence has no old3utr and no utr5.
     """
     j = variants.join(model, "tx").withColumn("e", locate(F.col("exons"), F.col("strand"), F.col("pos"))).filter("e IS NOT NULL")
     plus = F.col("strand") == "+"
@@ -112,11 +113,12 @@ def region_blocks(variants: DataFrame, model: DataFrame, flank: int = 100) -> Da
     clip = lambda lo, hi: F.filter(F.transform("exons", lambda x: F.struct(F.greatest(x["start"], lo).cast("long").alias("start"), F.least(x["end"], hi).cast("long").alias("end"))), lambda x: x["start"] <= x["end"])
     big = F.lit(2**62)
     stop_max, stop_min = F.array_max(F.transform(F.concat("cds", "stop_codon"), lambda x: x["end"])), F.array_min(F.transform(F.concat("cds", "stop_codon"), lambda x: x["start"]))
+    coding = F.col("cds_min").isNotNull()
     inner = F.when(plus, F.when(p < end3, block(p, end3))).otherwise(F.when(p > end3, block(end3, p)))
     regions = {
         "ptc_100bp": block(p - flank, p + flank), "ptc_to_ejc": F.coalesce(inner, none), "ejc_100bp": block(end3 - flank, end3 + flank),
-        "new3utr": F.when(plus, clip(p + 1, big)).otherwise(clip(F.lit(0), p - 1)), "old3utr": F.when(plus, clip(stop_max + 1, big)).otherwise(clip(F.lit(0), stop_min - 1)),
-        "utr5": F.when(plus, clip(F.lit(0), F.col("cds_min") - 1)).otherwise(clip(F.col("cds_max") + 1, big)), "tx_whole": clip(F.lit(0), big),
+        "new3utr": F.when(plus, clip(p + 1, big)).otherwise(clip(F.lit(0), p - 1)), "old3utr": F.when(coding, F.when(plus, clip(stop_max + 1, big)).otherwise(clip(F.lit(0), stop_min - 1))),
+        "utr5": F.when(coding, F.when(plus, clip(F.lit(0), F.col("cds_min") - 1)).otherwise(clip(F.col("cds_max") + 1, big))), "tx_whole": clip(F.lit(0), big),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("region"), F.coalesce(v, none).alias("blocks")) for k, v in regions.items()]))
     return j.select("id", "chrom", "strand", each.alias("r")).select("id", "chrom", "strand", F.col("r.region").alias("region"), F.posexplode("r.blocks").alias("i", "b")).select("id", "region", "chrom", "strand", (F.col("i") + 1).alias("rank"), "b.start", "b.end")

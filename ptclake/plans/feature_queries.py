@@ -13,13 +13,13 @@ from ptclake.operators import features as X
 from ptclake.operators import motifs as M
 from ptclake.operators import transcripts as T
 from ptclake.plans.queries import ORACLES, QUERIES, _round, query
-from ptclake.plans.shapes import EXONS, MODEL, SCORES, SEQUENCES, exons, gene_model, scores, sequences, table
+from ptclake.plans.shapes import EXONS, MODEL, SCORES, SEQUENCES, VARIANTS, exons, gene_model, scores, sequences, table, variants
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
 @query(
-    f"""WITH {MODEL}, v AS (SELECT event_id AS id, event_id * 7 % 1400 AS tx, event_id * 31 % 1500 + 1 AS pos FROM events),
+    f"""WITH {MODEL}, v AS (SELECT event_id AS id, event_id // 3 AS tx, event_id * 31 % 1500 + 1 AS pos FROM events),
 x AS (SELECT v.id, v.pos, c.r, c.n, c.before + c.len AS e, c.before + 1 AS s, c.total, row_number() OVER (PARTITION BY v.id ORDER BY c.r) AS k FROM v JOIN cdsx c ON v.tx = c.tx AND c.before + c.len >= v.pos)
 SELECT id, CAST(r AS INTEGER) AS mut_exon, CAST(n AS INTEGER) AS exon_count, CAST(e - s + 1 AS BIGINT) AS exon_length, CAST(pos - s AS BIGINT) AS to_exon_start, CAST(e - pos AS BIGINT) AS to_exon_end, CAST(total - pos AS BIGINT) AS to_end, round(pos / total, 8) AS relative,
 CAST(n - r AS INTEGER) AS exons_after, r = n AS last_exon, CASE WHEN n > 1 THEN r = n END AS last_exon_strict, e - s + 1 >= 400 AS long_exon, n = r + 1 AND e - 50 <= pos AND e - s + 1 >= 50 AS penultimate_last50 FROM x WHERE k = 1"""
@@ -27,47 +27,47 @@ CAST(n - r AS INTEGER) AS exons_after, r = n AS last_exon, CASE WHEN n > 1 THEN
 def exon_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mutated exon of each coding position and its distances."""
     ends = T.exon_counts(T.transcript_model(gene_model(spark, sf_dir))).select("tx", "cds_exon_ends")
-    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % 1400).alias("tx"), (F.col("event_id") * 31 % 1500 + 1).alias("pos"))
+    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr("event_id div 3").alias("tx"), (F.col("event_id") * 31 % 1500 + 1).alias("pos"))
     d = v.join(ends, "tx").select("id", V.ptc_distances(F.col("pos"), F.col("cds_exon_ends")).alias("d")).select("id", "d.*").filter("mut_exon IS NOT NULL")
     long = ("exon_length", "to_exon_start", "to_exon_end", "to_end")
     return _round(d.select("id", "mut_exon", "exon_count", *[F.col(c).cast("long").alias(c) for c in long], "relative", "exons_after", "last_exon", "last_exon_strict", "long_exon", "penultimate_last50"))
 
 
 @query(
-    """WITH a AS (SELECT event_id, user_id AS run, 'chr' || (event_id % 5) AS chrom, event_id % 400 AS pos, value FROM events), m AS (SELECT DISTINCT user_id AS run, 's' || (user_id % 40) AS sample FROM events),
-g AS (SELECT DISTINCT 's' || (user_id % 40) AS sample, 'chr' || (event_id % 5) AS chrom, (event_id * 3) % 400 AS pos, CASE WHEN (event_id + user_id) % 2 = 0 THEN '0/1' ELSE '1/1' END AS gt FROM events)
+    """WITH a AS (SELECT event_id, user_id AS run, 'chr' || (event_id % 5) AS chrom, event_id AS pos, value FROM events), m AS (SELECT DISTINCT user_id AS run, 's' || (user_id % 4) AS sample FROM events),
+g AS (SELECT DISTINCT 's' || (user_id % 4) AS sample, 'chr' || (event_id % 5) AS chrom, event_id * 3 AS pos, CASE WHEN (event_id + user_id) % 2 = 0 THEN '0/1' ELSE '1/1' END AS gt FROM events)
 SELECT event_id, a.chrom, a.pos, sample FROM a JOIN m USING (run) JOIN g USING (sample, chrom, pos) WHERE gt = '0/1'"""
 )
 def heterozygous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts joined with genotypes by way of samples, heterozygous only."""
     e = table(spark, sf_dir, "events")
-    ase = e.selectExpr("event_id", "user_id AS run", "concat('chr', event_id % 5) AS chrom", "event_id % 400 AS pos", "value")
-    meta = e.selectExpr("user_id AS run", "concat('s', user_id % 40) AS sample").distinct()
-    gt = e.selectExpr("concat('s', user_id % 40) AS sample", "concat('chr', event_id % 5) AS chrom", "(event_id * 3) % 400 AS pos", "CASE WHEN (event_id + user_id) % 2 = 0 THEN '0/1' ELSE '1/1' END AS gt").distinct()
+    ase = e.selectExpr("event_id", "user_id AS run", "concat('chr', event_id % 5) AS chrom", "event_id AS pos", "value")
+    meta = e.selectExpr("user_id AS run", "concat('s', user_id % 4) AS sample").distinct()
+    gt = e.selectExpr("concat('s', user_id % 4) AS sample", "concat('chr', event_id % 5) AS chrom", "event_id * 3 AS pos", "CASE WHEN (event_id + user_id) % 2 = 0 THEN '0/1' ELSE '1/1' END AS gt").distinct()
     return C.join_ase_genotype(ase, C.filter_het(gt), meta).select("event_id", "chrom", "pos", "sample")
 
 
-_V3 = "concat('G', event_id % 50, ':T', event_id % 90, '.2:exon1:c.C', event_id % 700 + 1, 'T:p.R9X,G', event_id % 50 + 1, ':T', event_id % 70, '.1:exon2:c.G5A:p.W2X')"
+_V3 = "concat('G', user_id, ':T', event_id div 3, '.2:exon1:c.C', event_id % 700 + 1, 'T:p.R9X,G', user_id + 1, ':T', event_id div 4, '.1:exon2:c.G5A:p.W2X')"
 
 
 @query(
-    """WITH p AS (SELECT event_id AS id, unnest([event_id % 50, event_id % 50 + 1]) AS g, unnest([event_id % 90, event_id % 70]) AS t, unnest([event_id % 700 + 1, 5]) AS pos FROM events), c AS (SELECT p_partkey AS g, p_partkey * 7 % 80 AS t FROM part WHERE p_partkey < 60)
+    """WITH p AS (SELECT event_id AS id, unnest([user_id, user_id + 1]) AS g, unnest([event_id // 3, event_id // 4]) AS t, unnest([event_id % 700 + 1, 5]) AS pos FROM events), c AS (SELECT user_id AS g, min(event_id) // 3 AS t FROM events GROUP BY 1)
 SELECT id, 'G' || p.g AS gene, 'T' || c.t || '.5' AS canonical_tx, pos AS coding_pos FROM p JOIN c ON p.g = c.g AND p.t = c.t"""
 )
 def canonical_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants whose annotation lists the canonical transcript of its gene."""
     v = table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{_V3} AS v3")
-    c = table(spark, sf_dir, "part").filter("p_partkey < 60").selectExpr("concat('G', p_partkey) AS gene", "concat('T', p_partkey * 7 % 80, '.5') AS canonical_tx")
+    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("e")).selectExpr("concat('G', user_id) AS gene", "concat('T', e div 3, '.5') AS canonical_tx")
     return C.canonical_by_gene(v, c).drop("v3")
 
 
 @query(
-    """WITH n AS (SELECT event_id AS id, unnest([1, 2, 3]) AS i, unnest([event_id % 60, event_id % 70, event_id % 90]) AS t FROM events), ok AS (SELECT n.* FROM n JOIN events e ON e.event_id = n.id AND (n.t = e.event_id % 90 OR n.t = e.event_id % 70) WHERE n.t % 3 <> 0)
+    """WITH n AS (SELECT event_id AS id, unnest([1, 2, 3]) AS i, unnest([user_id, event_id // 4, event_id // 3]) AS t FROM events), ok AS (SELECT n.* FROM n JOIN events e ON e.event_id = n.id AND (n.t = e.event_id // 3 OR n.t = e.event_id // 4) WHERE n.t % 3 <> 0)
 SELECT id, 'T' || arg_min(t, i) AS tx, 'ctx' || arg_min(t, i) AS context FROM ok GROUP BY id"""
 )
 def matched_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first named transcript that the annotation lists and that has a context."""
-    v = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('T', event_id % 60, '.1;T', event_id % 70, ',T', event_id % 90) AS txnames", f"{_V3} AS v3")
+    v = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('T', user_id, '.1;T', event_id div 4, ',T', event_id div 3) AS txnames", f"{_V3} AS v3")
     ctx = C.explode_txnames(v).select("id", "tx").distinct().withColumn("context", F.when(F.substring("tx", 2, 9).cast("int") % 3 != 0, F.concat(F.lit("ctx"), F.substring("tx", 2, 9))))
     return C.strict_tx_match(v, ctx)
 
@@ -80,7 +80,7 @@ def paired_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EXONS}, t AS (SELECT DISTINCT tx FROM exons WHERE tx % 6 = 1), v AS (SELECT event_id AS id, event_id * 7 % 1400 AS tx FROM events),
+    f"""WITH {EXONS}, t AS (SELECT DISTINCT tx FROM exons WHERE tx % 6 = 1), v AS (SELECT event_id AS id, event_id // 3 AS tx FROM events),
 f AS (SELECT tx, count(*) AS n_exons, sum("end" - start + 1) AS len, max("end") AS last FROM exons GROUP BY tx)
 SELECT v.id, v.tx, f.n_exons, CAST(f.len AS BIGINT) AS len, CASE WHEN v.tx % 2 = 0 THEN f.last END AS last, CASE WHEN f.tx IS NULL THEN NULL WHEN t.tx IS NULL THEN 'no' ELSE 'yes' END AS intron FROM v LEFT JOIN f USING (tx) LEFT JOIN t USING (tx)"""
 )
@@ -88,15 +88,15 @@ def transcript_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CDS and UTR tables and flags put on transcripts, then on variants."""
     e = exons(spark, sf_dir)
     g = e.groupBy("tx").agg(F.count("*").alias("n_exons"), F.sum(F.col("end") - F.col("start") + 1).alias("len"), F.max("end").alias("last"))
-    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % 1400).alias("tx"))
+    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr("event_id div 3").alias("tx"))
     return X.attach_transcript_features(v, g.select("tx", "n_exons"), g.select("tx", "len"), g.filter("tx % 2 = 0").select("tx", "last"), {"intron": e.filter("tx % 6 = 1")})
 
 
-@query(f"WITH {EXONS} SELECT DISTINCT 'T' || tx AS tx, 'G' || (tx % 500) AS gene FROM exons WHERE tx IN (SELECT event_id * 7 % 1400 FROM events)")
+@query(f"WITH {EXONS} SELECT DISTINCT 'T' || tx AS tx, 'G' || (tx % 500) AS gene FROM exons WHERE tx IN (SELECT event_id // 3 FROM events)")
 def transcript_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript-gene pairs of the transcripts that variants name."""
     f = exons(spark, sf_dir).select(F.concat(F.lit("T"), F.col("tx"), F.lit(".3")).alias("tx"), F.concat(F.lit("G"), F.col("tx") % 500, F.lit(".1")).alias("gene"))
-    return X.tx_to_gene(f, table(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.col("event_id") * 7 % 1400).alias("tx")))
+    return X.tx_to_gene(f, table(spark, sf_dir, "events").select(F.concat(F.lit("T"), F.expr("event_id div 3")).alias("tx")))
 
 
 _SPARSE = "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_nationkey FROM customer"
@@ -129,7 +129,7 @@ def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x, y, round(r, 6)) for (x, y), r in c.items()], "x string, y string, r double")
 
 
-@query("SELECT l_linenumber + l_orderkey * 10 AS id, median(x) AS m FROM (SELECT *, unnest([l_quantity, l_tax * 100, l_discount * 100, l_extendedprice / 1000]) AS x, row_number() OVER () AS rn FROM lineitem) GROUP BY rn, 1".replace("median(x)", "round(median(x), 8)"))
+@query("SELECT l_linenumber + l_orderkey * 10 AS id, round(median(x), 8) AS m FROM (SELECT *, unnest([l_quantity, l_tax * 100, l_discount * 100, l_extendedprice / 1000]) AS x, row_number() OVER () AS rn FROM lineitem) GROUP BY rn, 1")
 def row_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median across columns of each row."""
     li = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber + l_orderkey * 10 AS id", "l_quantity AS a", "l_tax * 100 AS b", "l_discount * 100 AS c", "l_extendedprice / 1000 AS d")
@@ -167,11 +167,13 @@ def fold_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SCORES}, t AS (SELECT cohort, score >= 0.8 AS hit FROM scores), n AS (SELECT count(*) FILTER (cohort = 'A' AND hit) AS a, count(*) FILTER (cohort = 'A' AND NOT hit) AS b, count(*) FILTER (cohort = 'N' AND hit) AS c, count(*) FILTER (cohort = 'N' AND NOT hit) AS d FROM t)
-SELECT 'High-confidence escape' AS tier, 'A' AS cohort, 'N' AS other, a, b, c, d, round(round(100 * a / (a + b), 1) / round(100 * c / (c + d), 1), 8) AS fold_change, round(a * d / (b * c), 8) AS odds_ratio FROM n"""
+SELECT 'High-confidence escape' AS tier, 'A' AS cohort, 'N' AS other, a, b, c, d, round(round(100 * a / (a + b), 1) / round(100 * c / (c + d), 1), 8) AS fold_change, round(a * d / (b * c), 8) AS odds_ratio, round((SELECT least(1.0, sum(CASE WHEN lp <= (base - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) + 1e-7 THEN exp(lp) ELSE 0 END)) FROM
+  (SELECT base - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lp FROM (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x))), 6) AS p_value
+FROM (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS base FROM n)"""
 )
 def tier_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrichment of a tier in one cohort over another (the exact p is held against known values in the tests)."""
-    return _round(E.tier_enrichment(scores(spark, sf_dir), "High-confidence escape", "A", "N").drop("p_value"))
+    """Enrichment of a tier in one cohort over another, with the exact p."""
+    return _round(E.tier_enrichment(scores(spark, sf_dir), "High-confidence escape", "A", "N").withColumn("p_value", F.round("p_value", 6)))
 
 
 @query(
@@ -252,9 +254,98 @@ def genomic_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", F.col("rank").cast("int").alias("rank"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query()
-def variant_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of all regions of the variants on their transcripts (coordinates are held against toy transcripts in the tests)."""
-    from ptclake.plans.shapes import variants
+def _clip(region: str, low: str, high: str, source: str = "p") -> str:
+    """Rows of the exons cut to low..high, numbered in transcript order."""
+    cut = f"greatest(x.start, {low}) AS a, least(x.\"end\", {high}) AS b"
+    return f"SELECT id, '{region}' AS region, chrom, strand, row_number() OVER (PARTITION BY id ORDER BY r) AS rank, a, b FROM (SELECT p.*, x.r, {cut} FROM {source} p JOIN ex5 x ON x.tx = p.tx) WHERE a <= b"
+
+
+_REGIONS = " UNION ALL ".join(
+    [
+        "SELECT id, 'ptc_100bp', chrom, strand, 1, pos - 100, pos + 100 FROM p",
+        "SELECT id, 'ptc_to_ejc', chrom, strand, 1, least(pos, end3), greatest(pos, end3) FROM p WHERE pos <> end3",
+        "SELECT id, 'ejc_100bp', chrom, strand, 1, end3 - 100, end3 + 100 FROM p",
+        _clip("new3utr", "CASE WHEN p.strand = '+' THEN pos + 1 ELSE 0 END", "CASE WHEN p.strand = '+' THEN 1000000000 ELSE pos - 1 END"),
+        _clip("old3utr", "CASE WHEN p.strand = '+' THEN hi + 1 ELSE 0 END", "CASE WHEN p.strand = '+' THEN 1000000000 ELSE lo - 1 END", "q"),
+        _clip("utr5", "CASE WHEN p.strand = '+' THEN 0 ELSE hi + 1 END", "CASE WHEN p.strand = '+' THEN lo - 1 ELSE 1000000000 END", "q"),
+        _clip("tx_whole", "0", "1000000000"),
+    ]
+)
 
+
+@query(
+    f"""WITH {MODEL}, {VARIANTS}, p AS (SELECT v.id, v.tx, v.pos, x.chrom, x.strand, CASE WHEN x.strand = '+' THEN x."end" ELSE x.start END AS end3 FROM variants v JOIN ex5 x ON v.tx = x.tx AND v.pos BETWEEN x.start AND x."end"),
+c AS (SELECT tx, min(start) AS lo, max("end") AS hi FROM cds GROUP BY tx), q AS (SELECT p.*, lo, hi FROM p JOIN c ON p.tx = c.tx), u(id, region, chrom, strand, rank, a, b) AS ({_REGIONS})
+SELECT id, region, chrom, strand, CAST(rank AS INTEGER) AS rank, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end" FROM u"""
+)
+def variant_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all regions of the variants on their transcripts."""
     return T.region_blocks(variants(spark, sf_dir), T.transcript_model(gene_model(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {SEQUENCES}, v AS (SELECT doc_id, seq, 3 * (doc_id % 70 + 5) + 1 AS pos, 'C' AS ref, 'T' AS alt FROM seqs),
+a AS (SELECT *, pos + list_filter([0, -1, 1, -2, 2, -3, 3], lambda s: substr(seq, CAST(pos + s AS INTEGER), 1) = ref)[1] AS place FROM v),
+m AS (SELECT *, substr(seq, 1, CAST(place - 1 AS INTEGER)) || alt || substr(seq, CAST(place + 1 AS INTEGER)) AS made, (place - 1) // 3 * 3 + 1 AS f FROM a),
+s AS (SELECT *, f + list_filter([0, -3, 3, -6, 6], lambda s: f + s >= 1 AND substr(made, CAST(f + s AS INTEGER), 3) IN ('TAA', 'TAG', 'TGA'))[1] AS stop FROM m)
+SELECT doc_id, CASE WHEN stop > 3 AND stop + 8 <= length(made) THEN substr(made, CAST(stop - 3 AS INTEGER), 12) END AS context FROM s"""
+)
+def stop_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 bases around the stop that a C>T change at a coding position makes or lies next to."""
+    pos = 3 * (F.col("doc_id") % 70 + 5) + 1
+    return sequences(spark, sf_dir).select("doc_id", S.readthrough_context(F.col("seq"), pos, F.lit("C"), F.lit("T")).alias("context"))
+
+
+@query(
+    """WITH l AS (SELECT l_quantity AS a, l_quantity * 2 + l_tax AS b, l_discount AS c, l_quantity * 3 - l_tax AS d FROM lineitem),
+r AS (SELECT * FROM (SELECT unnest(['a', 'a', 'a', 'b', 'b', 'c']) AS x, unnest(['b', 'c', 'd', 'c', 'd', 'd']) AS y, unnest([corr(a, b), corr(a, c), corr(a, d), corr(b, c), corr(b, d), corr(c, d)]) AS r FROM l))
+SELECT DISTINCT CASE WHEN y = 'b' THEN x ELSE y END AS feature FROM r WHERE abs(r) > 0.95"""
+)
+def pruned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that the pruning by correlations drops, with one protected."""
+    names = ["a", "b", "c", "d"]
+    c = X.correlations(table(spark, sf_dir, "lineitem").selectExpr("l_quantity AS a", "l_quantity * 2 + l_tax AS b", "l_discount AS c", "l_quantity * 3 - l_tax AS d"), names)
+    return spark.createDataFrame([(x,) for x in X.correlation_prune(names, c, {"b"})], "feature string")
+
+
+@query(
+    """WITH s AS (SELECT event_id AS id, 'k' || event_id AS key, ['stop_gained', 'missense_variant', 'intron|frameshift_variant', 'synonymous'][event_id % 4 + 1] AS ann FROM events), g AS (SELECT 'k' || l_orderkey AS key, l_linenumber AS sample FROM lineitem)
+SELECT id, key, ann, sample FROM s JOIN g USING (key) WHERE ann LIKE '%stop_gained%' OR ann LIKE '%frameshift_variant%'"""
+)
+def annotated_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frameshift and stop sites with their genotypes, by key."""
+    s = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('k', event_id) AS key", "element_at(array('stop_gained', 'missense_variant', 'intron|frameshift_variant', 'synonymous'), cast(event_id % 4 + 1 AS int)) AS ann")
+    g = table(spark, sf_dir, "lineitem").selectExpr("concat('k', l_orderkey) AS key", "l_linenumber AS sample")
+    return C.join_annotation_genotype(C.filter_consequence(s), g).select("id", "key", "ann", "sample")
+
+
+@query(
+    """WITH u AS (SELECT user_id, avg(value) AS expr FROM events GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal AS cadd FROM customer)
+SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 0 END AS target, round(u.expr, 8) AS expr, c.cadd FROM events e LEFT JOIN u ON u.user_id = e.user_id LEFT JOIN c ON c.k = e.event_id"""
+)
+def gene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene tables by version-free id and variant tables by key put on variants, unwanted columns dropped, labels mapped."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('G', user_id, '.3') AS gene_id", "concat('v', event_id) AS key", "CASE event_id % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' END AS label", "value", "1 AS GC_extra")
+    by_gene = e.groupBy("gene_id").agg(F.round(F.avg("value"), 8).alias("expr"))
+    by_key = table(spark, sf_dir, "customer").selectExpr("concat('v', c_custkey) AS key", "c_acctbal AS CADD")
+    joined = X.join_gene_features(e, [by_gene], [by_key]).withColumn("target", V.map_target(F.col("label")))
+    return X.drop_columns(joined, {"gene_id": "an id", "key": "an id", "label": "mapped", "value": "not a feature"}, ("GC_",), {"cadd": ["cadd_phred", "CADD"]}).select("id", "target", "expr", "cadd")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 20")
+def largest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest values, ties by the keys."""
+    return E.top_k(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 20, ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH c AS ({_SPARSE}) SELECT c_custkey, bal, seg, CAST(NULL AS DOUBLE) AS gone FROM c")
+def aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table brought to a model's columns: missing ones added, others left out."""
+    return X.align_columns(_sparse(spark, sf_dir), {"bal": "double", "seg": "string", "gone": "double"}, keep=["c_custkey"])
+
+
+@query("SELECT event_id AS id, user_id FROM events WHERE event_id % 5 = 0")
+def stop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants that an annotation marks as premature stops, in a fixed order."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id", "CASE event_id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'NA' END AS is_ptc")
+    return E.sort_results(C.filter_ptc(e).select("id", "user_id"), ["id"])

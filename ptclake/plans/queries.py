@@ -54,10 +54,9 @@ def rule_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {MODEL}, {VARIANTS},
 e AS (SELECT v.id, v.tx, v.pos, x.strand, x.r AS exon_rank, x.n AS exon_count, CASE WHEN x.strand = '+' THEN v.pos - x.start ELSE x."end" - v.pos END + 1 AS exon_offset, x."end" - x.start + 1 AS len FROM variants v JOIN ex5 x ON v.tx = x.tx AND v.pos BETWEEN x.start AND x."end"),
 c AS (SELECT v.id, c.r, c.n, c.len, c.total, CASE WHEN c.strand = '+' THEN v.pos - c.start ELSE c."end" - v.pos END + 1 AS off, c.before FROM variants v JOIN cdsx c ON v.tx = c.tx AND v.pos BETWEEN c.start AND c."end")
-SELECT e.id, e.tx, CAST(exon_rank AS INTEGER) AS exon_rank, CAST(exon_count AS INTEGER) AS exon_count, CAST(exon_offset AS BIGINT) AS exon_offset, CAST(len - exon_offset AS BIGINT) AS to_exon_end, CAST(off + before AS BIGINT) AS cds_pos, round((off + before) / total, 8) AS relative,
+SELECT e.id, e.tx, CAST(exon_rank AS INTEGER) AS exon_rank, CAST(exon_count AS INTEGER) AS exon_count, CAST(exon_offset AS BIGINT) AS exon_offset, CAST(e.len - exon_offset AS BIGINT) AS to_exon_end, CAST(off + before AS BIGINT) AS cds_pos, round((off + before) / total, 8) AS relative,
   CASE WHEN c.r IS NULL THEN NULL WHEN c.r = c.n THEN 'last.exon' WHEN c.r = c.n - 1 AND c.len - c.off <= 50 AND c.len >= 50 THEN 'penultimate.last50bp' ELSE 'upstream' END AS last_ejc
-FROM e LEFT JOIN (SELECT id, r, n, len, total, off, before FROM c) c ON e.id = c.id"""
-    .replace("FROM e LEFT JOIN (SELECT id, r, n, len, total, off, before FROM c) c", "FROM e LEFT JOIN c").replace("CAST(len - exon_offset", "CAST(e.len - exon_offset")
+FROM e LEFT JOIN c ON e.id = c.id"""
 )
 def located_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exon rank and offset, CDS position and last-junction class of each variant that an exon has."""
@@ -69,9 +68,8 @@ def located_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {MODEL}
 SELECT x.tx, CAST(count(c.k) AS INTEGER) AS coding_exons, CAST(count(*) - count(c.k) AS INTEGER) AS noncoding_exons, CAST(sum(x."end" - x.start + 1) - coalesce(sum(c."end" - c.start + 1), 0) AS BIGINT) AS noncoding_bp,
-  coalesce((SELECT string_agg(CAST(before + len AS VARCHAR), ',' ORDER BY r) FROM cdsx z WHERE z.tx = x.tx), '') AS cds_exon_ends
+  coalesce((SELECT string_agg(CAST(CAST(before + len AS BIGINT) AS VARCHAR), ',' ORDER BY r) FROM cdsx z WHERE z.tx = x.tx), '') AS cds_exon_ends
 FROM exons x LEFT JOIN cds c ON x.tx = c.tx AND x.k = c.k GROUP BY x.tx"""
-    .replace("CAST(before + len AS VARCHAR)", "CAST(CAST(before + len AS BIGINT) AS VARCHAR)")
 )
 def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coding and non-coding exons and the cumulative CDS exon ends of each transcript."""
@@ -84,7 +82,7 @@ def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT tx, chrom, strand, CASE WHEN strand = '+' THEN "end" ELSE start END AS junction FROM ex5 WHERE r < n),
 near AS (SELECT v.id, v.tx, any_value(strand) AS strand, coalesce(min(CASE WHEN strand = '+' AND junction > pos THEN junction END), max(CASE WHEN strand = '-' AND junction < pos THEN junction END)) AS junction FROM variants v JOIN j ON v.tx = j.tx GROUP BY v.id, v.tx),
 w AS (SELECT id, tx, CASE WHEN strand = '+' THEN junction - 24 ELSE junction + 24 END - 15 AS a, CASE WHEN strand = '+' THEN junction - 24 ELSE junction + 24 END + 14 AS b FROM near WHERE junction IS NOT NULL),
-iv AS (SELECT event_id * 11 % 1400 AS tx, 100 + event_id * 53 % 1100 AS start, 100 + event_id * 53 % 1100 + 9 AS "end" FROM events),
+iv AS (SELECT event_id // 4 AS tx, 100 + event_id * 53 % 1100 AS start, 100 + event_id * 53 % 1100 + 9 AS "end" FROM events),
 n AS (SELECT w.id, count(*) AS n FROM w JOIN iv ON w.tx = iv.tx AND iv.start <= w.b AND w.a <= iv."end" GROUP BY w.id)
 SELECT v.id, coalesce(n.n, 0) AS n, CASE WHEN n.n > 0 THEN 'yes' ELSE 'no' END AS "any", CAST(near.junction AS BIGINT) AS junction FROM variants v LEFT JOIN near USING (id) LEFT JOIN n USING (id)"""
 )
@@ -92,18 +90,18 @@ def junction_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next exon junction behind each variant, and the intervals that touch the window before it."""
     v = variants(spark, sf_dir)
     near = I.nearest_downstream_junction(v, I.junctions(T.exon_rank(exons(spark, sf_dir).drop("k"))))
-    iv = table(spark, sf_dir, "events").select((F.col("event_id") * 11 % 1400).alias("tx"), (100 + F.col("event_id") * 53 % 1100).alias("start"), (100 + F.col("event_id") * 53 % 1100 + 9).alias("end"))
+    iv = table(spark, sf_dir, "events").select(F.expr("event_id div 4").alias("tx"), (100 + F.col("event_id") * 53 % 1100).alias("start"), (100 + F.col("event_id") * 53 % 1100 + 9).alias("end"))
     n = I.count_overlaps(I.ejc_windows(near).select("id", "tx", "start", "end"), iv, "id", ["tx"], v)
     return n.join(near.select("id", F.col("junction").cast("long").alias("junction")), "id", "left")
 
 
 @query(
-    f"""WITH {EXONS}, iv AS (SELECT event_id * 11 % 1400 AS tx, 100 + event_id * 53 % 1100 AS a, 100 + event_id * 53 % 1100 + 9 AS b FROM events)
+    f"""WITH {EXONS}, iv AS (SELECT event_id // 4 AS tx, 100 + event_id * 53 % 1100 AS a, 100 + event_id * 53 % 1100 + 9 AS b FROM events)
 SELECT tx, CAST(k AS INTEGER) AS k, start, "end" FROM exons e WHERE EXISTS (SELECT 1 FROM iv WHERE iv.tx = e.tx AND iv.a <= e."end" AND e.start <= iv.b)"""
 )
 def touched_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exons that any interval touches."""
-    iv = table(spark, sf_dir, "events").select((F.col("event_id") * 11 % 1400).alias("tx"), (100 + F.col("event_id") * 53 % 1100).alias("start"), (100 + F.col("event_id") * 53 % 1100 + 9).alias("end"))
+    iv = table(spark, sf_dir, "events").select(F.expr("event_id div 4").alias("tx"), (100 + F.col("event_id") * 53 % 1100).alias("start"), (100 + F.col("event_id") * 53 % 1100 + 9).alias("end"))
     return I.overlap_semi(exons(spark, sf_dir).select("tx", "k", "start", "end"), iv, ["tx"])
 
 
@@ -160,7 +158,7 @@ def parsed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.explode(V.parse_annotations(F.col("v3"))).alias("a")).select("id", "a.gene", "a.tx", "a.coding_pos", "a.ref", "a.alt", "a.protein_pos")
 
 
-@query("""SELECT user_id AS key, count(*) AS freq, CASE WHEN count(*) = 1 THEN 'ultra-rare' ELSE 'rare-common' END AS freq_cat FROM events WHERE event_id % 100 < 3 GROUP BY 1""".replace(" WHERE event_id % 100 < 3", ""))
+@query("""SELECT user_id AS key, count(*) AS freq, CASE WHEN count(*) = 1 THEN 'ultra-rare' ELSE 'rare-common' END AS freq_cat FROM events GROUP BY 1""")
 def variant_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per key, and whether it is seen once."""
     return C.variant_frequency(table(spark, sf_dir, "events").withColumnRenamed("user_id", "key"))
@@ -395,20 +393,22 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EXONS}, c AS (SELECT v.event_id AS id, e.tx, count(*) AS n, sum("end" - start + 1) AS len FROM events v JOIN exons e ON e.tx % 140 = v.event_id % 140 AND e.tx < 1400 GROUP BY 1, 2),
-r AS (SELECT id, tx, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN tx % 11 = 0 THEN 1 ELSE 0 END DESC, CASE WHEN tx % 3 = 0 THEN NULL ELSE tx % 5 END ASC NULLS LAST, n ASC, len DESC, len DESC, tx) AS k, tx % 11 = 0 AS mane, tx % 3 = 0 AS noap FROM c)
-SELECT id, tx, CASE WHEN mane THEN 'MANE' WHEN NOT noap THEN 'APPRIS' ELSE 'TSL' END AS reason FROM r WHERE k = 1"""
+    f"""WITH {MODEL}, l AS (SELECT tx, sum("end" - start + 1) AS exon_length FROM exons GROUP BY tx), d AS (SELECT tx, sum(len) AS cds_length FROM cdsx GROUP BY tx),
+t AS (SELECT l.tx, l.exon_length, coalesce(d.cds_length, 0) AS cds_length, max(CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END) AS mane, min(CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 5 END) AS appris, min(CASE WHEN l_tax > 0.02 THEN CAST(l_linenumber AS INTEGER) END) AS tsl
+      FROM l LEFT JOIN d ON l.tx = d.tx JOIN lineitem ON l_orderkey = l.tx GROUP BY 1, 2, 3),
+r AS (SELECT event_id AS id, t.*, row_number() OVER (PARTITION BY event_id ORDER BY mane DESC, appris ASC NULLS LAST, tsl ASC NULLS LAST, cds_length DESC, exon_length DESC, t.tx) AS k FROM events JOIN orders ON o_custkey = user_id JOIN t ON t.tx = o_orderkey)
+SELECT id, tx, CASE WHEN mane = 1 THEN 'MANE' WHEN appris IS NOT NULL THEN 'APPRIS' WHEN tsl IS NOT NULL THEN 'TSL' ELSE 'longest_CDS' END AS reason FROM r WHERE k = 1"""
 )
 def canonical_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical transcript of each variant among its candidates, with the reason."""
-    t = exons(spark, sf_dir).filter("tx < 1400").groupBy("tx").agg(F.count("*").alias("tsl"), F.sum(F.col("end") - F.col("start") + 1).alias("cds_length"))
-    t = t.withColumn("exon_length", F.col("cds_length")).withColumn("mane", (F.col("tx") % 11 == 0).cast("int")).withColumn("appris", F.when(F.col("tx") % 3 != 0, F.col("tx") % 5)).withColumn("m", F.col("tx") % 140)
-    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 140).alias("m"))
-    return T.pick_canonical(v.join(t, "m")).select("id", "tx", "reason")
+    """The canonical transcript of each variant among its customer's orders, by the tags and lengths of all transcripts, with the reason."""
+    tags = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS tx", "CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS mane", "CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 5 END AS appris", "CASE WHEN l_tax > 0.02 THEN cast(l_linenumber AS int) END AS tsl")
+    meta = T.transcript_meta(tags, T.transcript_model(gene_model(spark, sf_dir)))
+    pairs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("o_custkey")).join(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("tx")), "o_custkey")
+    return T.pick_canonical(pairs.join(meta, "tx")).select("id", "tx", "reason")
 
 
 @query(
-    f"""WITH {EXONS}, m AS (SELECT DISTINCT 'T' || tx || '.' || (tx % 3) AS name, 'T' || tx AS bare FROM exons), v AS (SELECT event_id AS id, 'T' || (event_id % 2000) || '.' || (event_id % 2) AS tx FROM events),
+    f"""WITH {EXONS}, m AS (SELECT DISTINCT 'T' || tx || '.' || (tx % 3) AS name, 'T' || tx AS bare FROM exons), v AS (SELECT event_id AS id, 'T' || (event_id // 2) || '.' || (event_id % 2) AS tx FROM events),
 l AS (SELECT bare, min(name) AS name FROM m GROUP BY bare)
 SELECT v.id, v.tx, coalesce(m.name, l.name) AS transcript_id_used, m.name IS NULL AND l.name IS NOT NULL AS version_mismatch, m.name IS NULL AND l.name IS NULL AS tx_not_in_gtf
 FROM v LEFT JOIN m ON v.tx = m.name LEFT JOIN l ON regexp_replace(v.tx, '\\.\\d+$', '') = l.bare"""
@@ -416,7 +416,7 @@ FROM v LEFT JOIN m ON v.tx = m.name LEFT JOIN l ON regexp_replace(v.tx, '\\.\\d+
 def transcript_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript names found exactly or without their version."""
     m = exons(spark, sf_dir).select(F.concat(F.lit("T"), F.col("tx"), F.lit("."), F.col("tx") % 3).alias("tx")).distinct()
-    v = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('T', event_id % 2000, '.', event_id % 2) AS tx")
+    v = table(spark, sf_dir, "events").selectExpr("event_id AS id", "concat('T', event_id div 2, '.', event_id % 2) AS tx")
     return T.lookup_transcript(v, m)
 
 
@@ -441,25 +441,62 @@ def reference_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the AUC over 100 Poisson-weighted replicates."""
-    return E.bootstrap_ci(scores(spark, sf_dir), "id", replicates=100)
+    """Interval of the AUC over 1000 Poisson-weighted replicates."""
+    return E.bootstrap_ci(scores(spark, sf_dir))
+
+
+def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label")
 
 
 @query()
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees trained and scored by fold on line items."""
-    from ptclake.operators.models import train_oof
+    """Boosted trees trained and scored by fold on line items, with isotonic scores beside them."""
+    from ptclake.operators.models import isotonic_recalibrate, train_oof
 
-    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label")
-    return train_oof(li, ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"], "label", "id", max_iter=5)
+    return isotonic_recalibrate(train_oof(_line_features(spark, sf_dir), ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"], "label", "id"))
 
 
 @query()
+def cohort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted on all line items, on a cohort that lacks a column of the model: aligned, imputed, scored and put back to its ids."""
+    from ptclake.operators.models import attach_ids, score_cohort, train_final
+
+    li = _line_features(spark, sf_dir)
+    numeric, flags = ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"]
+    model = train_final(li, numeric, flags, "label")
+    cohort = X.impute(X.align_columns(li.drop("l_discount"), {"l_quantity": "double", "l_discount": "double", "l_extendedprice": "double", "l_returnflag": "string"}, keep=["id", "label"]), flags, [], numeric, {"l_quantity": 25.0, "l_discount": 0.05, "l_extendedprice": 30000.0})
+    scored = score_cohort(model, cohort, "id").join(li.select("id", "label"), "id")
+    return attach_ids(scored, table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label", "l_shipdate"), "id", "label")
+
+
+_MOTIFS = {"ptb": "TCTTCTT", "pum": "TGTAAATA", "are": "TATTTAT"}
+
+
+def _matrix(word: str):
+    import numpy as np
+
+    return np.array([[0.85 if b == c else 0.05 for b in "ACGT"] for c in word])
+
+
+def _motif_sql() -> str:
+    import math
+
+    from ptclake.operators.motifs import score_cutoff
+
+    hit, miss = math.log2(0.85 / 0.25), math.log2(0.05 / 0.25)
+    parts = []
+    for name, word in _MOTIFS.items():
+        k = len(word)
+        same = f"len(list_filter(range(1, {k + 1}), lambda j: substr(seq, CAST(start + j - 1 AS INTEGER), 1) = substr('{word}', CAST(j AS INTEGER), 1)))"
+        parts.append(f"SELECT doc_id AS id, '{name}' AS motif, start, {same} * {hit!r} + ({k} - {same}) * {miss!r} AS score, {score_cutoff(_matrix(word), 1e-3)!r} AS least FROM (SELECT doc_id, seq, unnest(range(1, {256 - k + 2})) AS start FROM seqs)")
+    return f"WITH {SEQUENCES}, h AS ({' UNION ALL '.join(parts)}) SELECT id, 'utr3' AS region, motif, start, round(score, 6) AS score FROM h WHERE score >= least"
+
+
+@query(_motif_sql())
 def scanned_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of weight matrices in all sequences."""
-    import numpy as np
     from ptclake.operators.motifs import scan_motifs
 
-    one = lambda word: np.array([[0.85 if b == c else 0.05 for b in "ACGT"] for c in word])
     s = sequences(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("utr3").alias("region"), "seq")
-    return scan_motifs(s, {"ptb": one("TCTTCTT"), "pum": one("TGTAAATA"), "are": one("TATTTAT")}, p=1e-3)
+    return _round(scan_motifs(s, {m: _matrix(w) for m, w in _MOTIFS.items()}, p=1e-3), 6)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULLS = ("NA", ".", "NaN")
@@ -54,13 +54,30 @@ def read_intervals(spark: SparkSession, path: str, value: bool = False) -> DataF
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000) -> DataFrame:
-    """Sequences as chunks (chrom, chunk_no, seq) of ``chunk`` bases, upper case; the name is the header's first word."""
-    raw = spark.read.option("lineSep", ">").text(path).filter("value <> ''")
-    head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\s+")[0]
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", ""))
-    named = raw.select(head.alias("chrom"), seq.alias("seq")).filter("seq <> ''")
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int")), lambda k: F.substring("seq", k * chunk + 1, F.lit(chunk))))
-    return named.select("chrom", at.alias("chunk_no", "part")).select("chrom", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("part").alias("seq"))
+    """Sequences as chunks (chrom, chunk_no, seq) of ``chunk`` bases, upper case; the name is the header's first word.
+
+    Files are read by lines and split. A line's place in its sequence comes from running sums within its file's block, and from the blocks
+    before it, a row each; so no row or task holds more than a block or a chunk. A name's sequences in several places follow one another.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    header = F.col("value").startswith(">")
+    name = F.when(header, F.regexp_extract("value", r"^>\s*(\S*)", 1))
+    rows = lines.select("file", "block", "line", name.alias("name"), F.when(header, "").otherwise(F.upper(F.regexp_replace("value", r"\s+", ""))).alias("seq"))
+    upto = Window.partitionBy("file", "block").orderBy("line")
+    run = rows.withColumn("chrom", F.last("name", ignorenulls=True).over(upto)).withColumn("bases", F.sum(F.length("seq")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    # per block: its last header; a block that begins within a sequence goes on with the one before
+    blocks = run.groupBy("file", "block").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))).alias("last"), F.max("bases").alias("bases"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"), F.coalesce(F.sum("bases").over(earlier), F.lit(0)).alias("before"))
+    placed = run.join(blocks, ["file", "block"]).select("file", F.coalesce("chrom", "carried").alias("chrom"), "name", "seq", (F.col("bases") + F.col("before") - F.length("seq")).alias("at"))
+    first = placed.filter("name IS NOT NULL").groupBy("file", "chrom").agg(F.min("at").alias("first"))
+    bases = placed.filter("seq <> ''").join(first, ["file", "chrom"]).select("chrom", "seq", (F.col("at") - F.col("first")).alias("at"))
+    k = F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.length("seq") - 1) / chunk)))
+    pieces = bases.select("chrom", "seq", "at", k.alias("chunk_no"))
+    low, high = F.greatest(F.lit(0), F.col("chunk_no") * chunk - F.col("at")), F.least(F.length("seq"), (F.col("chunk_no") + 1) * chunk - F.col("at"))
+    part = F.substring("seq", (low + 1).cast("int"), (high - low).cast("int"))
+    glued = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", part.alias("s")))), lambda x: x["s"]))  # a chunk's lines
+    return pieces.groupBy("chrom", "chunk_no").agg(glued.alias("seq")).select("chrom", F.col("chunk_no").cast("long").alias("chunk_no"), "seq")
 
 
 def read_vcf_sites(spark: SparkSession, path: str) -> DataFrame:

@@ -75,7 +75,7 @@ def test_metrics(spark):
     assert E.roc_pr(t).first()["roc_auc"] == pytest.approx(_auc(y, s))
     tp = sorted(t.collect(), key=lambda r: -r["score"])
     assert [r["tp0"] for r in tp] == [int(((s > r["score"]) & (y == 1)).sum()) for r in tp]
-    b = E.bootstrap_ci(df, "id", 200).first()
+    b = E.bootstrap_ci(df, 200).first()
     assert b["low"] < _auc(y, s) < b["high"]
 
 

@@ -1,4 +1,4 @@
-"""Toy transcripts with known coordinates."""
+"""Transcript operators against a walk over single bases, at every position of transcripts of our own."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,94 +6,145 @@ from pyspark.sql import functions as F
 from ptclake.operators import intervals as I
 from ptclake.operators import transcripts as T
 
-TOYS = {
-    1: ("+", [(100, 199), (300, 399), (500, 699)], [(150, 199), (300, 399), (500, 599)], []),
-    2: ("-", [(500, 699), (300, 399), (100, 199)], [(500, 599), (300, 399), (150, 199)], []),
-    3: ("+", [(1000, 1999)], [(1100, 1899)], []),
-    4: ("+", [(100, 199), (300, 399), (500, 699)], [(350, 399), (500, 599)], []),
-    5: ("+", [(100, 199), (300, 399), (500, 699)], [(150, 199), (300, 399)], [(500, 502)]),
-    6: ("+", [(100, 199), (300, 499), (600, 699)], [(150, 199), (300, 399)], [(400, 402)]),
-    7: ("+", [(100, 199), (300, 329), (500, 699)], [(150, 199), (300, 329), (500, 599)], [(600, 602)]),
-    8: ("+", [(100, 199), (300, 349), (500, 699)], [(150, 199), (300, 349), (500, 599)], [(600, 602)]),
+#: strand, and exons, coding and stop blocks in transcript order
+MODELS = {
+    21: ("+", [(1001, 1060), (1201, 1300), (1501, 1580)], [(1031, 1060), (1201, 1300), (1501, 1540)], []),
+    22: ("-", [(4401, 4480), (4101, 4220), (3801, 3890)], [(4401, 4450), (4101, 4220), (3851, 3890)], []),
+    23: ("+", [(7001, 7450)], [(7101, 7400)], []),
+    24: ("-", [(9501, 9600), (9201, 9330), (8901, 9040)], [(9201, 9300), (8951, 9040)], []),  # the first exon isn't coding
+    25: ("+", [(201, 260), (401, 520), (701, 760)], [(231, 260), (401, 520)], [(701, 703)]),  # the stop alone makes the last exon coding
+    26: ("-", [(2901, 3000), (2601, 2780), (2301, 2390)], [(2901, 2960), (2691, 2780)], [(2688, 2690)]),  # the last exon is behind the stop
+    27: ("+", [(101, 150), (301, 349), (501, 640)], [(121, 150), (301, 349), (501, 600)], []),  # a last but one exon of 49
+    28: ("-", [(801, 850), (601, 650), (301, 440)], [(801, 830), (601, 650), (351, 440)], []),  # and of 50
+    29: ("+", [(5001, 5030), (5101, 5140)], [], []),  # nothing coding
 }
 
 
-@pytest.fixture(scope="module")
-def model(spark):
-    rows = [(tx, "G", "chr1", strand, kind, a, b) for tx, (strand, *parts) in TOYS.items() for kind, blocks in zip(("exon", "CDS", "stop_codon"), parts, strict=True) for a, b in blocks]
-    return T.transcript_model(spark.createDataFrame(rows, "tx long, gene string, chrom string, strand string, feature string, start long, end long")).cache()
-
-
-@pytest.fixture(scope="module")
-def placed(spark, model):
-    v = spark.createDataFrame([(tx * 1000 + pos, tx, pos) for tx, pos in ((1, 350), (1, 250), (1, 50), (2, 350), (3, 1500), (3, 1999), (4, 370), (5, 350), (6, 350), (6, 150), (7, 310), (8, 310))], "id long, tx long, pos long")
-    return v, {r["id"]: r for r in T.locate_ptc(v, model).collect()}
-
-
-def test_order(model):
-    got = {r["tx"]: [(b["start"], b["end"]) for b in r["exons"]] for r in model.collect()}
-    assert got[1] == TOYS[1][1] and got[2] == TOYS[2][1]
-
-
-def test_plus_strand(placed):
-    r = placed[1][1350]
-    assert (r["exon_rank"], r["exon_count"], r["exon_offset"], r["last_ejc"], r["coding_rank"], r["exons_after"]) == (2, 3, 51, "penultimate.last50bp", 2, 1)
-    assert r["relative"] == pytest.approx(101 / 250)
+def walk(strand, blocks):
+    """The bases of blocks, in order."""
+    return [x for a, b in blocks for x in (range(a, b + 1) if strand == "+" else range(b, a - 1, -1))]
 
 
-def test_minus_strand(placed):
-    r = placed[1][2350]
-    assert (r["exon_rank"], r["exon_offset"], r["last_ejc"]) == (2, 50, "penultimate.last50bp")
-    assert r["relative"] == pytest.approx(150 / 250)
+def place(blocks, pos):
+    return next((k for k, (a, b) in enumerate(blocks) if a <= pos <= b), None)
 
 
-def test_single_exon(placed):
-    r = placed[1][4500]
-    assert (r["last_ejc"], r["exons_after"]) == ("last.exon", 0)
+def wanted(tx, pos):
+    """What locate_ptc has to say of a position, by walking; None outside of all exons."""
+    strand, exons, cds, stop = MODELS[tx]
+    k = place(exons, pos)
+    if k is None:
+        return None
+    own = walk(strand, [exons[k]])
+    marks = set(walk("+", cds + stop))
+    coding = [e for e in exons if marks & set(walk("+", [e]))]
+    rank, c, path = place(coding, pos), place(cds, pos), walk(strand, cds)
+    out = {"exon_rank": k + 1, "exon_count": len(exons), "exon_offset": own.index(pos) + 1, "to_exon_end": len(own) - own.index(pos) - 1, "exon_length": len(own)}
+    out |= {"coding_rank": None, "coding_count": None, "exons_after": None} if rank is None else {"coding_rank": rank + 1, "coding_count": len(coding), "exons_after": len(coding) - rank - 1}
+    if c is None:
+        return out | {"cds_pos": None, "relative": None}
+    block = walk(strand, [cds[c]])
+    left = len(block) - block.index(pos) - 1
+    near = rank + 2 == len(coding) and left <= 50 and len(block) >= 50
+    return out | {"cds_pos": path.index(pos) + 1, "relative": (path.index(pos) + 1) / (len(path) + len(walk("+", stop))), "last_ejc": "last.exon" if rank + 1 == len(coding) else "penultimate.last50bp" if near else "upstream"}
 
 
-def test_coding_ranks(placed):
-    assert placed[1][4370]["coding_rank"] == 1 and placed[1][4370]["relative"] == pytest.approx(21 / 150)
-    assert placed[1][5350]["coding_count"] == 3 and placed[1][5350]["exons_after"] == 1
-    assert placed[1][6350]["coding_count"] == 2
-
-
-def test_short_penultimate(placed):
-    assert placed[1][7310]["last_ejc"] == "upstream"
-    assert placed[1][8310]["last_ejc"] == "penultimate.last50bp"
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = [(tx, "G", "chr1", strand, kind, a, b) for tx, (strand, *parts) in MODELS.items() for kind, blocks in zip(("exon", "CDS", "stop_codon"), parts, strict=True) for a, b in blocks]
+    return T.transcript_model(spark.createDataFrame(rows, "tx long, gene string, chrom string, strand string, feature string, start long, end long")).cache()
 
 
-def test_not_in_an_exon(placed):
-    assert placed[1][1250]["exon_rank"] is None and placed[1][1050]["exon_rank"] is None
+@pytest.fixture(scope="module")
+def every(spark):
+    """A variant at each position from before the first exon to behind the last."""
+    rows = [(tx * 10_000 + pos, tx, pos) for tx, (_, exons, *_) in MODELS.items() for pos in range(min(a for a, _ in exons) - 2, max(b for _, b in exons) + 3)]
+    return spark.createDataFrame(rows, "id long, tx long, pos long").cache()
 
 
-def test_regions(placed, model):
-    blocks = T.region_blocks(placed[0], model)
-    got = {(r["id"], r["region"]): [] for r in blocks.collect()}
+def test_order(model):
+    for r in model.collect():
+        _, exons, cds, stop = MODELS[r["tx"]]
+        assert [[tuple(b) for b in r[k]] for k in ("exons", "cds", "stop_codon")] == [exons, cds, stop]
+
+
+def test_places_of_all_positions(model, every):
+    found = T.locate_ptc(every, model).collect()
+    assert len(found) == every.count()
+    kinds = set()
+    for r in found:
+        want = wanted(r["tx"], r["pos"])
+        if want is None:
+            assert r["exon_rank"] is None and r["cds_pos"] is None and r["coding_rank"] is None
+            continue
+        for k, v in want.items():
+            assert r[k] == (pytest.approx(v) if isinstance(v, float) else v), (r["tx"], r["pos"], k)
+        kinds.add(want.get("last_ejc"))
+    assert kinds == {None, "last.exon", "penultimate.last50bp", "upstream"}
+
+
+def test_lengths(model):
+    got = {r["tx"]: r for r in T.exon_counts(model).collect()}
+    for tx, (strand, exons, cds, _) in MODELS.items():
+        coding = sum(any(set(walk("+", [e])) & set(walk("+", [c])) for c in cds) for e in exons)
+        n = len(walk(strand, cds))
+        assert (got[tx]["coding_exons"], got[tx]["noncoding_exons"], got[tx]["noncoding_bp"]) == (coding, len(exons) - coding, len(walk(strand, exons)) - n)
+        assert got[tx]["cds_exon_ends"] == [len(walk(strand, cds[: k + 1])) for k in range(len(cds))]
+
+
+def test_regions_of_all_positions(model, every):
+    blocks = T.region_blocks(every, model, flank=7)
+    got = {}
     for r in blocks.orderBy("rank").collect():
-        got[r["id"], r["region"]].append((r["start"], r["end"]))
-    assert got[1350, "ptc_to_ejc"] == [(350, 399)] and got[2350, "ptc_to_ejc"] == [(300, 350)]
-    assert got[4500, "ptc_to_ejc"] == [(1500, 1999)] and (4999, "ptc_to_ejc") not in got
-    assert got[1350, "new3utr"] == [(351, 399), (500, 699)] and got[1350, "old3utr"] == [(600, 699)] and got[1350, "utr5"] == [(100, 149)]
-    cut = I.take_first_bases(blocks.filter("region = 'new3utr' AND id = 1350"), ["id", "region"], 200).orderBy("rank").collect()
-    assert [(r["start"], r["end"]) for r in cut] == [(351, 399), (500, 650)]
-
-
-def test_splice_and_back(spark, model):
-    text = "".join("ACGT"[(7 * i * i + i) % 4] for i in range(2000))
-    genome = spark.createDataFrame([("chr1", k, text[k * 64 : k * 64 + 64]) for k in range(32)], "chrom string, chunk_no long, seq string")
+        got.setdefault((r["id"], r["region"]), []).append((r["start"], r["end"]))
+    seen = 0
+    for v in every.collect():
+        strand, exons, cds, stop = MODELS[v["tx"]]
+        k = place(exons, v["pos"])
+        path, own = walk(strand, exons), None if k is None else walk(strand, [exons[k]])
+        want = {}
+        if k is not None:
+            end, pos, marks = own[-1], v["pos"], [path.index(x) for x in walk("+", cds + stop)]
+            want = {"ptc_100bp": set(range(pos - 7, pos + 8)), "ejc_100bp": set(range(end - 7, end + 8)), "ptc_to_ejc": set(own[own.index(pos) :]) if pos != end else set(), "new3utr": set(path[path.index(pos) + 1 :]), "tx_whole": set(path)}
+            want |= {"old3utr": set(path[max(marks) + 1 :]), "utr5": set(path[: path.index(walk(strand, cds)[0])])} if cds else {}
+        have = {name: walk(strand, bs) for (i, name), bs in got.items() if i == v["id"]} if v["pos"] % 9 == 0 else None
+        if have is not None:
+            seen += 1
+            assert {n: set(x) for n, x in have.items()} == {n: x for n, x in want.items() if x}
+            assert all(x == sorted(x, reverse=strand == "-") for x in have.values())
+    assert seen > 300
+
+
+def test_first_bases(model, every):
+    blocks = T.region_blocks(every.filter("pos % 25 = 0"), model).filter("region = 'new3utr'")
+    got = {}
+    for r in I.take_first_bases(blocks, ["id", "region"], 60).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append((r["start"], r["end"]))
+    for v in every.filter("pos % 25 = 0").collect():
+        strand, exons, *_ = MODELS[v["tx"]]
+        path = walk(strand, exons)
+        rest = path[path.index(v["pos"]) + 1 :] if v["pos"] in path else []
+        assert walk(strand, got.get(v["id"], [])) == rest[:60]
+
+
+def test_coding_intervals(spark, model):
+    rows = [(tx * 1000 + a, tx, a, a + n) for tx, (strand, _, cds, _) in MODELS.items() for a in range(1, len(walk(strand, cds)), 17) for n in (0, 40)]
+    got = {}
+    for r in T.cds_interval_to_genomic(spark.createDataFrame([(i * 100 + b - a, tx, a, b) for i, tx, a, b in rows], "id long, tx long, from_ long, to_ long"), model).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append((r["start"], r["end"]))
+    for i, tx, a, b in rows:
+        strand, _, cds, _ = MODELS[tx]
+        assert walk(strand, got[i * 100 + b - a]) == walk(strand, cds)[a - 1 : b]
+
+
+def test_splicing(spark, model):
+    text = "".join("ACGT"[(7 * i * i + i) % 4] for i in range(10_000))
+    genome = spark.createDataFrame([("chr1", k, text[k * 64 : k * 64 + 64]) for k in range(157)], "chrom string, chunk_no long, seq string")
     b = model.select("tx", "chrom", "strand", F.posexplode("exons").alias("i", "b")).select("tx", "chrom", "strand", (F.col("i") + 1).alias("rank"), "b.start", "b.end")
     got = {r["tx"]: r["seq"] for r in T.splice_sequence(b, genome, 64).collect()}
-    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    for tx, (strand, exons, *_) in TOYS.items():
-        parts = [text[a - 1 : e] for a, e in exons]
-        assert got[tx] == "".join(parts if strand == "+" else map(rc, parts))
-
-
-def test_cds_interval(spark, model):
-    x = spark.createDataFrame([(1, 1, 40, 60), (2, 2, 90, 110)], "id long, tx long, from_ long, to_ long")
-    got = sorted((r["id"], r["rank"], r["start"], r["end"]) for r in T.cds_interval_to_genomic(x, model).collect())
-    assert got == [(1, 1, 189, 199), (1, 2, 300, 309), (2, 1, 500, 510), (2, 2, 390, 399)]
+    for tx, (strand, exons, *_) in MODELS.items():
+        bases = "".join(text[x - 1] for x in walk(strand, exons))
+        assert got[tx] == (bases if strand == "+" else bases.translate(str.maketrans("ACGT", "TGCA")))
 
 
 def test_binned_overlap_has_no_repeats(spark):

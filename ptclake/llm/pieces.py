@@ -1,16 +1,18 @@
-"""SentencePiece encoding by a streaming Viterbi search over the model's piece scores, and decoding.
+"""SentencePiece encoding by a streaming Viterbi search over the model's pieces, and decoding.
 
-The search keeps scores for the last positions within the longest piece's length. Whenever the best paths to all
+The search keeps one survivor for each position: the last piece of the best path up to it. Whenever the survivors' paths from all
 positions that a later piece may follow run through one boundary, the ids up to it are committed and their text is let go, so
-memory doesn't follow the text. No piece of the model holds a space behind another character, so all surviving paths meet at
-every space that follows a non-space: that commit needs no tracing, and what is committed there depends only on the segment before
-it. Distinct segments of a slice of texts are therefore searched once, many side by side (``lockstep``): all advance by one
-position at a time, in numpy, over the pieces as a double-array trie, and commit by the same rule. Segments too long
-for its window are streamed one by one (``StreamingViterbi``). Both give the best path, by the same order of additions.
+memory doesn't follow the text, and only positions within the longest piece's length matter. Which path survives depends on the model:
 
-Ids are the best path under the scores in the model file. The given file is of the BPE type, for which the library merges
-instead of searching, so its ids differ from these, while both decode to the text; the tests hold the ids against
-a plain search over the whole text. Ties go to the path whose last piece is longer.
+- a unigram model's survivor has the largest sum of scores; ties go to the longer last piece;
+- a BPE model merges the best-scored neighbours, the leftmost first. A sequence of pieces is what merging leaves exactly where that holds for
+  each two neighbours in it: the first merge across a boundary would happen between these two alone as well. So a position has one survivor,
+  the piece that fits the survivor of the position it begins at, and the ids are the library's.
+
+No piece of the model holds a space behind another character, so all surviving paths meet at every space that follows a non-space: that
+commit needs no tracing, and what is committed there depends only on the segment before it. Distinct segments of a slice of texts
+are therefore searched once, many side by side (``lockstep``): all advance by one position at a time, in numpy, over the pieces as a
+double-array trie, and commit by the same rule. Segments too long for its window are streamed one by one (``StreamingViterbi``).
 
 Edge cases: null and empty texts have no ids; characters outside the vocabulary become byte pieces; the mark U+2581 in
 a text is a space, as in the library; repeated rows are encoded each; an empty table gives no row; further columns are left out.
@@ -87,6 +89,62 @@ class Trie:
         self.base, self.check = base[:end], check[:end]
 
 
+class Merges:
+    """Which two pieces may stand side by side in a BPE model's output; answers are remembered in tables of fixed size."""
+
+    def __init__(self, scores: dict[str, float], names: dict[int, str]):
+        self.scores, self.names, self.steps = scores, names, {}
+        self.keys, self.fits = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+
+    def sequence(self, node: int) -> list[tuple[float, str | None, str | None]] | None:
+        """The merges that make a piece of its characters: score, and the new first or last symbol; None where merging ends otherwise."""
+        if node not in self.steps:
+            symbols, out = list(self.names[node]), []
+            while out is not None and len(symbols) > 1:
+                found = [self.scores.get(x + y, -np.inf) for x, y in zip(symbols, symbols[1:])]
+                best = max(found)
+                if best == -np.inf:
+                    out = None
+                    break
+                at = found.index(best)
+                made = symbols[at] + symbols[at + 1]
+                out.append((best, made if at == 0 else None, made if at == len(symbols) - 2 else None))
+                symbols[at : at + 2] = [made]
+            self.steps[node] = out
+        return self.steps[node]
+
+    def fit(self, left: int, right: int) -> bool:
+        """Whether merging the characters of both leaves just these two; ``left`` is 0 at a start and -1 for a character of no piece."""
+        b = self.sequence(right)
+        if b is None or left <= 0:
+            return b is not None
+        a, x, y, i, j = self.sequence(left), self.names[left][-1], self.names[right][0], 0, 0
+        while True:
+            across = self.scores.get(x + y, -np.inf)
+            next_a, next_b = a[i][0] if i < len(a) else -np.inf, b[j][0] if j < len(b) else -np.inf
+            if across > next_a and across >= next_b:  # of equal scores, the leftmost goes first
+                return False
+            if i == len(a) and j == len(b):
+                return True
+            if next_a >= next_b:
+                x, i = a[i][2] or x, i + 1
+            else:
+                y, j = b[j][1] or y, j + 1
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fit`` of many pairs."""
+        key = (left.astype(np.int64) + 1 << 24) | right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        out, new = self.fits[slot], np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            asked, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self.fit((k >> 24) - 1, k & (1 << 24) - 1) for k in asked.tolist()], bool)
+            out[new] = found[which]
+            at = slot[new][first]
+            self.keys[at], self.fits[at] = asked, found
+        return out
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file."""
 
@@ -100,8 +158,6 @@ class Vocabulary:
         self.ids = {model.id_to_piece(i).replace("▁", " "): i for i in plain}
         scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.unknown_score, self.unknown_id = min(scores.values()) - 10.0, model.unk_id()
-        #: pieces with their scores, and None for what only begins a piece
-        self.table: dict[str, float | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
         self.longest = max(map(len, scores))
         if any(" " in p.lstrip(" ") for p in scores):
             raise ValueError("a piece spans a space: texts can't be cut there")
@@ -113,13 +169,19 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, parts), np.int64, n)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
-        self.trie = Trie(list(scores))
-        #: by node of the trie: the score of the piece that ends there (minus infinity for none), its id and length
-        self.node_score = np.full(len(self.trie.base), -np.inf)
-        self.node_id, self.node_length = np.zeros(len(self.trie.base), np.int64), np.ones(len(self.trie.base), np.int64)
-        for p, i in self.ids.items():
+        #: characters that pieces hold, but that are none themselves, can stand alone as unknown ones
+        alone = sorted({c for p in scores for c in p} - set(scores))
+        self.trie = Trie([*scores, *alone])
+        #: by node of the trie: whether a piece ends there, its score, id (-1 for an unknown character) and length
+        size = len(self.trie.base)
+        self.token, self.node_score = np.zeros(size, bool), np.full(size, -np.inf)
+        self.node_id, self.node_length = np.full(size, -1, np.int64), np.ones(size, np.int64)
+        for p in [*scores, *alone]:
             s = self.trie.place[p]
-            self.node_score[s], self.node_id[s], self.node_length[s] = scores[p], i, len(p)
+            self.token[s], self.node_score[s], self.node_id[s], self.node_length[s] = True, scores.get(p, self.unknown_score), self.ids.get(p, -1), len(p)
+        # a BPE model's scores are the numbers of its merges
+        ranked = all(x == int(x) for x in scores.values())
+        self.merges = Merges(scores, {s: p for p, s in self.trie.place.items()}) if ranked else None
 
     def of(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
@@ -134,6 +196,7 @@ class StreamingViterbi:
         self.text, self.at = "", 0  # text from the last committed boundary; positions before `at` have been extended
         self.best: list[float | None] = [0.0]
         self.back: list[int] = [0]
+        self.last: list[int] = [0]  # the survivor's last piece; 0 at the start
         self.widest = self.commits = 0  # the longest uncommitted text, and the commits, so far
 
     def feed(self, text: str, last: bool = False) -> list[int]:
@@ -144,11 +207,12 @@ class StreamingViterbi:
             grow = len(self.text) + 1 - len(self.best)
             self.best += [None] * grow
             self.back += [0] * grow
+            self.last += [0] * grow
             out += self._advance(len(self.text) - self.v.longest)
         if last:
             out += self._advance(len(self.text))
             out += self._ids(len(self.text))
-            self.text, self.at, self.best, self.back = "", 0, [0.0], [0]
+            self.text, self.at, self.best, self.back, self.last = "", 0, [0.0], [0], [0]
         return out
 
     def _advance(self, end: int) -> list[int]:
@@ -160,20 +224,23 @@ class StreamingViterbi:
         return self._commit() if self.at >= self.v.longest else []
 
     def _extend(self, i: int) -> None:
-        text, best, back, table = self.text, self.best, self.back, self.v.table
-        s, single = best[i], False
-        for j in range(i + 1, min(len(text), i + self.v.longest) + 1):
-            score = table.get(text[i:j], 0)
-            if score == 0:
-                if text[i:j] not in table:
-                    break
-            if score is None:
-                continue
-            single = single or j == i + 1
-            if best[j] is None or s + score > best[j]:
-                best[j], back[j] = s + score, i
-        if not single and (best[i + 1] is None or s + self.v.unknown_score > best[i + 1]):
-            best[i + 1], back[i + 1] = s + self.v.unknown_score, i
+        v, text, best, place = self.v, self.text, self.best, self.v.trie.place
+
+        def offer(j: int, node: int, score: float) -> None:
+            if best[j] is None or not v.merges and best[i] + score > best[j]:
+                best[j], self.back[j], self.last[j] = best[i] + score, i, node
+
+        single = False
+        for j in range(i + 1, min(len(text), i + v.longest) + 1):
+            node = place.get(text[i:j])
+            if node is None:
+                break
+            if v.token[node]:
+                single = True if j == i + 1 else single
+                if not v.merges or v.merges.fit(self.last[i], node):
+                    offer(j, node, v.node_score[node])
+        if not single:
+            offer(i + 1, -1, v.unknown_score)
 
     def _ids(self, end: int) -> list[int]:
         cuts = [end]
@@ -196,6 +263,7 @@ class StreamingViterbi:
         self.text, self.at = self.text[meet:], self.at - meet
         self.best = [None if x is None else x - base for x in self.best[meet:]]
         self.back = [max(0, x - meet) for x in self.back[meet:]]
+        self.last = self.last[meet:]
         self.commits += 1
         return ids
 
@@ -243,19 +311,18 @@ def lockstep(v: Vocabulary, text: np.ndarray, starts: np.ndarray, lengths: np.nd
             rows, s = rows[on], child[on]
             if not len(rows):
                 break
-            ahead, given = best[(t + k) % (reach + 1)], score[s]
+            ends = v.token[s]
             if k == 1:
-                single[rows] = given > -np.inf
-            total = here[rows] + given
-            better = total > ahead[rows]
-            w = rows[better]
-            ahead[w], node[t + k, w] = total[better], s[better]
+                single[rows] = ends
+            w, piece = rows[ends], s[ends]
+            ahead, total = best[(t + k) % (reach + 1)], here[w] + score[piece]
+            better = v.merges.fitting(node[t, w], piece) if v.merges else total > ahead[w]
+            w = w[better]
+            ahead[w], node[t + k, w] = total[better], piece[better]
         odd = np.flatnonzero(~single)
         if len(odd):
-            ahead, total = best[(t + 1) % (reach + 1)], here[odd] + v.unknown_score
-            better = total > ahead[odd]
-            w = odd[better]
-            ahead[w], node[t + 1, w] = total[better], -1
+            # characters of no piece stand alone: nothing else leads across them
+            best[(t + 1) % (reach + 1)][odd], node[t + 1, odd] = here[odd] + v.unknown_score, -1
         here[:] = -np.inf
         if (t + 1) % reach == 0 and (rest := active[t + 1] if t + 1 < width else 0):
             # segments that go on: commit where the paths to all positions with a path meet
@@ -332,7 +399,7 @@ class PieceEncoder:
             row, pos = np.nonzero(nodes.T)
             node = nodes.T[row, pos]
             ids, per = v.node_id[node], np.ones(len(node), np.int64)
-            if (odd := np.flatnonzero(node < 0)).size:
+            if (odd := np.flatnonzero(ids < 0)).size:
                 other = [v.of(chr(c)) for c in points[starts[own][row[odd]] + pos[odd] - 1].tolist()]
                 per[odd] = [len(x) for x in other]
                 wide = np.repeat(ids, per)

@@ -40,7 +40,7 @@ from ptclake.llm.components import components
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE_BITS = 16
 #: N-grams whose bucket occurs more often than so many times are counted by size first.
-HOT = 1 << 14
+HOT = 1 << 18
 #: Joins with counts of very frequent n-grams go to so many tasks for each n-gram and size.
 SALT = 16
 
@@ -327,7 +327,7 @@ def _hot_runs(rows: DataFrame, percent: int, shared: int, spread: int) -> DataFr
 def _members(full: DataFrame, classes: DataFrame, percent: int, filter_bits: int, shared: int, spread: int) -> DataFrame:
     """``doc_id, pivot, n``: first documents of classes in groups of n > 1 that may have links."""
     spark = full.sparkSession
-    prefixes = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
+    some = full.select("doc_id", F.col("size").cast("int").alias("size"), "prefix").filter("doc_id IS NOT NULL")
     # Only first documents of classes count. Most documents share no bucket with a copy and are firsts without a look-up; the others are joined.
     copies = full.select("doc_id", "sign_a", "sign_b").join(classes, ["sign_a", "sign_b"]).filter("doc_id <> first").select("doc_id")
     copied = spark.sparkContext.broadcast(bucket_levels(copies, lambda b: [id_hash(b.column(0))], filter_bits))
@@ -336,12 +336,16 @@ def _members(full: DataFrame, classes: DataFrame, percent: int, filter_bits: int
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copied.value[(id_hash(b.column(0)) >> np.uint64(64 - filter_bits)).astype(np.int64)] > 0)], names=["doc_id", "size", "prefix", "maybe"])
 
-    split = prefixes.mapInArrow(marked, f"doc_id long, size int, prefix {_PREFIX}, maybe boolean")
-    looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    grams = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("p"), "size", "doc_id").select("p.gram", "size", "doc_id", "p.hot")
-    met = _runs(grams.filter("NOT hot").drop("hot"), percent, shared, spread)
-    if not full.filter(F.exists("prefix", lambda p: p["hot"])).isEmpty():
-        met = met.unionByName(_hot_runs(grams.filter("hot").drop("hot"), percent, shared, spread))
+    def grams_of(rows: DataFrame, hot: bool) -> DataFrame:
+        """gram, size, doc_id of the first documents among rows."""
+        split = rows.mapInArrow(marked, f"doc_id long, size int, prefix {_PREFIX}, maybe boolean")
+        looked = split.filter("maybe").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+        each = split.filter("NOT maybe").unionByName(looked).select(F.explode("prefix").alias("p"), "size", "doc_id")
+        return each.filter(F.col("p.hot") == hot).select("p.gram", "size", "doc_id")
+
+    met, with_hot = _runs(grams_of(some, False), percent, shared, spread), some.filter(F.exists("prefix", lambda p: p["hot"]))
+    if not with_hot.isEmpty():
+        met = met.unionByName(_hot_runs(materialize(grams_of(with_hot, True), "ngram-hot-grams"), percent, shared, spread))
     met = materialize(met.groupBy("doc_id", "pivot").agg(F.min("need").alias("need"), F.sum("times").alias("times")), "ngram-met")
     # a document with a link has at least `need` prefix n-grams in common with others; of texts that share an id, the one that needs least counts
     enough = met.groupBy("doc_id").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("doc_id")

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,31 +75,42 @@ def ngram_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 def bucket_levels(frame: DataFrame, hashes, bits: int) -> np.ndarray:
     """How often each of 2**bits hash buckets occurs, as 4 * log2 of its count (0: never); 2**bits bytes.
 
-    ``hashes`` turns a batch into 64-bit hashes. Counts are added up slice by slice on Spark, streaming over all partitions.
+    ``hashes`` turns a batch into 64-bit hashes. Counts are added up slice by slice on Spark, first by the tasks' numbers and then in
+    all, streaming over the partitions, so no task gets the counts of all others.
     """
     width = 1 << min(_SLICE_BITS, bits)
+    names = ["k", "salt", "counts"]
+
+    def row(k: int, salt: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([data], pa.binary())], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total, salt = np.zeros(1 << bits, np.uint32), TaskContext.get().partitionId() % 64
         for b in batches:
             for x in hashes(b):
                 total += np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total)).astype(np.uint32)
         for k in range(len(total) // width):
             if (part := total[k * width : (k + 1) * width]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "counts"])
+                yield row(k, salt, zlib.compress(part.astype(np.int64).tobytes(), 1))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
-        for k, x in sums.items():
-            level = np.where(x > 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(x, 1)))), 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["k", "counts"])
+            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        return sums
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, x in sums_of(batches).items():
+            yield row(k, 0, zlib.compress(x.tobytes(), 1))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, x in sums_of(batches).items():
+            yield row(k, 0, np.where(x > 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(x, 1)))), 0).astype(np.uint8).tobytes())
 
-    schema = "k int, counts binary"
+    schema = "k int, salt int, counts binary"
     out = np.zeros(1 << bits, np.uint8)
-    for k, x in frame.mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():  # 2**bits bytes in all
+    for k, _, x in frame.mapInArrow(count, schema).repartition("k", "salt").mapInArrow(add, schema).repartition("k").mapInArrow(finish, schema).collect():  # 2**bits bytes in all
         out[k * width : (k + 1) * width] = np.frombuffer(x, np.uint8)
     return out
 

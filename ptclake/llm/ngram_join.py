@@ -231,8 +231,8 @@ def _forest(ids: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def _bits(n: int, most: int) -> int:
-    """Bits of a table with some buckets for each of n things; it has ``2**most`` bytes at most, beyond which it saves less work."""
-    return min(most, max(20, (4 * n).bit_length()))
+    """Bits of a table with 16 to 32 buckets for each of n things; it has ``2**most`` bytes at most, beyond which it saves less work."""
+    return min(most, max(20, (16 * n).bit_length()))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int | None = None, filter_bits: int | None = None, block: int = 256, shared: int = 3, spread: int = 50) -> DataFrame:
@@ -245,7 +245,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int |
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.count()
-    bits, filter_bits = bits or _bits(rows // 4, 24), filter_bits or _bits(rows, 26)
+    bits, filter_bits = bits or _bits(rows // 16, 24), filter_bits or _bits(rows, 26)
     levels = spark.sparkContext.broadcast(bucket_levels(docs.select("text"), lambda b: (ngram_sets(texts_of(x), n)[1] for x in slices(b)), bits))
     hot = int(1 + np.floor(4 * np.log2(HOT)))
 

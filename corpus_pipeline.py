@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ptclake.llm.common import discard, free_name, materialize, table, with_positions
-from ptclake.llm.ngram_join import ngram_components
+from ptclake.llm.ngram_join import ngram_components, without_ids
 from ptclake.llm.packing import pack_documents
 from ptclake.llm.quality_classifier import held_out, score, train
 from ptclake.llm.quality_rules import RULES, text_statistics, verdict
@@ -41,14 +41,17 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id.
 
-    A document is a row: rows are numbered in the order of their ids (none last) and texts, and the join runs on these numbers. So of
-    rows that share an id, only those whose texts are near copies leave one; different texts stay. Texts without words are no copies
-    of anything and all stay.
+    A document is a row. Where ids are missing or repeat, rows are numbered in the order of their ids (none last) and texts, and these
+    numbers take the ids' place: of rows that share an id, only those whose texts are near copies leave one; different texts stay.
+    Texts without words are no copies of anything and all stay.
     """
-    numbered = with_positions(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name="pipeline-numbers", pos=(number := free_name(docs, "number")))
-    groups = ngram_components(numbered.select(F.col(number).alias("doc_id"), "text"), n=5, percent=80)
-    firsts = materialize(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(number)), "pipeline-firsts")
-    return numbered.join(firsts, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        key = free_name(docs, "number")
+        rows = with_positions(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name="pipeline-numbers", pos=key)
+    groups = ngram_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id"), "pipeline-gone")
+    return without_ids(rows, key, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

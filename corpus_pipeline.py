@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ptclake.llm.common import discard, free_name, materialize, table, with_positions
-from ptclake.llm.ngram_join import ngram_components, without_ids
+from ptclake.llm.ngram_join import ngram_components
 from ptclake.llm.packing import pack_documents
 from ptclake.llm.quality_classifier import held_out, score, train
 from ptclake.llm.quality_rules import RULES, text_statistics, verdict
@@ -50,8 +50,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         key = free_name(docs, "number")
         rows = with_positions(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name="pipeline-numbers", pos=key)
     groups = ngram_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
-    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id"), "pipeline-gone")
-    return without_ids(rows, key, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the removed ids are far fewer than the kept ones: Spark may send them to all tasks instead of shuffling whole rows
+    gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "pipeline-gone")
+    return rows.join(gone, rows[key] == gone["gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ptclake.llm.common import discard, materialize, mix, slices, split_words, texts_of, word_hashes
 from ptclake.llm.components import components
@@ -286,27 +285,6 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int |
     return every.join(roots, every["first"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
 
 
-def without_ids(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``column``, a long, isn't in the one column of ``gone``; rows without an id stay.
-
-    Most rows share no hash bucket with such an id and stay without a look-up, so their other columns are never shuffled; the rest is joined.
-    """
-    bits = _bits(gone.count(), 26)
-    marks = docs.sparkSession.sparkContext.broadcast(bucket_levels(gone, lambda b: [id_hash(b.column(0))], bits))
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{column}`").cast("long").alias("id"))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            maybe = np.zeros(len(b), bool)
-            some = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            maybe[some] = marks.value[(id_hash(b.column(1)) >> np.uint64(64 - bits)).astype(np.int64)] > 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=["row", "id", "maybe"])
-
-    split = carried.mapInArrow(mark, T.StructType(list(carried.schema)).add("maybe", "boolean"))
-    looked = split.filter("maybe").join(gone.toDF("id"), "id", "left_anti")
-    return split.filter("NOT maybe").select("row").unionByName(looked.select("row")).select("row.*")
-
-
 _PREFIX = "array<struct<gram: long, hot: boolean>>"
 
 

@@ -125,6 +125,16 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def lettered(texts: pa.Array, word: bytes) -> pa.Array:
+    """Texts with A-Z lower-cased and every ASCII byte outside of ``word`` (other than A-Z) made a space; other characters stay.
+
+    ``texts`` are 64-bit strings in buffers of their own; bytes change in place of their own, so offsets stay.
+    """
+    change = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in word else 32 for b in range(256))
+    _, offsets, data = texts.buffers()
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(change)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     x = x.astype(np.uint64)

@@ -168,5 +168,61 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity, "op1_sentencepiece": op1_sentencepiece, "op5_lm_scoring": op5_lm_scoring}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents of at least 20 words, drawn by how much they resemble the benchmark's texts."""
+    from ptclake.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of each language against its other sources, and the terms that it has more of than the language."""
+    from ptclake.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(n.total, 0) + v.v) AS BIGINT) AS p,
+             CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // (v.n + v.v) AS BIGINT) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by their sources' weights, each at most three times."""
+    from ptclake.llm.mixture import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || md5('13:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+l AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM s WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)),
+f AS (SELECT max(rest) AS rest, max(weight) AS weight FROM (SELECT rest, weight FROM l WHERE w * rest <= 3 * source_size * weight ORDER BY weight DESC LIMIT 1)),
+t AS (SELECT source, source_size, CASE WHEN w * f.rest > 3 * source_size * f.weight THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * f.rest AS DOUBLE) / CAST(f.weight AS DOUBLE) END AS target FROM s, f),
+p AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words, coalesce(CAST(floor(t.target + 0.5) AS BIGINT) // nullif(t.source_size, 0), 0) AS whole,
+             CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, greatest(0, least(size, words - whole * source_size - start)) AS part FROM p)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, whole, CAST(part AS BIGINT) AS part FROM r
+"""
+
+QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity, "op1_sentencepiece": op1_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op11_importance_resampling": op11_importance_resampling, "op12_source_divergence": op12_source_divergence, "op13_source_mixture": op13_source_mixture}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL, "op12_source_divergence": OP12_SQL, "op13_source_mixture": OP13_SQL}

@@ -184,6 +184,25 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 by bytes: a table of what eight bit steps make of each byte, and a reduction over a feature's bytes.
+OP11_SQL = rf"""
+WITH w AS (SELECT 0 AS kind, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents
+           UNION ALL SELECT 1, NULL, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), row_number() OVER () FROM benchmark),
+f AS (SELECT kind, r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM w),
+n AS (SELECT kind, r, g, count(*) AS n FROM f GROUP BY ALL),
+step AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) x(b)),
+h AS (SELECT g, CAST(xor(list_reduce(list_transform(range(1, strlen(g) + 1), lambda i: CAST('0x' || hex(encode(g))[2 * i - 1:2 * i] AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT g FROM n), step),
+b AS (SELECT kind, r, bucket, n FROM n JOIN h USING (g)),
+c AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (kind = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (kind = 1), 0) AS DOUBLE) AS t FROM b GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c, a),
+d AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM b JOIN gain USING (bucket) WHERE kind = 0 GROUP BY r),
+e AS (SELECT doc_id, len(ws) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN d USING (r) WHERE kind = 0),
+k AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (able) OVER () AS m FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * m // 100 THEN k END AS rank FROM k
+"""
+
 OP12_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
 o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
@@ -225,4 +244,4 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS
 """
 
 QUERIES = {"op2_packing": op2_packing, "op8_token_files": op8_token_files, "op9_ngram_jaccard": op9_ngram_jaccard, "op6_quality_rules": op6_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op10_topk": op10_topk, "op7_chat_formatting": op7_chat_formatting, "op3_warc_fixity": op3_warc_fixity, "op1_sentencepiece": op1_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op11_importance_resampling": op11_importance_resampling, "op12_source_divergence": op12_source_divergence, "op13_source_mixture": op13_source_mixture}
-ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL, "op12_source_divergence": OP12_SQL, "op13_source_mixture": OP13_SQL}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": OP9_SQL, "op6_quality_rules": OP6_SQL, "op10_topk": OP10_SQL, "op7_chat_formatting": OP7_SQL, "op3_warc_fixity": OP3_SQL, "op11_importance_resampling": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_source_mixture": OP13_SQL}

@@ -12,26 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ptclake.functions.variants import assign_tier
-from ptclake.operators.ranks import quantiles, value_ranks
+from ptclake.operators.ranks import keyed_join, quantiles, range_number, value_cuts, value_ranks
+from ptclake.sources.scratch import written
 
 
 def score_table(df: DataFrame, score: str = "score", label: str = "label", weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Per ``by`` and score: positives p and negatives n, with those of higher scores (tp0, fp0) and the totals pos and neg.
 
-    Ranges of scores are by quantile sketch per whole table; running sums within a range go by (by, range).
+    Rows without a score or a label, and NaN scores, are left out; a null ``by`` is a key like others. Ranges of scores are cut at approximate
+    quantiles of the distinct ones; running sums within a range go by (by, range).
     """
     by = by or []
     w = weight if weight is not None else F.lit(1)
-    g = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("n"))
-    #: 1/1024ths of a score in [0, 1], else its binary exponent: any monotone function of the score will do
-    part = F.when(F.col("score").between(0, 1), F.floor(F.col("score") * 1024)).otherwise(F.signum("score") * (2000 + F.floor(F.log2(F.abs("score") + 2)))).cast("long")
-    g = g.withColumn("_r", part)
+    s = F.col(score).cast("double")
+    g = df.filter(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).groupBy(*by, s.alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("n"))
+    g = written(g, "score-counts")
+    g = g.withColumn("_r", range_number(F.col("score"), value_cuts(g, "score")))
     ranges = g.groupBy(*by, "_r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
     higher = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     ranges = ranges.select(*by, "_r", F.coalesce(F.sum("rp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(higher), F.lit(0)).alias("bn"), F.sum("rp").over(whole).alias("pos"), F.sum("rn").over(whole).alias("neg"))
     inner = Window.partitionBy(*by, "_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.join(ranges, [*by, "_r"]).select(*by, "score", "p", "n", (F.col("bp") + F.coalesce(F.sum("p").over(inner), F.lit(0))).alias("tp0"), (F.col("bn") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("fp0"), "pos", "neg")
+    return keyed_join(g, ranges, [*by, "_r"]).select(*by, "score", "p", "n", (F.col("bp") + F.coalesce(F.sum("p").over(inner), F.lit(0))).alias("tp0"), (F.col("bn") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("fp0"), "pos", "neg")
 
 
 def roc_pr(table: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -87,30 +89,6 @@ def threshold_at(table: DataFrame, specificity: float = 0.9, sensitivity: float
     return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"{k}.score").alias("threshold"), F.col(f"{k}.sens").alias("sensitivity"), F.col(f"{k}.spec").alias("specificity")) for k in names])).alias("x")).select("x.*")
 
 
-def bootstrap_ci(df: DataFrame, replicates: int = 1000, score: str = "score", label: str = "label") -> DataFrame:
-    """2.5, 50 and 97.5 percentiles of the ROC-AUC over Poisson-weighted replicates.
-
-    The weights of n rows with one score and label add up to a Poisson number with mean n, so a number is drawn for each distinct
-    score and label and each replicate, by a generator seeded with these, never for each row.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
-
-    def draw(batches):
-        for b in batches:
-            n, seeds = b.column(2).to_pylist(), b.column(3).to_pylist()
-            w = np.stack([np.random.Generator(np.random.PCG64(s % 2**64)).poisson(k, replicates) for k, s in zip(n, seeds, strict=True)]) if n else np.zeros((0, replicates), np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, replicates, dtype=np.int32), w.ravel().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["score", "label", "w"])
-
-    drawn = counts.withColumn("seed", F.xxhash64("score", "label")).mapInArrow(draw, "score double, label int, w array<long>")
-    x = drawn.select("score", "label", F.posexplode("w").alias("replicate", "w")).filter("w > 0")
-    auc = roc_pr(score_table(x, weight=F.col("w"), by=["replicate"]), ["replicate"])
-    return auc.agg(F.expr("percentile(roc_auc, 0.025)").alias("low"), F.expr("percentile(roc_auc, 0.5)").alias("median"), F.expr("percentile(roc_auc, 0.975)").alias("high"), F.count("roc_auc").alias("replicates"))
-
-
 def calibration(df: DataFrame, bins: int = 10, quantile: bool = True, score: str = "score", label: str = "label") -> DataFrame:
     """Per bin (left-closed by the inner edges, equal edges merged): n, mean score, observed rate and gap."""
     inner = [k / bins for k in range(1, bins)]

@@ -119,27 +119,6 @@ def categorical_columns(df: DataFrame, declared: list[str]) -> list[str]:
     return [c for c, k in df.dtypes if c in declared or k in ("string", "boolean") or c in numeric and row[c]]
 
 
-def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Pairwise-complete Pearson correlations in one pass; the result has a row for each pair of columns."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {p: row[i] for i, p in enumerate(pairs)}
-
-
-def correlation_prune(columns: list[str], corr: dict[tuple[str, str], float], protected: set[str], limit: float = 0.95) -> list[str]:
-    """Columns to drop, in order: pairs i < j above the limit; both protected stay, of one protected the other goes, else j. Dropped columns still count."""
-    drop: list[str] = []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            c = corr.get((a, b))
-            if c is None or c != c or abs(c) <= limit or (a in protected and b in protected):
-                continue
-            out = a if b in protected else b
-            if out not in drop:
-                drop.append(out)
-    return drop
-
-
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """The exact median of each column; null where it has no value. A row per column goes to the driver."""
     found = {r["feature"]: r["q"][0] for r in quantiles(_unpivot(df, columns), "value", [0.5], ["feature"]).collect()}

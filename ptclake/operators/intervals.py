@@ -1,35 +1,74 @@
-"""Interval operators on binned equi-joins. Intervals are 1-based and inclusive unless said otherwise."""
+"""Interval operators on equi-joins over nested grids of bins. Intervals are 1-based and inclusive unless said otherwise."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 16_384
+#: Each grid's bins are so many times as wide as those of the one before.
+FACTOR = 8
+#: Grids: the widest bins are longer than any sequence (BIN * FACTOR ** 6 is above 4 * 10**9).
+GRIDS = 7
 
 
-def with_bins(df: DataFrame, start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
-    """A row for each bin that an interval touches, in ``_bin``; intervals that end before they start touch none."""
-    div = lambda c: F.floor((F.col(c)) / width).cast("long")
-    return df.filter(F.col(end) >= F.col(start)).withColumn("_bin", F.explode(F.sequence(div(start), div(end))))
+def _bins(start: Column, end: Column, grid: Column, width: int) -> Column:
+    """The bins of a grid that an interval touches, at most two where it isn't longer than a bin."""
+    size = F.element_at(F.array(*[F.lit(width * FACTOR**g) for g in range(GRIDS)]), grid + 1)
+    return F.sequence(F.floor(start / size).cast("long"), F.floor(end / size).cast("long"))
+
+
+def _grid(width: int) -> Column:
+    """The finest grid whose bins are at least as long as the interval."""
+    length = F.col("end") - F.col("start") + 1
+    out = F.lit(GRIDS - 1)
+    for g in range(GRIDS - 2, -1, -1):
+        out = F.when(length <= width * FACTOR**g, g).otherwise(out)
+    return out.cast("int")
+
+
+def with_bins(df: DataFrame, width: int = BIN) -> DataFrame:
+    """A row for each bin of its own grid (``_grid``) that an interval touches, in ``_bin``: at most two, however long it is. Intervals that end before they start touch none."""
+    own = df.filter(F.col("end") >= F.col("start")).withColumn("_grid", _grid(width))
+    return own.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), F.col("_grid"), width)))
+
+
+def with_partner_bins(df: DataFrame, other: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """A row for each bin that an interval touches in the coarser grids that ``other`` has intervals in, on the same keys.
+
+    Such grids are found first (a row per key), so where all intervals are short, no row is made here.
+    """
+    grids = other.filter(F.col("end") >= F.col("start")).select(*keys, _grid(width).alias("_g")).groupBy(*keys).agg(F.collect_set("_g").alias("_grids"))
+    own = df.filter(F.col("end") >= F.col("start")).withColumn("_own", _grid(width)).join(grids, keys)
+    coarse = own.withColumn("_grid", F.explode(F.filter("_grids", lambda g: g > F.col("_own")))).drop("_own", "_grids")
+    return coarse.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), F.col("_grid"), width)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Pairs of ``left`` and ``right`` rows (both with ``start``, ``end``) that overlap on equal ``keys``, each once.
+    """Pairs of ``left`` and ``right`` rows (both with ``start``, ``end``) that overlap on equal ``keys``, each once; right columns get the prefix ``r_``.
 
-    A pair is kept in the first bin that both touch, so no distinct is needed; right columns get the prefix ``r_``.
+    Grids nest, and an interval lies in the finest one whose bins are as long as it is. A pair meets in the coarser of its two grids:
+    there one side looks up the other's bins. It is kept in the first bin that both touch, so no distinct is needed. So an interval is at most
+    two rows in its own grid and two for each coarser grid that the other side uses, whatever its length. Null keys match nothing.
     """
-    r = with_bins(right, width=width).select(*[F.col(k) for k in keys], F.col("_bin"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    joined = with_bins(left, width=width).join(r, [*keys, "_bin"])
-    first = F.floor(F.greatest("start", "r_start") / width)
-    return joined.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bin") == first)).drop("_bin")
+    size = F.element_at(F.array(*[F.lit(width * FACTOR**g) for g in range(GRIDS)]), F.col("_grid") + 1)
+    named = lambda d: d.select(*[F.col(k) for k in keys], "_grid", "_bin", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.join(named(y), [*keys, "_grid", "_bin"])
+        first = F.floor(F.greatest("start", "r_start") / size)
+        return both.filter((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_bin") == first)).drop("_bin", "_grid")
+
+    own = with_bins(left, width)
+    wide = own.unionByName(with_partner_bins(left, right, keys, width))
+    return met(wide, with_bins(right, width)).unionByName(met(own, with_partner_bins(right, left, keys, width)))
 
 
 def overlap_semi(features: DataFrame, intervals: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Features that touch any interval, once each, as a left-semi join on a bin and a range."""
-    f = features.withColumn("_row", F.struct(*features.columns))
-    hit = overlap_join(f, intervals.select(*keys, "start", "end"), keys, width).select("_row").distinct()
-    return hit.select("_row.*")
+    """Features that touch any interval, as a left-semi join: repeated rows stay repeated. The places that are touched are found first, so whole rows are shuffled once."""
+    place = [*keys, "start", "end"]
+    touched = overlap_join(features.select(*place).distinct(), intervals.select(*place), keys, width).select(*place).distinct()
+    return features.join(touched, place, "left_semi").select(*features.columns)
 
 
 def count_overlaps(windows: DataFrame, intervals: DataFrame, id_col: str, keys: list[str], ids: DataFrame, width: int = BIN) -> DataFrame:

@@ -14,8 +14,11 @@ from ptclake.operators.ranks import numbered
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Class-balanced folds: rows of a label in the order of an MD5 of seed and id, dealt in turn. Digests are sorted by their first three digits, so a class is no task."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    """Class-balanced folds: rows of a label in the order of an MD5 of seed and id, dealt in turn. Digests are sorted by their first three digits, so a class is no task.
+
+    Rows without a label are a class of their own; rows without an id stand where the empty id does.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     n = numbered(df, [label], [order, id_col], F.substring(order, 1, 3), "fold")
     return n.withColumn("fold", (F.col("fold") % folds).cast("int"))
 

@@ -6,9 +6,13 @@ own, and the ranges' totals, a few rows, are added up over the ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ptclake.sources.scratch import written
+
 #: Ranges of values; each task sorts the values of one.
 PARTS = 256
 
@@ -25,6 +29,13 @@ def range_number(value: Column, cuts: list[float]) -> Column:
     return between(0, len(cuts))
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by keys of which null equals null; the keys are the left ones."""
+    own = {k: f"_key{i}" for i, k in enumerate(keys)}
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()], F.lit(True))
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 def value_cuts(values: DataFrame, column: str) -> list[float]:
     """At most PARTS - 1 cuts of a column with about as many rows between each."""
     return sorted(set(values.approxQuantile(column, [k / PARTS for k in range(1, PARTS)], 0.5 / PARTS)))
@@ -38,14 +49,14 @@ def _before(ranges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Per ``by`` and numeric value: its rows (ties), the rows with lower values (lower) and all rows (total). Null and NaN values are left out."""
+    """Per ``by`` and numeric value: its rows (ties), the rows with lower values (lower) and all rows (total). Null and NaN values are left out; a null ``by`` is a key like others."""
     by = by or []
     x = F.col(value).cast("double")
-    g = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias(value)).agg(F.count("*").alias("ties"))
+    g = written(df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias(value)).agg(F.count("*").alias("ties")), "value-counts")
     g = g.withColumn("_r", range_number(F.col(value), value_cuts(g, value)))
     ranges = _before(g.groupBy(*by, "_r").agg(F.sum("ties").alias("_n")), by)
     inner = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = g.join(ranges, [*by, "_r"])
+    joined = keyed_join(g, ranges, [*by, "_r"])
     return joined.select(*by, value, "ties", (F.col("_before") + F.coalesce(F.sum("ties").over(inner), F.lit(0))).alias("lower"), F.col("_total").alias("total"))
 
 
@@ -69,4 +80,4 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], part: Colu
     x = df.withColumn("_r", part)
     ranges = _before(x.groupBy(*by, "_r").agg(F.count("*").alias("_n")), by)
     inner = Window.partitionBy(*by, "_r").orderBy(*order)
-    return x.join(ranges, [*by, "_r"]).withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).select(*df.columns, name)
+    return keyed_join(x, ranges, [*by, "_r"]).withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).select(*df.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ptclake.functions import sequence as S
 from ptclake.functions import variants as V
 from ptclake.operators import cohorts as C
+from ptclake.operators import correlation as K
 from ptclake.operators import evaluation as E
 from ptclake.operators import features as X
 from ptclake.operators import motifs as M
@@ -125,8 +126,28 @@ def column_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise correlations, as the pruning sees them."""
-    c = X.correlations(table(spark, sf_dir, "lineitem").selectExpr("l_quantity AS a", "l_quantity * 2 + l_tax AS b", "l_discount AS c"), ["a", "b", "c"])
-    return spark.createDataFrame([(x, y, round(r, 6)) for (x, y), r in c.items()], "x string, y string, r double")
+    c = K.correlations(table(spark, sf_dir, "lineitem").selectExpr("l_quantity AS a", "l_quantity * 2 + l_tax AS b", "l_discount AS c"), ["a", "b", "c"])
+    return c.select(F.col("a").alias("x"), F.col("b").alias("y"), F.round("correlation", 6).alias("r"))
+
+
+#: Eighteen columns, two of them near copies and one constant, with nulls at rows of their own.
+_WIDE = {
+    f"f{k:02}": f"CASE WHEN (l_partkey + {k} * l_suppkey) % {k + 4} <> 0 THEN CAST({x} AS DOUBLE) END"
+    for k, x in enumerate(["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity * 3 + l_tax", "l_extendedprice + 1000000", "l_quantity * l_discount", "l_partkey % 17", "l_suppkey % 5", "7", "l_orderkey", "l_orderkey % 100", "l_extendedprice * (1 - l_discount)", "l_quantity - l_linenumber", "l_tax * l_tax"])
+}
+_WIDE_PAIRS = [(a, b) for a in _WIDE for b in _WIDE if a < b]
+
+
+@query(
+    f"""WITH l AS (SELECT {", ".join(f"{x} AS {c}" for c, x in _WIDE.items())} FROM lineitem),
+g AS (SELECT {", ".join(f"corr({a}, {b}) AS r{k}, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n{k}" for k, (a, b) in enumerate(_WIDE_PAIRS))} FROM l),
+p AS (SELECT unnest([{", ".join(f"{{'a': '{a}', 'b': '{b}', 'n': n{k}, 'r': r{k}}}" for k, (a, b) in enumerate(_WIDE_PAIRS))}]) AS p FROM g)
+SELECT p.a, p.b, p.n, CASE WHEN isfinite(p.r) THEN round(p.r, 6) END AS r FROM p"""
+)
+def wide_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of eighteen columns with nulls, in one pass."""
+    c = K.correlations(table(spark, sf_dir, "lineitem").selectExpr(*[f"{x} AS {c}" for c, x in _WIDE.items()]), list(_WIDE))
+    return c.select("a", "b", "n", F.round("correlation", 6).alias("r"))
 
 
 @query("SELECT l_linenumber + l_orderkey * 10 AS id, round(median(x), 8) AS m FROM (SELECT *, unnest([l_quantity, l_tax * 100, l_discount * 100, l_extendedprice / 1000]) AS x, row_number() OVER () AS rn FROM lineitem) GROUP BY rn, 1")
@@ -304,8 +325,8 @@ SELECT DISTINCT CASE WHEN y = 'b' THEN x ELSE y END AS feature FROM r WHERE abs(
 def pruned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that the pruning by correlations drops, with one protected."""
     names = ["a", "b", "c", "d"]
-    c = X.correlations(table(spark, sf_dir, "lineitem").selectExpr("l_quantity AS a", "l_quantity * 2 + l_tax AS b", "l_discount AS c", "l_quantity * 3 - l_tax AS d"), names)
-    return spark.createDataFrame([(x,) for x in X.correlation_prune(names, c, {"b"})], "feature string")
+    c = K.strong_pairs(K.correlations(table(spark, sf_dir, "lineitem").selectExpr("l_quantity AS a", "l_quantity * 2 + l_tax AS b", "l_discount AS c", "l_quantity * 3 - l_tax AS d"), names))
+    return spark.createDataFrame([(x,) for x in K.correlation_prune(names, c, {"b"})], "feature string")
 
 
 @query(

@@ -105,6 +105,23 @@ def touched_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.overlap_semi(exons(spark, sf_dir).select("tx", "k", "start", "end"), iv, ["tx"])
 
 
+_SPAN = "CASE WHEN {0} % 1000 = 1 THEN 100000000 WHEN {0} % 200 = 2 THEN 3000000 WHEN {0} % 40 = 3 THEN 90000 WHEN {0} % 9 = 4 THEN 20000 ELSE {0} % 50 END"
+
+
+@query(
+    f"""WITH l AS (SELECT event_id AS id, event_id % 22 AS chrom, event_id * 7919 % 240000007 AS a, event_id * 7919 % 240000007 + {_SPAN.format("event_id")} AS b FROM events),
+r AS (SELECT l_orderkey % 22 AS chrom, l_partkey * 104729 % 240000007 AS a, l_partkey * 104729 % 240000007 + {_SPAN.format("(l_orderkey * 7 + l_linenumber)")} AS b FROM lineitem),
+c AS (SELECT l.id, count(*) AS n FROM l JOIN r ON l.chrom = r.chrom AND l.a <= r.b AND r.a <= l.b GROUP BY l.id)
+SELECT l.id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'yes' ELSE 'no' END AS "any" FROM l LEFT JOIN c ON l.id = c.id"""
+)
+def mixed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For windows of 1 to 100 million bases, the intervals of such lengths that they touch."""
+    e, li = table(spark, sf_dir, "events"), table(spark, sf_dir, "lineitem")
+    left = e.selectExpr("event_id AS id", "event_id % 22 AS chrom", "event_id * 7919 % 240000007 AS start", f"event_id * 7919 % 240000007 + {_SPAN.format('event_id')} AS end")
+    right = li.selectExpr("l_orderkey % 22 AS chrom", "l_partkey * 104729 % 240000007 AS start", f"l_partkey * 104729 % 240000007 + {_SPAN.format('(l_orderkey * 7 + l_linenumber)')} AS end")
+    return I.count_overlaps(left, right, "id", ["chrom"], left)
+
+
 @query(
     f"""WITH {EXONS}, tr AS (SELECT user_id * 9 AS tx, 100 + event_id * 61 % 1100 AS a, 100 + event_id * 61 % 1100 + 19 AS b, value FROM events WHERE value IS NOT NULL),
 b AS (SELECT e.tx, tr.value, unnest(range(greatest(e.start, tr.a), least(e."end", tr.b) + 1)) AS base FROM exons e JOIN tr ON tr.tx = e.tx AND tr.a <= e."end" AND e.start <= tr.b),
@@ -442,7 +459,9 @@ def reference_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the AUC over 1000 Poisson-weighted replicates."""
-    return E.bootstrap_ci(scores(spark, sf_dir))
+    from ptclake.operators.bootstrap import bootstrap_ci
+
+    return bootstrap_ci(scores(spark, sf_dir))
 
 
 def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:

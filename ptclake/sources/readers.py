@@ -87,13 +87,40 @@ def read_vcf_sites(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ann", F.nullif(F.regexp_extract("info", r"(?:^|;)ANN=([^;]*)", 1), F.lit("")))
 
 
-def read_genotypes(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A wide table (chrom, pos, a column per sample) as rows sample, chrom, pos, gt."""
-    wide = spark.read.option("header", True).option("sep", sep).csv(path)
-    return genotypes_long(wide)
+#: Calls without an alternative allele, or without a call.
+REFERENCE_CALLS = ("0/0", "0|0", "0", "./.", ".|.", ".")
+
+
+def read_genotypes(spark: SparkSession, path: str, sep: str = "\t", sites: DataFrame | None = None, drop: tuple[str, ...] = (), fixed: int = 2) -> DataFrame:
+    """A wide table (chrom, pos, ``fixed`` leading columns in all, then a column per sample) as rows sample, chrom, pos, gt.
+
+    The header is read once, and a line is one array of calls by position: neither the plan nor the schema follows the number of samples. Calls
+    in ``drop`` (see REFERENCE_CALLS) go and lines are joined to ``sites(chrom, pos)`` while they are arrays, so only what is left becomes
+    rows. With nine fixed columns the file is a VCF: its ``##`` lines are skipped and a call ends at its first colon. Empty calls
+    are null and stay unless ``drop`` holds ''; files of one path have one header.
+    """
+    lines = spark.read.text(path).filter(~F.col("value").startswith("##") & (F.col("value") != ""))
+    header = lines.first()
+    if header is None:
+        return spark.createDataFrame([], "sample string, chrom string, pos long, gt string")
+    quoted = "\\Q" + sep + "\\E"
+    fields = F.split("value", quoted, -1)
+    # the header's own array is a constant of the plan
+    names = F.slice(F.split(F.lit(header[0]), quoted, -1), fixed + 1, header[0].count(sep) + 1)
+    calls = F.slice(fields, fixed + 1, F.size(fields))
+    if fixed == 9:
+        calls = F.transform(calls, lambda x: F.substring_index(x, ":", 1))
+    numbered = F.transform(calls, lambda x, k: F.struct(k.alias("k"), x.alias("gt")))
+    kept = F.filter(numbered, lambda c: ~c["gt"].isin(*drop)) if drop else numbered
+    arrays = lines.filter(F.col("value") != header[0]).select(fields[0].alias("chrom"), fields[1].try_cast("long").alias("pos"), kept.alias("calls"))
+    if sites is not None:
+        arrays = arrays.join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+    rows = arrays.select("chrom", "pos", F.explode("calls").alias("c"))
+    return rows.select(F.get(names, F.col("c.k")).alias("sample"), "chrom", "pos", F.nullif("c.gt", F.lit("")).alias("gt"))
 
 
 def genotypes_long(wide: DataFrame, ids: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+    """The same from a wide frame with few sample columns."""
     samples = [c for c in wide.columns if c not in ids]
     return wide.unpivot(list(ids), samples, "sample", "gt")
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ptclake.functions import sequence as S
 from ptclake.functions import variants as V
+from ptclake.operators import bootstrap as B
 from ptclake.operators import cohorts as C
+from ptclake.operators import correlation as K
 from ptclake.operators import evaluation as E
 from ptclake.operators import features as X
 from ptclake.operators import motifs as M
@@ -75,7 +77,7 @@ def test_metrics(spark):
     assert E.roc_pr(t).first()["roc_auc"] == pytest.approx(_auc(y, s))
     tp = sorted(t.collect(), key=lambda r: -r["score"])
     assert [r["tp0"] for r in tp] == [int(((s > r["score"]) & (y == 1)).sum()) for r in tp]
-    b = E.bootstrap_ci(df, 200).first()
+    b = B.bootstrap_ci(df, 200).first()
     assert b["low"] < _auc(y, s) < b["high"]
 
 
@@ -105,7 +107,7 @@ def test_rank_sum(spark):
 
 def test_prune():
     corr = {("a", "b"): 0.99, ("a", "c"): 0.99, ("b", "c"): 0.5, ("a", "r"): 0.97, ("r", "s"): 0.99}
-    assert X.correlation_prune(["a", "b", "c", "r", "s"], corr, {"r", "s"}) == ["b", "c", "a"]
+    assert K.correlation_prune(["a", "b", "c", "r", "s"], corr, {"r", "s"}) == ["b", "c", "a"]
 
 
 def test_features(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ptclake.operators import bootstrap as B
 from ptclake.operators import cohorts as C
 from ptclake.operators import evaluation as E
 from ptclake.operators import features as X
@@ -69,7 +70,7 @@ def test_fisher_equals_the_whole_sum():
 
 def test_bootstrap_is_repeatable(spark):
     df = spark.range(2000).selectExpr("id % 50 / 50 AS score", "cast((id * 7 + id % 50) % 90 > 45 AS int) AS label")
-    a, b = (E.bootstrap_ci(df.repartition(k), 300).first() for k in (1, 6))
+    a, b = (B.bootstrap_ci(df.repartition(k), 300).first() for k in (1, 6))
     assert a == b and a["replicates"] == 300 and a["low"] < a["median"] < a["high"]
 
 

@@ -1,16 +1,24 @@
-"""Model jobs on pyspark.ml: stratified folds, out-of-fold training, final training, scoring, recalibration."""
+"""Model jobs on pyspark.ml: stratified folds, out-of-fold training, final training, scoring and its checks, recalibration.
+
+Categories go in as target statistics (``encoding``), so a column may have any number of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ptclake.operators.ranks import numbered
+from ptclake.operators.encoding import apply_statistics, category_statistics, ordered_statistics, statistic_name
+from ptclake.operators.evaluation import calibration, calibration_errors
+from ptclake.operators.ranks import numbered, quantiles
+from ptclake.operators.trees import Forest, best_trees, forest_of, forest_scores, staged_losses
+from ptclake.sources.scratch import written
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -23,53 +31,152 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, see
     return n.withColumn("fold", (F.col("fold") % folds).cast("int"))
 
 
-def pipeline(numeric: list[str], categorical: list[str], label: str, max_iter: int = 20, max_depth: int = 4) -> Pipeline:
-    index = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categorical]
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=[*numeric, *[f"_{c}" for c in categorical]], outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=42)])
+def _assembled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=[*numeric, *map(statistic_name, categorical)], outputCol="_features", handleInvalid="keep").transform(df)
+
+
+@dataclass
+class Trained:
+    """A fitted ensemble: its columns, its trees, and the statistics of its categories (None without any)."""
+
+    model: GBTClassificationModel
+    forest: Forest
+    numeric: list[str]
+    categorical: list[str]
+    statistics: DataFrame | None
+
+    @property
+    def names(self) -> list[str]:
+        """The features as the trees number them, categories by their own names."""
+        return [*self.numeric, *self.categorical]
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """Rows with ``_features``."""
+        encoded = apply_statistics(df, self.categorical, self.statistics) if self.categorical else df
+        return _assembled(encoded, self.numeric, self.categorical)
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """Rows with ``score``, the probability of label 1."""
+        return forest_scores(self.features(df), self.forest).drop("_features", *map(statistic_name, self.categorical))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(self.numeric, self.categorical, len(self.forest.roots))], "numeric array<string>, categorical array<string>, trees int").write.mode("overwrite").json(f"{path}/columns")
+        if self.categorical:
+            self.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Trained:
+        model, r = GBTClassificationModel.load(f"{path}/model"), spark.read.schema("numeric array<string>, categorical array<string>, trees int").json(f"{path}/columns").first()
+        return Trained(model, forest_of(model).first(r["trees"]), list(r["numeric"]), list(r["categorical"]), spark.read.parquet(f"{path}/statistics") if r["categorical"] else None)
 
 
-def _scored(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", vector_to_array("probability")[1])
+def _fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str | None, max_iter: int = 20, max_depth: int = 4) -> Trained:
+    """Fits on the rows that have a label; categories by ordered statistics where there is an id to order by."""
+    known = df.filter(F.col(label).isNotNull())
+    statistics = None
+    if categorical:
+        statistics = written(category_statistics(known, categorical, label), "category-statistics")
+        known = ordered_statistics(known, categorical, label, id_col) if id_col else apply_statistics(known, categorical, statistics)
+    model = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=42).fit(_assembled(known, numeric, categorical))
+    return Trained(model, forest_of(model), numeric, categorical, statistics)
 
 
-def train_oof(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str, folds: int = 5, **options) -> DataFrame:
+@dataclass
+class CrossValidation:
+    """Of all folds: out-of-fold scores (id, fold, label, score), losses by number of trees (fold, trees, log_loss, best) and importances (fold, feature, importance)."""
+
+    scores: DataFrame
+    losses: DataFrame
+    importances: DataFrame
+    models: list[Trained]
+
+
+def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str, folds: int = 5, patience: int | None = None, **options) -> CrossValidation:
+    """Trains on all folds but one and scores that one; with ``patience`` (early stopping), only the first trees count up to the least loss on the left-out fold.
+
+    The left-out fold chooses the number of trees as well as being scored, as in the source; a score that no choice has seen needs a further split.
+    Folds and scores are written, so nothing is worked out twice. Rows without a label are scored and never trained on. Losses and importances are a
+    row for each tree and each feature of a model.
+    """
+    spark = df.sparkSession
+    data = written(stratified_folds(df, id_col, label, folds), "folds")
+    parts, losses, importances, models = [], [], [], []
+    for k in range(folds):
+        trained = _fit(data.filter(F.col("fold") != k), numeric, categorical, label, id_col, **options)
+        left = written(trained.features(data.filter(F.col("fold") == k)), "left-out-fold")
+        by_trees = [r["log_loss"] for r in staged_losses(left, trained.forest, label).orderBy("trees").collect()]
+        best = best_trees(by_trees, patience) if patience and by_trees else len(trained.forest.roots)
+        trained.forest = trained.forest.first(best)
+        losses += [(k, t, loss, t == best) for t, loss in enumerate(by_trees, 1)]
+        importances += [(k, c, float(x)) for c, x in zip(trained.names, trained.forest.importances(len(trained.names)), strict=True)]
+        parts.append(forest_scores(left, trained.forest).select(id_col, "fold", F.col(label).alias("label"), "score"))
+        models.append(trained)
+    scores = written(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    return CrossValidation(scores, spark.createDataFrame(losses, "fold int, trees int, log_loss double, best boolean"), spark.createDataFrame(importances, "fold int, feature string, importance double"), models)
+
+
+def train_oof(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str, folds: int = 5, patience: int | None = None, **options) -> DataFrame:
     """Out-of-fold scores: ``id, fold, label, score``; the id is carried through, so nothing is matched by row order."""
-    data = stratified_folds(df, id_col, label, folds).cache()
-    parts = [_scored(pipeline(numeric, categorical, label, **options).fit(data.filter(F.col("fold") != k)), data.filter(F.col("fold") == k)).select(id_col, "fold", F.col(label).alias("label"), "score") for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return cross_validate(df, numeric, categorical, label, id_col, folds, patience, **options).scores
 
 
-def train_final(df: DataFrame, numeric: list[str], categorical: list[str], label: str, path: str | None = None, **options):
-    """Fits on all rows, and writes the model where a path is given."""
-    model = pipeline(numeric, categorical, label, **options).fit(df)
+def train_final(df: DataFrame, numeric: list[str], categorical: list[str], label: str, path: str | None = None, id_col: str | None = None, **options) -> Trained:
+    """Fits on all rows, and writes the model where a path is given. Without an ``id_col`` rows see whole statistics, their own label included."""
+    trained = _fit(df, numeric, categorical, label, id_col, **options)
     if path:
-        model.write().overwrite().save(path)
-    return model
+        trained.save(path)
+    return trained
 
 
-def score_cohort(model, df: DataFrame, id_col: str, threshold: float = 0.5, strict: bool = False) -> DataFrame:
+def score_cohort(model: Trained, df: DataFrame, id_col: str, threshold: float = 0.5, strict: bool = False) -> DataFrame:
     """escape_probability, predicted_class and label at a threshold (>=, or > with ``strict``)."""
     hit = F.col("score") > threshold if strict else F.col("score") >= threshold
-    return _scored(model, df).select(id_col, F.col("score").alias("escape_probability"), hit.cast("int").alias("predicted_class"), F.when(hit, "escape").otherwise("NMD").alias("predicted_label"), F.lit(threshold).alias("threshold_used"))
+    return model.scored(df).select(id_col, F.col("score").alias("escape_probability"), hit.cast("int").alias("predicted_class"), F.when(hit, "escape").otherwise("NMD").alias("predicted_label"), F.lit(threshold).alias("threshold_used"))
+
+
+def check_scores(scored: DataFrame, id_col: str) -> DataFrame:
+    """One row on a scored cohort: n, n_escape, n_nmd, repeated_ids (rows beyond an id's first), null_ids, missing (null or NaN scores), out_of_range, min, p25, median, p75, max and mean."""
+    p = F.col("escape_probability")
+    there = p.isNotNull() & ~F.isnan(p)
+    valid = F.when(there, p)
+    ids = scored.groupBy(id_col).agg(F.count("*").alias("rows")).agg(F.coalesce(F.sum(F.when(F.col(id_col).isNotNull(), F.col("rows") - 1)), F.lit(0)).cast("long").alias("repeated_ids"), F.coalesce(F.sum(F.when(F.col(id_col).isNull(), F.col("rows"))), F.lit(0)).cast("long").alias("null_ids"))
+    whole = scored.agg(F.count("*").alias("n"), F.count_if(F.col("predicted_class") == 1).alias("n_escape"), F.count_if(F.col("predicted_class") == 0).alias("n_nmd"), F.count_if(~there | p.isNull()).alias("missing"), F.count_if(there & ~p.between(0, 1)).alias("out_of_range"), F.min(valid).alias("min"), F.max(valid).alias("max"), F.avg(valid).alias("mean"))
+    q = quantiles(scored, "escape_probability", [0.25, 0.5, 0.75])
+    # each side is one row
+    out = whole.join(ids, F.lit(True)).join(q, F.lit(True), "left")
+    return out.select("n", "n_escape", "n_nmd", "repeated_ids", "null_ids", "missing", "out_of_range", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max", "mean")
 
 
-def isotonic_recalibrate(oof: DataFrame, folds: int = 5) -> DataFrame:
-    """Fold-aware isotonic scores: each fold's from a fit on the others; adds ``calibrated``."""
+def isotonic_recalibrate(oof: DataFrame, folds: int = 5, limit: float | None = None) -> DataFrame:
+    """Fold-aware isotonic scores: each fold's from a fit on the others; adds ``calibrated``. ``oof`` should be a written table, since each fit reads it.
+
+    With a ``limit`` (the source's is 0.03), scores stay as they are where the expected calibration error isn't above it.
+    """
+    if limit is not None:
+        error = calibration_errors(calibration(oof)).first()["ece"]
+        if error is None or error <= limit:
+            return oof.withColumn("calibrated", F.col("score"))
     parts = []
     for k in range(folds):
-        fit = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(oof.filter(F.col("fold") != k).withColumn("label", F.col("label").cast("double")))
+        fit = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(oof.filter((F.col("fold") != k) & F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double")))
         parts.append(fit.transform(oof.filter(F.col("fold") == k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def attach_ids(predictions: DataFrame, ids: DataFrame, key: str, label: str) -> DataFrame:
-    """Predictions with their ids' columns; raises where labels differ."""
-    j = predictions.join(ids.withColumnRenamed(label, "_label"), key)
-    same = F.when(F.col(label).eqNullSafe(F.col("_label")), F.col(label)).otherwise(F.raise_error(F.lit("labels differ")))
-    return j.withColumn(label, same).drop("_label")
+    """Predictions with their ids' columns, one to one: raises where a key repeats on either side, where one has no partner (null keys have none), and where labels differ."""
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        g = df.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])).alias(f"_{side}"))
+        return g.select(key, F.when(F.col("_n") == 1, F.col(f"_{side}")).otherwise(F.raise_error(F.concat(F.lit(f"repeated {key} of the {side}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).alias(f"_{side}"))
+
+    j = once(predictions, "predictions").join(once(ids, "ids"), key, "full")
+    lone = F.when(F.col("_predictions").isNull() | F.col("_ids").isNull(), F.raise_error(F.concat(F.lit(f"no partner for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    own = F.col("_predictions")[label]
+    same = F.when(own.eqNullSafe(F.col("_ids")[label]), own).otherwise(F.raise_error(F.lit("labels differ")))
+    checked = j.withColumn("_label", F.coalesce(lone, same))
+    rest = [F.col("_predictions")[c].alias(c) for c in predictions.columns if c not in (key, label)]
+    more = [F.col("_ids")[c].alias(c) for c in ids.columns if c not in (key, label) and c not in predictions.columns]
+    return checked.select(key, F.col("_label").alias(label), *rest, *more)

@@ -14,7 +14,7 @@ from ptclake.operators import evaluation as E
 from ptclake.operators import features as X
 from ptclake.operators import intervals as I
 from ptclake.operators import transcripts as T
-from ptclake.plans.shapes import EXONS, MODEL, SCORES, SEQUENCES, VARIANTS, exons, gene_model, scores, sequences, table, variants
+from ptclake.plans.shapes import LINES, lines, EXONS, MODEL, SCORES, SEQUENCES, VARIANTS, exons, gene_model, scores, sequences, table, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -465,15 +465,44 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label")
+    return lines(spark, sf_dir).selectExpr("id", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "cast(l_partkey AS string) AS part", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label", "l_shipdate")
+
+
+_NUMERIC, _CATEGORICAL = ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag", "part"]
 
 
 @query()
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees trained and scored by fold on line items, with isotonic scores beside them."""
+    """Boosted trees trained and scored by fold on line items, parts as categories, with isotonic scores beside them."""
     from ptclake.operators.models import isotonic_recalibrate, train_oof
 
-    return isotonic_recalibrate(train_oof(_line_features(spark, sf_dir), ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"], "label", "id"))
+    return isotonic_recalibrate(train_oof(_line_features(spark, sf_dir), _NUMERIC, _CATEGORICAL, "label", "id", max_iter=10))
+
+
+@query(
+    f"""WITH {LINES}, x AS (SELECT id, CAST(l_quantity + l_tax * 500 > 40 AS INTEGER) AS y, md5('42:' || id) AS o, l_returnflag AS a, CAST(l_partkey AS VARCHAR) AS b FROM lines),
+s AS (SELECT id, (coalesce(sum(y) OVER (PARTITION BY a ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5) / (count(*) OVER (PARTITION BY a ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS x,
+             (coalesce(sum(y) OVER (PARTITION BY b ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5) / (count(*) OVER (PARTITION BY b ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS y FROM x)
+SELECT id, round(x, 8) AS l_returnflag_statistic, round(y, 8) AS part_statistic FROM s"""
+)
+def ordered_category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each line sees of its return flag's and its part's labels: those of the lines before it in a permutation."""
+    from ptclake.operators.encoding import ordered_statistics
+
+    out = ordered_statistics(_line_features(spark, sf_dir).select("id", "label", *_CATEGORICAL), _CATEGORICAL, "label", "id")
+    return _round(out.select("id", "l_returnflag_statistic", "part_statistic"))
+
+
+@query()
+def fold_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per fold: the number of trees that early stopping keeps, and the features' importances and mean absolute contributions, ranked over the folds."""
+    from ptclake.operators.models import cross_validate
+    from ptclake.operators.trees import contributions
+
+    cv = cross_validate(_line_features(spark, sf_dir), _NUMERIC, _CATEGORICAL, "label", "id", folds=3, patience=3, max_iter=8)
+    model = cv.models[0]
+    c = contributions(model.features(_line_features(spark, sf_dir)), model.forest, model.names, "id")
+    return E.importance_rank(cv.importances.select("feature", "importance"), c.select("feature", "contribution"))
 
 
 @query()
@@ -482,11 +511,34 @@ def cohort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ptclake.operators.models import attach_ids, score_cohort, train_final
 
     li = _line_features(spark, sf_dir)
-    numeric, flags = ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"]
-    model = train_final(li, numeric, flags, "label")
-    cohort = X.impute(X.align_columns(li.drop("l_discount"), {"l_quantity": "double", "l_discount": "double", "l_extendedprice": "double", "l_returnflag": "string"}, keep=["id", "label"]), flags, [], numeric, {"l_quantity": 25.0, "l_discount": 0.05, "l_extendedprice": 30000.0})
+    model = train_final(li, _NUMERIC, _CATEGORICAL, "label", id_col="id", max_iter=10)
+    cohort = X.impute(X.align_columns(li.drop("l_discount"), {"l_quantity": "double", "l_discount": "double", "l_extendedprice": "double", "l_returnflag": "string", "part": "string"}, keep=["id", "label"]), _CATEGORICAL, [], _NUMERIC, {"l_quantity": 25.0, "l_discount": 0.05, "l_extendedprice": 30000.0})
     scored = score_cohort(model, cohort, "id").join(li.select("id", "label"), "id")
-    return attach_ids(scored, table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "cast(l_quantity + l_tax * 500 > 40 AS int) AS label", "l_shipdate"), "id", "label")
+    return attach_ids(scored, li.select("id", "label", "l_shipdate"), "id", "label")
+
+
+@query(f"WITH {SCORES} SELECT s.id, s.label, s.score, CAST(s.score >= 0.5 AS INTEGER) AS predicted_class, l.l_shipdate FROM scores s JOIN lines l ON s.id = l.id")
+def attached_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores put back to the columns of their ids, one to one."""
+    from ptclake.operators.models import attach_ids
+
+    s = scores(spark, sf_dir).select("id", "label", "score", (F.col("score") >= 0.5).cast("int").alias("predicted_class"))
+    return attach_ids(s, lines(spark, sf_dir).selectExpr("id", "cast(l_quantity + l_tax * 500 + l_partkey % 37 > 60 AS int) AS label", "l_shipdate"), "id", "label")
+
+
+@query(
+    f"""WITH {SCORES}, x AS (SELECT CASE WHEN id % 50 = 7 THEN NULL WHEN id % 10 = 3 THEN id - id % 1000 ELSE id END AS id, CASE WHEN id % 90 = 1 THEN NULL WHEN id % 70 = 2 THEN score + 1 ELSE score END AS p, score >= 0.5 AS hit FROM scores),
+i AS (SELECT id, count(*) AS n FROM x GROUP BY id),
+k AS (SELECT CAST(coalesce(sum(n - 1) FILTER (id IS NOT NULL), 0) AS BIGINT) AS repeated_ids, CAST(coalesce(sum(n) FILTER (id IS NULL), 0) AS BIGINT) AS null_ids FROM i)
+SELECT count(*) AS n, count(*) FILTER (hit) AS n_escape, count(*) FILTER (NOT hit) AS n_nmd, any_value(repeated_ids) AS repeated_ids, any_value(null_ids) AS null_ids, count(*) FILTER (p IS NULL) AS missing, count(*) FILTER (p > 1) AS out_of_range,
+min(p) AS min, quantile_cont(p, 0.25) AS p25, quantile_cont(p, 0.5) AS median, quantile_cont(p, 0.75) AS p75, max(p) AS max, round(avg(p), 8) AS mean FROM x, k"""
+)
+def score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scored cohort with repeated ids, lost ids, lost scores and scores beyond 1 is reported to have."""
+    from ptclake.operators.models import check_scores
+
+    x = scores(spark, sf_dir).selectExpr("CASE WHEN id % 50 = 7 THEN NULL WHEN id % 10 = 3 THEN id - id % 1000 ELSE id END AS id", "CASE WHEN id % 90 = 1 THEN NULL WHEN id % 70 = 2 THEN score + 1 ELSE score END AS escape_probability", "cast(score >= 0.5 AS int) AS predicted_class")
+    return check_scores(x, "id").withColumn("mean", F.round("mean", 8))
 
 
 _MOTIFS = {"ptb": "TCTTCTT", "pum": "TGTAAATA", "are": "TATTTAT"}

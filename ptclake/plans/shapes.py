@@ -77,10 +77,22 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES = f"seqs AS (SELECT doc_id, translate({' || '.join(f"md5(text || '{k}')" for k in _SALTS)}, '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM documents WHERE text IS NOT NULL)"
 
 
+#: A line's number within its order, in an order of all columns: an order and line number name several lines.
+_ALL = [*_LINE, "l_returnflag", "l_linestatus"]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with ``id``, a key of its own for each row."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ALL))
+    return table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 1000 + number)
+
+
+LINES = f"lines AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(f'{c} NULLS FIRST' for c in _ALL)}) AS id FROM lineitem)"
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, score, label and fold from lineitem: a score with many ties, a label that leans on it."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 50).alias("score"), ((F.col("l_quantity") + F.col("l_tax") * 500 + F.col("l_partkey") % 37) > 60).cast("int").alias("label"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.col("l_returnflag").alias("cohort"))
+    return lines(spark, sf_dir).select("id", (F.col("l_quantity") / 50).alias("score"), ((F.col("l_quantity") + F.col("l_tax") * 500 + F.col("l_partkey") % 37) > 60).cast("int").alias("label"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.col("l_returnflag").alias("cohort"))
 
 
-SCORES = "scores AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity / 50 AS score, CAST((l_quantity + l_tax * 500 + l_partkey % 37) > 60 AS INTEGER) AS label, CAST(l_orderkey % 5 AS INTEGER) AS fold, l_returnflag AS cohort FROM lineitem)"
+SCORES = f"{LINES}, scores AS (SELECT id, l_quantity / 50 AS score, CAST((l_quantity + l_tax * 500 + l_partkey % 37) > 60 AS INTEGER) AS label, CAST(l_orderkey % 5 AS INTEGER) AS fold, l_returnflag AS cohort FROM lines)"

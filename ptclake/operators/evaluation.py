@@ -7,6 +7,7 @@ over the ranges' totals), so no step puts all rows in one task.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,25 +183,56 @@ def bh_adjust(df: DataFrame, p: str = "p_value", name: str = "q_value") -> DataF
     return r.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(back)))).drop("_m", "_r")
 
 
-def motif_effect(long: DataFrame, least: int = 2) -> DataFrame:
-    """Per motif of ``long(motif, present, value)``: means, difference, standard error, 95% interval, rank-sum p and BH q.
+@lru_cache(maxsize=256)
+def rank_sum_counts(m: int, n: int) -> tuple[float, ...]:
+    """How many choices of m ranks out of 1 to m + n have each U from 0 to m n, by taking the ranks up one after the other."""
+    import numpy as np
 
-    Motifs with fewer than ``least`` rows in a group are left out. The rank-sum p is the normal approximation with corrections for ties
-    and continuity at any size.
+    ways = np.zeros((m + 1, m * n + 1))  # [ranks chosen, U so far]: the j-th chosen rank r adds r - j
+    ways[0, 0] = 1
+    for r in range(1, m + n + 1):
+        for j in range(min(m, r), 0, -1):
+            up = r - j
+            if up <= m * n:
+                ways[j, up:] += ways[j - 1, : m * n + 1 - up]
+    return tuple(ways[m].tolist())
+
+
+def exact_rank_sum_p(u: float, m: int, n: int) -> float:
+    """Two-sided p of U without ties: twice the smaller tail, at most 1."""
+    ways, k = rank_sum_counts(m, n), round(u)
+    low, high, total = math.fsum(ways[: k + 1]), math.fsum(ways[k:]), math.fsum(ways)
+    return min(1.0, 2 * min(low, high) / total)
+
+
+def motif_effect(long: DataFrame, least: int = 2, exact: int = 50) -> DataFrame:
+    """Per motif of ``long(motif, present, value)``: means, difference, standard error, 95% interval, rank-sum p, whether it is exact, and BH q.
+
+    Motifs with fewer than ``least`` rows in a group are left out, a null motif is one like others. The p is exact where both groups are below ``exact``
+    and no value repeats, else the normal approximation with corrections for ties and continuity.
     """
-    v = long.filter("value IS NOT NULL AND present IS NOT NULL")
+    import pandas as pd
+
+    v = long.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")) & F.col("present").isNotNull())
     m = v.groupBy("motif").agg(*[f(F.when(F.col("present") == k, F.col("value"))).alias(f"{n}{k}") for k in (0, 1) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_samp, "var"))])
     m = m.filter((F.col("n0") >= least) & (F.col("n1") >= least))
     ones = v.filter("present = 1").groupBy("motif", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("ones"))
-    r = rank_with_ties(v, "value", ["motif"]).join(ones, ["motif", "value"], "left")
+    r = keyed_join(rank_with_ties(v, "value", ["motif"]), ones, ["motif", "value"], "left")
     w = r.groupBy("motif").agg(F.sum(F.col("ones") * F.col("rank")).alias("w1"), F.sum(F.col("ties").cast("double") * (F.col("ties") * F.col("ties") - 1)).alias("tie"))
-    j = m.join(w, "motif")
+    j = keyed_join(m, w, ["motif"])
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     u = F.col("w1") - n1 * (n1 + 1) / 2 - n0 * n1 / 2
     sigma = F.sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - F.col("tie") / ((n0 + n1) * (n0 + n1 - 1))))
     z = F.when(sigma > 0, (u - F.signum(u) * 0.5) / sigma)
+    few = (F.col("n0") < exact) & (F.col("n1") < exact) & (F.col("tie") == 0)
+
+    @F.pandas_udf("double")  # a row per motif
+    def p_of(u, m, n, few):
+        return pd.Series([exact_rank_sum_p(a, int(b), int(c)) if ok else None for a, b, c, ok in zip(u, m, n, few, strict=True)], dtype="float64")
+
     diff, se = F.col("mean1") - F.col("mean0"), F.sqrt(F.col("var1") / n1 + F.col("var0") / n0)
-    out = j.select("motif", "n1", "n0", "mean1", "mean0", diff.alias("diff"), se.alias("se"), (diff - 1.96 * se).alias("low"), (diff + 1.96 * se).alias("high"), normal_p(z).alias("p_value"))
+    p = F.when(few, p_of(u + n0 * n1 / 2, "n1", "n0", few)).otherwise(normal_p(z))
+    out = j.select("motif", "n1", "n0", "mean1", "mean0", diff.alias("diff"), se.alias("se"), (diff - 1.96 * se).alias("low"), (diff + 1.96 * se).alias("high"), p.alias("p_value"), few.alias("exact"))
     return bh_adjust(out)
 
 

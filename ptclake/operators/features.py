@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ptclake.functions.variants import strip_version
-from ptclake.operators.ranks import quantiles
+from ptclake.operators.ranks import quantiles, range_number, value_cuts
+from ptclake.sources.scratch import written
 
 
 def resolve_columns(df: DataFrame, candidates: dict[str, list[str]]) -> dict[str, str]:
@@ -125,6 +126,29 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: found.get(c) for c in columns}
 
 
+def fold_medians(df: DataFrame, columns: list[str], fold: str, folds: int) -> DataFrame:
+    """feature, fold and median: of each column over all folds but the one, for a model that leaves it out; null where those have no value.
+
+    Values are counted once, with a count for each fold. A fold's counts are the totals less its own, so no fold needs a scan of its own. Null and
+    NaN values, and rows without a fold or with one beyond ``folds``, count for nothing.
+    """
+    own = [F.count_if(F.col("_f") == k) for k in range(folds)]
+    rows = df.select(F.col(fold).alias("_f"), *[F.col(f"`{c}`") for c in columns if c != fold]).filter(F.col("_f").between(0, folds - 1))
+    long = rows.select("_f", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])).alias("r")).select("_f", "r.*").filter("value IS NOT NULL AND NOT isnan(value)")
+    g = written(long.groupBy("feature", "value").agg(F.count("*").alias("n"), *[c.alias(f"n{k}") for k, c in enumerate(own)]), "fold-counts")
+    rest = [f"t{k}" for k in range(folds)]
+    g = g.select("feature", "value", *[(F.col("n") - F.col(f"n{k}")).alias(f"t{k}") for k in range(folds)]).withColumn("_r", range_number(F.col("value"), value_cuts(g, "value")))
+    lower = Window.partitionBy("feature").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = g.groupBy("feature", "_r").agg(*[F.sum(t).alias(t) for t in rest])
+    ranges = ranges.select("feature", "_r", *[F.coalesce(F.sum(t).over(lower), F.lit(0)).alias(f"b_{t}") for t in rest], *[F.sum(t).over(Window.partitionBy("feature")).alias(f"a_{t}") for t in rest])
+    inner = Window.partitionBy("feature", "_r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = g.join(ranges, ["feature", "_r"]).select("feature", "value", *rest, *[F.col(f"a_{t}") for t in rest], *[(F.col(f"b_{t}") + F.coalesce(F.sum(t).over(inner), F.lit(0))).alias(f"l_{t}") for t in rest])
+    at = lambda t, i: F.min(F.when((F.col(f"l_{t}") <= i) & (i < F.col(f"l_{t}") + F.col(t)), F.col("value")))
+    mid = lambda t: (at(t, F.floor((F.col(f"a_{t}") - 1) / 2)) + at(t, F.floor(F.col(f"a_{t}") / 2))) / 2
+    out = placed.groupBy("feature").agg(F.array(*[mid(t) for t in rest]).alias("m"))
+    return out.select("feature", F.posexplode("m").alias("fold", "median"))
+
+
 def impute(df: DataFrame, categorical: list[str], zero: list[str], numeric: list[str], training: dict[str, float] | None = None) -> DataFrame:
     """Categoricals to strings with MISSING, structural zeros, then medians of the remaining numeric columns (or those of training)."""
     rest = [c for c in numeric if c not in zero and c not in categorical]
@@ -144,6 +168,30 @@ def audit_columns(df: DataFrame, model: list[str]) -> DataFrame:
     return nulls.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def write_aligned(df: DataFrame, model: dict[str, str], path: str, fills: dict[str, object], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Writes ``keep`` and the model's columns as Parquet, filled by ``fills`` (column to value), and returns the audit that is counted while they are written.
+
+    The audit has a row for each column of the model or the table: feature, status (present, missing, extra), n_null (before), n_lost (values that
+    don't fit the model's type), n_filled and n_residual (nulls as written). No second scan is made for it; an extra column's
+    nulls aren't counted, since it isn't read.
+    """
+    before, after = Observation(), Observation()
+    has = [c for c in model if c in df.columns]
+    null = lambda c: F.count_if(F.col(f"`{c}`").isNull())
+    lost = lambda c: F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(model[c]).isNull())
+    seen = df.observe(before, F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{i}") for i, c in enumerate(has) for k, f in (("null", null), ("lost", lost))])
+    filled = align_columns(seen, model, keep).withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v).cast(model[c])) for c, v in fills.items() if c in model})
+    filled.observe(after, F.count(F.lit(1)).alias("n"), *[null(c).alias(f"null_{i}") for i, c in enumerate(model)]).write.mode("overwrite").parquet(path)
+    x, y = before.get, after.get
+    rows = []
+    for i, c in enumerate(model):
+        k = has.index(c) if c in has else None
+        nulls, gone = (x[f"null_{k}"], x[f"lost_{k}"]) if k is not None else (x["n"], 0)
+        rows.append((c, "missing" if k is None else "present", nulls, gone, nulls + gone - y[f"null_{i}"], y[f"null_{i}"]))
+    rows += [(c, "extra", None, None, None, None) for c in df.columns if c not in model and c not in keep]
+    return df.sparkSession.createDataFrame(rows, "feature string, status string, n_null long, n_lost long, n_filled long, n_residual long")
+
+
 def align_columns(df: DataFrame, model: dict[str, str], keep: list[str] = []) -> DataFrame:  # noqa: B006
     """``keep`` and the model's columns (name to type), in its order: missing ones are null, types that don't fit are null too, others are left out."""
     return df.select(*keep, *[(F.col(f"`{c}`").try_cast(k) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in model.items()])

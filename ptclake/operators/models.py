@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ptclake.operators.encoding import apply_statistics, category_statistics, ordered_statistics, statistic_name
 from ptclake.operators.evaluation import calibration, calibration_errors
+from ptclake.operators.features import fold_medians
 from ptclake.operators.ranks import numbered, quantiles
 from ptclake.operators.trees import Forest, best_trees, forest_of, forest_scores, staged_losses
 from ptclake.sources.scratch import written
@@ -73,7 +74,7 @@ class Trained:
 
 
 def _fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str | None, max_iter: int = 20, max_depth: int = 4) -> Trained:
-    """Fits on the rows that have a label; categories by ordered statistics where there is an id to order by."""
+    """Fits on the rows that have a label; numeric columns must have values there (``impute``), categories by ordered statistics where there is an id to order by."""
     known = df.filter(F.col(label).isNotNull())
     statistics = None
     if categorical:
@@ -93,8 +94,8 @@ class CrossValidation:
     models: list[Trained]
 
 
-def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str, folds: int = 5, patience: int | None = None, **options) -> CrossValidation:
-    """Trains on all folds but one and scores that one; with ``patience`` (early stopping), only the first trees count up to the least loss on the left-out fold.
+def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, id_col: str, folds: int = 5, patience: int | None = None, fill: bool = False, **options) -> CrossValidation:
+    """Trains on all folds but one and scores that one. With ``fill``, missing numeric values are the medians of the folds that a model is trained on. With ``patience`` (early stopping), only the first trees count up to the least loss on the left-out fold.
 
     The left-out fold chooses the number of trees as well as being scored, as in the source; a score that no choice has seen needs a further split.
     Folds and scores are written, so nothing is worked out twice. Rows without a label are scored and never trained on. Losses and importances are a
@@ -103,9 +104,11 @@ def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], la
     spark = df.sparkSession
     data = written(stratified_folds(df, id_col, label, folds), "folds")
     parts, losses, importances, models = [], [], [], []
+    medians = {(r["feature"], r["fold"]): r["median"] for r in fold_medians(data, numeric, "fold", folds).collect()} if fill else {}  # a number for each column and fold
+    filled = lambda rows, k: rows.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")), F.lit(medians.get((c, k), None)).cast("double")) for c in numeric}) if fill else rows
     for k in range(folds):
-        trained = _fit(data.filter(F.col("fold") != k), numeric, categorical, label, id_col, **options)
-        left = written(trained.features(data.filter(F.col("fold") == k)), "left-out-fold")
+        trained = _fit(filled(data.filter(F.col("fold") != k), k), numeric, categorical, label, id_col, **options)
+        left = written(trained.features(filled(data.filter(F.col("fold") == k), k)), "left-out-fold")
         by_trees = [r["log_loss"] for r in staged_losses(left, trained.forest, label).orderBy("trees").collect()]
         best = best_trees(by_trees, patience) if patience and by_trees else len(trained.forest.roots)
         trained.forest = trained.forest.first(best)

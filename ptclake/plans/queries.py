@@ -319,6 +319,73 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(E.roc_pr(E.score_table(s)).select("roc_auc").crossJoin(m))
 
 
+#: Groups of twenty events; a fifth of the groups have values that repeat.
+_GROUPS = "SELECT 'p' || (event_id {0} 20) AS motif, CAST(event_id % 3 = 0 AS INTEGER) AS present, CASE WHEN event_id {0} 20 % 5 = 0 THEN event_id * 7919 % 11 ELSE event_id * 7919 % 100003 END + 0.25 * (event_id % 3) AS value FROM events"
+
+
+@query(
+    f"""WITH RECURSIVE v AS ({_GROUPS.format("//")}), r AS (SELECT *, rank() OVER (PARTITION BY motif ORDER BY value) + (count(*) OVER (PARTITION BY motif, value) - 1) / 2 AS rank, count(*) OVER (PARTITION BY motif, value) AS ties FROM v),
+m AS (SELECT motif, CAST(count(*) FILTER (present = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (present = 0) AS DOUBLE) AS n0, sum(rank) FILTER (present = 1) AS w, sum(ties * ties - 1) AS tie FROM r GROUP BY motif HAVING n1 >= 2 AND n0 >= 2),
+size AS (SELECT max(n1) AS most, max(n1 + n0) AS everything FROM m),
+c(r, k, s, ways) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+  SELECT r + 1, kk, ss, sum(ways) FROM (SELECT r, k AS kk, s AS ss, ways FROM c UNION ALL SELECT r, k + 1, s + r + 1, ways FROM c), size WHERE r < everything AND kk <= most GROUP BY r, kk, ss),
+x AS (SELECT motif, n1, n0, true AS "exact", least(1, 2 * least(sum(ways) FILTER (s <= w), sum(ways) FILTER (s >= w)) / sum(ways)) AS p FROM m JOIN c ON c.r = n1 + n0 AND c.k = n1 WHERE tie = 0 GROUP BY motif, n1, n0),
+z AS (SELECT motif, n1, n0, w - n1 * (n1 + 1) / 2 - n0 * n1 / 2 AS u, sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1) * (n0 + n1 - 1)))) AS sigma FROM m WHERE tie > 0),
+y AS (SELECT *, abs((u - sign(u) * 0.5) / sigma) / sqrt(2) AS a, 1 / (1 + 0.3275911 * (abs((u - sign(u) * 0.5) / sigma) / sqrt(2))) AS t FROM z),
+p AS (SELECT * FROM x UNION ALL SELECT motif, n1, n0, false, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-a * a) FROM y),
+q AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS t FROM p)
+SELECT motif, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, "exact", round(p, 7) AS p_value, round(least(1, min(p * t / i) OVER (ORDER BY p, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 7) AS q_value FROM q"""
+)
+def motif_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-sum tests with their q: exact for groups without ties (the counts of U by taking up one rank after the other), approximate for the others."""
+    v = table(spark, sf_dir, "events").selectExpr("concat('p', event_id div 20) AS motif", "cast(event_id % 3 = 0 AS int) AS present", "CASE WHEN event_id div 20 % 5 = 0 THEN event_id * 7919 % 11 ELSE event_id * 7919 % 100003 END + 0.25D * (event_id % 3) AS value")
+    return _round(E.motif_effect(v).select("motif", "n1", "n0", "exact", "p_value", "q_value"), 7)
+
+
+_FOLDED = "SELECT l_orderkey % 4 AS fold, CASE WHEN l_linenumber % 5 > 0 THEN l_extendedprice END AS price, CAST(l_quantity AS DOUBLE) AS quantity, CASE WHEN l_orderkey % 4 = 2 THEN l_tax END AS tax FROM lineitem"
+
+
+@query(
+    f"""WITH x AS ({_FOLDED}), y AS (SELECT fold, unnest(['price', 'quantity', 'tax']) AS feature, unnest([price, quantity, tax]) AS value FROM x)
+SELECT feature, CAST(k AS INTEGER) AS fold, round(median(value) FILTER (fold <> k), 8) AS median FROM y, range(4) f(k) GROUP BY 1, 2"""
+)
+def left_out_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column's median over all folds but the one, from one count of its values."""
+    x = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 4 AS fold", "CASE WHEN l_linenumber % 5 > 0 THEN l_extendedprice END AS price", "l_quantity AS quantity", "CASE WHEN l_orderkey % 4 = 2 THEN l_tax END AS tax")
+    return _round(X.fold_medians(x, ["price", "quantity", "tax"], "fold", 4))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS seg, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer)
+SELECT unnest(['bal', 'seg', 'nation', 'gone', 'absent', 'c_custkey']) AS feature, unnest(['present', 'present', 'present', 'missing', 'missing', 'extra']) AS status,
+unnest([count(*) - count(bal), count(*) - count(seg), 0, count(*), count(*), NULL]) AS n_null, unnest([0, 0, count(*) FILTER (nation = 'x'), 0, 0, NULL]) AS n_lost,
+unnest([count(*) - count(bal), count(*) - count(seg), 0, count(*), 0, NULL]) AS n_filled, unnest([0, 0, count(*) FILTER (nation = 'x'), 0, count(*), NULL]) AS n_residual FROM c"""
+)
+def written_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table aligned to a model's columns and filled, with what was null, lost, filled and left counted while it is written."""
+    from ptclake.sources.scratch import scratch_path
+
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS bal", "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS seg", "CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE cast(c_nationkey AS string) END AS nation")
+    model = {"bal": "double", "seg": "string", "nation": "double", "gone": "string", "absent": "double"}
+    return X.write_aligned(c, model, scratch_path(spark, "aligned"), {"bal": 1.5, "seg": "MISSING", "gone": "MISSING"})
+
+
+@query(
+    """SELECT o_orderkey AS id, o_totalprice, n AS n_lines, q AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a ON o_orderkey = a.l_orderkey LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.02 GROUP BY 1) b ON o_orderkey = b.l_orderkey"""
+)
+def bucketed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with two annotation tables, all in buckets of their key, so that the joins shuffle nothing."""
+    import uuid
+
+    from ptclake.sources.writers import write_bucketed
+
+    run, buckets = uuid.uuid4().hex[:12], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    li = table(spark, sf_dir, "lineitem")
+    parts = {"variants": table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_totalprice"), "lines": li.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n_lines")), "sums": li.filter("l_discount > 0.02").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("quantity"))}
+    base, *others = (write_bucketed(df, f"annotations_{name}_{run}", "id", buckets) for name, df in parts.items())
+    return X.merge_annotations(base, others, "id")
+
+
 _LONG = "SELECT l_shipdate_m AS motif, present, value FROM (SELECT 'm' || (l_suppkey % 10) AS l_shipdate_m, CAST(l_partkey % 3 = 0 AS INTEGER) AS present, l_discount * 100 + l_quantity AS value FROM lineitem)"
 
 

@@ -16,6 +16,12 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: l
         w.option("header", True).option("sep", "\t" if form == "tsv" else ",").option("nullValue", "NA").csv(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Saves a table in buckets of a key, a file for each, sorted by it, and reads it. Joins of such tables by the key, with as many buckets each, shuffle nothing."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def vcf_lines(df: DataFrame, passed: bool = True) -> DataFrame:
     """The eight VCF columns of variants, with '.' for ID, QUAL and INFO and PASS or '.' for FILTER."""
     dot = F.lit(".")

@@ -44,8 +44,8 @@ def test_ordered_statistics_are_running_shares(spark):
 @pytest.fixture(scope="module")
 def fitted(spark):
     rng = random.Random(4)
-    rows = [(k, rng.random(), None if k % 9 == 0 else rng.random(), rng.choice("abcdef"), rng.random()) for k in range(800)]
-    df = spark.createDataFrame([(*r, int(r[1] + (r[2] or 0) * (r[3] in "abc") + 0.2 * rng.random() > 0.8)) for r in rows], "id long, x double, y double, c string, z double, label int")
+    rows = [(k, rng.random(), 0.5 if k % 9 == 0 else rng.random(), rng.choice("abcdef"), rng.random()) for k in range(800)]
+    df = spark.createDataFrame([(*r, int(r[1] + r[2] * (r[3] in "abc") + 0.2 * rng.random() > 0.8)) for r in rows], "id long, x double, y double, c string, z double, label int")
     indexed = StringIndexer(inputCol="c", outputCol="k").fit(df).transform(df)
     data = VectorAssembler(inputCols=["x", "y", "k", "z"], outputCol="_features", handleInvalid="keep").transform(indexed).cache()
     model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=12, maxDepth=4, seed=1).fit(data)
@@ -59,6 +59,8 @@ def test_arrays_score_as_the_model_does(fitted):
     assert [r["score"] for r in rows] == pytest.approx([r["p"] for r in rows], abs=1e-12)
     assert forest.importances(4) == pytest.approx(model.featureImportances.toArray(), abs=1e-9)
     x = np.array([r["x"] for r in rows])
+    missing = np.where(np.arange(4) == 1, np.nan, x)
+    assert (forest.values(missing) == forest.values(np.where(np.isnan(missing), 2.0, missing))).all()
     assert forest.first(5).values(x) == pytest.approx(forest.values(x)[:, :5])
 
 

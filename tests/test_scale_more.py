@@ -154,3 +154,60 @@ def test_null_keys_ids_labels_and_nan_scores(spark):
     assert q["a"] == q[None]
     far = spark.createDataFrame([(x, int(x > 3)) for x in (-1e300, -5.0, 0.0, 2.0, 4.0, 1e300, float("inf"))], "score double, label int")
     assert E.roc_pr(E.score_table(far)).first()["roc_auc"] == 1.0
+
+
+def test_exact_rank_sum_is_that_of_all_choices():
+    import itertools
+
+    for m, n in ((2, 3), (4, 4), (5, 3), (1, 6)):
+        all_u = [sum(c) - m * (m + 1) / 2 for c in itertools.combinations(range(1, m + n + 1), m)]
+        assert [int(x) for x in E.rank_sum_counts(m, n)] == [all_u.count(u) for u in range(m * n + 1)]
+        for u in range(m * n + 1):
+            want = min(1, 2 * min(sum(x <= u for x in all_u), sum(x >= u for x in all_u)) / len(all_u))
+            assert E.exact_rank_sum_p(u, m, n) == pytest.approx(want)
+    assert sum(E.rank_sum_counts(49, 49)) == pytest.approx(25477612258980856902730428600)
+
+
+def test_medians_of_left_out_folds(spark):
+    from ptclake.operators.features import fold_medians
+
+    rng = random.Random(3)
+    rows = [(k % 3 if k % 11 else None, rng.choice([None, float("nan"), *[float(rng.randrange(50)) for _ in range(9)]]), rng.random() if k % 3 == 1 else None) for k in range(700)]
+    df = spark.createDataFrame(rows, "fold int, `a.b` double, c double")
+    got = {(r["feature"], r["fold"]): r["median"] for r in fold_medians(df, ["a.b", "c"], "fold", 3).collect()}
+    for f in range(3):
+        for name, at in (("a.b", 1), ("c", 2)):
+            some = [r[at] for r in rows if r[0] is not None and r[0] != f and r[at] is not None and r[at] == r[at]]
+            assert got[name, f] == (np.median(some) if some else None)
+
+
+def test_bucketed_annotations_join_without_a_shuffle(spark):
+    from helpers import SF
+    from ptclake.plans.feature_queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = QUERIES["bucketed_annotations"](spark, SF)
+        assert df.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_audit_needs_one_scan(spark, tmp_path):
+    from ptclake.operators.features import write_aligned
+
+    df = spark.createDataFrame([(1, "5", None, "q"), (2, "x", 1.0, "q"), (3, None, None, "q")], "id long, n string, v double, more string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    audit = write_aligned(df.mapInArrow(each, df.schema), {"n": "double", "v": "double", "new": "string"}, str(tmp_path / "a"), {"v": 7.0, "new": "MISSING"}, keep=["id"])
+    assert {tuple(r) for r in audit.collect()} == {("n", "present", 1, 1, 0, 2), ("v", "present", 2, 0, 2, 0), ("new", "missing", 3, 0, 3, 0), ("more", "extra", None, None, None, None)}
+    assert seen.value == 3
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {(1, 5.0, 7.0, "MISSING"), (2, None, 1.0, "MISSING"), (3, None, 7.0, "MISSING")}

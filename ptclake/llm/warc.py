@@ -1,27 +1,31 @@
 """WARC archives and their Merkle fixity audit.
 
 Pages become WARC records; an archive's records have an order and byte offsets. Each replica has a ledger of its own records and
-a tree of its own: leaves are ranges of page ids that all replicas share (so a lost record shifts no other range), each the
-hash of its records' ids, offset ranges within the leaf, and digests, in order; ``fanout`` ordered children are hashed into a node, up to
-one root. An audit compares the roots, descends only below nodes that differ, and joins records of the two replicas only
-in leaves that differ; lost, changed and extra records all come from that descent.
+a tree of its own. Where leaves and nodes begin is told by a hash of the page id: ids of which it is divisible by a step begin a
+leaf, those of a higher power of the fan-out a node of a higher level. So replicas need not agree on ranges beforehand, a lost
+record shifts no other leaf, and ids that clump or lie far apart make no large leaves. A leaf is the hash of its records' ids, offset ranges within the leaf,
+and digests, in order; a node that of its children, in order; the top ones are hashed into the root. An audit compares the roots, descends only below nodes that differ
+or that one tree lacks, and joins records of the two replicas only in leaves that differ; lost, changed and extra records all come from that descent.
 
 Edge cases: null urls and payloads are empty; a null page id is an id of its own; rows that repeat an id are its first, second ...
-copy, by digest; an empty replica loses all records of the other; further columns are left out. A leaf with very many records (one
-id, or ids that clump) is hashed in levels of its own, so no list is longer than ``fanout``. Payloads may hold anything: files are
+copy, by digest; an empty replica loses all records of the other; ids are any 64-bit number; further columns are left out. A leaf with very many records of one
+id is hashed in levels of its own, so no list of records is longer than ``fanout``. Payloads may hold anything: files are
 read by Content-Length; a url with a line break stands in a field of its own, coded.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import discard, materialize, with_positions
+from ptclake.llm.common import discard, materialize, mix, with_positions
 
 _END = "\r\n\r\n"
 _PLAIN_URL = "WARC-Target-URI: "
@@ -93,64 +97,81 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.octet_length(made).cast("long").alias("length"), F.sha2(made, 256).alias("digest"))
 
 
-def _div(a: int, b: int) -> int:
-    """Integer division as Spark's ``div``: towards zero."""
-    return abs(a) // b * (1 if a >= 0 else -1)
+#: The node of records that no marked id precedes, null ids among them.
+LOWEST = -(2**63)
 
 
-class Ranges:
-    """Ranges of page ids that replicas share: ``width`` ids to a leaf, about ``fanout`` records of the replicas where ids are even."""
+def levels_of(replicas: list[DataFrame], fanout: int) -> int:
+    """Levels of nodes that suit the larger replica: its count is all that replicas must share."""
+    most = max(r.count() for r in replicas)
+    return max(1, math.ceil(math.log(max(most, 1), fanout)))
 
-    def __init__(self, replicas: list[DataFrame], fanout: int):
-        lows, highs, n = [], [], 1
-        for r in replicas:
-            low, high, count = r.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
-            lows, highs, n = [*lows, *([] if low is None else [low])], [*highs, *([] if high is None else [high])], max(n, count)
-        low, high = min(lows, default=0), max(highs, default=0)
-        self.fanout, self.width = fanout, max(1, -(-(high - low + 1) * fanout // n))
-        self.none = _div(low, self.width) - 1  # the leaf of null ids
-        self.levels, a, b = 0, self.none, _div(high, self.width)
-        while a != b:
-            self.levels, a, b = self.levels + 1, _div(a, fanout), _div(b, fanout)
 
-    def leaf(self) -> Column:
-        return F.coalesce(F.expr(f"page_id div {self.width}L"), F.lit(self.none)).cast("long")
+def ledger(replica: DataFrame, levels: int, fanout: int) -> DataFrame:
+    """A replica's records in order with their places: marks (the leaf and the nodes above it, each by its first id), i (within the leaf), page_id, length, digest, pos and start (in the archive), offset (in the leaf).
 
+    One pass within range partitions; only counts, lengths and last marks of each partition go over to the next ones.
+    """
+    keys = [F.col("page_id").asc_nulls_first(), "digest"]
+    dealt = replica.select("page_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"), "digest").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    step = max(1, fanout // 4)  # a leaf that holds a given record is about twice as long as leaves are on average
 
-def ledger(replica: DataFrame, ranges: Ranges) -> DataFrame:
-    """A replica's records in order with their places: leaf, i (within the leaf), page_id, length, digest, pos and start (in the archive), offset (in the leaf)."""
-    placed = with_positions(replica.select("page_id", "length", "digest"), [F.col("page_id").asc_nulls_first(), "digest"], weight="length", name="warc-places")
-    placed = placed.withColumn("leaf", ranges.leaf())
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pos, start, last = TaskContext.get().partitionId(), 0, 0, np.full(levels, LOWEST, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            ids, lengths = b.column(0).fill_null(LOWEST).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            hashed = mix(ids.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+            marks = np.stack([np.where(hashed % np.uint64(step * fanout**k) == 0, ids, LOWEST) for k in range(levels)])
+            marks = np.maximum(np.maximum.accumulate(marks, axis=1), last[:, None])
+            ends = start + np.cumsum(lengths)
+            lists = pa.ListArray.from_arrays(np.arange(0, marks.size + 1, levels, dtype=np.int32), marks.T.ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.full(len(b), part, np.int32)), pa.array(pos + np.arange(len(b))), pa.array(ends - lengths)], names=["page_id", "length", "digest", "marks", "part", "pos", "start"])
+            pos, start, last = pos + len(b), int(ends[-1]), marks[:, -1]
+
+    local = materialize(dealt.mapInArrow(scan, "page_id long, length long, digest string, marks array<long>, part int, pos long, start long"), "warc-places")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), *[F.max(F.col("marks")[k]).alias(f"m{k}") for k in range(levels)])
+    #: a row per partition
+    over = each.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "bytes")], F.array(*[F.coalesce(F.max(f"m{k}").over(before), F.lit(LOWEST)) for k in range(levels)]).alias("carried"))
+    placed = local.join(F.broadcast(over), "part").select("page_id", "length", "digest", F.zip_with("marks", "carried", lambda x, y: F.greatest(x, y)).alias("marks"), (F.col("pos") + F.col("n0")).alias("pos"), (F.col("start") + F.col("bytes0")).alias("start"))
+    placed = placed.withColumn("leaf", F.col("marks")[0])
     first = placed.groupBy("leaf").agg(F.min("pos").alias("p0"), F.min("start").alias("s0"))
-    return materialize(placed.join(first, "leaf").select("leaf", (F.col("pos") - F.col("p0")).alias("i"), "page_id", "length", "digest", "pos", "start", (F.col("start") - F.col("s0")).alias("offset")), "warc-ledger")
+    return materialize(placed.join(first, "leaf").select("leaf", "marks", (F.col("pos") - F.col("p0")).alias("i"), "page_id", "length", "digest", "pos", "start", (F.col("start") - F.col("s0")).alias("offset")), "warc-ledger")
 
 
-def _hashed(children: DataFrame, by: list[str], order: str, fanout: int) -> DataFrame:
-    """Nodes over ordered children (``order``, ``hash``), at most ``fanout`` each: by, order (the parent's) and hash."""
-    joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(order, "hash"))), lambda c: c["hash"]))
-    return children.groupBy(*by, F.expr(f"{order} div {fanout}").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).select(*by, F.col("parent").alias(order), "hash")
+def _list_hash(order: str) -> Column:
+    """The hash of a group's hashes, in order."""
+    return F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(order, "hash"))), lambda c: c["hash"])), 256)
 
 
-def tree(book: DataFrame, ranges: Ranges) -> list[DataFrame]:
-    """Levels ``node, hash`` of a replica's tree from the leaves to the root, each written."""
+def tree(book: DataFrame, levels: int, fanout: int) -> list[DataFrame]:
+    """Levels ``node, parent, hash`` of a replica's tree from the leaves to the root, each written."""
     line = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "offset", "length", F.coalesce("digest", F.lit("")))
-    level = _hashed(book.select("leaf", "i", line.alias("hash")), ["leaf"], "i", ranges.fanout)
+    level = book.select("leaf", "marks", "i", line.alias("hash"))
     most = book.agg(F.max("i")).first()[0] or 0
-    while most >= ranges.fanout:  # a leaf with more records has levels of its own
-        most //= ranges.fanout
-        level = _hashed(level, ["leaf"], "i", ranges.fanout)
-    out = [materialize(level.select(F.col("leaf").alias("node"), "hash"), "warc-leaves")]
-    for _ in range(ranges.levels):
-        out.append(materialize(_hashed(out[-1], [], "node", ranges.fanout), "warc-nodes"))
-    return out
-
-
-def differing_leaves(one: list[DataFrame], other: list[DataFrame], fanout: int) -> DataFrame:
+    while True:  # a leaf with more records than ``fanout`` has levels of its own
+        level = level.groupBy("leaf", F.expr(f"i div {fanout}").alias("up")).agg(F.first("marks").alias("marks"), _list_hash("i").alias("hash")).withColumnRenamed("up", "i")
+        if most < fanout:
+            break
+        most //= fanout
+    out, nodes = [], level.withColumnRenamed("leaf", "node")
+    for k in range(levels):
+        parent = F.col("marks")[k + 1] if k + 1 < levels else F.lit(LOWEST)
+        nodes = materialize(nodes.select("node", parent.alias("parent"), "marks", "hash"), "warc-nodes")
+        out.append(nodes.drop("marks"))
+        out[-1].scratch_path = nodes.scratch_path
+        nodes = nodes.groupBy("parent").agg(F.first("marks").alias("marks"), _list_hash("node").alias("hash")).withColumnRenamed("parent", "node")
+    return [*out, materialize(nodes.select("node", F.lit(LOWEST).alias("parent"), "hash"), "warc-root")]
+
+
+def differing_leaves(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     """``node`` of the leaves that differ or that one tree lacks, by descent from the roots below nodes that differ."""
     wrong = None
     for x, y in zip(reversed(one), reversed(other), strict=True):
         if wrong is not None:
-            x, y = (z.withColumn("parent", F.expr(f"node div {fanout}")).join(wrong.select(F.col("node").alias("parent")), "parent", "left_semi").drop("parent") for z in (x, y))
+            x, y = (z.join(wrong.withColumnRenamed("node", "parent"), "parent", "left_semi") for z in (x, y))
         both = x.select("node", F.col("hash").alias("x")).join(y.select("node", F.col("hash").alias("y")), "node", "full")
         below, above = materialize(both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("node"), "warc-wrong"), wrong
         discard(*([above] if above is not None else []))
@@ -175,10 +196,10 @@ def audit(one: DataFrame, other: DataFrame, fanout: int = 16, depth: int = 3) ->
     lost or extra. Returns page_id, copy, status (changed, lost, extra), archive (of ``fanout ** depth`` records), start, length,
     digest and other_digest; the place is that in ``one``, null for extra records.
     """
-    ranges = Ranges([one, other], fanout)
-    books = [ledger(r, ranges) for r in (one, other)]
-    trees = [tree(b, ranges) for b in books]
-    wrong = differing_leaves(*trees, fanout)
+    levels = levels_of([one, other], fanout)
+    books = [ledger(r, levels, fanout) for r in (one, other)]
+    trees = [tree(b, levels, fanout) for b in books]
+    wrong = differing_leaves(*trees)
     only = []
     for book in books:
         rows = book.join(wrong, book["leaf"] == wrong["node"], "left_semi")

@@ -95,17 +95,41 @@ def test_warc_audit_of_clumped_sparse_and_repeated_ids(spark):
     assert audited(spark, rows, other, fanout=4) == [("changed", 5), ("lost", 5), ("lost", 5), ("lost", None)]
 
 
+def suspects(spark, rows, other, fanout):
+    """The leaves that differ, and how many records of the first replica they hold."""
+    one, two = (warc.records(pages(spark, x)) for x in (rows, other))
+    levels = warc.levels_of([one, two], fanout)
+    books = [warc.ledger(x, levels, fanout) for x in (one, two)]
+    trees = [warc.tree(b, levels, fanout) for b in books]
+    assert [t[-1].count() for t in trees] == [1, 1]
+    wrong = warc.differing_leaves(*trees)
+    return wrong.count(), books[0].join(wrong, books[0]["leaf"] == wrong["node"], "left_semi").count()
+
+
 def test_warc_audit_joins_records_of_differing_leaves_only(spark):
     rows = [(k, "u", f"page {k}") for k in range(1000)]
     other = [(k, u, "rot" if k == 500 else h) for k, u, h in rows if k != 17]
-    one, two = (warc.records(pages(spark, x)) for x in (rows, other))
-    ranges = warc.Ranges([one, two], 4)
-    books = [warc.ledger(x, ranges) for x in (one, two)]
-    trees = [warc.tree(b, ranges) for b in books]
-    assert [t[-1].count() for t in trees] == [1, 1]
-    wrong = warc.differing_leaves(*trees, 4)
-    assert sorted(r["node"] for r in wrong.collect()) == [17 // ranges.width, 500 // ranges.width] and ranges.width <= 5
-    assert books[0].join(wrong, books[0]["leaf"] == wrong["node"], "left_semi").count() <= 2 * ranges.width
+    leaves, records = suspects(spark, rows, other, 4)
+    assert 2 <= leaves <= 3 and records <= 3 * 4
+
+
+def test_warc_audit_of_clumped_and_far_ids(spark):
+    far = [(0, "u", "a"), (2**60, "u", "b"), (-(2**63), "u", "c"), (2**63 - 1, "u", "d")]
+    assert audited(spark, far, far) == []
+    assert audited(spark, far, [(k, u, h + "!" if k == 2**60 else h) for k, u, h in far[:3]]) == [("changed", 2**60), ("lost", 2**63 - 1)]
+    rows = [(k, "u", f"page {k}") for k in range(5000)] + [(10**15, "u", "far")]
+    other = [(k, u, h + "rot" if k % 250 == 77 else h) for k, u, h in rows]
+    leaves, records = suspects(spark, rows, other, 16)
+    assert leaves == 20 and records <= 20 * 16
+    assert audited(spark, rows, other) == [("changed", k) for k in range(77, 5000, 250)]
+
+
+def test_warc_leaves_are_the_same_without_a_neighbour(spark):
+    """A lost record, whether it begins a leaf or not, changes its own leaf and the one before it at most."""
+    rows = [(k * 7, "u", str(k)) for k in range(120)]
+    for gone in range(0, 120, 17):
+        leaves, _ = suspects(spark, rows, rows[:gone] + rows[gone + 1 :], 4)
+        assert leaves in (1, 2)
 
 
 def brute(vectors, every, k):

@@ -234,6 +234,51 @@ def test_copies_of_a_short_text_share_packs(spark):
     assert len(rows) == 900 and check_packs(rows, 256) <= 1.05 * sum(r["length"] for r in rows) / 256 + 2
 
 
+@pytest.mark.parametrize("h", [{2049: 10**6}, {2100: 10**4}, {1400: 10**5}, {820: 10**5}, dict.fromkeys(range(2050, 2500), 100), dict.fromkeys(range(1, 4097), 7)])
+def test_any_histogram_packs_with_little_padding(h):
+    patterns, cuts = packing.pack(h, 4096, packing.GRAIN)
+    tokens = sum(k * n for k, n in h.items())
+    assert sum(n for _, n in patterns) * 4096 <= 1.02 * tokens
+    assert len(packing.part_table(h, patterns, cuts)) < 20_000
+    assert cuts or h == dict.fromkeys(range(1, 4097), 7)
+
+
+def test_parts_of_pieces_cover_them_once():
+    rng = random.Random(1)
+    for _ in range(200):
+        limit = rng.choice([64, 128, 256])
+        h = {rng.randrange(1, limit + 1): rng.randrange(1, 30) for _ in range(rng.randrange(1, 20))}
+        patterns, cuts = packing.pack(h, limit, 8)
+        parts, packs = {}, {}
+        for length, first, last, start, size, shift, sequence, copies, offset in packing.part_table(h, patterns, cuts):
+            assert start % 8 == 0
+            for r in range(first, last + 1):
+                parts.setdefault((length, r), []).append((start, size))
+                packs.setdefault(sequence + (r + shift) // copies, []).append((offset + (r + shift) % copies * size, size))
+        assert set(parts) == {(k, r) for k, n in h.items() for r in range(n)}
+        for (length, _), own in [*parts.items(), *(((None, k), v) for k, v in packs.items())]:
+            at = 0
+            for start, size in sorted(own):
+                assert start == at
+                at += size
+            assert at <= limit if length is None else at == length
+        assert sorted(packs) == list(range(len(packs)))
+
+
+def test_cut_documents_are_the_librarys_ids(spark):
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "Épsilon", "x"], k=150 if k % 4 else 140 + k % 3))) for k in range(300)]
+    ids = dict(zip((k for k, _ in docs), library_ids("word_bpe_49k.json", [t for _, t in docs], 2), strict=True))
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.path("word_bpe_49k.json"), 2, 320).collect()
+    assert len(rows) > 320 and check_packs(rows, 320) * 320 <= 1.1 * sum(map(len, ids.values()))
+    for i, own in ids.items():
+        at = 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[at : at + r["length"]])
+            at += r["length"]
+        assert at == len(own)
+
+
 def test_quality_rules(spark, odd_docs, no_docs):
     got = {}
     for r in quality_rules.quality_rules(odd_docs).collect():

@@ -7,6 +7,7 @@ name and type included. An empty table stays empty in every stage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +39,39 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return score(docs, weights, keep=0.5)
 
 
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a Parquet table with a number of their own, from 0, and its column: the rows of the files before (by path) and the place in the file.
+
+    So numbers need no sort and are the same whenever the table is read; only a row per file is put in order. Frames that are
+    no plain table are written first.
+    """
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = materialize(docs, "pipeline-rows")
+    place, key = docs.metadataColumn("_metadata"), free_name(docs, "number")
+    path, start = free_name(docs, "path"), free_name(docs, "start")
+    sizes = docs.select(place["file_path"].alias(path)).groupBy(path).count()
+    files = materialize(with_positions(sizes, [path], weight="count", name="pipeline-files", start=start).select(path, start), "pipeline-files")
+    # a row per file: Spark sends it to all tasks while it is small
+    rows = docs.withColumns({path: place["file_path"], key: place["row_index"]}).join(files, path)
+    return rows.withColumn(key, F.col(key) + F.col(start)).drop(path, start), key
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id.
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id (none counts as the largest; then the first row).
 
-    A document is a row. Where ids are missing or repeat, rows are numbered in the order of their ids (none last) and texts, and these
-    numbers take the ids' place: of rows that share an id, only those whose texts are near copies leave one; different texts stay.
-    Texts without words are no copies of anything and all stay.
+    A document is a row: rows that share an id, or have none, are told apart, and of them only near copies leave one.
+    Texts without words are no copies of anything and all stay. Groups, ids and the choice are worked out on numbers; whole rows meet only the numbers that go.
     """
-    key, rows = "doc_id", docs
-    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        key = free_name(docs, "number")
-        rows = with_positions(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name="pipeline-numbers", pos=key)
+    rows, key = numbered_rows(docs)
     groups = ngram_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
-    # the removed ids are far fewer than the kept ones: Spark may send them to all tasks instead of shuffling whole rows
-    gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "pipeline-gone")
+    linked = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.col("component_id").alias("group")), "pipeline-linked")
+    members = linked.unionByName(linked.select(F.col("group").alias("of"), "group").distinct())
+    ids = rows.select(F.col(key).alias("of"), F.col("doc_id").alias("id")).join(members, "of")
+    stays = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "of")).alias("first")).select(F.col("first.of").alias("of"))
+    # the rows that go are far fewer than those that stay: Spark may send them to all tasks instead of shuffling whole rows
+    gone = materialize(members.join(stays, "of", "left_anti").select(F.col("of").alias("gone")), "pipeline-gone")
     return rows.join(gone, rows[key] == gone["gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

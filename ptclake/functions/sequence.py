@@ -59,10 +59,11 @@ def codons(cds: Column) -> Column:
     return F.transform(_positions(1, F.length(cds) - 2, 3), lambda i: F.substring(cds, i, 3))
 
 
-def codon_optimality(cds: Column, offset: Column, optimal: list[str], flank: int = 100) -> Column:
-    """struct(whole, window): share of optimal codons (U read as T), of all and of those within ``flank`` of a 0-based offset.
+def codon_optimality(cds: Column, offset: Column, optimal: list[str], flank: int = 100, same_chrom: Column | None = None) -> Column:
+    """struct(whole, window, status): share of optimal codons (U read as T), of all and of those within ``flank`` of a 0-based offset.
 
-    Codons with N are removed before counting; window codons are lo//3 to hi//3.
+    Codons with N are removed before counting; window codons are lo//3 to hi//3. Where ``same_chrom`` (the variant lies on its transcript's chromosome)
+    is false, there are no shares, and the status is chr_mismatch.
     """
     good = [c.upper().replace("U", "T") for c in optimal]
     c = F.filter(codons(cds), lambda x: ~x.contains("N"))
@@ -71,7 +72,11 @@ def codon_optimality(cds: Column, offset: Column, optimal: list[str], flank: int
     hi = F.least(F.length(cds) - 1, offset + flank)
     first, last = F.floor(lo / 3).cast("int"), F.floor(hi / 3).cast("int")
     inside = (offset >= 0) & (offset < F.length(cds))
-    return F.struct(share(c).alias("whole"), F.when(inside, share(F.slice(c, first + 1, F.greatest(F.lit(0), last - first + 1)))).alias("window"), F.when(cds.isNull() | (cds == ""), "no_tx_or_no_cds").when(~inside, "ptc_not_in_cds").otherwise("ok").alias("status"))
+    elsewhere = ~same_chrom if same_chrom is not None else F.lit(False)
+    none = cds.isNull() | (cds == "")
+    here = F.coalesce(~elsewhere, F.lit(True))
+    status = F.when(none, "no_tx_or_no_cds").when(elsewhere, "chr_mismatch").when(~inside, "ptc_not_in_cds").otherwise("ok")
+    return F.struct(F.when(here, share(c)).alias("whole"), F.when(inside & here, share(F.slice(c, first + 1, F.greatest(F.lit(0), last - first + 1)))).alias("window"), status.alias("status"))
 
 
 def amino_acid(codon: Column) -> Column:

@@ -124,6 +124,42 @@ def region_blocks(variants: DataFrame, model: DataFrame, flank: int = 100) -> Da
     return j.select("id", "chrom", "strand", each.alias("r")).select("id", "chrom", "strand", F.col("r.region").alias("region"), F.posexplode("r.blocks").alias("i", "b")).select("id", "region", "chrom", "strand", (F.col("i") + 1).alias("rank"), "b.start", "b.end")
 
 
+def motif_region_blocks(variants: DataFrame, model: DataFrame, flank: int = 100, first: int = 200) -> DataFrame:
+    """The regions that motifs are looked for in, of variants (id, tx, coding_pos), as blocks (id, region, chrom, rank, start, end, strand).
+
+    In coding positions: ptc_to_ejc (to the end of the stop's exon), ptc_pm100 and ejc_pm100 (``flank`` bases to either side, cut at the ends of the CDS)
+    and newutr_200 (``first`` bases, cut at the CDS's end); utr3_all are the exon parts behind the CDS's last base (a stop codon that the CDS leaves out among them),
+    utr3_200 their ``first`` bases, and newutr_all the CDS from the stop on and then the 3' UTR. A place outside of the CDS has no regions.
+    """
+    p, total = F.col("coding_pos"), F.array_max("_ends")
+    ejc = F.get("_ends", F.size(F.filter("_ends", lambda e: e < p)))
+    plus = F.col("strand") == "+"
+
+    def part(blocks: str, ends: str, low: Column, high: Column) -> Column:
+        """Blocks cut to positions low..high along them."""
+
+        def cut(b: Column, k: Column) -> Column:
+            end = F.get(ends, k)
+            begin = end - (b["end"] - b["start"])
+            lo, hi = F.greatest(low, begin), F.least(high, end)
+            left, right = F.when(plus, b["start"] + lo - begin).otherwise(b["end"] - (hi - begin)), F.when(plus, b["start"] + hi - begin).otherwise(b["end"] - (lo - begin))
+            return F.when(lo <= hi, F.struct(left.cast("long").alias("start"), right.cast("long").alias("end")))
+
+        return F.filter(F.transform(blocks, cut), lambda b: b.isNotNull())
+
+    clipped = F.transform("exons", lambda x: F.struct(F.when(plus, F.greatest(x["start"], F.col("cds_max") + 1)).otherwise(x["start"]).cast("long").alias("start"), F.when(plus, x["end"]).otherwise(F.least(x["end"], F.col("cds_min") - 1)).cast("long").alias("end")))
+    j = variants.select("id", "tx", F.col("coding_pos").cast("long").alias("coding_pos")).join(model, "tx").withColumn("_ends", cumulative_ends(F.col("cds"))).withColumn("_utr", F.filter(clipped, lambda x: x["start"] <= x["end"])).withColumn("_utr_ends", cumulative_ends(F.col("_utr")))
+    j = j.filter(p.between(1, total))
+    cds = lambda a, b: part("cds", "_ends", a, b)
+    one = F.lit(1).cast("long")
+    regions = {
+        "ptc_to_ejc": cds(p, ejc), "newutr_all": F.concat(cds(p, total), F.col("_utr")), "newutr_200": cds(p, F.least(p + first - 1, total)), "ptc_pm100": cds(F.greatest(one, p - flank), F.least(total, p + flank)),
+        "ejc_pm100": cds(F.greatest(one, ejc - flank), F.least(total, ejc + flank)), "utr3_all": F.col("_utr"), "utr3_200": part("_utr", "_utr_ends", one, F.lit(first).cast("long")),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("region"), v.alias("blocks")) for k, v in regions.items()]))
+    return j.select("id", "chrom", "strand", each.alias("r")).select("id", "chrom", "strand", F.col("r.region").alias("region"), F.posexplode("r.blocks").alias("i", "b")).select("id", "region", "chrom", (F.col("i") + 1).alias("rank"), "b.start", "b.end", "strand")
+
+
 def cds_interval_to_genomic(intervals: DataFrame, model: DataFrame) -> DataFrame:
     """CDS intervals (id, tx, from_, to_; 1-based) to genomic pieces (id, rank, start, end)."""
     j = intervals.join(model, "tx").withColumn("ends", cumulative_ends(F.col("cds")))

@@ -261,6 +261,25 @@ def motif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.motif_presence(hits, spark.createDataFrame([("red", "R1"), ("small", "S1"), ("blue", "B1")], "motif string, gene string"))
 
 
+@query(
+    f"""WITH {MODEL}, v AS (SELECT event_id AS id, event_id // 3 AS tx, event_id * 31 % 1500 + 1 AS p FROM events),
+w AS (SELECT v.*, total, c.before + c.len AS ejc FROM v JOIN cdsx c ON v.tx = c.tx AND v.p BETWEEN c.before + 1 AND c.before + c.len),
+i AS (SELECT id, tx, unnest(['ptc_to_ejc', 'newutr_all', 'newutr_200', 'ptc_pm100', 'ejc_pm100']) AS region, unnest([p, p, p, greatest(1, p - 100), greatest(1, ejc - 100)]) AS a, unnest([ejc, total, least(p + 199, total), least(total, p + 100), least(total, ejc + 100)]) AS b FROM w),
+k AS (SELECT id, region, strand, r AS o, start, "end", before, greatest(a, before + 1) AS lo, least(b, before + len) AS hi FROM i JOIN cdsx c USING (tx)),
+d AS (SELECT id, region, 0 AS s, o, CASE WHEN strand = '+' THEN start + lo - before - 1 ELSE "end" - (hi - before - 1) END AS start, CASE WHEN strand = '+' THEN start + hi - before - 1 ELSE "end" - (lo - before - 1) END AS "end" FROM k WHERE lo <= hi),
+m AS (SELECT tx, min(start) AS lo, max("end") AS hi FROM cds GROUP BY tx),
+u AS (SELECT e.tx, strand, r, CASE WHEN strand = '+' THEN greatest(start, hi + 1) ELSE start END AS start, CASE WHEN strand = '+' THEN "end" ELSE least("end", lo - 1) END AS "end" FROM ex5 e JOIN m USING (tx)),
+ux AS (SELECT *, coalesce(sum("end" - start + 1) OVER (PARTITION BY tx ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u WHERE start <= "end"),
+a AS (SELECT * FROM d UNION ALL SELECT id, 'newutr_all', 1, r, start, "end" FROM w JOIN ux USING (tx) UNION ALL SELECT id, 'utr3_all', 1, r, start, "end" FROM w JOIN ux USING (tx)
+      UNION ALL SELECT id, 'utr3_200', 1, r, CASE WHEN strand = '+' THEN start ELSE greatest(start, "end" - (200 - before) + 1) END, CASE WHEN strand = '+' THEN least("end", start + (200 - before) - 1) ELSE "end" END FROM w JOIN ux USING (tx) WHERE before < 200)
+SELECT id, region, CAST(row_number() OVER (PARTITION BY id, region ORDER BY s, o) AS INTEGER) AS rank, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM a"""
+)
+def motif_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven regions of coding positions that motifs are looked for in."""
+    v = table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id div 3 AS tx", "event_id * 31 % 1500 + 1 AS coding_pos")
+    return T.motif_region_blocks(v, T.transcript_model(gene_model(spark, sf_dir))).select("id", "region", "rank", "start", "end")
+
+
 @query(
     f"""WITH {MODEL}, v AS (SELECT tx, CAST(greatest(1, total // 3) AS BIGINT) AS a, CAST(greatest(1, total // 3) + 60 AS BIGINT) AS b FROM cdsx WHERE r = 1),
 p AS (SELECT c.tx, c.r, c.strand, c.start, c."end", greatest(v.a, before + 1) AS lo, least(v.b, before + len) AS hi, before FROM cdsx c JOIN v USING (tx))

@@ -176,3 +176,12 @@ def test_models(spark):
     assert L.isotonic_recalibrate(oof).filter("calibrated IS NULL").count() == 0
     scored = L.score_cohort(L.train_final(df, ["x"], ["c"], "label", max_iter=3), df, "id")
     assert L.attach_ids(scored.withColumn("label", F.col("predicted_class")), scored.select("id", F.col("predicted_class").alias("label"), F.lit(1).alias("k")), "id", "label").count() == 120
+
+
+def test_codons_of_a_transcript_on_another_chromosome(spark):
+    cds, at = F.lit("ATGGCCAAATAA"), F.lit(4)
+    status = lambda same: one(spark, S.codon_optimality(cds, at, ["GCC"], same_chrom=same).alias("s"))["s"]
+    assert status(F.lit(True))["status"] == "ok" and status(F.lit(True))["whole"] == 0.25
+    gone = status(F.lit(False))
+    assert gone["status"] == "chr_mismatch" and gone["whole"] is None and gone["window"] is None
+    assert status(F.lit(None).cast("boolean"))["status"] == "ok" and status(None)["status"] == "ok"

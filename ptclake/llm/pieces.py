@@ -145,6 +145,40 @@ class Merges:
         return out
 
 
+def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values (numbers, or bytes as they stand) of a protocol buffers message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether a model file is of the BPE type (else unigram); an error for other types and for what this encoder doesn't do to texts."""
+    parts = dict(x for x in proto_fields(model) if x[0] in (2, 3))
+    trainer, normalizer = (dict(proto_fields(parts.get(k, b""))) for k in (2, 3))
+    kind = trainer.get(3, 1)
+    wrong = [text for text, is_so in (("a model that is neither unigram nor BPE", kind not in (1, 2)), ("white space as a suffix", trainer.get(24, 0)), ("a normaliser other than identity", normalizer.get(2, b"")), ("no dummy prefix", not normalizer.get(3, 1)), ("removal of extra spaces", normalizer.get(4, 1)), ("spaces that aren't escaped", not normalizer.get(5, 1))) if is_so]
+    if wrong:
+        raise ValueError("the model file asks for " + ", ".join(wrong))
+    return kind == 2
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file."""
 
@@ -152,6 +186,7 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        merged = is_bpe(model.serialized_model_proto())
         n = model.get_piece_size()
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -180,8 +215,7 @@ class Vocabulary:
             s = self.trie.place[p]
             self.token[s], self.node_score[s], self.node_id[s], self.node_length[s] = True, scores.get(p, self.unknown_score), self.ids.get(p, -1), len(p)
         # a BPE model's scores are the numbers of its merges
-        ranked = all(x == int(x) for x in scores.values())
-        self.merges = Merges(scores, {s: p for p, s in self.trie.place.items()}) if ranked else None
+        self.merges = Merges(scores, {s: p for p, s in self.trie.place.items()}) if merged else None
 
     def of(self, piece: str) -> list[int]:
         i = self.ids.get(piece)

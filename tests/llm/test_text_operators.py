@@ -64,6 +64,21 @@ def best_path(v, text):
     return [i for b, a in zip(cuts[-2::-1], cuts[:0:-1], strict=True) for i in v.of(text[a:b])]
 
 
+def test_the_type_and_normaliser_are_those_of_the_model_file():
+    from pathlib import Path
+
+    model = Path(P.path("piece_bpe_32k.model")).read_bytes()
+    assert pieces.is_bpe(model)
+    other = {k: v for k, v in pieces.proto_fields(model) if k in (2, 3)}
+    message = lambda k, body: bytes([k << 3 | 2]) + bytes([len(body) & 127 | 128, len(body) >> 7]) + body
+    assert len(other[2]) >= 128 and pieces.is_bpe(message(2, other[2]) + message(3, other[3]))
+    kinds = {k: other[2].replace(b"\x18\x02", bytes([0x18, k]), 1) for k in (1, 3)}
+    assert not pieces.is_bpe(message(2, kinds[1]) + message(3, other[3]))
+    for trainer, normalizer, words in ((kinds[3], other[3], "neither unigram nor BPE"), (other[2], other[3] + b"\x20\x01", "extra spaces"), (other[2], other[3] + b"\x18\x00", "no dummy prefix"), (other[2], other[3] + b"\x12\x03abc", "normaliser")):
+        with pytest.raises(ValueError, match=words):
+            pieces.is_bpe(message(2, trainer) + message(3, normalizer))
+
+
 @pytest.mark.parametrize("kind", ["merges", "scores"])
 def test_pieces_are_the_librarys_or_those_of_the_plain_search(odd_docs, duck, kind):
     """By merges the ids are the library's; by scores, as for a unigram model, those of a search over whole texts."""

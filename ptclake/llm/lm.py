@@ -272,7 +272,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, rounds: int = 4, rate: float = 0.2) -> np.ndarray:
     """Weights after ``rounds`` of blocks, each followed by averaging; every token of ``docs`` is a target once.
 
-    ``totals`` has the occurrences by token id, which give the first weights and the number of blocks.
+    ``totals`` has the occurrences by token id, which give the first weights and the number of blocks. Rows that repeat both id and text are dealt to
+    one block; a block is cut behind the text with which it has twice its size, so memory follows neither such rows nor a hot block.
     """
     spark, w = docs.sparkSession, shape.start(totals)
     blocks = max(1, -(-int(totals.sum()) // BLOCK))
@@ -293,7 +294,7 @@ def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, r
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             start, kind = sent.value[1], "<u2" if shape.ids < 1 << 16 else "<u4"
-            total, n, last, texts = np.zeros(shape.size, np.int64), 0, None, []
+            total, n, last, texts, held = np.zeros(shape.size, np.int64), 0, None, [], 0
 
             def done() -> int:
                 own = start.copy()
@@ -304,10 +305,11 @@ def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, r
 
             for b in batches:
                 for block, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    if block != last:
+                    if block != last or held >= 2 * BLOCK:
                         n += done() if texts else 0
-                        last, texts = block, []
+                        last, texts, held = block, [], 0
                     texts.append(np.frombuffer(ids, kind).astype(np.int64))
+                    held += len(texts[-1])
             n += done() if texts else 0
             if n:
                 salt = TaskContext.get().partitionId() % 64

@@ -527,6 +527,22 @@ def test_lm_trains_on_every_token_once_at_any_partitioning(spark, monkeypatch):
     assert seen == totals.sum() and (a == w).all()
 
 
+def test_lm_cuts_the_block_of_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    shape = lm.Shape(4, 8, 3)
+    text = " ".join(f"w{j * j % 11}" for j in range(30))
+    docs = spark.createDataFrame([(None, text)] * 40, "doc_id long, text string")
+    words = lm.vocabulary(docs, shape)[: shape.words]
+    totals = lm.id_totals(lm.word_counts(docs), words, shape)[0]
+    a, b = (lm.train(docs.repartition(k), words, totals, shape) for k in (1, 5))
+    ids, total, steps = lm.TokenIds(words, shape).of_words(pa.array(text.split())), np.zeros(shape.size, np.int64), 0
+    for n in [7] * 5 + [5]:  # 210 tokens reach twice the block's size
+        own = shape.start(totals)
+        m = lm.train_block(own, shape, [ids] * n, 0.2)
+        total, steps = total + m * np.rint(own.astype(float) / lm.UNIT).astype(np.int64), steps + m
+    assert (a == b).all() and (a == (total / steps * lm.UNIT).astype(np.float32)).all()
+
+
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_lm_beats_the_unigram_table_on_texts_it_has_not_seen(spark, partitions):
     docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").select("doc_id", "text").repartition(partitions)

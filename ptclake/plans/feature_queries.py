@@ -261,6 +261,22 @@ def motif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.motif_presence(hits, spark.createDataFrame([("red", "R1"), ("small", "S1"), ("blue", "B1")], "motif string, gene string"))
 
 
+@query(
+    f"""WITH {SEQUENCES} SELECT event_id AS id, substr(seq, CAST(event_id * 37 % 230 + 1 AS INTEGER), 25) AS seq FROM events JOIN seqs ON event_id // 10 = doc_id"""
+)
+def genome_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of ranges, from an indexed genome of which only the folders with wanted chunks are read."""
+    from ptclake.sources.readers import read_genome
+    from ptclake.sources.scratch import scratch_path
+    from ptclake.sources.writers import write_genome
+
+    path = scratch_path(spark, "genome")
+    write_genome(sequences(spark, sf_dir).select(F.concat(F.lit("c"), F.col("doc_id") % 7).alias("chrom"), F.col("doc_id").alias("chunk_no"), "seq"), path, span=256)
+    blocks = table(spark, sf_dir, "events").selectExpr("event_id AS tx", "concat('c', event_id div 10 % 7) AS chrom", "'+' AS strand", "1 AS rank", "event_id div 10 * 256 + event_id * 37 % 230 + 1 AS start", "event_id div 10 * 256 + event_id * 37 % 230 + 25 AS end")
+    genome = read_genome(spark, path, blocks, chunk=256, span=256)
+    return T.splice_sequence(blocks, genome, 256).withColumnRenamed("tx", "id")
+
+
 @query(
     f"""WITH {MODEL}, v AS (SELECT event_id AS id, event_id // 3 AS tx, event_id * 31 % 1500 + 1 AS p FROM events),
 w AS (SELECT v.*, total, c.before + c.len AS ejc FROM v JOIN cdsx c ON v.tx = c.tx AND v.p BETWEEN c.before + 1 AND c.before + c.len),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ptclake.sources.writers import genome_part
+
 NULLS = ("NA", ".", "NaN")
 
 
@@ -80,6 +82,18 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000) -> DataFram
     return pieces.groupBy("chrom", "chunk_no").agg(glued.alias("seq")).select("chrom", F.col("chunk_no").cast("long").alias("chunk_no"), "seq")
 
 
+def read_genome(spark: SparkSession, path: str, ranges: DataFrame, chunk: int = 100_000, span: int = 16) -> DataFrame:
+    """The chunks (chrom, chunk_no, seq) of a table by ``write_genome`` that 1-based ranges (chrom, start, end) touch.
+
+    Only folders with a wanted chunk are read: while the wanted ones are few enough to go to all tasks, Spark prunes the folders by them as the query
+    runs. Ranges that end before they start touch none. ``chunk`` and ``span`` are those of the table.
+    """
+    each = F.explode(F.sequence(F.floor((F.col("start") - 1) / chunk), F.floor((F.col("end") - 1) / chunk)))
+    wanted = ranges.filter((F.col("start") <= F.col("end")) & (F.col("start") >= 1)).select("chrom", each.alias("chunk_no")).distinct().withColumn("part", genome_part(F.col("chrom"), F.col("chunk_no"), span))
+    table = spark.read.schema("chrom string, chunk_no long, seq string, part string").parquet(path)
+    return table.join(wanted, ["part", "chrom", "chunk_no"], "left_semi").select("chrom", "chunk_no", "seq")
+
+
 def read_vcf_sites(spark: SparkSession, path: str) -> DataFrame:
     """The eight fixed VCF columns, and ``ann``, the ANN field of INFO."""
     schema = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,17 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     return df.sparkSession.table(name)
 
 
+def genome_part(chrom: Column, chunk_no: Column, span: int) -> Column:
+    """The folder of a chunk."""
+    return F.concat(chrom, F.lit("-"), F.floor(chunk_no / span).cast("string"))
+
+
+def write_genome(chunks: DataFrame, path: str, span: int = 16) -> None:
+    """Chunks (chrom, chunk_no, seq) as an indexed table: a folder for each ``span`` chunks of a sequence, which ``read_genome`` picks from."""
+    parts = chunks.withColumn("part", genome_part(F.col("chrom"), F.col("chunk_no"), span))
+    parts.repartition("part").sortWithinPartitions("part", "chunk_no").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
 def vcf_lines(df: DataFrame, passed: bool = True) -> DataFrame:
     """The eight VCF columns of variants, with '.' for ID, QUAL and INFO and PASS or '.' for FILTER."""
     dot = F.lit(".")

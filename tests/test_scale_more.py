@@ -211,3 +211,22 @@ def test_audit_needs_one_scan(spark, tmp_path):
     assert {tuple(r) for r in audit.collect()} == {("n", "present", 1, 1, 0, 2), ("v", "present", 2, 0, 2, 0), ("new", "missing", 3, 0, 3, 0), ("more", "extra", None, None, None, None)}
     assert seen.value == 3
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {(1, 5.0, 7.0, "MISSING"), (2, None, 1.0, "MISSING"), (3, None, 7.0, "MISSING")}
+
+
+def test_a_genome_is_read_where_it_is_wanted(spark, tmp_path):
+    from ptclake.sources.writers import write_genome
+
+    rng = random.Random(1)
+    seqs = {c: "".join(rng.choices("ACGT", k=9_950)) for c in ("c1", "c2", "c3")}
+    (tmp_path / "g.fa").write_text("".join(f">{c}\n" + "\n".join(s[k : k + 70] for k in range(0, len(s), 70)) + "\n" for c, s in seqs.items()))
+    write_genome(R.read_fasta(spark, str(tmp_path / "g.fa"), 100), str(tmp_path / "genome"), span=4)
+    ranges = spark.createDataFrame([("c1", 95, 205), ("c1", 101, 101), ("c3", 9_901, 9_950), ("c2", 9, 5), ("c9", 1, 5)], "chrom string, start long, end long")
+    ranges.write.parquet(str(tmp_path / "ranges"))
+    broken = 0
+    for file in (tmp_path / "genome").glob("*/*.parquet"):
+        if file.parent.name not in {"part=c1-0", "part=c3-24"}:
+            file.write_text("no Parquet at all")
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+            broken += 1
+    got = R.read_genome(spark, str(tmp_path / "genome"), spark.read.parquet(str(tmp_path / "ranges")), chunk=100, span=4).collect()
+    assert broken > 70 and {(r["chrom"], r["chunk_no"]): r["seq"] for r in got} == {(c, k): seqs[c][100 * k : 100 * k + 100] for c, k in (("c1", 0), ("c1", 1), ("c1", 2), ("c3", 99))}

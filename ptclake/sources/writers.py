@@ -40,7 +40,8 @@ def vcf_lines(df: DataFrame, passed: bool = True) -> DataFrame:
 
 
 def write_vcf(df: DataFrame, path: str, passed: bool = True) -> None:
-    vcf_lines(df, passed).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    # another comment sign: the writer would put the header's first name in quotes
+    vcf_lines(df, passed).write.mode("overwrite").option("sep", "\t").option("header", True).option("comment", "\u0001").csv(path)
 
 
 def write_avinput(df: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import pytest
 from helpers import SF, same_rows
 
+from ptclake.plans import source_queries  # noqa: F401  adds its queries
 from ptclake.plans.feature_queries import ORACLES, QUERIES
 
 

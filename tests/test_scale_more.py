@@ -230,3 +230,10 @@ def test_a_genome_is_read_where_it_is_wanted(spark, tmp_path):
             broken += 1
     got = R.read_genome(spark, str(tmp_path / "genome"), spark.read.parquet(str(tmp_path / "ranges")), chunk=100, span=4).collect()
     assert broken > 70 and {(r["chrom"], r["chunk_no"]): r["seq"] for r in got} == {(c, k): seqs[c][100 * k : 100 * k + 100] for c, k in (("c1", 0), ("c1", 1), ("c1", 2), ("c3", 99))}
+
+
+def test_a_vcf_header_has_no_quotes(spark, tmp_path):
+    from ptclake.sources.writers import write_vcf
+
+    write_vcf(spark.createDataFrame([("chr1", 5, "A", "T")], "chrom string, pos long, ref string, alt string").coalesce(1), str(tmp_path / "v"))
+    assert "".join(p.read_text() for p in (tmp_path / "v").glob("part-*")) == "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nchr1\t5\t.\tA\tT\t.\tPASS\t.\n"

@@ -61,7 +61,7 @@ class Trained:
         return forest_scores(self.features(df), self.forest).drop("_features", *map(statistic_name, self.categorical))
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.builder.getOrCreate()
         self.model.write().overwrite().save(f"{path}/model")
         spark.createDataFrame([(self.numeric, self.categorical, len(self.forest.roots))], "numeric array<string>, categorical array<string>, trees int").write.mode("overwrite").json(f"{path}/columns")
         if self.categorical:

@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ptclake.sources.scratch import scratch_path
@@ -150,10 +150,7 @@ class Leaf:
 
 def forest_of(model) -> Forest:
     """The arrays of a fitted ``GBTClassificationModel``, from its saved form."""
-    spark = model._sparkSession if hasattr(model, "_sparkSession") else None
-    from pyspark.sql import SparkSession
-
-    spark = spark or SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     path = scratch_path(spark, "trees")
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()  # the model's nodes

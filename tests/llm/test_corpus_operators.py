@@ -126,8 +126,8 @@ def test_divergence_is_that_of_brute_force(spark, monkeypatch):
         docs.append((rng.choice(["en", "en", "fr", None]), source, " ".join(rng.choices(vocabulary[: 60 + 40 * (k % 8)], weights=[1 / (i + 1) for i in range(60 + 40 * (k % 8))], k=rng.randrange(60))) + rng.choice(["", "!", " X9Y"])))
     docs += [("en", "none", None), ("en", "none", "123 !"), ("de", "a", None), ("de", "b", "only two"), ("de", "b", "only two"), ("xx", "alone", "word word"), ("yy", "one", "ja nein"), ("yy", "two", "ja ja"), ("yy", "two", "JA")]
     df = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "lang string, source string, text string, p long, n int, term string")
-    for chunk, cells in ((2048, 1 << 20), (32, 50)):
-        got = []
+    for chunk, cells, tile in ((2048, 1 << 20, 512), (32, 50, 2)):
+        monkeypatch.setattr(divergence, "TILE", tile)
         monkeypatch.setattr(divergence, "CHUNK", chunk)
         monkeypatch.setattr(divergence, "CELLS", cells)
         for top in (200, 7):

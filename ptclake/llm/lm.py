@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ptclake.llm.common import materialize, slices, split_words, texts_of, word_hashes
+from ptclake.llm.common import discard, materialize, scratch, slices, split_words, texts_of, word_hashes
 
 #: What is added to each word's count within its bucket; a word that occurs nowhere has this alone.
 SEEN = 0.5
@@ -279,21 +279,29 @@ def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, r
     blocks = max(1, -(-int(totals.sum()) // BLOCK))
     turn = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = docs.filter("text IS NOT NULL").select(F.col("text").cast("string"), F.pmod(turn, F.lit(blocks)).alias("block"), F.pmod(F.xxhash64(turn), F.lit(2**62)).alias("turn"))
-    piece = 1 << 14
-    for k in range(min(rounds, blocks)):
-        sent = spark.sparkContext.broadcast((words, w))
+    piece, kind = 1 << 14, "<u2" if shape.ids < 1 << 16 else "<u4"
+    known = spark.sparkContext.broadcast(words)
 
-        def to_ids(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tokens, kind = TokenIds(sent.value[0], shape), "<u2" if shape.ids < 1 << 16 else "<u4"
-            for batch in batches:
-                for b in slices(batch):
-                    offsets, ids = tokens.of(texts_of(b))
-                    ids = ids.astype(kind)
-                    cut = [ids[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cut, pa.binary())], names=["block", "turn", "ids"])
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = TokenIds(known.value, shape)
+        for batch in batches:
+            for b in slices(batch):
+                offsets, ids = tokens.of(texts_of(b))
+                ids = ids.astype(kind)
+                cut = [ids[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cut, pa.binary())], names=["block", "turn", "ids"])
+
+    # texts are read once; a round reads the ids of its own blocks
+    ids = dealt.mapInArrow(to_ids, "block long, turn long, ids binary").withColumn("round", (F.col("block") % rounds).cast("int"))
+    path = scratch(spark, "lm-ids")
+    ids.write.partitionBy("round").parquet(path)
+    ids = spark.read.schema(ids.schema).parquet(path)
+    ids.scratch_path = path
+    for k in range(min(rounds, blocks)):
+        sent = spark.sparkContext.broadcast(w)
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            start, kind = sent.value[1], "<u2" if shape.ids < 1 << 16 else "<u4"
+            start = sent.value
             total, n, last, texts, held = np.zeros(shape.size, np.int64), 0, None, [], 0
 
             def done() -> int:
@@ -316,8 +324,7 @@ def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, r
                 for i in range(0, len(total), piece):
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([salt]), pa.array([n]), pa.array([total[i : i + piece].tobytes()], pa.binary())], names=["i", "salt", "n", "w"])
 
-        ids = dealt.filter(F.col("block") % rounds == k).mapInArrow(to_ids, "block long, turn long, ids binary")
-        ordered = ids.repartition("block").sortWithinPartitions("block", "turn", "ids")
+        ordered = ids.filter(F.col("round") == k).drop("round").repartition("block").sortWithinPartitions("block", "turn", "ids")
         schema = "i long, salt long, n long, w binary"
         # tasks' sums are added up in two steps, so that no task holds those of all others
         sums = ordered.mapInArrow(local, schema).repartition("i", "salt").mapInArrow(_added, schema).repartition("i").mapInArrow(_added, schema)
@@ -326,6 +333,7 @@ def train(docs: DataFrame, words: list[str], totals: np.ndarray, shape: Shape, r
             new[i : i + piece] = np.frombuffer(x, np.int64) / n * UNIT
         w = new
         sent.unpersist()
+    discard(ids)
     return w
 
 

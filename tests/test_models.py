@@ -146,3 +146,26 @@ def test_recalibration_only_beyond_the_limit(spark):
     assert L.isotonic_recalibrate(oof, limit=0.03).filter("calibrated <> score").count() == 0
     off = oof.withColumn("score", F.lit(0.9))
     assert {round(r["calibrated"], 6) for r in L.isotonic_recalibrate(off, limit=0.03).collect()} == {0.5}
+
+
+def test_statistics_of_left_out_folds_with_common_categories(spark, monkeypatch):
+    """Each fold's model has what a pass over its own rows gives, also where categories go by parts."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["hot"] * 6 + [None, "a"]), rng.randrange(60), rng.choice([0, 1, 1, None]), k % 3) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, c string, d int, y int, fold int")
+    for many in (encoding.MANY, 40):
+        monkeypatch.setattr(encoding, "MANY", many)
+        got = {r["id"]: r for r in encoding.ordered_statistics(df, ["c", "d"], "y", "id", fold="fold", folds=3).collect()}
+        for k in range(3):
+            alone = {r["id"]: r for r in encoding.ordered_statistics(df.filter(F.col("fold") != k), ["c", "d"], "y", "id").collect()}
+            whole = encoding.category_statistics(df.filter(F.col("fold") != k), ["c", "d"], "y")
+            applied = {r["id"]: r for r in encoding.apply_statistics(df.filter(F.col("fold") == k), ["c", "d"], whole).collect()}
+            for name in ("c_statistic", "d_statistic"):
+                assert all(got[i][name][k] == pytest.approx(r[name]) for i, r in (alone | applied).items())
+        assert len(got) == 900
+
+
+def test_statistics_shuffle_rows_once_a_column(spark):
+    df = spark.range(500).selectExpr("id", "cast(id % 7 AS string) AS c", "cast(id % 90 AS string) AS d", "cast(id % 3 = 0 AS int) AS y")
+    plan = encoding.ordered_statistics(df, ["c", "d"], "y", "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan

@@ -237,3 +237,20 @@ def test_a_vcf_header_has_no_quotes(spark, tmp_path):
 
     write_vcf(spark.createDataFrame([("chr1", 5, "A", "T")], "chrom string, pos long, ref string, alt string").coalesce(1), str(tmp_path / "v"))
     assert "".join(p.read_text() for p in (tmp_path / "v").glob("part-*")) == "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nchr1\t5\t.\tA\tT\t.\tPASS\t.\n"
+
+
+def test_q_values_of_many_tests(spark):
+    """Running minima go by ranges of p, in ascending frames, so their work isn't the square of the number of tests."""
+    rng = random.Random(8)
+    p = [rng.choice([rng.random(), round(rng.random(), 2), 0.0, 1.0]) for _ in range(4000)] + [None]
+    df = spark.createDataFrame(list(enumerate(p)), "id long, p_value double")
+    got = E.bh_adjust(df)
+    assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    order = sorted(k for k in range(4000))
+    order.sort(key=lambda k: p[k])
+    want, least = {4000: None}, 1.0
+    for i in range(3999, -1, -1):
+        least = min(least, p[order[i]] * 4000 / (i + 1))
+        want[order[i]] = least
+    rows = got.collect()
+    assert len(rows) == 4001 and all(r["q_value"] is None if want[r["id"]] is None else r["q_value"] == pytest.approx(want[r["id"]]) for r in rows)

@@ -169,3 +169,15 @@ def test_statistics_shuffle_rows_once_a_column(spark):
     df = spark.range(500).selectExpr("id", "cast(id % 7 AS string) AS c", "cast(id % 90 AS string) AS d", "cast(id % 3 = 0 AS int) AS y")
     plan = encoding.ordered_statistics(df, ["c", "d"], "y", "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2 and "Join" not in plan
+
+
+def test_ids_are_attached_without_an_aggregate_of_rows(spark):
+    p = spark.range(50).selectExpr("id", "cast(id % 2 AS int) AS label", "0.5D AS score")
+    plan = L.attach_ids(p, p.select("id", "label", F.lit("v").alias("name")), "id", "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_kept_columns_of_a_scored_cohort(spark):
+    df = spark.range(60).selectExpr("id", "id % 7 / 7 AS x", "cast(id % 7 > 3 AS int) AS label")
+    scored = L.score_cohort(L.train_final(df, ["x"], [], "label", max_iter=2), df, "id", keep=["label"]).collect()
+    assert len(scored) == 60 and all(r["label"] == int(r["id"] % 7 > 3) for r in scored)

@@ -254,3 +254,52 @@ def test_q_values_of_many_tests(spark):
         want[order[i]] = least
     rows = got.collect()
     assert len(rows) == 4001 and all(r["q_value"] is None if want[r["id"]] is None else r["q_value"] == pytest.approx(want[r["id"]]) for r in rows)
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """Two million pairs from six thousand rows: none is made."""
+    rng = random.Random(9)
+    iv = [(rng.choice(["a", "b", None]), s, s + rng.choice([-3, 0, 5, 40_000, 900_000])) for s in (rng.randrange(100_000) for _ in range(300))]
+    win = [(k % 200, rng.choice(["a", "b", "c", None]), s, s + rng.choice([-1, 0, 700, 300_000])) for k, s in enumerate(rng.randrange(100_000) for _ in range(260))]
+    want = {k: sum(c is not None and c == d and a <= b and s <= e and a <= e and s <= b for i, c, a, b in win if i == k for d, s, e in iv) for k in range(202)}
+    iv_df, win_df = spark.createDataFrame(iv, "c string, start long, end long"), spark.createDataFrame(win, "id long, c string, start int, end int")
+    got = I.count_overlaps(win_df, iv_df, "id", ["c"], spark.range(202))
+    assert {r["id"]: (r["n"], r["any"]) for r in got.collect()} == {k: (n, "yes" if n else "no") for k, n in want.items()}
+    many = lambda n: spark.range(n).selectExpr("id", "'a' AS c", "id % 7 AS start", "id % 7 + 50 AS end")
+    crowded = I.count_overlaps(many(3000), many(3000), "id", ["c"], many(3000))
+    assert {r["n"] for r in crowded.collect()} == {3000}
+    plan = crowded._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_start" not in plan
+
+
+def test_parts_grow_with_the_table(spark, monkeypatch):
+    from helpers import SF
+
+    from ptclake.plans import shapes
+
+    n = shapes.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(ranks, "PART_ROWS", 500)
+    for frame in (shapes.exons(spark, SF), shapes.lines(spark, SF), shapes.gene_model(spark, SF)):
+        assert frame.rdd.getNumPartitions() == -(-n // 500)
+
+
+def test_lines_are_read_once_by_a_model_query(spark, monkeypatch):
+    """The gene model makes exons and coding parts in one pass; written lines of files are compressed."""
+    from pathlib import Path
+
+    from helpers import SF
+
+    from ptclake.plans import shapes, source_queries
+
+    plan = shapes.gene_model(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("parquet") <= 1
+    path = source_queries._text(spark.range(3), "lines", "id")
+    assert all(f.name.endswith(".gz") for f in Path(path.removeprefix("file:")).glob("part-*"))
+
+
+def test_regions_work_nothing_out_for_each_block(spark):
+    from helpers import SF
+
+    from ptclake.plans.feature_queries import QUERIES
+
+    assert "array_max" not in QUERIES["motif_regions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

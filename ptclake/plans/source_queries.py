@@ -15,13 +15,13 @@ from ptclake.sources.scratch import scratch_path
 
 
 def _text(rows: DataFrame, name: str, *columns: str, header: list[str] | None = None) -> str:
-    """Writes tab-separated lines, behind a file of the header, and gives the path."""
+    """Writes tab-separated lines, gzipped, behind a file of the header, and gives the path."""
     path = scratch_path(rows.sparkSession, name)
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value")
     out = rows.select(line)
     if header:
         out = rows.sparkSession.createDataFrame([("\t".join(header),)], "value string").unionAll(out)
-    out.write.text(path)
+    out.write.option("compression", "gzip").text(path)
     return path
 
 

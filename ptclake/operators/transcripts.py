@@ -131,30 +131,33 @@ def motif_region_blocks(variants: DataFrame, model: DataFrame, flank: int = 100,
     and newutr_200 (``first`` bases, cut at the CDS's end); utr3_all are the exon parts behind the CDS's last base (a stop codon that the CDS leaves out among them),
     utr3_200 their ``first`` bases, and newutr_all the CDS from the stop on and then the 3' UTR. A place outside of the CDS has no regions.
     """
-    p, total = F.col("coding_pos"), F.array_max("_ends")
-    ejc = F.get("_ends", F.size(F.filter("_ends", lambda e: e < p)))
+    p, total, ejc = F.col("coding_pos"), F.col("_total"), F.col("_ejc")
     plus = F.col("strand") == "+"
+    one = F.lit(1).cast("long")
+
+    def spans(blocks: str) -> Column:
+        """Blocks with their first and last position along them."""
+        ends = cumulative_ends(F.col(blocks))
+        return F.transform(F.arrays_zip(F.col(blocks).alias("b"), ends.alias("last")), lambda x: F.struct(x["b"]["start"].cast("long").alias("start"), x["b"]["end"].cast("long").alias("end"), (x["last"] - (x["b"]["end"] - x["b"]["start"])).alias("first"), x["last"].alias("last")))
 
-    def part(blocks: str, ends: str, low: Column, high: Column) -> Column:
+    def part(blocks: str, low: str, high: str) -> Column:
         """Blocks cut to positions low..high along them."""
 
-        def cut(b: Column, k: Column) -> Column:
-            end = F.get(ends, k)
-            begin = end - (b["end"] - b["start"])
-            lo, hi = F.greatest(low, begin), F.least(high, end)
-            left, right = F.when(plus, b["start"] + lo - begin).otherwise(b["end"] - (hi - begin)), F.when(plus, b["start"] + hi - begin).otherwise(b["end"] - (lo - begin))
-            return F.when(lo <= hi, F.struct(left.cast("long").alias("start"), right.cast("long").alias("end")))
+        def cut(b: Column) -> Column:
+            before, behind = F.greatest(F.col(low) - b["first"], F.lit(0)), F.greatest(b["last"] - F.col(high), F.lit(0))
+            return F.struct(F.when(plus, b["start"] + before).otherwise(b["start"] + behind).alias("start"), F.when(plus, b["end"] - behind).otherwise(b["end"] - before).alias("end"))
 
-        return F.filter(F.transform(blocks, cut), lambda b: b.isNotNull())
+        return F.transform(F.filter(blocks, lambda b: (b["first"] <= F.col(high)) & (b["last"] >= F.col(low))), cut)
 
     clipped = F.transform("exons", lambda x: F.struct(F.when(plus, F.greatest(x["start"], F.col("cds_max") + 1)).otherwise(x["start"]).cast("long").alias("start"), F.when(plus, x["end"]).otherwise(F.least(x["end"], F.col("cds_min") - 1)).cast("long").alias("end")))
-    j = variants.select("id", "tx", F.col("coding_pos").cast("long").alias("coding_pos")).join(model, "tx").withColumn("_ends", cumulative_ends(F.col("cds"))).withColumn("_utr", F.filter(clipped, lambda x: x["start"] <= x["end"])).withColumn("_utr_ends", cumulative_ends(F.col("_utr")))
-    j = j.filter(p.between(1, total))
-    cds = lambda a, b: part("cds", "_ends", a, b)
-    one = F.lit(1).cast("long")
+    j = variants.select("id", "tx", F.col("coding_pos").cast("long").alias("coding_pos")).join(model, "tx").withColumn("_total", block_length(F.col("cds"))).filter(p.between(1, total))
+    # what the blocks' functions read are columns, so nothing is worked out for each block again
+    j = j.withColumn("_utr", F.filter(clipped, lambda x: x["start"] <= x["end"])).withColumns({"_cds": spans("cds"), "_utr_spans": spans("_utr")})
+    j = j.withColumn("_ejc", F.get(F.filter("_cds", lambda b: b["last"] >= p), F.lit(0))["last"])
+    j = j.withColumns({"_one": one, "_first": F.lit(first).cast("long"), "_to": F.least(p + first - 1, total), "_low": F.greatest(one, p - flank), "_high": F.least(total, p + flank), "_low_ejc": F.greatest(one, ejc - flank), "_high_ejc": F.least(total, ejc + flank)})
     regions = {
-        "ptc_to_ejc": cds(p, ejc), "newutr_all": F.concat(cds(p, total), F.col("_utr")), "newutr_200": cds(p, F.least(p + first - 1, total)), "ptc_pm100": cds(F.greatest(one, p - flank), F.least(total, p + flank)),
-        "ejc_pm100": cds(F.greatest(one, ejc - flank), F.least(total, ejc + flank)), "utr3_all": F.col("_utr"), "utr3_200": part("_utr", "_utr_ends", one, F.lit(first).cast("long")),
+        "ptc_to_ejc": part("_cds", "coding_pos", "_ejc"), "newutr_all": F.concat(part("_cds", "coding_pos", "_total"), F.col("_utr")), "newutr_200": part("_cds", "coding_pos", "_to"), "ptc_pm100": part("_cds", "_low", "_high"),
+        "ejc_pm100": part("_cds", "_low_ejc", "_high_ejc"), "utr3_all": F.col("_utr"), "utr3_200": part("_utr_spans", "_one", "_first"),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("region"), v.alias("blocks")) for k, v in regions.items()]))
     return j.select("id", "chrom", "strand", each.alias("r")).select("id", "chrom", "strand", F.col("r.region").alias("region"), F.posexplode("r.blocks").alias("i", "b")).select("id", "region", "chrom", (F.col("i") + 1).alias("rank"), "b.start", "b.end", "strand")

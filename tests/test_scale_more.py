@@ -303,3 +303,33 @@ def test_regions_work_nothing_out_for_each_block(spark):
     from ptclake.plans.feature_queries import QUERIES
 
     assert "array_max" not in QUERIES["motif_regions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ordered_statistics_shuffle_rows_once_a_column_however_common(spark, monkeypatch, tmp_path):
+    """Lines go through one shuffle by order and one for each column, at either size, also where all categories of a column go by parts; results are the same."""
+    from helpers import SF
+
+    from ptclake.operators import encoding
+    from ptclake.plans.queries import QUERIES
+    from ptclake.plans.shapes import table
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    for copies in (1, 6):
+        li = table(spark, SF, "lineitem").crossJoin(spark.range(copies).withColumnRenamed("id", "k"))
+        # orders shifted; 40 parts and three flags, so that rows of counts are few beside the lines
+        li.withColumn("l_orderkey", F.expr("l_orderkey + k * 10000000")).withColumn("l_partkey", F.expr("l_partkey % 40")).drop("k").write.parquet(f"{tmp_path}/{copies}/lineitem.parquet")
+        n, got = li.count(), {}
+        for many in (encoding.MANY, n // 6):
+            monkeypatch.setattr(encoding, "MANY", many)
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            before = shuffled()
+            got[many] = sorted(map(tuple, QUERIES["ordered_category_statistics"](spark, f"{tmp_path}/{copies}").collect()))
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            assert 3 * n <= shuffled() - before < 3.1 * n
+            monkeypatch.undo()
+        assert len(got) == 2 and len({tuple(x) for x in got.values()}) == 1 and len(got[n // 6]) == n

@@ -333,3 +333,10 @@ def test_ordered_statistics_shuffle_rows_once_a_column_however_common(spark, mon
             assert 3 * n <= shuffled() - before < 3.1 * n
             monkeypatch.undo()
         assert len(got) == 2 and len({tuple(x) for x in got.values()}) == 1 and len(got[n // 6]) == n
+
+
+def test_parts_stay_as_few_as_are_written_without_a_sort(spark, monkeypatch):
+    """More than 200 parts make each writing task sort all its rows in memory, which spilled at 216,000,000 lines; rows a part stay bounded."""
+    monkeypatch.setattr(ranks, "PART_ROWS", 10)
+    for rows, parts in ((90, 9), (1990, 199), (4320, 200), (8000, 200), (20_000, 500)):
+        assert ranks.dealt(spark.range(10), rows, "id").rdd.getNumPartitions() == parts

@@ -4,11 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from helpers import SF
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ptclake.operators import boosting, trees
+from ptclake.operators import models as L
+from ptclake.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +63,16 @@ def test_rare_values_have_cuts_of_their_own(spark, monkeypatch):
     a, b, c = boosting.bin_cuts(df, ["a", "b", "c"])
     assert a.tolist() == sorted({float(k % 40) for k in range(1, 5000, 100)} | {0.0})[:-1] and len(c) == 0
     assert len(b) == 63 and np.abs(np.diff(b, prepend=0, append=5000) - 5000 / 64).max() < 5000 / 64 / 2
+
+
+def test_contributions_come_from_all_folds_models(spark):
+    """Each line's from the model that leaves it out; the result says each fold's importances and trees."""
+    df = spark.range(0, 900).selectExpr("id", "pmod(xxhash64(id), 100) / 100 AS x", "cast(pmod(xxhash64(id, 1), 5) AS string) AS c").withColumn("label", F.expr("cast(x + cast(c AS int) / 10 > 0.7 AS int)"))
+    cv = L.cross_validate(df, ["x"], ["c"], "label", "id", folds=3, patience=2, max_iter=3, max_depth=2)
+    forests = [m.forest for m in cv.models]
+    sums = trees.contributions(cv.left_out, forests, ["x", "c"], "id", by="fold").groupBy("id").agg((F.sum("contribution") + F.first("base")).alias("margin")).collect()
+    scores = {r["id"]: r["score"] for r in cv.scores.collect()}
+    assert len(sums) == 900 and all(1 / (1 + np.exp(-2 * r["margin"])) == pytest.approx(scores[r["id"]]) for r in sums)
+    got = QUERIES["fold_importances"](spark, SF).collect()
+    assert len(got) == 5 and all(len(r["fold_importances"]) == len(r["fold_trees"]) == 3 and min(r["fold_trees"]) >= 1 for r in got)
+    assert all(np.mean(r["fold_importances"]) == pytest.approx(r["mean_importance"]) for r in got)

@@ -73,6 +73,11 @@ def test_contributions_come_from_all_folds_models(spark):
     sums = trees.contributions(cv.left_out, forests, ["x", "c"], "id", by="fold").groupBy("id").agg((F.sum("contribution") + F.first("base")).alias("margin")).collect()
     scores = {r["id"]: r["score"] for r in cv.scores.collect()}
     assert len(sums) == 900 and all(1 / (1 + np.exp(-2 * r["margin"])) == pytest.approx(scores[r["id"]]) for r in sums)
+    # sums in the tasks are those of the rows
+    rows = trees.contributions(cv.left_out, forests, ["x", "c"], "id", by="fold").groupBy("feature").agg(F.sum(F.abs("contribution")).alias("total"), F.count("*").alias("n"))
+    added = trees.contribution_sums(cv.left_out, forests, ["x", "c"], by="fold").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    want, sums = ({r["feature"]: (r["n"], r["total"]) for r in d.collect()} for d in (rows, added))
+    assert want.keys() == sums.keys() and all(sums[f] == pytest.approx(want[f]) for f in want)
     got = QUERIES["fold_importances"](spark, SF).collect()
     assert len(got) == 5 and all(len(r["fold_importances"]) == len(r["fold_trees"]) == 3 and min(r["fold_trees"]) >= 1 for r in got)
     assert all(np.mean(r["fold_importances"]) == pytest.approx(r["mean_importance"]) for r in got)

@@ -81,3 +81,14 @@ def test_contributions_come_from_all_folds_models(spark):
     got = QUERIES["fold_importances"](spark, SF).collect()
     assert len(got) == 5 and all(len(r["fold_importances"]) == len(r["fold_trees"]) == 3 and min(r["fold_trees"]) >= 1 for r in got)
     assert all(np.mean(r["fold_importances"]) == pytest.approx(r["mean_importance"]) for r in got)
+
+
+def test_a_final_model_reads_sorted_statistics_once(spark, monkeypatch):
+    """Passes read packed rows; statistics in the order of a permutation are worked out for the written table only."""
+    names = []
+    for module in (L, boosting):
+        monkeypatch.setattr(module, "written", lambda df, name, own=module.written: names.append(name) or own(df, name))
+    df = spark.range(0, 400).selectExpr("id", "id % 7 / 7 AS x", "cast(id % 5 AS string) AS c", "cast(id % 7 > 3 AS int) AS label")
+    model = L.train_final(df, ["x"], ["c"], "label", id_col="id", max_iter=1, max_depth=2)
+    assert names[-2:] == ["encoded", "blocks"]
+    assert all((r["score"] > 0.5) == (r["label"] == 1) for r in model.scored(df).collect())
